@@ -68,7 +68,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def fit_weights(y: np.ndarray, doc: np.ndarray, col: np.ndarray, doc2: np.ndarray, col2: np.ndarray, width: int,
-                fairness: float = 1.0, ridge: float = 2e-4, rounds: int = 500) -> tuple[np.ndarray, float]:
+                fairness: float = 1.0, ridge: float = 2e-5, rounds: int = 2000) -> tuple[np.ndarray, float]:
     """Accelerated gradient descent on mean log loss + fairness * mean squared logit change + ridge."""
     n = max(len(y), 1)
     size = np.maximum(np.bincount(doc, minlength=n).max(initial=0), np.bincount(doc2, minlength=n).max(initial=0)) + 1
