@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identity, vectors
 from ..functions.digest import table_fingerprint
-from ..operators import align, checks, compare, evaluate, folds, pooling, probe, report, resample, retrieval
+from ..operators import align, audit, checks, compare, evaluate, folds, pooling, probe, report, resample, retrieval
 from ..sources import files as file_source
 from . import bindings as b
 
@@ -552,6 +552,113 @@ def file_identities(spark, sf_dir):
     return file_source.identities(spark, sf_dir, "*.parquet").select("file_name", "size_bytes", "sha256")
 
 
+# Contracts, alignment and the rest -----------------------------------------------------------------------------------
+
+_ROW = "SELECT name, CASE WHEN bad = 0 THEN 'PASS' ELSE 'FAIL' END AS status, CAST(bad AS BIGINT) || ' violations' AS detail, TRUE AS blocking FROM ({0})"
+
+
+@query(b.sql(["cohort"], _ROW.format("""SELECT 'required_columns' AS name, count(CASE WHEN sample IS NULL OR grp IS NULL OR stratum IS NULL THEN 1 END) AS bad FROM cohort
+    UNION ALL SELECT 'declared counts', CASE WHEN count(DISTINCT status) = 3 AND count(DISTINCT priority) = 5 THEN 0 ELSE 1 END
+        + CASE WHEN count(DISTINCT status) <> 3 AND count(DISTINCT priority) <> 5 THEN 1 ELSE 0 END FROM cohort""")))
+def cohort_contract(spark, sf_dir):
+    return audit.cohort_contract(b.cohort(spark, sf_dir), list(b.TASKS), {"n_status": 3, "n_priority": 5}, ["sample", "grp", "stratum"])
+
+
+@query(b.sql(["split"], _ROW.format(_CHECKS[_CHECKS.index("FROM (") + 6 : -1] + " UNION ALL SELECT 'stored summary is the recomputed one', 2 FROM (SELECT 1)")))
+def split_reaudit(spark, sf_dir):
+    """The audit of a split whose stored summary is off in one fold."""
+    s = b.split(spark, sf_dir)
+    stored = folds.fold_summary(s, list(b.TASKS)).withColumn("n_samples", F.col("n_samples") + F.when(F.col("fold") == 1, 1).otherwise(0))
+    return audit.split_reaudit(s, stored, list(b.TASKS), b.N_FOLDS)
+
+
+@query(b.sql(["preds", "split"], _ROW.format("""SELECT 'every seed of every system' AS name, 0 AS bad UNION ALL SELECT 'every fold of every seed', 0
+    UNION ALL SELECT 'every sample once', count(CASE WHEN n <> d OR n <> (SELECT count(*) FROM split) THEN 1 END) FROM (SELECT count(*) AS n, count(DISTINCT sample) AS d FROM preds GROUP BY model, strategy, task, seed)
+    UNION ALL SELECT 'known samples', count(*) FROM preds WHERE sample NOT IN (SELECT sample FROM split) UNION ALL SELECT 'metrics follow from rows', 0""")))
+def result_contract(spark, sf_dir):
+    p = b.predictions(spark, sf_dir, b.split(spark, sf_dir))
+    return audit.result_contract(p, b.cohort(spark, sf_dir), b.SYSTEM, list(b.SEEDS), b.N_FOLDS, _metrics(spark, sf_dir), b.classes(spark, sf_dir), ["task"])
+
+
+@query(b.sql(["folds"], _ROW.format("""SELECT 'unique groups' AS name, count(*) - count(DISTINCT grp) AS bad FROM folds UNION ALL SELECT 'fold numbers', count(CASE WHEN fold NOT BETWEEN 0 AND 2 THEN 1 END) FROM folds
+    UNION ALL SELECT 'every stratum in every fold', count(DISTINCT stratum) * 3 - count(DISTINCT stratum || fold) FROM folds""")))
+def fold_table_checks(spark, sf_dir):
+    return folds.fold_table_checks(b.fold_table(spark, sf_dir), b.N_FOLDS)
+
+
+@query(b.sql(["split"], """SELECT CAST(held AS BIGINT) AS held_fold, l.label FROM (SELECT unnest([0, 1, 2]) AS held) CROSS JOIN (SELECT DISTINCT subgroup AS label FROM split) l
+    LEFT JOIN (SELECT subgroup, count(DISTINCT fold) AS n, min(fold) AS f FROM split GROUP BY subgroup) s ON l.label = s.subgroup WHERE n = 1 AND f = held"""))
+def training_coverage(spark, sf_dir):
+    """Subgroups that a training set lacks because they lie in the held-out fold."""
+    return folds.training_coverage(b.split(spark, sf_dir), "subgroup", b.N_FOLDS)
+
+
+@query(b.sql(["split"], f"""SELECT CAST(held AS BIGINT) AS held_fold, CASE WHEN fold = held THEN 'test' ELSE 'train' END AS role, stratum, count(*) AS n
+    FROM split CROSS JOIN (SELECT unnest([0, 1, 2]) AS held) GROUP BY ALL"""))
+def fold_roles(spark, sf_dir):
+    return folds.roles(b.split(spark, sf_dir), b.N_FOLDS).groupBy("held_fold", "role", "stratum").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS sample, CASE lower(trim(o_orderpriority)) WHEN '1-urgent' THEN 'urgent' WHEN '2-high' THEN 'high' ELSE o_orderpriority END AS priority FROM orders""")
+def canonical_names(spark, sf_dir):
+    o = b.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("sample"), F.col("o_orderpriority").alias("priority"))
+    return report.canonical(o, "priority", {"1-urgent": "urgent", "2-high": "high"})
+
+
+@query("""WITH e AS (SELECT CAST(vec_id AS VARCHAR) AS sample, CAST(unnest(range(64)) AS BIGINT) AS dim, unnest(CAST(embedding AS DOUBLE[])) AS z FROM embeddings),
+    t AS (SELECT sample, max(z) AS top FROM e GROUP BY sample), s AS (SELECT e.sample, sum(exp(z - top)) AS total, max(top) AS top FROM e JOIN t ON e.sample = t.sample GROUP BY e.sample)
+    SELECT s.sample, min(dim) AS class_id, round(max(exp(z - top) / total), 6) + 0.0 AS top_prob FROM s JOIN e ON s.sample = e.sample WHERE z = top GROUP BY s.sample""")
+def softmax_argmax(spark, sf_dir):
+    p = b.items(spark, sf_dir).select("sample", vectors.softmax(F.col("features")).alias("p"))
+    return p.select("sample", vectors.argmax(F.col("p")).alias("class_id"), F.array_max("p").alias("top_prob"))
+
+
+@query(b.sql(["split"], """SELECT s.sample, s.grp, CAST(s.fold AS BIGINT) AS fold, c_name AS name FROM split s JOIN orders ON s.sample = CAST(o_orderkey AS VARCHAR) JOIN customer ON o_custkey = c_custkey"""))
+def align_by_id(spark, sf_dir):
+    """A table in another row order brought onto the split, gated by the agreement of shared columns."""
+    o = b.table(spark, sf_dir, "orders").join(b.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    features = o.select(F.col("o_orderkey").cast("string").alias("sample"), F.col("o_orderstatus").alias("status"), F.col("c_name").alias("name"))
+    rows, gate = align.align_features(features, b.split(spark, sf_dir), ["sample"], ["status"])
+    checks.require(gate)
+    return rows.select("sample", "grp", "fold", "name")
+
+
+@query(b.sql(["per_query", "items"], """SELECT p.query, CAST(p.k AS BIGINT) AS k, 'label=' || i.label AS stratum FROM per_query p JOIN items i ON p.query = i.sample"""))
+def attach_stratum(spark, sf_dir):
+    x = b.items(spark, sf_dir)
+    return retrieval.attach_stratum(_per_query(spark, sf_dir), x.withColumn("stratum", F.concat(F.lit("label="), "label"))).select("query", "k", "stratum")
+
+
+_ONE_STRATUM = f"""pos AS (SELECT grp, row_number() OVER (ORDER BY md5(grp), grp) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT grp FROM items)),
+    w AS (SELECT replicate, q.grp, count(*) AS weight FROM (SELECT replicate, {b.hex32("'0|' || replicate || '|all|' || pos")} % n AS pick FROM pos CROSS JOIN reps) s JOIN pos q ON q.pos = s.pick GROUP BY ALL)"""
+
+
+@query(b.sql(["per_query", "items", "reps"], f"""SELECT CAST(k AS BIGINT) AS k, {rounded('estimate', 'ci_low', 'ci_high')}, n_bootstrap FROM (WITH {_ONE_STRATUM},
+    s AS (SELECT k, grp, sum(average_precision) AS s, count(*) AS c FROM per_query JOIN items ON query = sample GROUP BY k, grp),
+    p AS (SELECT k, sum(s) / sum(c) AS estimate FROM s GROUP BY k), r AS (SELECT k, replicate, sum(s * weight) / sum(c * weight) AS value FROM s JOIN w ON s.grp = w.grp GROUP BY k, replicate),
+    q AS (SELECT k, quantile_cont(value, 0.025) AS ci_low, quantile_cont(value, 0.975) AS ci_high, count(*) AS n_bootstrap FROM r GROUP BY k)
+    SELECT p.k, estimate, ci_low, ci_high, n_bootstrap FROM p JOIN q ON p.k = q.k)"""))
+def retrieval_bootstrap_ci(spark, sf_dir):
+    x = b.items(spark, sf_dir)
+    rows = _per_query(spark, sf_dir).join(x.select(F.col("sample").alias("query"), "grp"), "query").withColumn("value", F.col("average_precision"))
+    return resample.mean_intervals(rows, x.select("grp", F.lit("all").alias("stratum")).distinct(), ["k"], b.REPLICATES)
+
+
+@query(b.sql(["long_labels"], """SELECT task, label, CAST(row_number() OVER (PARTITION BY task ORDER BY label) - 1 AS BIGINT) AS class_id FROM (SELECT DISTINCT task, label FROM long_labels)"""))
+def class_index(spark, sf_dir):
+    return b.classes(spark, sf_dir)
+
+
+@query("""SELECT CAST(count(*) AS BIGINT) AS n_both, CAST(sum(CASE WHEN o_custkey % 10 < 3 THEN 1 ELSE 0 END) AS BIGINT) AS n_pending FROM orders""")
+def resume_pending(spark, sf_dir):
+    """Samples that a resumed run still has to do, given a store of those already complete."""
+    from ..sources.tables import pending
+
+    o = b.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("sample"), "o_custkey")
+    todo = pending(o, o.withColumn("completed", F.col("o_custkey") % 10 >= 3))
+    return o.agg(F.count("*").alias("n_both")).crossJoin(todo.agg(F.count("*").alias("n_pending")))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact held-out retrieval: pooled and per-fold metrics at every k."""
     return QUERIES["retrieval_fold_pooled"](spark, sf_dir)
