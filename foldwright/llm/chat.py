@@ -30,12 +30,12 @@ def unescape(text: str) -> str:
 
 def tagged(turns: list[Turn]) -> str:
     """The default template: ``<s>[role]``, newline, escaped text, ``</s>``, newline for each turn."""
-    return "".join(f"<s>[{escape(role)}]\n{escape(text)}</s>\n" for role, text in turns)
+    return "".join(f"<s>[{escape(role).replace(']', '&rb;')}]\n{escape(text)}</s>\n" for role, text in turns)
 
 
 def tagged_role(span: str) -> str:
     """The role that a span of ``tagged`` names."""
-    return unescape(span[span.index("[") + 1 : span.index("]\n")])
+    return unescape(span[span.index("[") + 1 : span.index("]")].replace("&rb;", "]"))
 
 
 def locate(template: Callable[[list[Turn]], str], turns: list[Turn]) -> tuple[str, list[tuple[int, int, int, int]], int]:
@@ -126,5 +126,5 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
     sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
     CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
     sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
-    CAST(sum(11 + length({_ESCAPED.format('role')}) + length({_ESCAPED.format('text')})) AS BIGINT) AS formatted_chars
+    CAST(sum(11 + length(replace({_ESCAPED.format('role')}, ']', '&rb;')) + length({_ESCAPED.format('text')})) AS BIGINT) AS formatted_chars
 FROM rows GROUP BY conv_id"""
