@@ -18,7 +18,7 @@ of each component.  There another round of leaders follows and then all pairs of
 still in different classes, so no link is lost to the choice of leaders; the join that meets
 such a pair compares the bits and lets it pass once, in the first band it shares, and only if its
 estimate is not 5.2 standard errors below the bound.  A pair at similarity 0.8 is lost by the
-first bands in one case of 10^7, by the second in two of 10^6, by the bits in one of 10^7;
+first bands in one case of 2 × 10^7, by the second in one of 2 × 10^6, by the bits in one of 10^7;
 nearer pairs less often.
 """
 

@@ -103,11 +103,11 @@ def update_ledger(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, t
     known = read_ledger(spark, path)
     wanted = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
     have = known.groupBy("blob").agg(F.collect_set(F.struct("kind", "version")).alias("have"))
-    blobs = with_blob(docs.select(F.col(text).alias("text")))
+    # Copies are folded inside the tasks that read them, before anything is shuffled or joined.
+    blobs = with_blob(docs.select(F.col(text).alias("text"))).groupBy("blob").agg(F.first("text").alias("text"))
     fresh = (blobs.join(have, "blob", "left")
              .withColumn("todo", F.array_except(wanted, F.coalesce("have", F.array().cast("array<struct<kind:string,version:int>>")))["kind"])
-             .where(F.size("todo") > 0)
-             .groupBy("blob").agg(F.first("text").alias("text"), F.first("todo").alias("todo")))
+             .where(F.size("todo") > 0).select("blob", "text", "todo"))
     scan_blobs(fresh, rules).write.mode("append").parquet(path)
     return read_ledger(spark, path)
 
