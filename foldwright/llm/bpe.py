@@ -9,6 +9,7 @@ table, and the row is compacted.
 import base64
 import hashlib
 from collections.abc import Iterator
+from hashlib import sha256
 from pathlib import Path
 
 import numpy as np
@@ -281,7 +282,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", out: st
         for batch in batches:
             texts = clean(batch)
             got: list = []
-            for cut in slices([len(t) for t in texts], 1_000_000):
+            for cut in slices([len(t) for t in texts], 400_000):
                 got += encoder.encode(texts[cut])
             yield pd.Series(got, dtype=object)
 
@@ -301,16 +302,34 @@ def decode(docs: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str
     return docs.withColumn(out, back(F.col(ids)))
 
 
-def with_digests(docs: DataFrame, ranks: dict[bytes, int], text: str = "text") -> DataFrame:
-    """``ids`` and ``decoded`` of every row with their count and SHA-256 digests."""
-    done = decode(encode(docs, ranks, text), ranks)
-    return done.withColumns({
-        "n_tokens": F.size("ids").cast("long"),
-        "ids_sha256": F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256),
-        "decoded_sha256": F.sha2(F.col("decoded"), 256)})
+def with_digests(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", keep_ids: bool = True) -> DataFrame:
+    """Add ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of every row and, with ``keep_ids``, ``ids``.
+
+    Texts are encoded, and the ids decoded, a run of rows at a time; only what is asked for leaves the
+    worker, so that ids and bytes of a whole Arrow batch need not be held.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+
+    @F.pandas_udf(fields)
+    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encoder = _encoder(shared)
+        for batch in batches:
+            texts, rows = clean(batch), []
+            for cut in slices([len(t) for t in texts], 400_000):
+                for ids in encoder.encode(texts[cut]):
+                    told = sha256(" ".join(map(str, ids.tolist())).encode()).hexdigest()
+                    rows.append((len(ids), told, sha256(encoder.v.decode(ids)).hexdigest(), *([ids] if keep_ids else [])))
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids])
+
+    out = "digest_of_row"
+    while out in docs.columns:
+        out += "_"
+    names = [f.split()[0] for f in fields.split(", ")]
+    return docs.withColumn(out, digest(F.col(text))).withColumns({n: F.col(f"{out}.{n}") for n in names}).drop(out)
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Digests of ids and of decoded bytes of every document."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return with_digests(docs, load_ranks(path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return with_digests(docs, load_ranks(path), keep_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
