@@ -14,7 +14,7 @@ classes are the connected components of verified pairs.
 Two levels keep large groups from becoming all their pairs.  First, 32 bands of 4 components: in
 each bucket the members are verified against one leader.  Nodes in buckets whose members still
 lie in different classes get a second signature of 4096 components: 80 bands of 8, and one bit
-of each component.  There another round of leaders follows and then all pairs of members that are
+of each component, hashed from its element and its place.  There another round of leaders follows and then all pairs of members that are
 still in different classes, so no link is lost to the choice of leaders; the join that meets
 such a pair compares the bits and lets it pass once, in the first band it shares, and only if its
 estimate is not 5.2 standard errors below the bound.  A pair at similarity 0.8 is lost by the
@@ -113,7 +113,9 @@ def sketch(texts: list[str], size: int = WORDS, m: int = LEVELS[0][0], count: in
     for k in range(rows):
         rolled = rolled * U64(0x9FB21C651E98DF25) + sig[:, :, k]
     bands = as_long(mix(rolled * U64(0xD6E8FEB86659FD93) + np.arange(count, dtype=U64)))
-    bits = np.packbits(((whole >> U64(29)) & U64(1)).astype(np.uint8), axis=1).view(np.int64)
+    # A bit of the element and the component: bits of the element alone would be equal in all components that hold it.
+    bit = mix(whole + np.arange(m, dtype=U64) * U64(0x9E6C63D0876A9A47)) >> U64(63)
+    bits = np.packbits(bit.astype(np.uint8), axis=1).view(np.int64)
     empty = np.bincount(doc, minlength=n) == 0
     return pd.DataFrame({"k1": keys[0], "k2": keys[1], "bands": [bands[i][:0] if empty[i] else bands[i] for i in range(n)], "bits": list(bits)})
 
@@ -287,14 +289,17 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
     long = materialise(sketched(work.texts, size, *LEVELS[1]), "near-long")
     shared = work.mixed(long.select("id", F.posexplode("bands").alias("band", "bucket")).distinct())
     work.attempt(leader(shared))
-    m = LEVELS[1][0]
-    differ = (1 - similarity) / 2  # share of unequal bits at the bound: half of the unequal components
-    most = m * differ + SURE * (m * differ * (1 - differ)) ** 0.5
-    work.attempt(apart(work.mixed(shared), long, most))
+    work.attempt(apart(work.mixed(shared), long, most_unlike(similarity)))
     return (member.join(work.labels.select(F.col("id").alias("node"), "label"), "node", "left")
             .groupBy("id").agg(F.min(F.coalesce("label", "node")).alias("class_id")))
 
 
+def most_unlike(similarity: float, m: int = LEVELS[1][0]) -> float:
+    """Unequal bits beyond which two texts count as less similar than ``similarity``."""
+    differ = (1 - similarity) / 2  # share of unequal bits at the bound: half of the unequal components
+    return m * differ + SURE * (m * differ * (1 - differ)) ** 0.5
+
+
 def apart(rows: DataFrame, sketches: DataFrame, most_bits: float) -> DataFrame:
     """Pairs of members of one bucket that lie in different classes and whose bits differ in at most ``most_bits`` places.
 

@@ -91,6 +91,44 @@ def test_classes_equal_brute_force(spark, seed):
     assert got[2000] == got[2001] == 2000
 
 
+def short_pairs(seed, n=300):
+    """``n`` pairs of texts of 10 to 30 words at a similarity of 0.80 to 0.83."""
+    rng, out = random.Random(seed), []
+    while len(out) < n:
+        words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(rng.randint(13, 30))]
+        other = words[:]
+        for k in range(rng.choice((1, 2, 3))):
+            other[-1 - k] = "".join(rng.choices("abcdefgh", k=6))
+        pair = " ".join(words), " ".join(other)
+        if 0.8 - 1e-12 <= brute_similarity(*map(shingle_counts, pair)) <= 0.83:
+            out.append(pair)
+    return out
+
+
+def test_bits_do_not_part_near_pairs_of_few_shingles(spark):
+    pairs = short_pairs(8)
+    df = spark.createDataFrame([(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)], "id long, text string")
+    long = nd.materialise(nd.sketched(df, nd.WORDS, *nd.LEVELS[1]), "test-long")
+    rows = long.select("id", nd.F.col("id").alias("label"), nd.F.posexplode("bands").alias("band", "bucket"))
+    passed = {(r["a"], r["b"]) for r in nd.apart(rows, long, nd.most_unlike(0.8)).collect()}
+    assert [i for i in range(len(pairs)) if (2 * i, 2 * i + 1) not in passed] == []
+
+
+def test_families_of_short_texts_equal_brute_force(spark):
+    rng, families = random.Random(9), []
+    for f in range(200):
+        w = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(rng.randint(10, 30))]
+        texts = [list(w) for _ in range(12)]
+        for t in texts[1:]:
+            for k in (*range(rng.randint(0, 2)), *range(-rng.randint(0, 2), 0)):
+                t[k] = "".join(rng.choices("abcdefgh", k=6))
+        rng.shuffle(texts)
+        families.append([(f * 100 + i, " ".join(t)) for i, t in enumerate(texts)])
+    want = {k: v for docs in families for k, v in brute_classes(docs).items()}
+    df = spark.createDataFrame([d for docs in families for d in docs], "doc_id long, text string")
+    assert {r["id"]: r["class_id"] for r in nd.near_classes(df).collect()} == want
+
+
 def test_one_of_each_class_stays(spark):
     docs = [*corpus(3), (1003, "one two"), (1003, "one two")]
     df = spark.createDataFrame([(i, t, i) for i, t in docs], "doc_id long, text string, id long")
