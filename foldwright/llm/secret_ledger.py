@@ -44,9 +44,20 @@ BASE = (
     Rule("access", 1, r"AKIA[A-Z0-9]+", 20, hints=("akia",)),
     Rule("hex", 1, r"[0-9a-f]{24,}", 24),  # the runs [0-9a-f]+ of 24 characters or more
 )
+# A private key runs from BEGIN to END, if no other boundary lies between.  Where END is missing, it takes the
+# base64 that follows: encryption headers, runs of 20 characters or more, shorter ones that fill a line, and what
+# trails a run on its line and cannot be a word.  Line breaks may be escapes, lines quoted or indented.  All
+# repeats are possessive, so the time is linear in the text.
+_PAD = r"""[\x20\t"'+,;>#*]*+"""
+_NEXT = rf"(?:{_PAD}(?:[\r\n]|\\[nr]))++{_PAD}"
+_HEAD = r"(?:Proc-Type:\x20?4,[A-Z-]++|DEK-Info:\x20?[A-Z0-9-]++(?:,[0-9A-Fa-f]++)?)"
+_RUN = r"[A-Za-z0-9+/]"
+_BODY = (rf"(?:(?:{_NEXT}|{_PAD})(?:{_HEAD}|{_RUN}{{20,}}+={{0,2}}(?:{_PAD}(?=[A-Za-z]*+[0-9+/=]){_RUN}*+={{0,2}})?|{_RUN}++={{0,2}}(?=\s*+\Z))"
+         rf"|{_NEXT}{_RUN}++={{0,2}}(?={_PAD}(?:[\r\n]|\\[nr]|\Z)))*+")
+_KEY = rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]|-(?!----))*+-----END [A-Z ]*PRIVATE KEY-----|{_BODY})"
 #: Added by this operator; listed after the base kinds.
 MORE = (
-    Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, hints=("private key",)),
+    Rule("pem", 2, _KEY, 0, hints=("private key",)),
     Rule("bearer", 1, r"\bBearer\x20+([A-Za-z0-9_.=-]+)", 16, 1, hints=("bearer",)),
     Rule("webtoken", 1, r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*", 20, hints=("eyj",)),
 )

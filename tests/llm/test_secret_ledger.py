@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 from dataclasses import replace
 
 from foldwright.llm import secret_ledger as sl
@@ -66,6 +68,20 @@ def test_redaction(spark):
     assert all(not brute(t or "") for t in got.values())
 
 
+def test_redaction_leaves_no_line_of_a_private_key(spark):
+    rng = random.Random(3)
+    lines = ["".join(rng.choices(string.ascii_letters + string.digits + "+/", k=64)) for _ in range(8)] + ["Abc+defg" * 3 + "hQ=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n\n"
+    keys = [sep.join([begin, *lines, end]) for sep in ("\n", "\r\n", "\\n", " ", "\n    ", "\n> ", '\\n" +\n    "')]
+    keys += ["\n".join([begin, head, *lines, end]), begin + "".join(lines) + end]
+    keys += [sep.join([begin, *lines]) for sep in ("\n", "\r\n", "\\n", " ", "\n    ")] + ["\n".join([begin, head, *lines]), "\n".join([begin, *lines[:2], "short7"])]
+    docs = documents(spark, [f"before {k}\nand words after" for k in keys] + [f"{begin}\n{lines[0]}\nMIIEow", f"{keys[0]}\n{keys[-1]}\nlast words", f"a {begin} is how a key begins", begin * 2000])
+    done = [r["text"] for r in sl.redact(docs, sl.findings(sl.update_ledger(docs, sl.new_ledger(spark)))).orderBy("doc_id").collect()]
+    assert done[: len(keys)] == ["before [pem]\nand words after"] * len(keys)
+    assert done[len(keys) :] == ["[pem]", "[pem]\n[pem]\nlast words", "a [pem] is how a key begins", "[pem]" * 2000]
+
+
 def test_empty_table(spark):
     docs = documents(spark, TEXTS).limit(0)
     ledger = sl.update_ledger(docs, sl.new_ledger(spark))
