@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from ..functions.identity import GROUP_SEPARATOR, hash32
 from ..operators import evaluate, folds
 
-N_FOLDS, FOLD_SEED, SEEDS, REPLICATES = 3, 7, (101, 202, 303, 404, 505), 100
+N_FOLDS, FOLD_SEED, SEEDS, REPLICATES = 3, 7, (101, 202, 303, 404, 505), 10_000
 TASKS = ("status", "priority")
+#: Stands for the task in SQL that ``every_task`` repeats.
+TASK = "<task>"
 #: Model, strategy, and in how many of ten samples the system errs.
 SYSTEMS = (("alpha", "center", 3), ("alpha", "grid_mean", 4), ("beta", "center", 2), ("beta", "grid_mean", 3))
 SYSTEM = ["model", "strategy", "task"]
@@ -136,7 +138,7 @@ PARTS = {
     "cell_counts": "SELECT model, strategy, task, seed, true_id, pred_id, count(*) AS n FROM preds GROUP BY ALL",
     "confusion": """SELECT cells.*, coalesce(n, 0) AS n, coalesce(coalesce(n, 0) / nullif(sum(coalesce(n, 0)) OVER (PARTITION BY cells.model, cells.strategy, cells.task, cells.seed, cells.true_id), 0), 0) AS share
         FROM cells LEFT JOIN cell_counts x ON cells.model = x.model AND cells.strategy = x.strategy AND cells.task = x.task AND cells.seed = x.seed AND cells.true_id = x.true_id AND cells.pred_id = x.pred_id""",
-    "sig_groups": "SELECT grp, CAST(to_json(list_sort(list(DISTINCT status))) AS VARCHAR) AS stratum FROM cohort GROUP BY grp",
+    "sig_groups": f"SELECT grp, CAST(to_json(list_sort(list(DISTINCT {TASK}))) AS VARCHAR) AS stratum FROM cohort GROUP BY grp",
     "positions": "SELECT grp, stratum, row_number() OVER (PARTITION BY stratum ORDER BY md5(grp), grp) - 1 AS pos, count(*) OVER (PARTITION BY stratum) AS n FROM sig_groups",
     "reps": f"SELECT range AS replicate FROM range({REPLICATES})",
     "weights": f"""SELECT replicate, q.grp, count(*) AS weight FROM (SELECT replicate, stratum, {hex32("'0|' || replicate || '|' || stratum || '|' || pos")} % n AS pick FROM positions CROSS JOIN reps) s
@@ -169,3 +171,8 @@ def sql(needs: list[str], final: str) -> str:
         add(n)
     head = ",\n".join(f"{n} AS MATERIALIZED ({PARTS[n]})" for n in order)
     return f"WITH {head}\n{final}" if head else final
+
+
+def every_task(statement: str, named: bool = False) -> str:
+    """The rows of a statement for each task; ``named``: with the task in a column of its own."""
+    return " UNION ALL ".join(f"SELECT *{f", '{t}' AS task" if named else ''} FROM ({statement.replace(TASK, t)})" for t in TASKS)

@@ -1,6 +1,7 @@
 """One query per operator over the driver's tables, with the SQL that gives the same rows."""
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +15,7 @@ from . import bindings as b
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 SEEDED = [*b.SYSTEM, "seed"]
-#: Systems that the resampling queries compare: one task, every model, strategy and seed.
-TASK = "status"
+TASK = b.TASK
 
 
 def tidy(df: DataFrame) -> DataFrame:
@@ -35,6 +35,11 @@ def query(sql: str | None = None):
     return keep
 
 
+def each_task(rows: Callable[[str], DataFrame], named: bool = False) -> DataFrame:
+    """The rows of each task, as ``bindings.every_task`` gives them in SQL."""
+    return reduce(DataFrame.unionByName, [rows(t).withColumn("task", F.lit(t)) if named else rows(t) for t in b.TASKS])
+
+
 def rounded(*columns: str) -> str:
     return ", ".join(f"round(CAST({c} AS DOUBLE), 6) + 0.0 AS {c}" for c in columns)
 
@@ -237,15 +242,15 @@ def tile_grid(spark, sf_dir):
 # Evaluation ----------------------------------------------------------------------------------------------------------
 
 def _probabilities(spark, sf_dir) -> DataFrame:
-    """Fold probabilities of one class set: 0.6 for the predicted class of the status task, the rest shared."""
-    p = b.predictions(spark, sf_dir, b.split(spark, sf_dir)).where(F.col("task") == TASK)
-    n = b.classes(spark, sf_dir).where(F.col("task") == TASK).agg(F.count("*").alias("n_classes"))
+    """Fold probabilities over the classes of each task: 0.6 for the predicted class, the rest shared."""
+    p = b.predictions(spark, sf_dir, b.split(spark, sf_dir))
+    n = b.classes(spark, sf_dir).groupBy("task").agg(F.count("*").alias("n_classes"))
     probs = F.transform(F.sequence(F.lit(0), F.col("n_classes") - 1), lambda i: F.when(i == F.col("pred_id"), F.lit(0.6)).otherwise(F.lit(0.4) / (F.col("n_classes") - 1)))
-    return p.crossJoin(F.broadcast(n)).select(*SEEDED, "fold", "sample", probs.alias("probs"))
+    return p.join(F.broadcast(n), "task").select(*SEEDED, "fold", "sample", probs.alias("probs"))
 
 
 @query(b.sql(["preds", "split"], f"""SELECT model, strategy, task, {longs('seed')}, p.sample, CAST(split.fold AS BIGINT) AS fold, CAST(pred_id AS BIGINT) AS class_id, 0.6 AS top_prob
-    FROM preds p JOIN split ON p.sample = split.sample WHERE task = '{TASK}'"""))
+    FROM preds p JOIN split ON p.sample = split.sample"""))
 def oof_assemble(spark, sf_dir):
     return evaluate.assemble(_probabilities(spark, sf_dir), b.cohort(spark, sf_dir), SEEDED)
 
@@ -316,14 +321,14 @@ def linear_probe_oof(spark, sf_dir):
 
 # Resampling ----------------------------------------------------------------------------------------------------------
 
-@query(b.sql(["sig_groups"], "SELECT grp, stratum FROM sig_groups"))
+@query(b.every_task(b.sql(["sig_groups"], "SELECT grp, stratum FROM sig_groups"), named=True))
 def label_signature(spark, sf_dir):
-    return b.signature_groups(b.cohort(spark, sf_dir), TASK)
+    return each_task(lambda t: b.signature_groups(b.cohort(spark, sf_dir), t), named=True)
 
 
-@query(b.sql(["weights"], "SELECT replicate, grp, weight FROM weights"))
+@query(b.every_task(b.sql(["weights"], "SELECT replicate, grp, weight FROM weights"), named=True))
 def bootstrap_draws(spark, sf_dir):
-    return resample.draws(b.signature_groups(b.cohort(spark, sf_dir), TASK), b.REPLICATES, 0)
+    return each_task(lambda t: resample.draws(b.signature_groups(b.cohort(spark, sf_dir), t), b.REPLICATES, 0), named=True)
 
 
 _U = f"(SELECT count(*) FROM classes WHERE task = '{TASK}')"
@@ -342,7 +347,7 @@ def _unpivot(source: str, keys: str) -> str:
 def _interval_sql(weights: str, on_seed: bool) -> str:
     k = "model, strategy, task, seed"
     seed = " AND c.seed = w.seed" if on_seed else ""
-    return b.sql(["counts", weights], f"""SELECT {k.replace('seed', 'CAST(seed AS BIGINT) AS seed')}, metric, {rounded('estimate', 'ci_low', 'ci_high')}, n_bootstrap FROM (
+    return b.every_task(b.sql(["counts", weights], f"""SELECT {k.replace('seed', 'CAST(seed AS BIGINT) AS seed')}, metric, {rounded('estimate', 'ci_low', 'ci_high')}, n_bootstrap FROM (
     WITH own AS (SELECT * FROM counts WHERE task = '{TASK}'),
     total AS (SELECT {k}, class_id, sum(tp) AS tp, sum(actual) AS actual, sum(predicted) AS predicted FROM own GROUP BY {k}, class_id),
     point AS ({_of_counts('total', k)}), point_rows AS ({_unpivot('point', k)}),
@@ -350,13 +355,15 @@ def _interval_sql(weights: str, on_seed: bool) -> str:
         FROM own c JOIN {weights} w ON c.grp = w.grp{seed} GROUP BY ALL),
     rep AS ({_of_counts('drawn', k + ', replicate')}), rep_rows AS ({_unpivot('rep', k + ', replicate')}),
     q AS (SELECT {k}, metric, quantile_cont(value, 0.025) AS ci_low, quantile_cont(value, 0.975) AS ci_high, count(*) AS n_bootstrap FROM rep_rows GROUP BY {k}, metric)
-    SELECT p.*, p.value AS estimate, ci_low, ci_high, n_bootstrap FROM point_rows p JOIN q ON p.model = q.model AND p.strategy = q.strategy AND p.task = q.task AND p.seed = q.seed AND p.metric = q.metric)""")
+    SELECT p.*, p.value AS estimate, ci_low, ci_high, n_bootstrap FROM point_rows p JOIN q ON p.model = q.model AND p.strategy = q.strategy AND p.task = q.task AND p.seed = q.seed AND p.metric = q.metric)"""))
 
 
 def _intervals(spark, sf_dir, by_seed: bool) -> DataFrame:
-    rows = b.predictions(spark, sf_dir).where(F.col("task") == TASK)
-    groups = b.signature_groups(b.cohort(spark, sf_dir), TASK)
-    return resample.classification_intervals(rows, groups, b.classes(spark, sf_dir).where(F.col("task") == TASK), SEEDED, b.REPLICATES, by_seed=by_seed)
+    def of(task: str) -> DataFrame:
+        rows, classes = (x.where(F.col("task") == task) for x in (b.predictions(spark, sf_dir), b.classes(spark, sf_dir)))
+        return resample.classification_intervals(rows, b.signature_groups(b.cohort(spark, sf_dir), task), classes, SEEDED, b.REPLICATES, by_seed=by_seed)
+
+    return each_task(of)
 
 
 @query(_interval_sql("seed_weights", True))
@@ -369,29 +376,29 @@ def bootstrap_ci_shared(spark, sf_dir):
     return _intervals(spark, sf_dir, False)
 
 
-@query(b.sql(["preds", "weights"], f"""SELECT model, strategy, task, {rounded('estimate', 'ci_low', 'ci_high')}, n_bootstrap FROM (
-    WITH s AS (SELECT model, strategy, task, grp, sum(CASE WHEN true_id = pred_id THEN 1.0 ELSE 0.0 END) AS s, count(*) AS c FROM preds WHERE seed = 101 GROUP BY ALL),
-    p AS (SELECT model, strategy, task, sum(s) / sum(c) AS estimate FROM s GROUP BY ALL),
-    r AS (SELECT model, strategy, task, replicate, sum(s * weight) / sum(c * weight) AS value FROM s JOIN weights w ON s.grp = w.grp GROUP BY ALL),
-    q AS (SELECT model, strategy, task, quantile_cont(value, 0.025) AS ci_low, quantile_cont(value, 0.975) AS ci_high, count(*) AS n_bootstrap FROM r GROUP BY ALL)
-    SELECT p.*, ci_low, ci_high, n_bootstrap FROM p JOIN q ON p.model = q.model AND p.strategy = q.strategy AND p.task = q.task)"""))
+@query(b.every_task(b.sql(["preds", "weights"], f"""SELECT model, strategy, task, {longs('seed')}, {rounded('estimate', 'ci_low', 'ci_high')}, n_bootstrap FROM (
+    WITH s AS (SELECT model, strategy, task, seed, grp, sum(CASE WHEN true_id = pred_id THEN 1.0 ELSE 0.0 END) AS s, count(*) AS c FROM preds WHERE task = '{TASK}' GROUP BY ALL),
+    p AS (SELECT model, strategy, task, seed, sum(s) / sum(c) AS estimate FROM s GROUP BY ALL),
+    r AS (SELECT model, strategy, task, seed, replicate, sum(s * weight) / sum(c * weight) AS value FROM s JOIN weights w ON s.grp = w.grp GROUP BY ALL),
+    q AS (SELECT model, strategy, task, seed, quantile_cont(value, 0.025) AS ci_low, quantile_cont(value, 0.975) AS ci_high, count(*) AS n_bootstrap FROM r GROUP BY ALL)
+    SELECT p.*, ci_low, ci_high, n_bootstrap FROM p JOIN q ON p.model = q.model AND p.strategy = q.strategy AND p.task = q.task AND p.seed = q.seed)""")))
 def bootstrap_mean_ci(spark, sf_dir):
-    rows = b.predictions(spark, sf_dir).where(F.col("seed") == 101).withColumn("value", (F.col("true_id") == F.col("pred_id")).cast("double"))
-    return resample.mean_intervals(rows, b.signature_groups(b.cohort(spark, sf_dir), TASK), b.SYSTEM, b.REPLICATES)
+    rows = b.predictions(spark, sf_dir).withColumn("value", (F.col("true_id") == F.col("pred_id")).cast("double"))
+    return each_task(lambda t: resample.mean_intervals(rows.where(F.col("task") == t), b.signature_groups(b.cohort(spark, sf_dir), t), SEEDED, b.REPLICATES))
 
 
-@query(b.sql(["preds"], """SELECT family, strategy, task, model AS alternative, 'alpha' AS reference, count(*) AS n_samples FROM (
-        SELECT 'model' AS family, strategy, task, model FROM preds WHERE model <> 'alpha' AND seed = 101) GROUP BY ALL"""))
+@query(b.sql(["preds"], f"""SELECT family, strategy, task, {longs('seed')}, model AS alternative, 'alpha' AS reference, count(*) AS n_samples FROM (
+        SELECT 'model' AS family, strategy, task, seed, model FROM preds WHERE model <> 'alpha') GROUP BY ALL"""))
 def comparison_pairs(spark, sf_dir):
-    p = b.predictions(spark, sf_dir).where(F.col("seed") == 101)
-    pairs = compare.comparison_pairs(p, "model", ["strategy", "task"], "model", "alpha")
-    n = p.groupBy(F.col("model").alias("alternative"), "strategy", "task").agg(F.count("*").alias("n_samples"))
-    return pairs.join(n, ["alternative", "strategy", "task"])
+    p = b.predictions(spark, sf_dir)
+    pairs = compare.comparison_pairs(p, "model", ["strategy", "task", "seed"], "model", "alpha")
+    n = p.groupBy(F.col("model").alias("alternative"), "strategy", "task", "seed").agg(F.count("*").alias("n_samples"))
+    return pairs.join(n, ["alternative", "strategy", "task", "seed"])
 
 
-def _paired(spark, sf_dir) -> DataFrame:
-    """Beta against alpha on the status task: ``strategy, seed, sample, grp, true_id, a, b``."""
-    p = b.predictions(spark, sf_dir).where(F.col("task") == TASK)
+def _paired(spark, sf_dir, task: str) -> DataFrame:
+    """Beta against alpha on a task: ``strategy, seed, sample, grp, true_id, a, b``."""
+    p = b.predictions(spark, sf_dir).where(F.col("task") == task)
     return compare.aligned(p.where("model = 'beta'"), p.where("model = 'alpha'"), ["strategy", "seed", "sample"], ["grp", "true_id"], "pred_id").where("agree")
 
 
@@ -414,11 +421,14 @@ _TEST_COLUMNS = f"{rounded('difference', 'ci_low', 'ci_high', 'probability_a_bet
 
 
 def _mean_test(spark, sf_dir):
-    pairs = _paired(spark, sf_dir).select("strategy", "seed", "grp", (F.col("a") == F.col("true_id")).cast("double").alias("a"), (F.col("b") == F.col("true_id")).cast("double").alias("b"))
-    return resample.paired_mean_test(pairs, b.signature_groups(b.cohort(spark, sf_dir), TASK), ["strategy", "seed"], b.REPLICATES)
+    def of(task: str) -> DataFrame:
+        pairs = _paired(spark, sf_dir, task).select("strategy", "seed", "grp", (F.col("a") == F.col("true_id")).cast("double").alias("a"), (F.col("b") == F.col("true_id")).cast("double").alias("b"))
+        return resample.paired_mean_test(pairs, b.signature_groups(b.cohort(spark, sf_dir), task), ["strategy", "seed"], b.REPLICATES)
+
+    return each_task(of, named=True)
 
 
-@query(b.sql(["preds", "weights", "flips"], f"SELECT strategy, {longs('seed')}, {_TEST_COLUMNS} FROM ({_MEAN_TEST})"))
+@query(b.every_task(b.sql(["preds", "weights", "flips"], f"SELECT strategy, {longs('seed')}, {_TEST_COLUMNS} FROM ({_MEAN_TEST})"), named=True))
 def paired_mean_test(spark, sf_dir):
     return _mean_test(spark, sf_dir)
 
@@ -432,7 +442,7 @@ def _diff(source: str, keys: str) -> str:
 _ONE_SIDE = "SELECT strategy, seed, grp, '{0}' AS side, true_id, {0}_id AS pred_id FROM both_sides"
 
 
-@query(b.sql(["preds", "weights", "flips", "classes"], f"""SELECT strategy, {longs('seed')}, metric, {_TEST_COLUMNS} FROM (WITH {_PAIRS},
+@query(b.every_task(b.sql(["preds", "weights", "flips", "classes"], f"""SELECT strategy, {longs('seed')}, metric, {_TEST_COLUMNS} FROM (WITH {_PAIRS},
     sides AS ({_ONE_SIDE.format('a')} UNION ALL {_ONE_SIDE.format('b')}),
     c AS (SELECT strategy, seed, grp, side, class_id, sum(tp) AS tp, sum(actual) AS actual, sum(predicted) AS predicted FROM (
         SELECT strategy, seed, grp, side, true_id AS class_id, CASE WHEN true_id = pred_id THEN 1 ELSE 0 END AS tp, 1 AS actual, 0 AS predicted FROM sides
@@ -449,17 +459,20 @@ _ONE_SIDE = "SELECT strategy, seed, grp, '{0}' AS side, true_id, {0}_id AS pred_
     p AS (SELECT nul.strategy, nul.seed, nul.metric, (sum(CASE WHEN abs(nul.value) >= abs(seen.value) - {_SLACK} THEN 1 ELSE 0 END) + 1) / {b.REPLICATES + 1}.0 AS p_value
         FROM nul JOIN seen ON nul.strategy = seen.strategy AND nul.seed = seen.seed AND nul.metric = seen.metric GROUP BY ALL)
     SELECT seen.strategy, seen.seed, seen.metric, seen.value AS difference, ci_low, ci_high, n_bootstrap, probability_a_better, p_value FROM seen
-    JOIN q ON seen.strategy = q.strategy AND seen.seed = q.seed AND seen.metric = q.metric JOIN p ON seen.strategy = p.strategy AND seen.seed = p.seed AND seen.metric = p.metric)"""))
+    JOIN q ON seen.strategy = q.strategy AND seen.seed = q.seed AND seen.metric = q.metric JOIN p ON seen.strategy = p.strategy AND seen.seed = p.seed AND seen.metric = p.metric)"""), named=True))
 def paired_class_test(spark, sf_dir):
-    pairs = _paired(spark, sf_dir).select("strategy", "seed", "sample", "grp", "true_id", F.col("a").alias("a_id"), F.col("b").alias("b_id"))
-    return resample.paired_class_test(pairs, b.signature_groups(b.cohort(spark, sf_dir), TASK), b.classes(spark, sf_dir).where(F.col("task") == TASK), ["strategy", "seed"], b.REPLICATES)
+    def of(task: str) -> DataFrame:
+        pairs = _paired(spark, sf_dir, task).select("strategy", "seed", "sample", "grp", "true_id", F.col("a").alias("a_id"), F.col("b").alias("b_id"))
+        return resample.paired_class_test(pairs, b.signature_groups(b.cohort(spark, sf_dir), task), b.classes(spark, sf_dir).where(F.col("task") == task), ["strategy", "seed"], b.REPLICATES)
+
+    return each_task(of, named=True)
 
 
-@query(b.sql(["preds", "weights", "flips"], f"""SELECT strategy, {longs('seed')}, round(p_value, 6) + 0.0 AS p_value,
+@query(b.every_task(b.sql(["preds", "weights", "flips"], f"""SELECT strategy, {longs('seed')}, round(p_value, 6) + 0.0 AS p_value,
     round(least(1.0, max(raw) OVER (PARTITION BY strategy ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) + 0.0 AS p_holm FROM (
-    SELECT *, p_value * (count(*) OVER (PARTITION BY strategy) - rank + 1) AS raw FROM (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY p_value, seed) AS rank FROM ({_MEAN_TEST})))"""))
+    SELECT *, p_value * (count(*) OVER (PARTITION BY strategy) - rank + 1) AS raw FROM (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY p_value, seed) AS rank FROM ({_MEAN_TEST})))"""), named=True))
 def holm(spark, sf_dir):
-    return compare.holm(_mean_test(spark, sf_dir).select("strategy", "seed", "p_value"), "p_value", ["strategy"]).select("strategy", "seed", "p_value", "p_holm")
+    return compare.holm(_mean_test(spark, sf_dir).select("task", "strategy", "seed", "p_value"), "p_value", ["task", "strategy"]).select("task", "strategy", "seed", "p_value", "p_holm")
 
 
 # Reports -------------------------------------------------------------------------------------------------------------
