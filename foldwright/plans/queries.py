@@ -316,7 +316,7 @@ def standardize_by_fold(spark, sf_dir):
 
 @query()
 def linear_probe_oof(spark, sf_dir):
-    return probe.run_probe(b.items(spark, sf_dir), probe.ProbeConfig(seeds=(101, 202), epochs=2))[0]
+    return probe.run_probe(b.items(spark, sf_dir), probe.ProbeConfig())[0]
 
 
 # Resampling ----------------------------------------------------------------------------------------------------------
