@@ -6,6 +6,7 @@ Samples are rows with ``sample, subgroup, grp, stratum`` and any task columns.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..llm.common import materialise
 from . import checks
 
 
@@ -89,18 +90,19 @@ def fold_cost(features: DataFrame, folds: DataFrame, n_folds: int) -> DataFrame:
     return per.agg(F.coalesce(F.sum(F.col("weight") * (F.col("q") - n_folds * share * share) / (share * share)), F.lit(0.0)).alias("cost"))
 
 
-def balanced_folds(samples: DataFrame, folds: DataFrame, tasks: list[str], n_folds: int, passes: int = 5, seed: int = 0,
-                   per_round: int = 64) -> DataFrame:
+def balanced_folds(samples: DataFrame, folds: DataFrame, tasks: list[str], n_folds: int, passes: int = 30, seed: int = 0,
+                   patience: int = 3) -> DataFrame:
     """Improve folds by swapping groups of one stratum; sizes of folds, overall and per stratum, stay as they are.
 
     Each pass deals the groups of a stratum into random couples of different folds, computes the
-    change of the cost of each couple's swap with joins, and applies the best ``per_round`` of
-    those that lower it, provided the recomputed total falls by more than 1e-12; otherwise half
-    as many, down to one.  Only a pass's chosen couples and one number come to the driver.
+    change of the cost of each couple's swap with joins, and applies all swaps that lower it,
+    provided the recomputed total falls by more than 1e-12; otherwise the best half, down to the
+    best one.  It ends after ``patience`` passes in a row without a gain, at the latest after
+    ``passes``.  Swaps stay in Spark, each pass is a written table; only costs and counts come to the driver.
     """
-    features = balance_features(samples, tasks)
-    per_group = samples.select("grp", "stratum").distinct()
-    now, cost = folds.select("grp", "fold"), None
+    features = materialise(balance_features(samples, tasks), "fold-features")
+    per_group = materialise(samples.select("grp", "stratum").distinct(), "fold-groups")
+    now, cost, idle = materialise(folds.select("grp", "fold"), "fold-now"), None, 0
     shares = features.groupBy("feature").agg((F.sum("value") / n_folds).alias("share"))
     for k in range(passes):
         cost = fold_cost(features, now, n_folds).first()[0] if cost is None else cost
@@ -115,17 +117,25 @@ def balanced_folds(samples: DataFrame, folds: DataFrame, tasks: list[str], n_fol
         ta, tb = totals.select(F.col("fold").alias("fa"), "feature", F.col("total").alias("ta")), totals.select(F.col("fold").alias("fb"), "feature", F.col("total").alias("tb"))
         gain = (move.join(ta, ["fa", "feature"], "left").join(tb, ["fb", "feature"], "left").join(shares, "feature").na.fill(0.0, ["ta", "tb"])
                 .groupBy("ga", "gb", "fa", "fb").agg(F.sum(F.col("weight") * 2 * F.col("d") * (F.col("d") + F.col("tb") - F.col("ta")) / (F.col("share") * F.col("share"))).alias("change"))
-                .where("change < -1e-12").orderBy("change", "ga").limit(per_round).collect())
-        take = len(gain)
+                .where("change < -1e-12"))
+        gain = materialise(gain, "fold-swaps")
+        n = take = gain.count()
+        idle += 1
         while take:
-            swaps = [x for g in gain[:take] for x in ((g["ga"], g["fb"]), (g["gb"], g["fa"]))]
-            moved = now.sparkSession.createDataFrame(swaps, "grp string, to int")
-            trial = now.join(F.broadcast(moved), "grp", "left").select("grp", F.coalesce("to", "fold").alias("fold"))
+            chosen = gain
+            if take == 1:
+                chosen = gain.orderBy("change", "ga").limit(1)
+            elif take < n:
+                chosen = gain.where(F.col("change") <= gain.agg(F.percentile("change", take / n)).first()[0])
+            moved = chosen.select(F.explode(F.array(F.struct(F.col("ga").alias("grp"), F.col("fb").alias("to")), F.struct(F.col("gb").alias("grp"), F.col("fa").alias("to")))).alias("m")).select("m.*")
+            trial = materialise(now.join(moved, "grp", "left").select("grp", F.coalesce("to", "fold").alias("fold")), "fold-now")
             after = fold_cost(features, trial, n_folds).first()[0]
             if after < cost - 1e-12:
-                now, cost = trial, after
+                now, cost, idle = trial, after, 0
                 break
             take //= 2
+        if idle == patience:
+            break
     return folds.drop("fold").join(now, "grp")
 
 

@@ -149,7 +149,7 @@ def full_outer_key_match(spark, sf_dir):
 
 @query()
 def balanced_folds(spark, sf_dir):
-    return folds.balanced_folds(b.cohort(spark, sf_dir), b.fold_table(spark, sf_dir), list(b.TASKS), b.N_FOLDS, passes=2)
+    return folds.balanced_folds(b.cohort(spark, sf_dir), b.fold_table(spark, sf_dir), list(b.TASKS), b.N_FOLDS)
 
 
 # Vectors and retrieval -----------------------------------------------------------------------------------------------

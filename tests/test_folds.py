@@ -57,6 +57,17 @@ def test_balance_lowers_the_cost_and_keeps_sizes(spark):
     assert abs(folds.fold_cost(features, before, 3).first()[0] - a) < 1e-9
 
 
+def test_one_pass_makes_as_many_swaps_as_help(spark):
+    # Fold 0 holds the groups of five samples, fold 1 those of one, fold 2 those of three: a third of all groups has to move.
+    rows = [(f"s{i}_{j}", f"w{i}", f"g{i:03d}", "st", "x") for i in range(900) for j in range((5, 1, 3)[i % 3])]
+    samples = spark.createDataFrame(rows, "sample string, subgroup string, grp string, stratum string, label string")
+    before = folds.group_table(samples).withColumn("fold", F.substring("grp", 2, 3).cast("int") % 3)
+    features = folds.balance_features(samples, ["label"])
+    a, b = (folds.fold_cost(features, x, 3).first()[0] for x in (before, folds.balanced_folds(samples, before, ["label"], 3, passes=1)))
+    print("cost", a, b)
+    assert b < 0.1 * a
+
+
 def test_coverage_and_roles(spark):
     rows = [(f"p{f}{d}", f"w{f}{d}", f"r{f}{d}", f, d) for f in range(3) for d in "AB" if (f, d) != (2, "B")]
     df = split_rows(spark, rows)
