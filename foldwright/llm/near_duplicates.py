@@ -274,7 +274,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
     member = materialise(first.select("id", "k1", "k2").join(nodes, ["k1", "k2"]).select("id", "node").distinct(), "near-members")
     alone = member.where("id = node").select("node")
     # Ids whose rows hold different texts tie the nodes of these texts.
-    same_id = member.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("a", "b")
+    same_id = member.join(member.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z"), "id").where("a <> node").select("a", F.col("node").alias("b"))
     work = Linking(base, same_id, similarity, size)
 
     leader = lambda rows: rows.select(F.col("low").alias("a"), F.col("id").alias("b"))

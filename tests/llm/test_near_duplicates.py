@@ -137,6 +137,13 @@ def test_one_of_each_class_stays(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(brute_classes(docs).values()))
 
 
+def test_an_id_links_all_its_texts(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(12)) for c in "abcd"]
+    docs = [*[(i + 1, t) for i, t in enumerate(texts)], *[(9, t) for t in texts]]
+    got = {r["id"]: r["class_id"] for r in nd.near_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_classes(docs) == dict.fromkeys((1, 2, 3, 4, 9), 1)
+
+
 def test_nulls_and_empty_tables(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (None, "other words in this one here"), (5, None)], "doc_id long, text string")
     assert len(nd.keep_one(df).collect()) == 3
