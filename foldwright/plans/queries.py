@@ -86,12 +86,11 @@ def balance_features(spark, sf_dir):
     return folds.balance_features(b.cohort(spark, sf_dir), list(b.TASKS))
 
 
-@query(b.sql(["split"], " UNION ALL ".join(f"""SELECT '{u}' AS unit, priority AS label, {', '.join(f"count({'DISTINCT ' if u == 'grp' else ''}CASE WHEN fold = {k} THEN {u} END) AS fold_{k}" for k in range(b.N_FOLDS))}
-    FROM split GROUP BY priority""" for u in ("grp", "sample"))))
+@query(b.sql(["split"], " UNION ALL ".join(f"""SELECT '{t}' AS task, '{u}' AS unit, {t} AS label, {', '.join(f"count({'DISTINCT ' if u == 'grp' else ''}CASE WHEN fold = {k} THEN {u} END) AS fold_{k}" for k in range(b.N_FOLDS))}
+    FROM split GROUP BY {t}""" for t in b.TASKS for u in ("grp", "sample"))))
 def class_coverage(spark, sf_dir):
     s = b.split(spark, sf_dir)
-    one, two = (folds.class_coverage(s, "priority", u, b.N_FOLDS).withColumn("unit", F.lit(u)) for u in ("grp", "sample"))
-    return one.unionByName(two)
+    return each_task(lambda t: reduce(DataFrame.unionByName, [folds.class_coverage(s, t, u, b.N_FOLDS).withColumn("unit", F.lit(u)) for u in ("grp", "sample")]), named=True)
 
 
 @query(b.sql(["folds"], f"SELECT grp, stratum, {longs('n_samples', 'n_subgroups', 'fold')} FROM folds"))
