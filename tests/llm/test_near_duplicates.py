@@ -107,13 +107,68 @@ def short_pairs(seed, n=300):
 
 def test_bits_do_not_part_near_pairs_of_few_shingles(spark):
     pairs = short_pairs(8)
-    df = spark.createDataFrame([(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)], "id long, text string")
-    long = nd.materialise(nd.sketched(df, nd.WORDS, *nd.LEVELS[1]), "test-long")
-    rows = long.select("id", nd.F.col("id").alias("label"), nd.F.posexplode("bands").alias("band", "bucket"))
-    passed = {(r["a"], r["b"]) for r in nd.apart(rows, long, nd.most_unlike(0.8)).collect()}
+    df = spark.createDataFrame([(2 * i + k, t, 2 * i + k) for i, p in enumerate(pairs) for k, t in enumerate(p)], "id long, text string, label long")
+    long = nd.materialise(nd.sketched_with_label(df, nd.WORDS), "test-long")
+    passed = {(r["a"], r["b"]) for r in nd.apart(long, nd.most_unlike(0.8)).collect()}
     assert [i for i in range(len(pairs)) if (2 * i, 2 * i + 1) not in passed] == []
 
 
+def test_slices_of_a_bucket_meet_once_and_all_of_them(spark):
+    rng = random.Random(12)
+    base = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(60)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(60)] = f"x{i}"
+        rows.append((i, " ".join(w), 0 if i % 3 else i))
+    long = nd.materialise(nd.sketched_with_label(spark.createDataFrame(rows, "id long, text string, label long"), nd.WORDS), "test-long")
+    whole = sorted((r["a"], r["b"]) for r in nd.apart(long, nd.most_unlike(0.8)).collect())
+    sliced = sorted((r["a"], r["b"]) for r in nd.apart(long, nd.most_unlike(0.8), slice_rows=4).collect())
+    assert whole == sliced and len(set(whole)) == len(whole)
+    label = {i: x for i, _, x in rows}
+    sets = [shingle_counts(t) for _, t, _ in rows]
+    near = {(i, j) for j in range(60) for i in range(j) if label[i] != label[j] and brute_similarity(sets[i], sets[j]) >= 0.8}
+    assert near and near <= set(whole)
+
+
+def test_similarities_of_many_pairs_at_once():
+    rng = random.Random(13)
+    texts = [" ".join(rng.choices("ab", k=rng.randint(0, 40))) for _ in range(40)] + [" ".join(f"w{i}" for i in range(k, k + 30)) for k in range(10)]
+    left, right = (np.array([rng.randrange(50) for _ in range(400)]) for _ in range(2))
+    got = nd.similarities(texts, left, right, 0.5, nd.WORDS)
+    for i, j, x in zip(left, right, got):
+        a, b = shingle_counts(texts[i]), shingle_counts(texts[j])
+        want = brute_similarity(a, b) if a and b else float(len(a) == len(b))
+        assert math.isclose(x, want, abs_tol=1e-9) or (want < 0.5 and x < 0.5)
+
+
+def test_recall_on_the_documents_table(spark):
+    """Every pair of documents at 0.8 or more, found by an inverted index over all shingles, is in one class."""
+    rows = [(r["doc_id"], shingle_counts(r["text"] or "")) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    holders = {}
+    for i, (_, s) in enumerate(rows):
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    together = Counter((i, j) for some in holders.values() if len(some) > 1 for k, j in enumerate(some) for i in some[:k])
+    # The similarity is at most the plain overlap of the two distributions, so few pairs need the exact sum.
+    def overlap(a, b):
+        return sum(min(a[x] / a.total(), b[x] / b.total()) for x in a.keys() & b.keys())
+
+    pairs = [(rows[i][0], rows[j][0]) for i, j in together if overlap(rows[i][1], rows[j][1]) >= 0.8 and brute_similarity(rows[i][1], rows[j][1]) >= 0.8]
+    got = {r["id"]: r["class_id"] for r in nd.near_classes(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    assert len(pairs) > 20 and all(got[a] == got[b] for a, b in pairs)
+
+
+def test_ids_of_any_type(spark):
+    docs = corpus(5, families=2)
+    named = {i: f"doc-{i:05d}" for i, _ in docs}
+    got = {r["id"]: r["class_id"] for r in nd.near_classes(spark.createDataFrame([(named[i], t) for i, t in docs], "doc_id string, text string")).collect()}
+    assert got == {named[i]: named[c] for i, c in brute_classes(docs).items()}
+    df = spark.createDataFrame([(None, "a b c d e f"), (7, "a b c d e f"), (None, "other words in this one here")], "doc_id int, text string")
+    assert sorted(nd.near_classes(df).collect(), key=str) == sorted([(7, 7), (None, 7), (None, None)], key=str)
+
+
 def test_families_of_short_texts_equal_brute_force(spark):
     rng, families = random.Random(9), []
     for f in range(200):
