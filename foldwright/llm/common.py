@@ -1,5 +1,6 @@
 """Shared folder, materialised tables and row digests used by the operators of this subpackage."""
 
+import re
 import tempfile
 import uuid
 
@@ -10,10 +11,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that setting is missing (local tests) a temporary folder is made and set.
+    Where that setting is missing and Spark runs in this process alone (tests), a temporary folder is
+    made and set; on a cluster, where executors could not see it, that is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="foldwright-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -30,6 +34,31 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name`` with underscores appended until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def put(docs: DataFrame, **values: Column) -> DataFrame:
+    """``docs`` with columns added.  A column that has the name of an added one already, in whatever case,
+    is kept as ``<name>_given`` (with further underscores until that name is free).
+    """
+    names = {n.lower() for n in values}
+    taken, kept = names | {c.lower() for c in docs.columns}, []
+    for c in docs.columns:
+        new = c
+        if c.lower() in names:
+            new = f"{c}_given"
+            while new.lower() in taken:
+                new += "_"
+            taken.add(new.lower())
+        kept.append(F.col(f"`{c}`").alias(new))
+    return docs.select(*kept, *[v.alias(n) for n, v in values.items()])
+
+
 def fold_of(doc_id: Column, folds: int) -> Column:
     """``crc32`` of the id as text, modulo ``folds``; null ids fall in no fold (null)."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))

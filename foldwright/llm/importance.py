@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialise
+from .common import documents, materialise, put
 from .textgrid import U64, Grid, clean, slices, windows
 
 
@@ -50,7 +50,7 @@ def log_ratios(target: np.ndarray, raw: np.ndarray, smooth: float = 1.0) -> np.n
 
 
 def weigh(docs: DataFrame, ratios: np.ndarray, text: str = "text", out: str = "importance") -> DataFrame:
-    """Add struct ``out`` (``log_ratio``, ``n_grams``); a text without words, or null, has 0 and 0."""
+    """Add struct ``out`` (``log_ratio``, ``n_grams``); a text without words, or null, has 0 and 0.  A column named ``out`` is kept as ``<out>_given``."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
     @F.pandas_udf("log_ratio double, n_grams long")
@@ -66,7 +66,7 @@ def weigh(docs: DataFrame, ratios: np.ndarray, text: str = "text", out: str = "i
                 counts.append(np.bincount(d, minlength=n))
             yield pd.DataFrame({"log_ratio": np.concatenate(sums), "n_grams": np.concatenate(counts)})
 
-    return docs.withColumn(out, ratio(F.col(text)))
+    return put(docs, **{out: ratio(F.col(text))})
 
 
 def gumbel(key: Column, seed: int) -> Column:
@@ -112,7 +112,8 @@ def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     the fit).  Raw text: all documents.  ``score`` maps the mean log ratio to 0..1.  ``kept``: the
     row's importance plus Gumbel noise is among the ``share`` largest of all rows (default: the
     share of good ones among the labelled; 1 where nothing is labelled), ties together.  Null or
-    empty texts have importance 0; null keys share one noise; repeated rows share their key.
+    empty texts have importance 0; null keys share one noise; repeated rows share their key.  Other
+    columns of either table are not read, whatever their names.
     """
     good = F.col(label) == 1
     raw = count_buckets(docs, dims, text)

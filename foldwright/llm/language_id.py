@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, fold_of
+from .common import documents, fold_of, put
 from .textgrid import clean, slices
 
 UNDETERMINED = "und"
@@ -95,10 +95,10 @@ def byte_windows(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_order: int = 4,
-          max_bytes_per_language: int = 4_000_000, max_languages: int = 500) -> dict:
+          max_chars_per_language: int = 4_000_000, max_languages: int = 500) -> dict:
     """Context trees of every language in ``docs`` (rows with null text or language are left out).
 
-    The trees are fitted on a sample of the labelled rows of about ``max_bytes_per_language``
+    The trees are fitted on a sample of the labelled rows of about ``max_chars_per_language``
     characters per language, chosen by a hash of the key: the documented bound of the fit.  Whole
     texts are used.  Windows are counted in the tasks and summed by a shuffle; what comes to the
     driver is bounded by that sample.
@@ -114,7 +114,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     if not names:
         return {"languages": [], "order": max_order, "trees": []}
     share = spark.createDataFrame(
-        [(r["lang"], names.index(r["lang"]), int(1_000_000 * min(1.0, max_bytes_per_language / max(r["chars"], 1))) + 1) for r in sizes],
+        [(r["lang"], names.index(r["lang"]), int(1_000_000 * min(1.0, max_chars_per_language / max(r["chars"], 1))) + 1) for r in sizes],
         "lang string, code int, below long")
     sample = rows.join(F.broadcast(share), "lang").where(F.col("draw") < F.col("below")).select("code", "text")
 
@@ -152,7 +152,8 @@ def predict(docs: DataFrame, model: dict, text: str = "text", out: str = "langua
 
     ``lang_pred`` is the language with the shortest code, ties by name; ``score`` its posterior
     under equal priors.  Null texts, texts without a letter, and every text where no language was
-    learned give ``und`` with score 0.  Other columns, repeated rows and row count are untouched.
+    learned give ``und`` with score 0.  Other columns, repeated rows and row count are untouched; a
+    column named ``out`` is kept as ``<out>_given``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -177,7 +178,7 @@ def predict(docs: DataFrame, model: dict, text: str = "text", out: str = "langua
                         rates[at] = bits[i, pick[i]] / sizes[i]
             yield pd.DataFrame({"lang_pred": names, "score": scores, "bits_per_byte": rates})
 
-    return docs.withColumn(out, best(F.col(text)))
+    return put(docs, **{out: best(F.col(text))})
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, free_name, put
 from .textgrid import Grid, clean, repeated, slices, span_hash, windows
 
 _SYMBOLS = np.zeros(256, bool)
@@ -104,7 +104,8 @@ def measure(docs: DataFrame, text: str = "text", out: str = "quality", limits: L
     """Add a struct column ``out`` with the columns of ``SCHEMA``.
 
     Null and empty texts count as texts without words (not kept).  Every row is measured on its
-    whole text; repeated rows get equal results; other columns are untouched.
+    whole text; repeated rows get equal results; other columns are untouched, one named ``out`` is
+    kept as ``<out>_given``.
     """
 
     @F.pandas_udf(SCHEMA)
@@ -114,14 +115,12 @@ def measure(docs: DataFrame, text: str = "text", out: str = "quality", limits: L
             parts = [coverage(texts[cut], limits) for cut in slices([len(t) for t in texts], 1_000_000)]
             yield pd.concat(parts, ignore_index=True) if parts else coverage([], limits)
 
-    return docs.withColumn(out, stats(F.col(text)))
+    return put(docs, **{out: stats(F.col(text))})
 
 
 def keep_good(docs: DataFrame, text: str = "text", limits: Limits = Limits()) -> DataFrame:
     """The rows of ``docs`` that pass, with the columns of ``docs``."""
-    flag = "quality_of_row"
-    while flag in docs.columns:
-        flag += "_"
+    flag = free_name(docs, "quality_of_row")
     return measure(docs, text, flag, limits).where(F.col(f"{flag}.kept")).select(*docs.columns)
 
 

@@ -2,13 +2,18 @@
 
 Features are the hashed words of a text and the beginnings of its longer words, as present and as
 dense (twice or more, and at least once in 80 words): inflected or compound insults share a
-beginning, and what a text uses once by chance is not dense.  Each labelled text is paired with a
-copy in which every identity term is swapped for another of its group; besides the log loss the
-fit penalises the squared change of the logit between the two, so that naming a group does not
-move the score.
+beginning, and what a text uses once by chance is not dense.
+
+Each labelled text is paired with counterfactuals.  Identity terms in it are swapped for another of
+their group.  As most texts name no group, each also comes as a copy that mentions one: a term,
+chosen by a hash of the text, is put between two of its words, and has a twin in which that term is
+swapped.  Copies keep the label of their text and are part of the log loss; besides, the fit
+penalises the squared change of the logit from each text and copy to its twin, so that naming one
+group rather than another does not move the score.
 """
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold_of, materialise
+from .common import documents, fold_of, materialise, put
 from .textgrid import U64, Grid, clean, mix, slices, span_hash
 
 # Identity terms (fixed values): each is swapped for the next of its row, the last for the first.
@@ -39,6 +44,7 @@ DIMS = 1 << 20
 #: Bytes of the beginnings of words that are features; 0: the whole word.
 HEADS = (0, 5, 6, 7)
 _NEXT = {a: b for row in IDENTITY for a, b in zip(row, [*row[1:], row[0]])}
+_TERMS = [*_NEXT]
 _TERM = re.compile(r"\b(?:" + "|".join(sorted(_NEXT, key=len, reverse=True)) + r")\b", re.IGNORECASE)
 
 
@@ -47,6 +53,15 @@ def swap_terms(text: str) -> str:
     return _TERM.sub(lambda m: _NEXT.get(m[0].lower(), m[0]), text)
 
 
+def mention(text: str) -> str:
+    """The text with an identity term between two of its words; term and place follow from a hash of the text."""
+    seed = zlib.crc32(text.encode("utf-8", "replace"))
+    term = _TERMS[seed % len(_TERMS)]
+    gaps = [m.end() for m in re.finditer(r"\s+", text)]
+    at = gaps[(seed // len(_TERMS)) % len(gaps)] if gaps else 0
+    return f"{text[:at]}{term} {text[at:]}"
+
+
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct features of each text: document and feature, ordered by both."""
     g = Grid([t.lower() for t in texts], "letters")
@@ -101,7 +116,7 @@ def fit_weights(y: np.ndarray, doc: np.ndarray, col: np.ndarray, doc2: np.ndarra
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
           most_rows: int = 12_000, most_features: int = 1000, least_z: float = 5.0, fairness: float = 1.0) -> Classifier:
-    """Fit on at most ``most_rows`` labelled texts, chosen by a hash of the key (the documented bound).
+    """Fit on at most ``most_rows`` labelled texts, chosen by a hash of the key (the documented bound), and one mentioning copy of each.
 
     Features are kept if their rates among toxic and other texts differ by ``least_z`` standard
     errors, the strongest ``most_features`` of them, and all identity terms.  Contradictory labels
@@ -116,14 +131,17 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             texts = clean(batch["text"])
             ys = batch["y"].to_numpy()
             for cut in slices([len(t) for t in texts], 2_000_000):
-                lists = []
-                for some in (texts[cut], [swap_terms(t) for t in texts[cut]]):
-                    doc, feature = features(some)
-                    ends = np.searchsorted(doc, np.arange(len(some) + 1))
-                    lists.append([feature[a:b] for a, b in zip(ends[:-1], ends[1:])])
-                yield pd.DataFrame({"y": ys[cut].astype(np.int32), "mine": lists[0], "other": lists[1]})
-
-    seen = materialise(rows.mapInPandas(extract, "y int, mine array<int>, other array<int>"), "toxicity-features")
+                for copy in (False, True):
+                    part = [mention(t) for t in texts[cut]] if copy else texts[cut]
+                    lists = []
+                    for some in (part, [swap_terms(t) for t in part]):
+                        doc, feature = features(some)
+                        ends = np.searchsorted(doc, np.arange(len(some) + 1))
+                        lists.append([feature[a:b] for a, b in zip(ends[:-1], ends[1:])])
+                    yield pd.DataFrame({"y": ys[cut].astype(np.int32), "copy": copy, "mine": lists[0], "other": lists[1]})
+
+    pairs = materialise(rows.mapInPandas(extract, "y int, copy boolean, mine array<int>, other array<int>"), "toxicity-features")
+    seen = pairs.where(~F.col("copy"))
     n, toxic = seen.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not n or not toxic or toxic == n:
         return Classifier(np.zeros(0, np.int64), np.zeros(0), -4.0 if not toxic else 4.0)
@@ -138,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         for batch in batches:
             yield pd.DataFrame({"y": batch["y"], **{c: [np.intersect1d(f, columns) for f in batch[c]] for c in ("mine", "other")}})
 
-    few = seen.mapInPandas(narrow, "y int, mine array<int>, other array<int>").toPandas()
+    few = pairs.mapInPandas(narrow, "y int, mine array<int>, other array<int>").toPandas()
 
     def flat(lists) -> tuple[np.ndarray, np.ndarray]:
         doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
@@ -149,7 +167,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def score(docs: DataFrame, model: Classifier, text: str = "text", out: str = "toxicity") -> DataFrame:
-    """Add ``out``, the probability of label 1 (double); null and empty texts get that of a text without words."""
+    """Add ``out``, the probability of label 1 (double); null and empty texts get that of a text without words.
+
+    Repeated rows get equal scores; a column named ``out`` is kept as ``<out>_given``.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -162,7 +183,7 @@ def score(docs: DataFrame, model: Classifier, text: str = "text", out: str = "to
                 out.append(sigmoid(m.logits(*features(texts[cut]), cut.stop - cut.start)))
             yield pd.Series(np.concatenate(out))
 
-    return docs.withColumn(out, probability(F.col(text)))
+    return put(docs, **{out: probability(F.col(text))})
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
