@@ -1,9 +1,11 @@
 """Secret scans with an incremental blob ledger.
 
-A text is a *blob*, named by its SHA-256.  The ledger is a Parquet table that says which blob was
-scanned under which version of which rule, with the spans found.  A scan reads the ledger, runs
-only pairs of blob and rule version that it lacks, appends them, and joins the findings back to
-every path (document) that holds the blob, whichever version of the document it came from.
+A text is a *blob*, named by its SHA-256.  A store is a folder with two Parquet tables.  The
+*manifest* lists every version of every path (document): ``path, version, blob``.  The *ledger* says
+which blob was scanned under which version of which rule, with the spans found.  ``commit`` takes
+the documents of one version, runs only pairs of blob and rule version that the ledger lacks, and
+lists the version; ``history`` joins the findings back to every path and version that held the
+blob, also where the text was replaced since.
 """
 
 import re
@@ -15,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, shared_dir
+from .common import documents, fold_of, free_name, put, shared_dir
 from .textgrid import clean
 
 
@@ -127,6 +129,24 @@ def new_ledger(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
 
 
+def commit(docs: DataFrame, store: str, version: int, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> None:
+    """Scan what ``docs``, the documents of ``version``, brings anew, and list each row's path and blob under that version.
+
+    The ledger is written first and a version's part of the manifest replaced as a whole, so a commit
+    that failed or was repeated leaves no row twice.  Null texts are the empty blob, null ids a null path.
+    """
+    update_ledger(docs, f"{store}/ledger", rules, text)
+    with_blob(docs.select(F.col(key).alias("path"), F.col(text).alias("text")), "text").select("path", "blob").write.mode("overwrite").parquet(f"{store}/manifest/version={int(version)}")
+
+
+def history(spark: SparkSession, store: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``path, version, blob, found`` for every row ever committed; ``found``: the spans of the present rule versions, an empty array where there are none."""
+    found = findings(read_ledger(spark, f"{store}/ledger"), rules)
+    listed = spark.read.parquet(f"{store}/manifest")
+    return (listed.join(found, "blob", "left")
+            .select("path", "version", "blob", F.coalesce("found", F.array().cast(found.schema["found"].dataType)).alias("found")))
+
+
 def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Per blob with a finding: ``found``, all spans of the present rule versions, ordered by start, then kind."""
     order = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.kind, i)])
@@ -139,22 +159,19 @@ def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def attach(docs: DataFrame, found: DataFrame, text: str = "text", out: str = "found") -> DataFrame:
-    """Add ``out`` to every row of ``docs``: the findings of its blob, an empty array where there are none."""
-    key = "blob_of_row"
-    while key in docs.columns:
-        key += "_"
+    """Add ``out`` to every row of ``docs``: the findings of its blob, an empty array where there are none.
+
+    A column of ``docs`` of that name is kept as ``<out>_given``.
+    """
+    key, spans = free_name(docs, "blob_of_row"), free_name(docs, "spans_of_blob")
     kind = found.schema["found"].dataType
-    found = found.select(F.col("blob").alias(key), F.col("found").alias(f"{key}found"))
-    return (with_blob(docs, text, key).join(found, key, "left")
-            .withColumn(out, F.coalesce(F.col(f"{key}found"), F.array().cast(kind)))
-            .drop(key, f"{key}found"))
+    joined = with_blob(docs, text, key).join(found.select(F.col("blob").alias(key), F.col("found").alias(spans)), key, "left")
+    return put(joined, **{out: F.coalesce(F.col(spans), F.array().cast(kind))}).drop(key, spans)
 
 
 def redact(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with each found span replaced by ``[kind]``; overlapping spans are replaced as one."""
-    out = "found_in_row"
-    while out in docs.columns:
-        out += "_"
+    out = free_name(docs, "found_in_row")
 
     @F.pandas_udf("string")
     def cover(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -174,16 +191,21 @@ def redact(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of secrets in every document, by way of a ledger that starts empty."""
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    found = findings(update_ledger(docs, new_ledger(spark)))
-    slim = attach(docs, found).drop("text")
+    """Spans of secrets in every document, committed to a store in two versions, each of which brings half of the documents.
+
+    Copies in the second half of what the first half held are not scanned again.
+    """
+    docs, store = documents(spark, sf_dir).select("doc_id", "text"), new_ledger(spark)
+    half = F.coalesce(fold_of(F.col("doc_id"), 2), F.lit(0))
+    for version in (0, 1):
+        commit(docs.where(half == version), store, version)
     base = [r.kind for r in BASE]
 
     def line(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return slim.select("doc_id", *[count(k) for k in base],
-                       F.sha2(line(F.filter("found", lambda s: s["kind"].isin(base))).cast("binary"), 256).alias("base_sha256"),
-                       line(F.col("found")).alias("spans"))
+    return history(spark, store).select(
+        F.col("path").alias("doc_id"), *[count(k) for k in base],
+        F.sha2(line(F.filter("found", lambda s: s["kind"].isin(base))).cast("binary"), 256).alias("base_sha256"),
+        line(F.col("found")).alias("spans"))

@@ -59,6 +59,20 @@ def test_only_unseen_pairs_are_scanned(spark):
     assert any(f[2] == "hex" for x in spans(both, newer).values() for f in x)
 
 
+def test_history_keeps_every_version_of_a_path(spark):
+    store = sl.new_ledger(spark)
+    old, new = [(1, "token=abcdef123"), (2, TEXTS[4]), (None, "x secret=value_1")], [(1, "all clean now"), (2, TEXTS[4]), (3, "token=abcdef123")]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    for version, rows in ((0, old), (1, new), (1, new)):  # the second version is committed twice, as after a failure
+        sl.commit(frame(rows), store, version)
+    got = {(r["path"], r["version"]): [(f["start"], f["end"]) for f in r["found"]] for r in sl.history(spark, store).collect()}
+    spans_of = lambda t: [(s, e) for s, _, e, _ in brute(t)]
+    assert got == {(i, v): spans_of(t) for v, rows in enumerate((old, new)) for i, t in rows}
+    assert sl.history(spark, store).count() == 6
+    # Every distinct blob was scanned once for each rule, whichever versions and paths held it.
+    assert sl.read_ledger(spark, f"{store}/ledger").count() == len({t for _, t in old + new}) * len(sl.RULES)
+
+
 def test_redaction(spark):
     docs = documents(spark, TEXTS)
     done = sl.redact(docs, sl.findings(sl.update_ledger(docs, sl.new_ledger(spark))))
