@@ -11,10 +11,10 @@ from hashlib import sha256
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, materialise, put
 from .textgrid import U64, clean, mix, slices, span_hash
 
 WINDOW, LEAST, LONGEST = 7, 3, 64
@@ -136,77 +136,96 @@ def likeness(left: list[str], right: list[str]) -> np.ndarray:
 
 
 def fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
-    """Add ``out`` to ``docs``; null texts count as empty, other columns and repeated rows are untouched."""
+    """Add ``out`` to ``docs``; null texts count as empty, other columns and repeated rows are untouched, a column named ``out`` is kept as ``<out>_given``."""
 
     @F.pandas_udf("string")
     def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series(fingerprints(clean(batch)), dtype=object)
 
-    return docs.withColumn(out, prints(F.col(text)))
+    return put(docs, **{out: prints(F.col(text))})
 
 
-def neighbour_bins(docs: DataFrame, key: str, text: str, rows_per_bin: int, most_bins: int) -> DataFrame:
-    """``bin, id, text, guest``: the rows of each range of ids and, as guest, the row that follows the range.
+RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
-    Ranges are cut at quantiles of the ids, so they are even however the ids lie.  Only ids pass
-    through the driver: one bound and one head per range, at most ``most_bins``.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    n = rows.count()
-    bins = max(1, min(most_bins, n // rows_per_bin))
-    bounds = np.unique(np.array(rows.approxQuantile("id", [k / bins for k in range(1, bins)], 0.2 / bins) if bins > 1 else [], np.int64))
-
-    @F.pandas_udf("int")
-    def bin_of(ids: pd.Series) -> pd.Series:
-        filled = ids.astype("Int64").fillna(np.iinfo(np.int64).min).to_numpy(np.int64)
-        return pd.Series(np.searchsorted(bounds, filled, "right").astype(np.int32))
-
-    heads = rows.select("id").withColumn("bin", bin_of("id")).groupBy("bin").agg(F.max("id").alias("head")).collect()
-    heads = sorted(((r["bin"], r["head"]) for r in heads), reverse=True)
-    # In descending order the last row of a range is followed by the head of the next lower one, the last of all by the first of all.
-    lends = [(heads[(i + 1) % len(heads)][1], heads[i][0]) for i in range(len(heads))]
-    lent = spark.createDataFrame(lends, "head long, lent int")
-    return (rows.withColumn("own", bin_of("id"))
-            .join(F.broadcast(lent), F.col("id").eqNullSafe(F.col("head")), "left")
-            .withColumn("at", F.explode(F.when(F.col("lent").isNull(), F.array(F.struct(F.col("own").alias("bin"), F.lit(False).alias("guest"))))
-                                        .otherwise(F.array(F.struct(F.col("own").alias("bin"), F.lit(False).alias("guest")),
-                                                           F.struct(F.col("lent").alias("bin"), F.lit(True).alias("guest"))))))
-            .select("at.bin", "id", "text", "at.guest"))
-
-
-EDITED = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-
-
-def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", rows_per_bin: int = 400, most_bins: int = 100_000) -> DataFrame:
-    """Fingerprint of each text, of the text with its second half overwritten by the next one, and likenesses.
-
-    Next: the following row by descending id (null ids last), rows with one id by descending text;
-    the last is followed by the first.  Null texts count as empty.
+
+def overwrite(texts: list[str], following: list[str]) -> list[str]:
+    """Each text with its second half, rounded down, replaced by as many of the first characters of the following one, or all it has."""
+    return [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(texts, following)]
+
+
+def compared(texts: list[str], prints: list[str], following: list[str], next_prints: list[str]) -> pd.DataFrame:
+    """The columns of ``RESULT`` for texts whose fingerprints, and whose following texts, are known."""
+    edited = overwrite(texts, following)
+    changed = fingerprints(edited)
+    return pd.DataFrame({
+        "n_chars": np.fromiter(map(len, texts), np.int64, len(texts)), "edited_sha256": [sha256(t.encode()).hexdigest() for t in edited],
+        "fingerprint": prints, "edited_fingerprint": changed, "near_edited": likeness(prints, changed), "near_next": likeness(prints, next_prints)})
+
+
+def plain(rows: pd.DataFrame) -> pd.DataFrame:
+    """Text columns as Python strings: a column of Arrow strings in several chunks can't go into a struct."""
+    return rows.astype({c: object for c in ("id", "edited_sha256", "fingerprint", "edited_fingerprint", "text") if c in rows.columns})
+
+
+def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key`` and the columns of ``RESULT``: fingerprints of each text and of the text with its second half overwritten by the next one, and likenesses.
+
+    Next: the following row by descending id (null ids last), rows with one id by descending hash of
+    their text; the last is followed by the first, a single row by itself.  Null texts count as
+    empty; ids may be of any type that sorts; columns other than the key and the text are not read.
+
+    Rows are sorted over the cluster, equal ones dealt evenly, and each task walks its range a batch
+    at a time.  Only the first and the last row of each range are kept with their texts, to be
+    joined with those of the neighbouring ranges.
     """
-    def work(group: pd.DataFrame) -> pd.DataFrame:
-        texts = clean(group["text"])
-        ids = [None if pd.isna(x) else int(x) for x in group["id"]]
-        rank = lambda i: (ids[i] is not None, ids[i] if ids[i] is not None else 0, texts[i])
-        guest_of = group["guest"].to_numpy(bool)
-        mine = sorted(np.flatnonzero(~guest_of).tolist(), key=rank, reverse=True)
-        guest = sorted(np.flatnonzero(guest_of).tolist(), key=rank, reverse=True)
-        following = [*mine[1:], guest[0] if guest else mine[0]] if mine else []
-        edited = []
-        for i, j in zip(mine, following):
-            half = len(texts[i]) // 2
-            edited.append(texts[i][: len(texts[i]) - half] + texts[j][:half])
-        own = fingerprints(texts)
-        changed = fingerprints(edited)
-        first, second = [own[i] for i in mine], [own[j] for j in following]
-        return pd.DataFrame({
-            "doc_id": pd.array([ids[i] for i in mine], "Int64"), "n_chars": [len(texts[i]) for i in mine],
-            "edited_sha256": [sha256(t.encode()).hexdigest() for t in edited], "fingerprint": first, "edited_fingerprint": changed,
-            "near_edited": likeness(first, changed), "near_next": likeness(first, second)})
-
-    binned = neighbour_bins(docs, key, text, rows_per_bin, most_bins)
-    return binned.groupBy("bin").applyInPandas(work, EDITED)
+    kind = docs.schema[key].dataType
+    rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    order = [F.col("id").desc_nulls_last(), F.col("h").desc(), F.col("row")]
+    walked = (rows.repartitionByRange(*order).sortWithinPartitions(*order)
+              .select(F.spark_partition_id().alias("part"), F.col("id").cast("string").alias("id"), "text"))  # as text, for nulls would make floats of longs
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        head = last = None
+        for batch in batches:
+            for cut in slices([len(t) for t in batch["text"]], 2_000_000):
+                part = batch.iloc[cut]
+                ids, texts = part["id"].tolist(), part["text"].tolist()
+                prints = fingerprints(texts)
+                if last is None:
+                    head = (int(part["part"].iloc[0]), ids[0], texts[0], prints[0])
+                else:
+                    ids, texts, prints = [last[1], *ids], [last[2], *texts], [last[3], *prints]
+                done = compared(texts[:-1], prints[:-1], texts[1:], prints[1:])
+                done.insert(0, "id", pd.Series(ids[:-1], dtype=object))
+                yield done.assign(edge=0, part=head[0], text=None)
+                last = (head[0], ids[-1], texts[-1], prints[-1])
+        if head is not None:
+            edges = pd.DataFrame([(*head, 1), (*last, 2)], columns=["part", "id", "text", "fingerprint", "edge"])
+            yield edges.assign(n_chars=0, edited_sha256=None, edited_fingerprint=None, near_edited=0.0, near_next=0.0)
+
+    names = [f.split()[0] for f in RESULT.split(", ")]
+    schema = f"id string, {RESULT}, edge int, part int, text string"
+    ordered = ["id", *names, "edge", "part", "text"]
+    inner = materialise(walked.mapInPandas(lambda batches: (plain(x[ordered]) for x in walk(batches)), schema), "prints")
+
+    edge = lambda which, *tags: inner.where(F.col("edge") == which).select("part", *[F.col(c).alias(t) for c, t in zip(("id", "text", "fingerprint"), tags)])
+    ranges = inner.where("edge = 1").select("part")
+    by = Window.orderBy("part")  # one row for each range
+    follows = ranges.select("part", F.coalesce(F.lead("part").over(by), F.min("part").over(by)).alias("after"))
+    seams = (edge(2, "id", "text", "print").join(follows, "part")
+             .join(edge(1, "next_id", "next_text", "next_print").withColumnRenamed("part", "after"), "after")
+             .select("id", "text", "print", "next_text", "next_print"))
+
+    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            done = compared(*(batch[c].tolist() for c in ("text", "print", "next_text", "next_print")))
+            done.insert(0, "id", batch["id"])
+            yield plain(done)
+
+    whole = inner.where("edge = 0").select("id", *names).union(seams.mapInPandas(close, f"id string, {RESULT}"))
+    return whole.select(F.col("id").cast(kind).alias(key), *names)
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
