@@ -7,16 +7,18 @@ A leaf then takes whole epochs of its documents and, of the next epoch, the long
 seeded order that fits the rest of its budget.
 
 Budgets are found by window sums over the few rows of the tree.  The prefix of a leaf is found by
-sums over pieces of the order, and row by row only inside the one piece where the budget ends. A
-leaf of n documents has about the square root of n pieces, so no task sees all its documents.
+descent: the places of a leaf are hexadecimal digests, its tokens are summed by the next two digits,
+and the one of the 256 pieces where the budget ends is entered, until a piece has some hundred
+places.  No task sees more of a leaf than that, however large the leaf is.
 """
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialise
+from .common import documents, free_name, materialise, put
 
 
 @dataclass(frozen=True)
@@ -101,20 +103,22 @@ def cuts(slim: DataFrame, plan: Plan) -> DataFrame:
     sizes = slim.groupBy(*leaf).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"))
     planned = budgets(sizes, plan).join(sizes.select(*leaf, "rows"), leaf)
     whole = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(F.lit(0)).cast("long")
-    planned = (planned.withColumn("whole", whole).withColumn("rest", F.col("budget") - F.col("whole") * F.col("tokens"))
-               .withColumn("digits", F.ceil(F.log(F.greatest("rows", F.lit(1))) / F.log(F.lit(256.0))).cast("int")))
-    planned = materialise(planned, "mix-plan")
-    placed = (slim.join(planned.select(*leaf, "whole", "rest", "digits"), leaf)
-              .withColumn("place", _place(plan, F.col("whole"), F.col("id")))
-              .withColumn("piece", F.expr("substring(place, 1, digits)")))
-    pieces = placed.groupBy(*leaf, "piece").agg(F.sum("n_tokens").alias("t"), F.first("rest").alias("rest"))
-    by_piece = Window.partitionBy(*leaf).orderBy("piece")
-    pieces = pieces.withColumn("upto_here", F.sum("t").over(by_piece)).withColumn("before", F.col("upto_here") - F.col("t"))
-    last = pieces.where((F.col("before") <= F.col("rest")) & (F.col("upto_here") > F.col("rest"))).select(*leaf, "piece", "before")
-    inside = (placed.join(last, [*leaf, "piece"])
-              .withColumn("sum", F.col("before") + F.sum("n_tokens").over(Window.partitionBy(*leaf, "piece").orderBy("place")))
-              .where(F.col("sum") <= F.col("rest")).groupBy(*leaf).agg(F.max("place").alias("in_piece")))
-    done = (planned.join(last.select(*leaf, "piece"), leaf, "left").join(inside, leaf, "left"))
+    planned = materialise(planned.withColumn("whole", whole).withColumn("rest", F.col("budget") - F.col("whole") * F.col("tokens")), "mix-plan")
+    most = planned.agg(F.max("rows")).first()[0] or 1
+
+    def inside(cut: DataFrame) -> DataFrame:
+        placed = slim.join(cut, leaf).withColumn("place", _place(plan, F.col("whole"), F.col("id")))
+        return placed.where(F.col("place").startswith(F.col("piece")))
+
+    cut = planned.select(*leaf, "whole", "rest", F.lit("").alias("piece"), F.lit(0).cast("long").alias("before"))
+    upto = F.col("before") + F.sum("t").over(Window.partitionBy(*leaf).orderBy("next"))
+    for level in range(1, max(2, math.ceil(math.log(most, 256)))):
+        pieces = inside(cut).groupBy(*leaf, "whole", "rest", "before", F.expr(f"substring(place, 1, {2 * level})").alias("next")).agg(F.sum("n_tokens").alias("t"))
+        ends = pieces.withColumn("upto", upto).where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("t") <= F.col("rest")))
+        cut = materialise(ends.select(*leaf, "whole", "rest", F.col("next").alias("piece"), (F.col("upto") - F.col("t")).alias("before")), "mix-piece")
+    places = inside(cut).groupBy(*leaf, "rest", "before", F.col("place").alias("next")).agg(F.sum("n_tokens").alias("t"))
+    taken = places.withColumn("upto", upto).where(F.col("upto") <= F.col("rest")).groupBy(*leaf).agg(F.max("next").alias("in_piece"))
+    done = planned.join(cut.select(*leaf, "piece"), leaf, "left").join(taken, leaf, "left")
     # No last piece: the whole epoch fits (its rest is less than an epoch, so only an empty leaf does that).
     # Nothing taken in the last piece: all places below the piece's own prefix are taken.
     return done.select(*leaf, "budget", "whole",
@@ -127,24 +131,23 @@ def mix(docs: DataFrame, plan: Plan = Plan(), key: str = "doc_id", text: str = "
 
     Null ids, languages and sources form values of their own; texts without words weigh nothing
     and ride along with their place.  Repeated rows share a place and are taken or left together.
-    Equal seeds give equal draws on any partitioning.
+    Equal seeds give equal draws on any partitioning.  Columns of ``docs`` that have an output's
+    name are kept as ``<name>_given``.
     """
     slim = materialise(_keyed(docs, plan, key, text, lang, source), "mix-slim")
     cut = materialise(cuts(slim, plan), "mix-cuts")
-    tags = [f"{out}_{x}" for x in ("domain", "language", "origin")]
-    kept = cut.select(*[F.col(x).alias(t) for x, t in zip(("domain", "language", "origin"), tags)],
-                      F.col("whole").alias(f"{out}_whole"), F.col("upto").alias(f"{out}_upto"))
+    tags = [free_name(docs, f"leaf_{x}") for x in ("domain", "language", "origin", "whole", "upto")]
     rows = docs.withColumns({tags[0]: domain_of(F.col(source)), tags[1]: F.coalesce(lang, F.lit("(none)")), tags[2]: F.coalesce(source, F.lit("(none)"))})
-    drawn = rows.join(kept, tags).withColumn(
-        out, (F.col(f"{out}_whole") + (_place(plan, F.col(f"{out}_whole"), F.col(key)) <= F.col(f"{out}_upto")).cast("long")))
-    return (drawn.where(F.col(out) > 0).withColumn(f"{out}_leaf", F.concat_ws("/", *tags))
-            .select(*docs.columns, out, f"{out}_leaf"))
+    drawn = rows.join(cut.select("domain", "language", "origin", "whole", "upto").toDF(*tags), tags[:3])
+    times = F.col(tags[3]) + (_place(plan, F.col(tags[3]), F.col(key)) <= F.col(tags[4])).cast("long")
+    return put(drawn.where(times > 0), **{out: times, f"{out}_leaf": F.concat_ws("/", *tags[:3])}).drop(*tags)
 
 
 def repeat_epochs(docs: DataFrame, plan: Plan = Plan(), **names) -> DataFrame:
     """``mix`` with a row for each epoch that takes the document, in the columns of ``docs``."""
-    drawn = mix(docs, plan, out="epochs_of_row", **names)
-    return drawn.withColumn("epochs_of_row", F.explode(F.sequence(F.lit(1), F.col("epochs_of_row")))).select(*docs.columns)
+    out = free_name(docs, "epochs_of_row")
+    drawn = mix(docs, plan, out=out, **names)
+    return drawn.withColumn(out, F.explode(F.sequence(F.lit(1), F.col(out)))).select(*docs.columns)
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
