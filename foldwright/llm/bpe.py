@@ -3,11 +3,13 @@
 The pre-tokenizer pattern is evaluated on arrays of character classes; equal pieces are encoded
 once.  New pieces lie in matrices padded to a common length, one matrix per length bucket; in
 each round every row merges its leftmost pair of minimum rank, pair ranks coming from a hashed
-table, and the row is compacted.
+table, and the row is compacted.  A piece of more than ``LONGEST_ROW`` bytes, whose rounds would
+cost the square of its length, does the same merges in the same order by a heap.
 """
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 from hashlib import sha256
 from pathlib import Path
@@ -18,12 +20,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, free_name, put
 from .textgrid import U64, clean, mix, slices, span_hash
 
 _NONE = np.int32(2**31 - 1)
 _LETTER, _NUMBER, _BLANK, _OTHER = 1, 2, 3, 4
 _TAILS = ("s", "t", "re", "ve", "m", "ll", "d")
+#: Bytes of the longest piece that lies in a matrix.
+LONGEST_ROW = 2048
 _CLASSES: list[np.ndarray] = []
 
 
@@ -90,6 +94,7 @@ class Vocabulary:
         keys = (np.array(left, np.int64) << 32) | np.array(right, np.int64)
         bits = max(int(np.ceil(np.log2(len(keys) * 3 + 2))), 4)
         self.mask = (1 << bits) - 1
+        self.pairs: dict[int, int] | None = None  # the same table for single lookups, made when a long piece comes
         self.slot_key = np.full(1 << bits, -1, np.int64)
         self.slot_rank = np.full(1 << bits, _NONE, np.int32)
         ranks_of = np.array(rank, np.int32)
@@ -157,12 +162,45 @@ class Vocabulary:
                 rank[line[ok], side[ok]] = self.pair_rank(ids[line[ok], side[ok]], ids[line[ok], side[ok] + 1])
         return done
 
+    def merge_long(self, ids: np.ndarray) -> np.ndarray:
+        """Encode one row of single-byte ids: the pair of minimum rank, the leftmost of equals, comes off a heap."""
+        if self.pairs is None:
+            used = self.slot_key >= 0
+            self.pairs = dict(zip(self.slot_key[used].tolist(), self.slot_rank[used].tolist()))
+        pairs, none = self.pairs, int(_NONE)
+        rank = self.pair_rank(ids[:-1], ids[1:]).tolist() + [none]
+        ids, n = ids.tolist(), len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r << 32) | i for i, r in enumerate(rank) if r != none]
+        heapq.heapify(heap)
+        while heap:
+            top = heapq.heappop(heap)
+            at, best = top & 0xFFFFFFFF, top >> 32
+            if rank[at] != best:  # merged away, or another pair by now
+                continue
+            gone = after[at]
+            ids[at], ids[gone], rank[gone] = best, -1, none
+            after[at] = after[gone]
+            if after[at] < n:
+                before[after[at]] = at
+            for i in (before[at], at):
+                if i >= 0:
+                    rank[i] = pairs.get((ids[i] << 32) | ids[after[i]], none) if after[i] < n else none
+                    if rank[i] != none:
+                        heapq.heappush(heap, (rank[i] << 32) | i)
+        whole = np.array(ids, np.int32)
+        return whole[whole >= 0]
+
     def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
         """Ids of each piece; pieces of similar length share a padded matrix."""
         out: list = [None] * len(pieces)
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         bucket = np.ceil(np.log2(np.maximum(sizes, 1)) * 2).astype(np.int64)
-        for b in np.unique(bucket):
+        long = sizes > LONGEST_ROW
+        for i in np.flatnonzero(long).tolist():
+            out[i] = self.merge_long(self.single[np.frombuffer(pieces[i], np.uint8)])
+        bucket[long] = -1
+        for b in np.unique(bucket[~long]):
             where = np.flatnonzero(bucket == b)
             width = int(sizes[where].max())
             step = max(1, 4_000_000 // (width * 16))
@@ -272,7 +310,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", out: st
     """Add ``out``, the ids (array<int>) of every whole text; null and empty texts give no ids.
 
     Special tokens are not recognised.  Rows are independent: ties and repeated rows give equal
-    ids, other columns are untouched.
+    ids, other columns are untouched; one named ``out`` is kept as ``<out>_given``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
@@ -286,7 +324,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", out: st
                 got += encoder.encode(texts[cut])
             yield pd.Series(got, dtype=object)
 
-    return docs.withColumn(out, ids(F.col(text)))
+    return put(docs, **{out: ids(F.col(text))})
 
 
 def decode(docs: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -299,7 +337,7 @@ def decode(docs: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str
         for batch in batches:
             yield pd.Series([b"" if x is None else v.decode(np.asarray(x, np.int64)) for x in batch], dtype=object)
 
-    return docs.withColumn(out, back(F.col(ids)))
+    return put(docs, **{out: back(F.col(ids))})
 
 
 def with_digests(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", keep_ids: bool = True) -> DataFrame:
@@ -322,11 +360,9 @@ def with_digests(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", k
                     rows.append((len(ids), told, sha256(encoder.v.decode(ids)).hexdigest(), *([ids] if keep_ids else [])))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids])
 
-    out = "digest_of_row"
-    while out in docs.columns:
-        out += "_"
+    out = free_name(docs, "digest_of_row")
     names = [f.split()[0] for f in fields.split(", ")]
-    return docs.withColumn(out, digest(F.col(text))).withColumns({n: F.col(f"{out}.{n}") for n in names}).drop(out)
+    return put(docs.withColumn(out, digest(F.col(text))), **{n: F.col(f"{out}.{n}") for n in names}).drop(out)
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:

@@ -37,6 +37,25 @@ def test_long_pieces():
     check(["ab" * 3000, "x" * 5000, "".join(rng.choices("abcdefgh", k=8000)), "é" * 2000, " " * 4000])
 
 
+def test_a_million_characters_without_a_break():
+    rng = random.Random(4)
+    for text in ("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000)), "a" * 300_000, "-=" * 100_000):
+        ids = bpe.Encoder(VOCAB).encode([text])[0]
+        assert VOCAB.decode(ids) == text.encode()
+    # The heap and the matrix do the same merges.
+    for k in (2, 3, 60, 900):
+        row = np.frombuffer("".join(rng.choices("abcdeé ", k=k)).encode(), np.uint8)
+        assert VOCAB.merge_long(VOCAB.single[row]).tolist() == VOCAB.merge(VOCAB.single[row][None, :].copy())[0].tolist()
+
+
+def test_columns_of_the_outputs_names_are_kept(spark):
+    df = spark.createDataFrame([(1, "hello world", 7, "x")], "doc_id long, text string, n_tokens int, ids string")
+    r = bpe.with_digests(df, RANKS).collect()[0]
+    assert (r["n_tokens_given"], r["ids_given"], r["n_tokens"], r["ids"]) == (7, "x", 2, WANT.encode_ordinary("hello world"))
+    r = bpe.decode(bpe.encode(df, RANKS), RANKS, out="text").collect()[0]
+    assert r["text"] == b"hello world" and r["text_given"] == "hello world" and r["ids_given"] == "x"
+
+
 def test_memory_of_pieces_is_bounded():
     e = bpe.Encoder(VOCAB, most=50)
     for k in range(20):
