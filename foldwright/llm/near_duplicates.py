@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
-from .common import documents, materialise
+from .common import documents, free_name, materialise
 from .textgrid import U64, Grid, clean, mix, slices, windows
 
 WORDS, SIMILARITY = 5, 0.8
@@ -314,7 +314,7 @@ def _classes(docs: DataFrame, key: str, text: str, similarity: float, size: int)
     counted = docs.observe(watch, F.sum(F.col(key).isNull().cast("long")).alias("nameless"))
     counted = counted.select(row_id(F.col(key), F.col(text), docs.schema[key].dataType).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
     first = materialise(sketched(counted, size, *LEVELS[0]).drop("bits"), "near-sketches")
-    nodes = first.groupBy("k1", "k2").agg(F.min("id").alias("node"))
+    nodes = materialise(first.groupBy("k1", "k2").agg(F.min("id").alias("node")), "near-nodes")  # written, so that the join can split a large group of copies
     member = materialise(first.join(nodes, ["k1", "k2"]).select(
         "id", "node", F.when(F.col("id") == F.col("node"), F.col("bands")).alias("bands")), "near-members")
     # Ids whose rows hold different texts tie the nodes of these texts.
@@ -449,9 +449,7 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each class, with the columns of ``docs``; of rows that share the kept id, one stays."""
-    tag = "id_of_row"
-    while tag in docs.columns:
-        tag += "_"
+    tag = free_name(docs, "id_of_row")
     kept = _classes(docs, key, text, SIMILARITY, WORDS)[0].where("id = class_id").select(F.col("id").alias(tag))
     return (docs.withColumn(tag, row_id(F.col(key), F.col(text), docs.schema[key].dataType)).join(kept, tag, "left_semi")
             .dropDuplicates([tag]).select(*docs.columns))
