@@ -1,28 +1,71 @@
 """Stratified group bootstrap, paired randomisation tests and intervals.
 
-Draws are digests of (seed, replicate, stratum, slot), so they are the same in any engine, on any
-partitioning and after any recomputation; systems evaluated with one seed share their draws.
-Statistics of a group (counts per class, or a sum and a count) are aggregated once, before they
-are weighted, so a replicate never touches sample rows.
+Draws are digests of (seed, stratum, slot) and of the replicate, so they are the same in any engine,
+on any partitioning and after any recomputation; systems evaluated with one seed share their draws.
+Statistics of a group (counts per class, or a sum and a count) are aggregated once.  A task then
+takes a slice of the groups of one stratum, makes the weights of all replicates for them as a matrix
+and multiplies it by their statistics: what is shuffled is a sum per replicate, never a row per group
+and replicate.
 """
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.identity import hash32, safe_divide
-from .evaluate import class_counts, unpivot
+from ..functions.identity import hash32
+from .evaluate import METRICS, class_counts
 from .folds import numbered
 
+#: Groups in a slice, replicates in a row of sums, and replicates drawn at once.
+SLICE, CHUNK, AT_ONCE = 2048, 500, 50
+# The steps by which slots and replicates are counted on, and the multiplier of ``mix32``.
+GOLDEN, START, MULTIPLIER = 2654435769, 362437, 73244475
+COUNTS = ("tp", "actual", "predicted")
+
 
 def check_parameters(replicates: int, level: float) -> None:
     if replicates < 1 or not 0 < level < 1:
         raise ValueError("replicates must be positive and the level between 0 and 1")
 
 
+def mix32(x: np.ndarray) -> np.ndarray:
+    """Scramble 32-bit numbers (multiply and xor-shift rounds)."""
+    for _ in range(2):
+        x = ((x >> np.uint32(16)) ^ x) * np.uint32(MULTIPLIER)
+    return (x >> np.uint32(16)) ^ x
+
+
+def counted(base: int, first: int, stop: int) -> np.ndarray:
+    """The scrambled numbers ``first`` to ``stop`` of the sequence that begins at ``base``."""
+    return mix32(((base + np.arange(first, stop, dtype=np.uint64) * np.uint64(GOLDEN)) & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+
+
+def stable_groups(groups: DataFrame) -> DataFrame:
+    """``grp, stratum``, each group once; a group in two strata, or in none, fails the query."""
+    one = groups.groupBy("grp").agg(F.min("stratum").alias("stratum"), F.max("stratum").alias("other"))
+    fine = (F.col("stratum") == F.col("other")) & F.col("grp").isNotNull()
+    return one.select("grp", F.when(fine, F.col("stratum")).otherwise(F.raise_error(F.lit("every group must lie in one stratum"))).alias("stratum"))
+
+
 def group_positions(groups: DataFrame) -> DataFrame:
     """``grp, stratum, pos, n``: place of each group in its stratum (by digest of its id) and the stratum's size."""
-    sizes = groups.groupBy("stratum").agg(F.count("*").alias("n"))
-    return numbered(groups.select("grp", "stratum").distinct(), ["stratum"], F.md5(F.col("grp").cast("binary")), "grp", "pos").join(sizes, "stratum")
+    one = stable_groups(groups)
+    sizes = one.groupBy("stratum").agg(F.count("*").alias("n"))
+    return numbered(one, ["stratum"], F.md5(F.col("grp").cast("binary")), "grp", "pos").join(sizes, "stratum")
+
+
+def weight_matrix(base: int, n: int, low: int, high: int, first: int, stop: int) -> np.ndarray:
+    """How often replicates ``first`` to ``stop`` draw the groups ``low`` to ``high`` of a stratum of ``n``: one draw for each of its slots."""
+    slots, reps = counted(base, 0, n), counted(START, first, stop)
+    width, out = high - low, np.zeros((stop - first) * (high - low))
+    for at in range(0, stop - first, AT_ONCE):
+        some = reps[at : at + AT_ONCE]
+        for begin in range(0, n, 1 << 16):
+            pick = (mix32(some[:, None] ^ slots[None, begin : begin + (1 << 16)]) % np.uint32(n)).astype(np.int64)
+            row, col = np.nonzero((pick >= low) & (pick < high))
+            out += np.bincount((at + row) * width + pick[row, col] - low, minlength=len(out)) if len(row) else 0
+    return out.reshape(stop - first, width)
 
 
 def draws(groups: DataFrame, replicates: int, seed) -> DataFrame:
@@ -30,45 +73,144 @@ def draws(groups: DataFrame, replicates: int, seed) -> DataFrame:
 
     Groups not drawn in a replicate have no row.
     """
-    placed = group_positions(groups)
-    slots = placed.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    slots = slots.withColumn("pick", hash32(seed, F.col("replicate"), F.col("stratum"), F.col("pos")) % F.col("n"))
-    weights = slots.groupBy("replicate", "stratum", "pick").agg(F.count("*").alias("weight"))
-    return weights.join(placed.select("stratum", F.col("pos").alias("pick"), "grp"), ["stratum", "pick"]).select("replicate", "grp", "weight")
-
-
-def group_class_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Sufficient statistics of each group: ``keys..., grp, class_id, tp, actual, predicted``."""
-    return class_counts(rows, [*keys, "grp"])
-
+    rows = _placed(groups, seed)
 
-def replicate_metrics(counts: DataFrame, weights: DataFrame, classes: DataFrame, keys: list[str]) -> DataFrame:
-    """Metrics of each replicate over the class universe: classes a replicate lacks count with zeros."""
-    total = counts.join(weights, "grp").groupBy(*keys, "replicate", "class_id").agg(
-        *[F.sum(F.col(c) * F.col("weight")).alias(c) for c in ("tp", "actual", "predicted")])
-    return metrics_over_universe(total, classes, [*keys, "replicate"])
+    def expand(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, low = int(pdf["n"].iloc[0]), int(pdf["slice"].iloc[0]) * SLICE
+        names = pdf.sort_values("pos")["grp"].to_numpy()
+        w = weight_matrix(int(pdf["base"].iloc[0]), n, low, low + len(names), int(pdf["first"].iloc[0]), min(replicates, int(pdf["first"].iloc[0]) + CHUNK))
+        r, g = np.nonzero(w)
+        return pd.DataFrame({"replicate": r + int(pdf["first"].iloc[0]), "grp": names[g], "weight": w[r, g].astype(np.int64)})
 
+    chunks = rows.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(CHUNK))))
+    return chunks.groupBy("stratum", "slice", "first").applyInPandas(expand, f"replicate int, grp {groups.schema['grp'].dataType.simpleString()}, weight long")
 
-def metrics_over_universe(total: DataFrame, classes: DataFrame, keys: list[str]) -> DataFrame:
-    """Metrics of counts that may lack classes: means over the universe's size instead of over the rows there are."""
-    size = classes.select("class_id").distinct().agg(F.count("*").alias("universe"))
-    t = metrics_sums(total, keys).crossJoin(F.broadcast(size))
-    return t.select(*keys, safe_divide(F.col("tp"), F.col("actual")).alias("accuracy"), (F.col("recalls") / F.col("universe")).alias("balanced_accuracy"),
-                    (F.col("f1s") / F.col("universe")).alias("macro_f1"), safe_divide(F.col("weighted"), F.col("actual")).alias("weighted_f1"))
 
+def _placed(groups: DataFrame, seed, by: DataFrame | None = None) -> DataFrame:
+    """Positions with ``slice``, ``cell``, ``base`` (of the draws) and ``token`` (of the signs); ``by``: values of ``seed`` that have draws of their own.
 
-def metrics_sums(total: DataFrame, keys: list[str]) -> DataFrame:
-    f1 = safe_divide(2 * F.col("tp"), F.col("actual") + F.col("predicted"))
-    return total.groupBy(*keys).agg(
-        F.sum("tp").alias("tp"), F.sum("actual").alias("actual"), F.sum(safe_divide(F.col("tp"), F.col("actual"))).alias("recalls"),
-        F.sum(f1).alias("f1s"), F.sum(f1 * F.col("actual")).alias("weighted"))
+    A cell is what one task gets: a slice of a stratum, or some strata that are smaller than a slice.
+    """
+    placed, sign = group_positions(groups).withColumn("slice", F.floor(F.col("pos") / SLICE)), seed
+    cells = F.lit(max(1, -(-groups.select("grp").distinct().count() // SLICE)))
+    placed = placed.withColumn("cell", F.when(F.col("n") > SLICE, F.xxhash64("stratum", "slice")).otherwise(F.pmod(F.xxhash64("stratum"), cells)))
+    if by is not None:
+        placed = placed.join(F.broadcast(by))  # a row for each seed
+        seed = F.concat(F.lit(f"{seed}-"), F.col("seed").cast("string"))
+    return placed.withColumns({"base": hash32(seed, F.col("stratum")), "token": hash32(f"sign-{sign}", F.col("grp"))})
+
+
+def resampled_sums(stats: DataFrame, keys: list[str], values: list[str], groups: DataFrame, replicates: int, seed, kinds: tuple[str, ...] = ("draw",),
+                   seeds: DataFrame | None = None) -> DataFrame:
+    """``keys..., kind, first``, and for each value an array: its sum over groups in replicates ``first``, ``first`` + 1 and on; and ``<value>_total``.
+
+    ``stats``: ``keys..., grp`` and values, one row per key and group.  In kind ``draw`` a group counts as
+    often as the replicate drew it, in kind ``flip`` if the replicate turns its sign.  ``seeds``: a
+    column ``seed``, one of the keys; each value has draws of its own.
+    """
+    on = ["grp", "seed"] if seeds is not None else ["grp"]
+    rows = stats.join(_placed(groups, seed, seeds), on, "left").withColumn(
+        "n", F.coalesce("n", F.raise_error(F.lit("a group has no stratum")).cast("long")))
+    cells = ["cell", *(["seed"] if seeds is not None else [])]
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        by_key = pdf.groupby(keys, sort=False, dropna=False)
+        pdf = pdf.assign(code=by_key.ngroup())
+        names = by_key.size().index.to_frame(index=False)
+        strata = []
+        for _, part in pdf.groupby(["base", "slice"]):
+            n, low = int(part["n"].iloc[0]), int(part["slice"].iloc[0]) * SLICE
+            high = min(low + SLICE, n)
+            at = part["pos"].to_numpy(np.int64) - low
+            m, token = np.zeros((high - low, len(names), len(values))), np.zeros(high - low, np.uint32)
+            np.add.at(m, (at, part["code"].to_numpy()), part[list(values)].to_numpy(float))
+            token[at] = part["token"].to_numpy(np.int64).astype(np.uint32)
+            strata.append((int(part["base"].iloc[0]), n, low, high, token, m.reshape(high - low, -1)))
+        total = sum(m.sum(axis=0) for *_, m in strata).reshape(len(names), len(values))
+        parts = []
+        for first in range(0, replicates, CHUNK):
+            stop = min(replicates, first + CHUNK)
+            for kind in kinds:
+                summed = np.zeros((stop - first, len(names) * len(values)))
+                for base, n, low, high, token, m in strata:
+                    if kind == "draw":
+                        w = weight_matrix(base, n, low, high, first, stop)
+                    else:
+                        w = (mix32(counted(START, first, stop)[:, None] ^ token[None, :]) & np.uint32(1)).astype(float)
+                    summed += w @ m
+                summed = summed.reshape(stop - first, len(names), len(values))
+                part = names.copy()
+                part["kind"], part["first"] = kind, first
+                for j, v in enumerate(values):
+                    part[v], part[f"{v}_total"] = list(summed[:, :, j].T), total[:, j]
+                parts.append(part)
+        return pd.concat(parts, ignore_index=True)
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pdf.iloc[:1].copy()
+        for v in values:
+            out[v] = [np.sum(np.stack(pdf[v].to_list()), axis=0)]
+            out[f"{v}_total"] = pdf[f"{v}_total"].sum()
+        return out
+
+    schema = ", ".join([*[f"`{k}` {stats.schema[k].dataType.simpleString()}" for k in keys], "kind string, first int",
+                        *[f"{v} array<double>, {v}_total double" for v in values]])
+    slices = rows.select(*dict.fromkeys([*cells, *keys]), "slice", "n", "pos", "base", "token", *values).groupBy(*cells).applyInPandas(work, schema)
+    return slices.groupBy(*keys, "kind", "first").applyInPandas(add, schema)
+
+
+def rates_of(tp: np.ndarray, actual: np.ndarray, predicted: np.ndarray, universe: int) -> dict[str, np.ndarray]:
+    """Metrics from counts, classes along the first axis; classes that are missing count with zeros in the means."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        recall = np.where(actual > 0, tp / actual, 0.0)
+        f1 = np.where(actual + predicted > 0, 2 * tp / (actual + predicted), 0.0)
+        n = actual.sum(axis=0)
+        return {"accuracy": np.where(n > 0, tp.sum(axis=0) / n, 0.0), "balanced_accuracy": recall.sum(axis=0) / universe, "macro_f1": f1.sum(axis=0) / universe,
+                "weighted_f1": np.where(n > 0, (f1 * actual).sum(axis=0) / n, 0.0)}
+
+
+def along(pdf: pd.DataFrame, value: str) -> np.ndarray:
+    """The replicates of ``value`` in order, from rows of one key."""
+    return np.concatenate(pdf.sort_values("first")[value].to_list())
+
+
+def stacked(pdf: pd.DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
+    """Replicates (classes × replicates) and totals (classes) of ``value``."""
+    parts = [part for _, part in pdf.groupby("class_id")]
+    return np.stack([along(p, value) for p in parts]), np.array([p[f"{value}_total"].iloc[0] for p in parts])
+
+
+def percentiles(values: np.ndarray, level: float) -> dict:
+    """Linear-interpolation percentiles: ``ci_low, ci_high, n_bootstrap``."""
+    low, high = np.quantile(values, [(1 - level) / 2, 1 - (1 - level) / 2])
+    return {"ci_low": low, "ci_high": high, "n_bootstrap": len(values)}
+
+
+def p_value(null: np.ndarray, seen: float) -> float:
+    return float((np.abs(null) >= abs(seen) - SLACK).sum() + 1) / (len(null) + 1)
+
+
+def _finish(sums: DataFrame, keys: list[str], columns: str, finish) -> DataFrame:
+    """One call of ``finish`` (rows of a key to a list of dicts) for each value of ``keys``; ``columns``: what it adds to them."""
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def of(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(finish(pdf), columns=names)
+        for i, k in enumerate(keys):
+            out.insert(i, k, pdf[k].iloc[0])
+        return out
+
+    schema = ", ".join([*[f"`{k}` {sums.schema[k].dataType.simpleString()}" for k in keys], columns])
+    return sums.groupBy(*keys).applyInPandas(of, schema)
+
+
+def with_universe(sums: DataFrame, classes: DataFrame) -> DataFrame:
+    return sums.join(F.broadcast(classes.agg(F.countDistinct("class_id").alias("universe"))))  # one row
 
 
-def percentile_interval(values: DataFrame, keys: list[str], level: float) -> DataFrame:
-    """Linear-interpolation percentiles of ``value``: ``ci_low, ci_high, n_bootstrap``."""
-    tail = (1 - level) / 2
-    return values.groupBy(*keys).agg(F.percentile("value", F.array(F.lit(tail), F.lit(1 - tail))).alias("q"), F.count("*").alias("n_bootstrap")).select(
-        *keys, F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"), "n_bootstrap")
+def group_class_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Sufficient statistics of each group: ``keys..., grp, class_id, tp, actual, predicted``."""
+    return class_counts(rows, [*keys, "grp"])
 
 
 def classification_intervals(rows: DataFrame, groups: DataFrame, classes: DataFrame, keys: list[str], replicates: int, level: float = 0.95,
@@ -78,41 +220,44 @@ def classification_intervals(rows: DataFrame, groups: DataFrame, classes: DataFr
     ``by_seed``: each value of the key ``seed`` has draws of its own; else all systems share them.
     """
     check_parameters(replicates, level)
-    counts = group_class_counts(rows, keys)
-    point = metrics_over_universe(counts.groupBy(*keys, "class_id").agg(*[F.sum(c).alias(c) for c in ("tp", "actual", "predicted")]), classes, keys)
-    if by_seed:
-        placed = group_positions(groups)
-        slots = placed.crossJoin(F.broadcast(rows.select("seed").distinct())).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-        slots = slots.withColumn("pick", hash32(F.concat(F.lit(f"{seed}-"), F.col("seed").cast("string")), F.col("replicate"), F.col("stratum"), F.col("pos")) % F.col("n"))
-        weights = slots.groupBy("seed", "replicate", "stratum", "pick").agg(F.count("*").alias("weight")).join(
-            placed.select("stratum", F.col("pos").alias("pick"), "grp"), ["stratum", "pick"]).select("seed", "replicate", "grp", "weight")
-        total = counts.join(weights, ["seed", "grp"]).groupBy(*keys, "replicate", "class_id").agg(
-            *[F.sum(F.col(c) * F.col("weight")).alias(c) for c in ("tp", "actual", "predicted")])
-        reps = metrics_over_universe(total, classes, [*keys, "replicate"])
-    else:
-        reps = replicate_metrics(counts, draws(groups, replicates, seed), classes, keys)
-    interval = percentile_interval(unpivot(reps, [*keys, "replicate"]), [*keys, "metric"], level)
-    return unpivot(point, keys).withColumnRenamed("value", "estimate").join(interval, [*keys, "metric"])
+    seeds = rows.select("seed").distinct() if by_seed else None
+    sums = resampled_sums(group_class_counts(rows, keys), [*keys, "class_id"], list(COUNTS), groups, replicates, seed, seeds=seeds)
+
+    def finish(pdf: pd.DataFrame) -> list[dict]:
+        both = [stacked(pdf, c) for c in COUNTS]
+        universe = int(pdf["universe"].iloc[0])
+        reps, point = rates_of(*[x for x, _ in both], universe), rates_of(*[t for _, t in both], universe)
+        return [{"metric": m, "estimate": float(point[m]), **percentiles(reps[m], level)} for m in METRICS]
+
+    return _finish(with_universe(sums, classes), keys, "metric string, estimate double, ci_low double, ci_high double, n_bootstrap long", finish)
+
+
+def finite(value: str):
+    """The value, or a failed query where it is null or not finite."""
+    x = F.col(value).cast("double")
+    good = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+    return F.when(good, x).otherwise(F.raise_error(F.lit(f"{value} must be finite")).cast("double"))
 
 
 def mean_intervals(values: DataFrame, groups: DataFrame, keys: list[str], replicates: int, level: float = 0.95, seed=0) -> DataFrame:
     """Group bootstrap of the mean of ``value`` over all rows: ``keys..., estimate, ci_low, ci_high, n_bootstrap``."""
     check_parameters(replicates, level)
-    sums = values.groupBy(*keys, "grp").agg(F.sum("value").alias("s"), F.count("value").alias("c"))
-    point = sums.groupBy(*keys).agg(safe_divide(F.sum("s"), F.sum("c")).alias("estimate"))
-    reps = sums.join(draws(groups, replicates, seed), "grp").groupBy(*keys, "replicate").agg(
-        safe_divide(F.sum(F.col("s") * F.col("weight")), F.sum(F.col("c") * F.col("weight"))).alias("value"))
-    return point.join(percentile_interval(reps, keys, level), keys)
+    sums = values.groupBy(*keys, "grp").agg(F.sum(finite("value")).alias("s"), F.count("*").alias("c"))
+
+    def finish(pdf: pd.DataFrame) -> list[dict]:
+        one = pdf.iloc[0]
+        return [{"estimate": one["s_total"] / one["c_total"], **percentiles(ratio(along(pdf, "s"), along(pdf, "c")), level)}]
+
+    return _finish(resampled_sums(sums, keys, ["s", "c"], groups, replicates, seed), keys, "estimate double, ci_low double, ci_high double, n_bootstrap long", finish)
 
 
-def signs(groups: DataFrame, replicates: int, seed) -> DataFrame:
-    """``replicate, grp, flip`` (0 or 1): one digest bit per replicate and group."""
-    rows = groups.select("grp").distinct().withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    return rows.withColumn("flip", hash32(f"sign-{seed}", F.col("replicate"), F.col("grp")) % 2)
+def ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.divide(a, b, out=np.zeros(len(a)), where=b != 0)
 
 
 #: Eight times the distance from 1 to the next double: a null value this close below the observed one counts as extreme.
 SLACK = 8 * 2.220446049250313e-16
+TEST = "difference double, ci_low double, ci_high double, n_bootstrap long, probability_a_better double, p_value double"
 
 
 def paired_mean_test(pairs: DataFrame, groups: DataFrame, keys: list[str], replicates: int, level: float = 0.95, seed=0) -> DataFrame:
@@ -122,16 +267,15 @@ def paired_mean_test(pairs: DataFrame, groups: DataFrame, keys: list[str], repli
     extreme as the observed difference, (extreme + 1) / (replicates + 1).
     """
     check_parameters(replicates, level)
-    sums = pairs.groupBy(*keys, "grp").agg(F.sum(F.col("a") - F.col("b")).alias("s"), F.count("*").alias("c"))
-    seen = sums.groupBy(*keys).agg((F.sum("s") / F.sum("c")).alias("difference"))
-    reps = sums.join(draws(groups, replicates, seed), "grp").groupBy(*keys, "replicate").agg(
-        safe_divide(F.sum(F.col("s") * F.col("weight")), F.sum(F.col("c") * F.col("weight"))).alias("value"))
-    better = reps.groupBy(*keys).agg(F.avg((F.col("value") > 0).cast("double")).alias("probability_a_better"))
-    null = sums.join(signs(groups, replicates, seed), "grp").groupBy(*keys, "replicate").agg(
-        (F.sum(F.when(F.col("flip") == 1, -F.col("s")).otherwise(F.col("s"))) / F.sum("c")).alias("value"))
-    p = null.join(seen, keys).groupBy(*keys).agg(
-        ((F.sum((F.abs("value") >= F.abs("difference") - SLACK).cast("long")) + 1) / F.lit(replicates + 1)).alias("p_value"))
-    return seen.join(percentile_interval(reps, keys, level), keys).join(better, keys).join(p, keys)
+    sums = pairs.groupBy(*keys, "grp").agg(F.sum(finite("a") - finite("b")).alias("s"), F.count("*").alias("c"))
+
+    def finish(pdf: pd.DataFrame) -> list[dict]:
+        drawn, turned = pdf[pdf["kind"] == "draw"], pdf[pdf["kind"] == "flip"]
+        s, c = pdf["s_total"].iloc[0], pdf["c_total"].iloc[0]
+        reps, null = ratio(along(drawn, "s"), along(drawn, "c")), (s - 2 * along(turned, "s")) / c
+        return [{"difference": s / c, **percentiles(reps, level), "probability_a_better": float((reps > 0).mean()), "p_value": p_value(null, s / c)}]
+
+    return _finish(resampled_sums(sums, keys, ["s", "c"], groups, replicates, seed, ("draw", "flip")), keys, TEST, finish)
 
 
 def paired_class_test(pairs: DataFrame, groups: DataFrame, classes: DataFrame, keys: list[str], replicates: int, level: float = 0.95, seed=0) -> DataFrame:
@@ -141,23 +285,25 @@ def paired_class_test(pairs: DataFrame, groups: DataFrame, classes: DataFrame, k
     group are exchanged between the systems.  One row per key and metric, as ``paired_mean_test``.
     """
     check_parameters(replicates, level)
-    both = pairs.withColumn("side", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a_id").alias("pred_id")), F.struct(F.lit("b").alias("side"), F.col("b_id").alias("pred_id")))))
-    both = both.select(*keys, "grp", "true_id", F.col("side.side").alias("side"), F.col("side.pred_id").alias("pred_id"))
-    counts = group_class_counts(both, [*keys, "side"])
-
-    def difference(total: DataFrame, more: list[str]) -> DataFrame:
-        m = unpivot(metrics_over_universe(total, classes, [*keys, *more, "side"]), [*keys, *more, "side"])
-        return m.groupBy(*keys, *more, "metric").agg((F.sum(F.when(F.col("side") == "a", F.col("value"))) - F.sum(F.when(F.col("side") == "b", F.col("value")))).alias("value"))
-
-    stats = ("tp", "actual", "predicted")
-    seen = difference(counts.groupBy(*keys, "side", "class_id").agg(*[F.sum(c).alias(c) for c in stats]), []).withColumnRenamed("value", "difference")
-    weighted = counts.join(draws(groups, replicates, seed), "grp").groupBy(*keys, "replicate", "side", "class_id").agg(*[F.sum(F.col(c) * F.col("weight")).alias(c) for c in stats])
-    reps = difference(weighted, ["replicate"])
-    flipped = counts.join(signs(groups, replicates, seed), "grp").withColumn(
-        "side", F.when(F.col("flip") == 0, F.col("side")).when(F.col("side") == "a", "b").otherwise("a"))
-    null = difference(flipped.groupBy(*keys, "replicate", "side", "class_id").agg(*[F.sum(c).alias(c) for c in stats]), ["replicate"])
-    on = [*keys, "metric"]
-    better = reps.groupBy(*on).agg(F.avg((F.col("value") > 0).cast("double")).alias("probability_a_better"))
-    p = null.join(seen, on).groupBy(*on).agg(((F.sum((F.abs("value") >= F.abs("difference") - SLACK).cast("long")) + 1) / F.lit(replicates + 1)).alias("p_value"))
-    return seen.join(percentile_interval(reps, on, level), on).join(better, on).join(p, on)
-
+    both = pairs.select(*keys, "grp", "true_id", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a_id").alias("pred_id")),
+                                                                  F.struct(F.lit("b").alias("side"), F.col("b_id").alias("pred_id")))).alias("s"))
+    counts = group_class_counts(both.select(*keys, "grp", "true_id", "s.side", "s.pred_id"), [*keys, "side"])
+    names = [f"{c}_{side}" for side in "ab" for c in COUNTS]
+    wide = counts.groupBy(*keys, "grp", "class_id").agg(*[F.coalesce(F.sum(F.when(F.col("side") == n[-1], F.col(n[:-2]))), F.lit(0)).alias(n) for n in names])
+
+    def finish(pdf: pd.DataFrame) -> list[dict]:
+        universe = int(pdf["universe"].iloc[0])
+        drawn, turned = ({n: stacked(pdf[pdf["kind"] == kind], n) for n in names} for kind in ("draw", "flip"))
+        of = lambda get, side: rates_of(*[get(f"{c}_{side}") for c in COUNTS], universe)
+        moved = {c: turned[f"{c}_b"][0] - turned[f"{c}_a"][0] for c in COUNTS}
+        total = lambda n: drawn[n][1]
+        null = lambda n: total(n)[:, None] + (moved[n[:-2]] if n[-1] == "a" else -moved[n[:-2]])
+        seen, reps, nulls = ([of(get, side) for side in "ab"] for get in (total, lambda n: drawn[n][0], null))
+        rows = []
+        for m in METRICS:
+            d, r = float(seen[0][m] - seen[1][m]), reps[0][m] - reps[1][m]
+            rows.append({"metric": m, "difference": d, **percentiles(r, level), "probability_a_better": float((r > 0).mean()), "p_value": p_value(nulls[0][m] - nulls[1][m], d)})
+        return rows
+
+    sums = resampled_sums(wide, [*keys, "class_id"], names, groups, replicates, seed, ("draw", "flip"))
+    return _finish(with_universe(sums, classes), keys, f"metric string, {TEST}", finish)

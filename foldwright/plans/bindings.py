@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.identity import GROUP_SEPARATOR, hash32
-from ..operators import evaluate, folds
+from ..operators import evaluate, folds, resample
 
 N_FOLDS, FOLD_SEED, SEEDS, REPLICATES = 3, 7, (101, 202, 303, 404, 505), 10_000
 TASKS = ("status", "priority")
@@ -82,6 +82,13 @@ def hex32(parts: str) -> str:
     return f"CAST('0x' || substr(md5({parts}), 1, 8) AS BIGINT)"
 
 
+def mix32(x: str) -> str:
+    """``resample.mix32`` of a 32-bit expression."""
+    for _ in range(2):
+        x = f"(xor({x} >> 16, {x}) * {resample.MULTIPLIER} % 4294967296)"
+    return f"xor({x} >> 16, {x})"
+
+
 # SQL of the bindings, as named parts of a WITH clause.
 PARTS = {
     "cohort": f"""SELECT CAST(o_orderkey AS VARCHAR) AS sample, CAST(o_custkey AS VARCHAR) || '-' || strftime(o_orderdate, '%Y-%m') AS subgroup,
@@ -139,21 +146,25 @@ PARTS = {
     "confusion": """SELECT cells.*, coalesce(n, 0) AS n, coalesce(coalesce(n, 0) / nullif(sum(coalesce(n, 0)) OVER (PARTITION BY cells.model, cells.strategy, cells.task, cells.seed, cells.true_id), 0), 0) AS share
         FROM cells LEFT JOIN cell_counts x ON cells.model = x.model AND cells.strategy = x.strategy AND cells.task = x.task AND cells.seed = x.seed AND cells.true_id = x.true_id AND cells.pred_id = x.pred_id""",
     "sig_groups": f"SELECT grp, CAST(to_json(list_sort(list(DISTINCT {TASK}))) AS VARCHAR) AS stratum FROM cohort GROUP BY grp",
-    "positions": "SELECT grp, stratum, row_number() OVER (PARTITION BY stratum ORDER BY md5(grp), grp) - 1 AS pos, count(*) OVER (PARTITION BY stratum) AS n FROM sig_groups",
-    "reps": f"SELECT range AS replicate FROM range({REPLICATES})",
-    "weights": f"""SELECT replicate, q.grp, count(*) AS weight FROM (SELECT replicate, stratum, {hex32("'0|' || replicate || '|' || stratum || '|' || pos")} % n AS pick FROM positions CROSS JOIN reps) s
+    "positions": f"""SELECT *, {mix32(f"((base + pos * {resample.GOLDEN}) % 4294967296)")} AS d FROM (SELECT grp, stratum, row_number() OVER (PARTITION BY stratum ORDER BY md5(grp), grp) - 1 AS pos,
+        count(*) OVER (PARTITION BY stratum) AS n, {hex32("'0|' || stratum")} AS base FROM sig_groups)""",
+    "reps": f"SELECT range AS replicate, {mix32(f'(({resample.START} + range * {resample.GOLDEN}) % 4294967296)')} AS e FROM range({REPLICATES})",
+    "weights": f"""SELECT replicate, q.grp, count(*) AS weight FROM (SELECT replicate, stratum, {mix32("x")} % n AS pick FROM (SELECT replicate, stratum, n, xor(d, e) AS x FROM positions CROSS JOIN reps)) s
         JOIN positions q ON q.stratum = s.stratum AND q.pos = s.pick GROUP BY ALL""",
-    "seed_weights": f"""SELECT seed, replicate, q.grp, count(*) AS weight FROM
-        (SELECT seed, replicate, stratum, {hex32("'0-' || seed || '|' || replicate || '|' || stratum || '|' || pos")} % n AS pick FROM positions CROSS JOIN reps CROSS JOIN seeds) s
+    "seed_positions": f"""SELECT *, {mix32(f"((base + pos * {resample.GOLDEN}) % 4294967296)")} AS d FROM
+        (SELECT seed, grp, stratum, pos, n, {hex32("'0-' || seed || '|' || stratum")} AS base FROM (SELECT grp, stratum, pos, n FROM positions) CROSS JOIN seeds)""",
+    "seed_weights": f"""SELECT s.seed, replicate, q.grp, count(*) AS weight FROM
+        (SELECT seed, replicate, stratum, {mix32("x")} % n AS pick FROM (SELECT seed, replicate, stratum, n, xor(d, e) AS x FROM seed_positions CROSS JOIN reps)) s
         JOIN positions q ON q.stratum = s.stratum AND q.pos = s.pick GROUP BY ALL""",
-    "flips": f"SELECT replicate, grp, {hex32(chr(39) + 'sign-0|' + chr(39) + ' || replicate || ' + chr(39) + '|' + chr(39) + ' || grp')} % 2 AS flip FROM (SELECT DISTINCT grp FROM sig_groups) CROSS JOIN reps",
+    "flips": f"""SELECT replicate, grp, {mix32("x")} % 2 AS flip FROM (SELECT replicate, grp, xor(token, e) AS x FROM
+        (SELECT DISTINCT grp, {hex32("'sign-0|' || grp")} AS token FROM sig_groups) CROSS JOIN reps)""",
 }
 NEEDS = {
     "grp_table": ["cohort"], "strata": ["grp_table"], "shifts": ["strata"], "folds": ["shifts"], "split": ["folds"], "long_labels": ["cohort"], "classes": ["long_labels"],
     "preds": ["classes", "systems", "seeds"], "normed": ["items"], "nn": ["normed"], "rel": ["items"], "votes": ["nn", "ks"], "runs": ["nn"], "at_k": ["runs", "ks"],
     "per_query": ["rel", "votes", "at_k"], "counts": ["preds"], "grid": ["preds"], "per_class": ["counts", "grid"], "class_rates": ["per_class"], "metrics": ["class_rates"],
     "metric_rows": ["metrics"], "seed_rows": ["metric_rows"], "cells": ["preds"], "cell_counts": ["preds"], "confusion": ["cells", "cell_counts"], "sig_groups": ["cohort"],
-    "positions": ["sig_groups"], "weights": ["positions", "reps"], "seed_weights": ["positions", "reps", "seeds"], "flips": ["sig_groups", "reps"],
+    "positions": ["sig_groups"], "weights": ["positions", "reps"], "seed_positions": ["positions", "seeds"], "seed_weights": ["seed_positions", "reps"], "flips": ["sig_groups", "reps"],
 }
 
 

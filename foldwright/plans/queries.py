@@ -325,9 +325,14 @@ def label_signature(spark, sf_dir):
     return each_task(lambda t: b.signature_groups(b.cohort(spark, sf_dir), t), named=True)
 
 
-@query(b.every_task(b.sql(["weights"], "SELECT replicate, grp, weight FROM weights"), named=True))
+@query(b.every_task(b.sql(["weights"], "SELECT grp, count(*) AS n_replicates, CAST(sum(weight) AS BIGINT) AS n_drawn, max(weight) AS most, CAST(sum(weight * (replicate + 1)) AS BIGINT) AS digest FROM weights GROUP BY grp"), named=True))
 def bootstrap_draws(spark, sf_dir):
-    return each_task(lambda t: resample.draws(b.signature_groups(b.cohort(spark, sf_dir), t), b.REPLICATES, 0), named=True)
+    """How often each group is drawn: replicates that draw it, draws, most in one replicate, and the draws weighted by replicate number."""
+    def of(task: str) -> DataFrame:
+        w = resample.draws(b.signature_groups(b.cohort(spark, sf_dir), task), b.REPLICATES, 0)
+        return w.groupBy("grp").agg(F.count("*").alias("n_replicates"), F.sum("weight").alias("n_drawn"), F.max("weight").alias("most"), F.sum(F.col("weight") * (F.col("replicate") + 1)).alias("digest"))
+
+    return each_task(of, named=True)
 
 
 _U = f"(SELECT count(*) FROM classes WHERE task = '{TASK}')"
@@ -347,14 +352,14 @@ def _interval_sql(weights: str, on_seed: bool) -> str:
     k = "model, strategy, task, seed"
     seed = " AND c.seed = w.seed" if on_seed else ""
     return b.every_task(b.sql(["counts", weights], f"""SELECT {k.replace('seed', 'CAST(seed AS BIGINT) AS seed')}, metric, {rounded('estimate', 'ci_low', 'ci_high')}, n_bootstrap FROM (
-    WITH own AS (SELECT * FROM counts WHERE task = '{TASK}'),
-    total AS (SELECT {k}, class_id, sum(tp) AS tp, sum(actual) AS actual, sum(predicted) AS predicted FROM own GROUP BY {k}, class_id),
-    point AS ({_of_counts('total', k)}), point_rows AS ({_unpivot('point', k)}),
-    drawn AS (SELECT model, strategy, task, c.seed, replicate, class_id, sum(tp * weight) AS tp, sum(actual * weight) AS actual, sum(predicted * weight) AS predicted
-        FROM own c JOIN {weights} w ON c.grp = w.grp{seed} GROUP BY ALL),
-    rep AS ({_of_counts('drawn', k + ', replicate')}), rep_rows AS ({_unpivot('rep', k + ', replicate')}),
-    q AS (SELECT {k}, metric, quantile_cont(value, 0.025) AS ci_low, quantile_cont(value, 0.975) AS ci_high, count(*) AS n_bootstrap FROM rep_rows GROUP BY {k}, metric)
-    SELECT p.*, p.value AS estimate, ci_low, ci_high, n_bootstrap FROM point_rows p JOIN q ON p.model = q.model AND p.strategy = q.strategy AND p.task = q.task AND p.seed = q.seed AND p.metric = q.metric)"""))
+    WITH own AS MATERIALIZED (SELECT *, CAST(dense_rank() OVER (ORDER BY {k}) AS INTEGER) AS sys FROM counts WHERE task = '{TASK}'), names AS (SELECT DISTINCT sys, {k} FROM own),
+    total AS (SELECT sys, class_id, sum(tp) AS tp, sum(actual) AS actual, sum(predicted) AS predicted FROM own GROUP BY sys, class_id),
+    point AS ({_of_counts('total', 'sys')}), point_rows AS ({_unpivot('point', 'sys')}),
+    drawn AS MATERIALIZED (SELECT sys, CAST(replicate AS INTEGER) AS replicate, CAST(class_id AS TINYINT) AS class_id, sum(CAST(tp * weight AS DOUBLE)) AS tp, sum(CAST(actual * weight AS DOUBLE)) AS actual,
+        sum(CAST(predicted * weight AS DOUBLE)) AS predicted FROM own c JOIN {weights} w ON c.grp = w.grp{seed} GROUP BY 1, 2, 3),
+    rep AS MATERIALIZED ({_of_counts('drawn', 'sys, replicate')}), rep_rows AS ({_unpivot('rep', 'sys, replicate')}),
+    q AS (SELECT sys, metric, quantile_cont(value, 0.025) AS ci_low, quantile_cont(value, 0.975) AS ci_high, count(*) AS n_bootstrap FROM rep_rows GROUP BY sys, metric)
+    SELECT n.*, p.metric, p.value AS estimate, ci_low, ci_high, n_bootstrap FROM point_rows p JOIN q ON p.sys = q.sys AND p.metric = q.metric JOIN names n ON p.sys = n.sys)"""))
 
 
 def _intervals(spark, sf_dir, by_seed: bool) -> DataFrame:
@@ -641,8 +646,9 @@ def attach_stratum(spark, sf_dir):
     return retrieval.attach_stratum(_per_query(spark, sf_dir), x.withColumn("stratum", F.concat(F.lit("label="), "label"))).select("query", "k", "stratum")
 
 
-_ONE_STRATUM = f"""pos AS (SELECT grp, row_number() OVER (ORDER BY md5(grp), grp) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT grp FROM items)),
-    w AS (SELECT replicate, q.grp, count(*) AS weight FROM (SELECT replicate, {b.hex32("'0|' || replicate || '|all|' || pos")} % n AS pick FROM pos CROSS JOIN reps) s JOIN pos q ON q.pos = s.pick GROUP BY ALL)"""
+_ONE_STRATUM = f"""pos AS (SELECT *, {b.mix32(f"((base + pos * {resample.GOLDEN}) % 4294967296)")} AS d FROM (SELECT grp, row_number() OVER (ORDER BY md5(grp), grp) - 1 AS pos, count(*) OVER () AS n,
+        {b.hex32("'0|all'")} AS base FROM (SELECT DISTINCT grp FROM items))),
+    w AS (SELECT replicate, q.grp, count(*) AS weight FROM (SELECT replicate, {b.mix32("x")} % n AS pick FROM (SELECT replicate, n, xor(d, e) AS x FROM pos CROSS JOIN reps)) s JOIN pos q ON q.pos = s.pick GROUP BY ALL)"""
 
 
 @query(b.sql(["per_query", "items", "reps"], f"""SELECT CAST(k AS BIGINT) AS k, {rounded('estimate', 'ci_low', 'ci_high')}, n_bootstrap FROM (WITH {_ONE_STRATUM},
