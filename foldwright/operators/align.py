@@ -35,12 +35,14 @@ def natural_key(stratum: Column, index: Column, subgroup: Column, member: Column
 
 
 def vector_diff(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Per vector column: rows compared, rows equal, largest absolute difference, rows not finite."""
+    """Per vector column: rows compared, rows equal, largest absolute difference, rows not finite, rows on one side alone."""
     r = right.select(key, *[F.col(c).alias(f"r_{c}") for c in columns])
-    both = left.select(key, *columns).join(r, key)
+    both = left.select(key, *columns, F.lit(1).alias("in_l")).join(r.withColumn("in_r", F.lit(1)), key, "full_outer").withColumn("alone", (F.col("in_l").isNull() | F.col("in_r").isNull()))
     parts = F.explode(F.array(*[F.struct(F.lit(c).alias("part"), F.col(c).cast("array<double>").alias("a"), F.col(f"r_{c}").cast("array<double>").alias("b")) for c in columns]))
-    long = both.select(parts.alias("p")).select("p.*")
+    long = both.select("alone", parts.alias("p")).select("alone", "p.*")
+    pair = ~F.col("alone")
+    count = lambda c: F.sum((pair & c).cast("long"))
     return long.groupBy("part").agg(
-        F.count("*").alias("n_rows"), F.sum((F.col("a") == F.col("b")).cast("long")).alias("n_equal"),
-        F.max(max_abs_diff(F.col("a"), F.col("b"))).alias("max_abs_diff"),
-        F.sum((~(is_valid(F.col("a")) & is_valid(F.col("b")))).cast("long")).alias("n_invalid"))
+        F.sum(pair.cast("long")).alias("n_rows"), count(F.coalesce(F.col("a") == F.col("b"), F.lit(False))).alias("n_equal"),
+        F.max(F.when(pair, max_abs_diff(F.col("a"), F.col("b")))).alias("max_abs_diff"),
+        count(~(is_valid(F.col("a")) & is_valid(F.col("b")))).alias("n_invalid"), F.sum(F.col("alone").cast("long")).alias("n_alone"))

@@ -30,6 +30,12 @@ def alignment_checks(rows: DataFrame) -> DataFrame:
     return checks.row_rule(rows, F.col("agree"), "systems have the same rows, groups and truth")
 
 
+def agreeing(rows: DataFrame) -> DataFrame:
+    """Aligned rows without ``agree``; a row that lacks a side, or whose sides differ in what must be the same, fails the query."""
+    lost = F.raise_error(F.lit("systems have other rows, groups or truth")).cast("boolean")
+    return rows.where(F.when(F.col("agree"), F.lit(True)).otherwise(lost)).drop("agree")
+
+
 def holm(rows: DataFrame, p: str, family: list[str], out: str = "p_holm") -> DataFrame:
     """Add step-down adjusted p-values: sorted p times (m - rank + 1), running maximum, at most 1.
 

@@ -27,25 +27,45 @@ def unknown_labels(rows: DataFrame, index: DataFrame, column: str, by: list[str]
     return rows.join(index.select(*by, F.col("label").alias(column)), [*by, column], "left_anti")
 
 
+def coverage(rows: DataFrame, samples: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key: ``found`` (distinct known samples), ``repeated`` (samples with more than one row), ``alien`` (rows of unknown samples) and ``wanted``."""
+    known = samples.select("sample").distinct()
+    per = rows.select(*keys, "sample").join(known.withColumn("known", F.lit(1)), "sample", "left").groupBy(*keys, "sample").agg(F.count("*").alias("n"), F.max("known").alias("known"))
+    each = per.groupBy(*keys).agg(F.count("known").alias("found"), F.sum((F.col("n") > 1).cast("long")).alias("repeated"),
+                                  F.coalesce(F.sum(F.when(F.col("known").isNull(), F.col("n"))), F.lit(0)).alias("alien"))
+    return each.join(F.broadcast(known.agg(F.count("*").alias("wanted"))))  # one row
+
+
 def probability_checks(rows: DataFrame, samples: DataFrame, keys: list[str]) -> DataFrame:
     """Rules for fold probabilities ``keys..., sample, probs``: each sample once per key, in range, sums of one, one width."""
     p = F.col("probs")
     total = F.aggregate(p, F.lit(0.0), lambda s, x: s + x)
     fine = F.forall(p, lambda x: x.isNotNull() & ~F.isnan(x) & (x >= -1e-6) & (x <= 1 + 1e-6))
-    grid = rows.select(*keys).distinct().crossJoin(samples.select("sample").distinct())
-    cells = checks.complete_grid(rows, grid, [*keys, "sample"])
+    cells = coverage(rows, samples, keys)
     return checks.union_checks(
-        checks.check_row(cells, "each sample once per system and seed", F.count("*")),
+        checks.check_row(cells, "each sample once per system and seed", F.sum(F.col("wanted") - F.col("found") + F.col("repeated") + F.col("alien"))),
         checks.row_rule(rows, fine, "probabilities in range"),
         checks.row_rule(rows, F.abs(total - 1) <= 1e-5, "probabilities sum to one"),
         checks.check_row(rows.groupBy(*keys).agg(F.countDistinct(F.size("probs")).alias("n")), "one class count", F.sum((F.col("n") > 1).cast("long"))))
 
 
 def assemble(rows: DataFrame, samples: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per key and sample with the predicted class of its held-out fold; samples without a prediction keep nulls."""
-    grid = rows.select(*keys).distinct().crossJoin(samples.select("sample").distinct())
-    got = rows.select(*keys, "sample", "fold", argmax(F.col("probs")).alias("class_id"), F.array_max("probs").alias("top_prob"))
-    return grid.join(got, [*keys, "sample"], "left")
+    """One row per key and sample with the predicted class of its held-out fold; samples without a prediction get a row of nulls.
+
+    Rows of unknown samples are left out (``probability_checks`` counts them).  Only keys that fall short meet all samples.
+    """
+    known = samples.select("sample").distinct()
+    got = rows.select(*keys, "sample", "fold", argmax(F.col("probs")).alias("class_id"), F.array_max("probs").alias("top_prob")).join(known, "sample", "left_semi")
+    short = coverage(rows, samples, keys).where("found < wanted").select(*keys)
+    lost = known.join(F.broadcast(short)).join(rows.select(*keys, "sample"), [*keys, "sample"], "left_anti")
+    order = [*keys, "sample", "fold", "class_id", "top_prob"]
+    nothing = [F.lit(None).cast(got.schema[c].dataType).alias(c) for c in order[-3:]]
+    return got.select(*order).unionByName(lost.select(*keys, "sample", *nothing))
+
+
+def cells_of(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys..., true_id, pred_id, n``: the one aggregate of all rows, from which confusions, class counts and metrics follow."""
+    return rows.groupBy(*keys, "true_id", "pred_id").agg(F.count("*").alias("n"))
 
 
 def confusion(rows: DataFrame, classes: DataFrame, keys: list[str], by: list[str] = []) -> DataFrame:  # noqa: B006
@@ -53,27 +73,38 @@ def confusion(rows: DataFrame, classes: DataFrame, keys: list[str], by: list[str
 
     ``share`` is the count in parts of its row, 0 in an empty row.
     """
-    counts = rows.groupBy(*keys, "true_id", "pred_id").agg(F.count("*").alias("n"))
-    ids = classes.select(*by, "class_id")
-    grid = rows.select(*keys).distinct()
-    joined = grid.join(F.broadcast(ids), by) if by else grid.crossJoin(F.broadcast(ids))
-    grid = joined.withColumnRenamed("class_id", "true_id")
-    ids = ids.withColumnRenamed("class_id", "pred_id")
-    grid = grid.join(F.broadcast(ids), by) if by else grid.crossJoin(F.broadcast(ids))
-    full = grid.join(counts, [*keys, "true_id", "pred_id"], "left").na.fill(0, ["n"])
+    # The empty cells of every key that occurs are added with count 0, so the matrix is one sum over few rows.
+    counts = cells_of(rows, keys)
+    ids = F.broadcast(classes.select(*by, "class_id"))
+    pairs = ids.withColumnRenamed("class_id", "true_id").join(ids.withColumnRenamed("class_id", "pred_id"), by) if by else \
+        ids.withColumnRenamed("class_id", "true_id").crossJoin(ids.withColumnRenamed("class_id", "pred_id"))
+    grid = counts.select(*keys).distinct()
+    grid = grid.join(F.broadcast(pairs), by) if by else grid.crossJoin(F.broadcast(pairs))
+    order = [*keys, "true_id", "pred_id"]
+    full = counts.unionByName(grid.withColumn("n", F.lit(0).cast("long")).select(*order, "n")).groupBy(*order).agg(F.sum("n").alias("n"))
     row = F.sum("n").over(Window.partitionBy(*keys, "true_id"))
     return full.withColumn("share", safe_divide(F.col("n"), row))
 
 
 def class_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys..., class_id, tp, actual, predicted``: all that the metrics need, from two partial sums per row."""
+    """``keys..., class_id, tp, actual, predicted``: all that the metrics need, from the cells of the confusion."""
+    n, none = F.col("n"), F.lit(0).cast("long")
     side = F.explode(F.array(
-        F.struct(F.col("true_id").alias("class_id"), (F.col("true_id") == F.col("pred_id")).cast("long").alias("tp"), F.lit(1).cast("long").alias("actual"), F.lit(0).cast("long").alias("predicted")),
-        F.struct(F.col("pred_id").alias("class_id"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("actual"), F.lit(1).cast("long").alias("predicted"))))
-    return rows.select(*keys, side.alias("s")).groupBy(*keys, "s.class_id").agg(
+        F.struct(F.col("true_id").alias("class_id"), F.when(F.col("true_id") == F.col("pred_id"), n).otherwise(none).alias("tp"), n.alias("actual"), none.alias("predicted")),
+        F.struct(F.col("pred_id").alias("class_id"), none.alias("tp"), none.alias("actual"), n.alias("predicted"))))
+    return cells_of(rows, keys).select(*keys, side.alias("s")).groupBy(*keys, "s.class_id").agg(
         F.sum("s.tp").alias("tp"), F.sum("s.actual").alias("actual"), F.sum("s.predicted").alias("predicted"))
 
 
+def over_universe(counts: DataFrame, classes: DataFrame, keys: list[str], by: list[str], columns: list[str]) -> DataFrame:
+    """``counts`` with a row of zeros for every class of the universe that a key lacks."""
+    ids = F.broadcast(classes.select(*by, "class_id"))
+    grid = counts.select(*keys).distinct()
+    grid = grid.join(ids, by) if by else grid.crossJoin(ids)
+    zeros = grid.select(*keys, "class_id", *[F.lit(0).cast("long").alias(c) for c in columns])
+    return counts.select(*keys, "class_id", *columns).unionByName(zeros).groupBy(*keys, "class_id").agg(*[F.sum(c).alias(c) for c in columns])
+
+
 def rates(counts: DataFrame) -> DataFrame:
     """Precision, recall and F1 from ``tp, actual, predicted``; 0/0 is 0."""
     return counts.withColumns({
@@ -83,12 +114,9 @@ def rates(counts: DataFrame) -> DataFrame:
 
 def per_class(rows: DataFrame, classes: DataFrame, keys: list[str], by: list[str] = []) -> DataFrame:  # noqa: B006
     """Precision, recall, F1, support and group support of every class of the universe."""
-    grid = rows.select(*keys).distinct()
-    ids = F.broadcast(classes.select(*by, "class_id"))
-    grid = grid.join(ids, by) if by else grid.crossJoin(ids)
-    groups = rows.groupBy(*keys, F.col("true_id").alias("class_id")).agg(F.countDistinct("grp").alias("group_support"))
-    full = grid.join(class_counts(rows, keys), [*keys, "class_id"], "left").join(groups, [*keys, "class_id"], "left")
-    full = full.na.fill(0, ["tp", "actual", "predicted", "group_support"])
+    counts = class_counts(rows, [*keys, "grp"])  # a class's groups are those with a row of it
+    counts = counts.withColumn("group_support", (F.col("actual") > 0).cast("long"))
+    full = over_universe(counts, classes, keys, by, ["tp", "actual", "predicted", "group_support"])
     return rates(full).select(*dict.fromkeys([*keys, *by]), "class_id", "precision", "recall", "f1", F.col("actual").alias("support"), "group_support")
 
 
@@ -100,11 +128,7 @@ def metrics_of_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def system_metrics(rows: DataFrame, classes: DataFrame, keys: list[str], by: list[str] = []) -> DataFrame:  # noqa: B006
-    grid = rows.select(*keys).distinct()
-    ids = F.broadcast(classes.select(*by, "class_id"))
-    grid = grid.join(ids, by) if by else grid.crossJoin(ids)
-    full = grid.join(class_counts(rows, keys), [*keys, "class_id"], "left").na.fill(0, ["tp", "actual", "predicted"])
-    return metrics_of_counts(full, keys)
+    return metrics_of_counts(over_universe(class_counts(rows, keys), classes, keys, by, ["tp", "actual", "predicted"]), keys)
 
 
 METRICS = ("accuracy", "balanced_accuracy", "macro_f1", "weighted_f1")

@@ -6,7 +6,7 @@ Samples are rows with ``sample, subgroup, grp, stratum`` and any task columns.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..llm.common import materialise
+from ..sources.shared import materialise
 from . import checks
 
 
@@ -82,12 +82,22 @@ def balance_features(samples: DataFrame, tasks: list[str]) -> DataFrame:
     return size.unionByName(cells)
 
 
+def fold_deviations(features: DataFrame, folds: DataFrame, n_folds: int) -> DataFrame:
+    """``feature, weight, fold, off, scale``: how far each fold's total is off its target, and the unit it is counted in.
+
+    The target is the part of the feature's sum that the fold has of all groups; the unit is an equal share, at least 1.
+    """
+    totals = features.join(folds.select("grp", "fold"), "grp").groupBy("feature", "fold").agg(F.sum("value").alias("v"))
+    sums = features.groupBy("feature").agg(F.max("weight").alias("weight"), F.sum("value").alias("s"))
+    sizes = folds.groupBy("fold").agg(F.count("*").alias("n")).withColumn("part", F.col("n") / F.sum("n").over(Window.partitionBy()))  # a row for each fold
+    cells = sums.crossJoin(F.broadcast(sizes.select("fold", "part"))).join(totals, ["feature", "fold"], "left")
+    return cells.select("feature", "weight", "fold", (F.coalesce("v", F.lit(0.0)) - F.col("s") * F.col("part")).alias("off"), F.greatest(F.col("s") / n_folds, F.lit(1.0)).alias("scale"))
+
+
 def fold_cost(features: DataFrame, folds: DataFrame, n_folds: int) -> DataFrame:
-    """One row ``cost``: weighted squared deviation of fold totals from an equal share, in units of that share."""
-    totals = features.join(folds.select("grp", "fold"), "grp").groupBy("feature", "weight", "fold").agg(F.sum("value").alias("v"))
-    per = totals.groupBy("feature", "weight").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
-    share = F.col("s") / n_folds
-    return per.agg(F.coalesce(F.sum(F.col("weight") * (F.col("q") - n_folds * share * share) / (share * share)), F.lit(0.0)).alias("cost"))
+    """One row ``cost``: weighted squared deviation of fold totals from their targets."""
+    off = F.col("off") / F.col("scale")
+    return fold_deviations(features, folds, n_folds).agg(F.coalesce(F.sum(F.col("weight") * off * off), F.lit(0.0)).alias("cost"))
 
 
 def balanced_folds(samples: DataFrame, folds: DataFrame, tasks: list[str], n_folds: int, passes: int = 30, seed: int = 0,
@@ -103,10 +113,9 @@ def balanced_folds(samples: DataFrame, folds: DataFrame, tasks: list[str], n_fol
     features = materialise(balance_features(samples, tasks), "fold-features")
     per_group = materialise(samples.select("grp", "stratum").distinct(), "fold-groups")
     now, cost, idle = materialise(folds.select("grp", "fold"), "fold-now"), None, 0
-    shares = features.groupBy("feature").agg((F.sum("value") / n_folds).alias("share"))
     for k in range(passes):
         cost = fold_cost(features, now, n_folds).first()[0] if cost is None else cost
-        totals = features.join(now, "grp").groupBy("feature", "fold").agg(F.sum("value").alias("total"))
+        totals = materialise(fold_deviations(features, now, n_folds), "fold-totals")
         token = F.md5(F.concat_ws("|", F.lit(f"{seed}|{k}"), F.col("grp")).cast("binary"))
         line = numbered(per_group.join(now, "grp"), ["stratum"], token, "grp", "pos").withColumn("couple", F.floor(F.col("pos") / 2))
         pair = (line.groupBy("stratum", "couple").agg(F.min(F.struct("grp", "fold")).alias("a"), F.max(F.struct("grp", "fold")).alias("b"), F.count("*").alias("n"))
@@ -114,9 +123,9 @@ def balanced_folds(samples: DataFrame, folds: DataFrame, tasks: list[str], n_fol
         move = (pair.join(features.select(F.col("grp").alias("ga"), "feature", "weight", "value"), "ga").select("ga", "gb", "fa", "fb", "feature", "weight", F.col("value").alias("d"))
                 .unionByName(pair.join(features.select(F.col("grp").alias("gb"), "feature", "weight", "value"), "gb").select("ga", "gb", "fa", "fb", "feature", "weight", (-F.col("value")).alias("d")))
                 .groupBy("ga", "gb", "fa", "fb", "feature", "weight").agg(F.sum("d").alias("d")).where("d <> 0"))
-        ta, tb = totals.select(F.col("fold").alias("fa"), "feature", F.col("total").alias("ta")), totals.select(F.col("fold").alias("fb"), "feature", F.col("total").alias("tb"))
-        gain = (move.join(ta, ["fa", "feature"], "left").join(tb, ["fb", "feature"], "left").join(shares, "feature").na.fill(0.0, ["ta", "tb"])
-                .groupBy("ga", "gb", "fa", "fb").agg(F.sum(F.col("weight") * 2 * F.col("d") * (F.col("d") + F.col("tb") - F.col("ta")) / (F.col("share") * F.col("share"))).alias("change"))
+        ta, tb = totals.select(F.col("fold").alias("fa"), "feature", "scale", F.col("off").alias("ta")), totals.select(F.col("fold").alias("fb"), "feature", F.col("off").alias("tb"))
+        gain = (move.join(ta, ["fa", "feature"]).join(tb, ["fb", "feature"])
+                .groupBy("ga", "gb", "fa", "fb").agg(F.sum(F.col("weight") * 2 * F.col("d") * (F.col("d") + F.col("tb") - F.col("ta")) / (F.col("scale") * F.col("scale"))).alias("change"))
                 .where("change < -1e-12"))
         gain = materialise(gain, "fold-swaps")
         n = take = gain.count()

@@ -7,7 +7,8 @@ from ..functions.identity import canonical_index, member_index, member_subgroup,
 from . import checks
 
 # Columns that metadata must have.
-REQUIRED = ("slide_name", "patient_idx", "roi_idx", "diagnosis_raw", "diagnosis", "differentiation", "growth_pattern")
+REQUIRED = ("slide_name", "patient_idx", "roi_idx", "diagnosis_raw", "diagnosis", "differentiation", "growth_pattern", "top_left_x", "top_left_y",
+            "top_right_x", "top_right_y", "bottom_left_x", "bottom_left_y", "bottom_right_x", "bottom_right_y")
 
 
 def derive(metadata: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Linear probe on held-out folds: class weights, train-only scaling, one weighted softmax head per fold and seed."""
 
+import copy
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import hash32
 from ..functions.vectors import as_double
-from .folds import roles
+from . import checks
+from .folds import roles, training_coverage
+from .retrieval import input_checks
 
 
 def class_weights(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -51,13 +54,51 @@ class ProbeConfig:
     rate: float = 1e-3
     decay: float = 1e-2
     n_folds: int = 3
+    #: Steps that a shard makes on its own before the heads are averaged, at least.
+    least_steps: int = 16
+
+
+def probe_checks(items: DataFrame, n_folds: int) -> DataFrame:
+    """What training asks of items: unique, finite, one width, groups in one fold, exactly these folds, every label in every training set."""
+    width = checks.check_row(items.agg(F.countDistinct(F.size("features")).alias("n")), "one width", F.sum((F.col("n") > 1).cast("long")))
+    lacking = checks.check_row(training_coverage(items, "label", n_folds), "every label in every training set", F.count("*"))
+    return checks.union_checks(input_checks(items, n_folds), width, lacking)
+
+
+class Heads:
+    """One softmax head for each held fold and seed; the heads of a fold are columns of one matrix, with their AdamW moments."""
+
+    def __init__(self, config: ProbeConfig, width: int, classes: int):
+        self.config, self.classes, self.t = config, classes, 0
+        self.w = np.zeros((config.n_folds, width + 1, len(config.seeds) * classes))
+        for f in range(config.n_folds):
+            for i, s in enumerate(config.seeds):
+                self.w[f, :width, i * classes : (i + 1) * classes] = np.random.default_rng([f, s]).uniform(-1, 1, (width, classes)) / np.sqrt(width)
+        self.m, self.v = np.zeros_like(self.w), np.zeros_like(self.w)
+
+    def softmax(self, f: int, z: np.ndarray) -> np.ndarray:
+        logit = (z @ self.w[f]).reshape(len(z), len(self.config.seeds), self.classes)
+        p = np.exp(logit - logit.max(axis=2, keepdims=True))
+        return p / p.sum(axis=2, keepdims=True)
+
+    def step(self, f: int, z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
+        """One AdamW step of all heads of fold ``f`` on the weighted mean loss of a batch (``z`` with a column of ones)."""
+        c = self.config
+        p = self.softmax(f, z)
+        p[np.arange(len(y)), :, y] -= 1
+        grad = z.T @ (p * weight[:, None, None]).reshape(len(y), -1) / max(weight.sum(), 1e-12)
+        self.m[f] = 0.9 * self.m[f] + 0.1 * grad
+        self.v[f] = 0.999 * self.v[f] + 0.001 * grad**2
+        self.w[f] = self.w[f] * (1 - c.rate * c.decay) - c.rate * (self.m[f] / (1 - 0.9**self.t)) / (np.sqrt(self.v[f] / (1 - 0.999**self.t)) + 1e-8)
 
 
 def train_heads(items: DataFrame, config: ProbeConfig = ProbeConfig()) -> tuple[dict, list[str]]:
-    """Heads for every (held fold, seed), trained together: each step is one pass over the packed training rows.
+    """Heads for every (held fold, seed), trained together; each epoch reads every row once.
 
-    Batches are data parallel: a row's batch in an epoch comes from a digest of (seed, epoch, id), the
-    tasks send the summed gradient of each head, the driver (which holds only the heads) applies it.
+    Rows are dealt to shards by a hash of their id and ordered anew in each epoch.  A shard walks its
+    rows in batches from the heads it was given; after the epoch heads and moments are averaged by
+    rows.  There are as many shards as leave each ``least_steps`` steps an epoch, so a small table
+    is one shard and its training is plain AdamW.  The driver holds labels, scalers and heads alone.
     """
     spark = items.sparkSession
     labels = sorted(r[0] for r in items.select("label").distinct().collect())
@@ -70,55 +111,46 @@ def train_heads(items: DataFrame, config: ProbeConfig = ProbeConfig()) -> tuple[
     scale[scal["held_fold"], scal["dim"]] = scal["scale"]
     cw = np.zeros((config.n_folds, len(labels)))
     cw[weights["held_fold"], weights["label"].map(place)] = weights["weight"]
-    n_train = weights.groupby("held_fold")["n"].sum().reindex(range(config.n_folds), fill_value=0)
-    steps = max(1, int(-(-n_train.max() // config.batch)))
-    heads = {(f, s): np.zeros((width + 1, len(labels))) for f in range(config.n_folds) for s in config.seeds}
-    for (f, s), w in heads.items():
-        w[:width] = np.random.default_rng([f, s]).uniform(-1, 1, (width, len(labels))) / np.sqrt(width)
-    first, second = ({k: np.zeros_like(v) for k, v in heads.items()} for _ in range(2))
-    rows = items.select("sample", "fold", "label", "features").repartition("sample").cache()
-    keys, t = list(heads), 0
+    n_rows = int(weights["n"].sum()) // max(config.n_folds - 1, 1)
+    shards = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n_rows // (config.batch * config.least_steps)))
+    heads = Heads(config, width, len(labels))
+    # Cached blocks that are lost are made again from the items.
+    rows = items.select("sample", "fold", "label", "features").repartition(shards, "sample").withColumn("shard", F.spark_partition_id()).cache()
     for epoch in range(config.epochs):
-        lots = rows.withColumns({f"lot_{s}": (hash32(s, epoch, F.col("sample")) % steps).cast("int") for s in config.seeds})
-        for step in range(steps):
-            shared = spark.sparkContext.broadcast((heads, mean, scale, cw))
-
-            def gradients(batches: Iterator[pd.DataFrame], step=step, shared=shared) -> Iterator[pd.DataFrame]:
-                hs, mu, sc, wt = shared.value
-                total = {k: np.zeros_like(v) for k, v in hs.items()}
-                mass = dict.fromkeys(hs, 0.0)
-                for pdf in batches:
-                    if not len(pdf):
-                        continue
-                    x = np.stack(pdf["features"]).astype(float)
-                    y = pdf["label"].map(place).to_numpy()
-                    fold = pdf["fold"].to_numpy()
-                    for f, s in hs:
-                        mine = (fold != f) & (pdf[f"lot_{s}"].to_numpy() == step)
-                        if not mine.any():
-                            continue
-                        z = np.c_[(x[mine] - mu[f]) / sc[f], np.ones(mine.sum())]
-                        p = np.exp(z @ hs[f, s] - (z @ hs[f, s]).max(axis=1, keepdims=True))
-                        p /= p.sum(axis=1, keepdims=True)
-                        p[np.arange(len(p)), y[mine]] -= 1
-                        w = wt[f, y[mine]]
-                        total[f, s] += z.T @ (p * w[:, None])
-                        mass[f, s] += w.sum()
-                yield pd.DataFrame({"fold": [k[0] for k in hs], "seed": [k[1] for k in hs], "mass": [mass[k] for k in hs], "grad": [total[k].ravel() for k in hs]})
-
-            part = lots.mapInPandas(gradients, "fold int, seed int, mass double, grad array<double>")
-            summed = (part.select("fold", "seed", "mass", F.posexplode("grad").alias("i", "g")).groupBy("fold", "seed", "i")
-                      .agg(F.sum("g").alias("g"), F.sum("mass").alias("mass")).toPandas().sort_values(["fold", "seed", "i"]))
-            t += 1
-            for (f, s), g in summed.groupby(["fold", "seed"]):
-                k = (int(f), int(s))
-                grad = g["g"].to_numpy().reshape(width + 1, -1) / max(g["mass"].iloc[0], 1e-12)
-                first[k] = 0.9 * first[k] + 0.1 * grad
-                second[k] = 0.999 * second[k] + 0.001 * grad**2
-                heads[k] = heads[k] * (1 - config.rate * config.decay) - config.rate * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.999**t)) + 1e-8)
-            shared.unpersist()
+        shared = spark.sparkContext.broadcast((heads, mean, scale, cw))
+
+        def walk(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            h, mu, sc, wt = shared.value
+            h, seen, shard = copy.deepcopy(h), np.zeros(config.n_folds), None
+            for pdf in batches:
+                for at in range(0, len(pdf), config.batch):
+                    part = pdf.iloc[at : at + config.batch]
+                    x, y, fold = np.stack(part["features"]).astype(float), part["label"].map(place).to_numpy(), part["fold"].to_numpy()
+                    shard, h.t = int(part["shard"].iloc[0]), h.t + 1
+                    for f in range(config.n_folds):
+                        mine = fold != f
+                        if mine.any():
+                            h.step(f, np.c_[(x[mine] - mu[f]) / sc[f], np.ones(mine.sum())], y[mine], wt[f, y[mine]])
+                            seen[f] += mine.sum()
+            if shard is not None:
+                sums = np.stack((h.w, h.m, h.v)) * seen[None, :, None, None]
+                yield pd.DataFrame({"shard": [shard], "t": [h.t], "seen": [seen], "sums": [sums.tobytes()]})
+
+        def add(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("shard")
+            sums = np.sum([np.frombuffer(b) for b in pdf["sums"]], axis=0)
+            return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "t": [pdf["t"].max()], "seen": [np.sum(np.stack(pdf["seen"].to_list()), axis=0)], "sums": [sums.tobytes()]})
+
+        kind = "shard int, t int, seen array<double>, sums binary"
+        ordered = rows.withColumn("turn", hash32(config.seeds[0], epoch, F.col("sample"))).sortWithinPartitions("turn", "sample")
+        done = add(ordered.mapInPandas(walk, kind).groupBy(F.pmod("shard", F.lit(64))).applyInPandas(add, kind).toPandas())
+        sums, seen = np.frombuffer(done["sums"].iloc[0]).reshape(3, *heads.w.shape), done["seen"].iloc[0]
+        for f in np.flatnonzero(seen):
+            heads.w[f], heads.m[f], heads.v[f] = sums[:, f] / seen[f]
+        heads.t = int(done["t"].iloc[0])
+        shared.unpersist()
     rows.unpersist()
-    return {"heads": {k: heads[k] for k in keys}, "mean": mean, "scale": scale}, labels
+    return {"heads": heads, "mean": mean, "scale": scale}, labels
 
 
 def probe_probabilities(items: DataFrame, model: dict) -> DataFrame:
@@ -128,19 +160,17 @@ def probe_probabilities(items: DataFrame, model: dict) -> DataFrame:
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for pdf in batches:
-            for (f, s), head in m["heads"].items():
-                mine = pdf[pdf["fold"] == f]
-                if len(mine):
-                    z = (np.stack(mine["features"]).astype(float) - m["mean"][f]) / m["scale"][f]
-                    logit = np.c_[z, np.ones(len(z))] @ head
-                    p = np.exp(logit - logit.max(axis=1, keepdims=True))
-                    yield pd.DataFrame({"seed": s, "fold": f, "sample": mine["sample"].to_numpy(), "probs": list(p / p.sum(axis=1, keepdims=True))})
+            for f, mine in pdf.groupby("fold"):
+                z = (np.stack(mine["features"]).astype(float) - m["mean"][f]) / m["scale"][f]
+                p = m["heads"].softmax(int(f), np.c_[z, np.ones(len(z))])
+                for i, s in enumerate(m["heads"].config.seeds):
+                    yield pd.DataFrame({"seed": s, "fold": f, "sample": mine["sample"].to_numpy(), "probs": list(p[:, i])})
 
     return items.select("sample", "fold", "features").mapInPandas(apply, "seed int, fold int, sample string, probs array<double>")
 
 
 def run_probe(items: DataFrame, config: ProbeConfig = ProbeConfig()) -> tuple[DataFrame, list[str]]:
+    """Check the items, train, and score every sample where its fold is held."""
+    checks.require(probe_checks(items, config.n_folds))
     model, labels = train_heads(items, config)
     return probe_probabilities(items, model), labels
-
-

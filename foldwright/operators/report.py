@@ -61,6 +61,24 @@ def ordered(df: DataFrame, orders: dict[str, list[str]]) -> DataFrame:
     return df.orderBy(*keys)
 
 
+def with_position(df: DataFrame, orders: dict[str, list[str]], out: str = "position") -> DataFrame:
+    """Add each row's place, from 0, in the declared order (``ordered``); for report tables, which are small."""
+    keys = []
+    for c, values in orders.items():
+        keys += [F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(v) for v in values]), F.col(c)), F.lit(0)), F.lit(len(values) + 1)), F.col(c)]
+    return df.withColumn(out, F.row_number().over(Window.orderBy(*keys)) - 1)
+
+
+def first_n(df: DataFrame, by: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows by id: each task keeps its own first ones, so no task sorts the table."""
+    return df.orderBy(*by).limit(n)
+
+
+def first_failures(df: DataFrame, holds, by: list[str], n: int = 20) -> DataFrame:
+    """The first ``n`` rows, by id, for which ``holds`` is false or null."""
+    return first_n(df.where(~F.coalesce(holds, F.lit(False))), by, n)
+
+
 def summary_cells(metrics: DataFrame, system: list[str], by: list[str], digits: int = 3) -> DataFrame:
     """Per system and metric: mean, SD, cell text and best flag (within ``by`` and metric)."""
     s = best_flags(seed_summary(metrics, system), [*by, "metric"])

@@ -13,13 +13,19 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import safe_divide
 from ..functions.vectors import is_valid, unit
+from ..sources.shared import materialise
 from . import checks
 
 KS = (5, 10, 15, 20)
 
 
-def input_checks(items: DataFrame) -> DataFrame:
+def input_checks(items: DataFrame, n_folds: int | None = None) -> DataFrame:
+    """Rules for items; with ``n_folds``, also that the folds are exactly 0 to ``n_folds`` - 1."""
+    every = [] if n_folds is None else [
+        checks.row_rule(items, F.col("fold").between(0, n_folds - 1), "fold numbers"),
+        checks.check_row(items.agg(F.countDistinct("fold").alias("n")), "every fold", F.sum((F.col("n") != n_folds).cast("long")))]
     return checks.union_checks(
+        *every,
         checks.unique_key(items, ["sample"], "unique items"),
         checks.within_one(items, "grp", "fold", "groups in one fold"),
         checks.row_rule(items, is_valid(F.col("features")), "vectors finite and not zero"))
@@ -31,42 +37,58 @@ def normalised(items: DataFrame) -> DataFrame:
 
 
 def packed(items: DataFrame, blocks: int, side: str) -> DataFrame:
-    """Rows packed into ``blocks`` blocks by a hash of the id: one row of arrays per block."""
+    """Rows of each fold packed into ``blocks`` blocks by a hash of the id: one row of arrays per block."""
     block = F.pmod(F.xxhash64("sample"), F.lit(blocks)).cast("int")
-    # Integer stand-ins keep blocks small; ids of equal group or fold have equal stand-ins.
-    row = F.struct("sample", F.xxhash64("grp").alias("g"), F.xxhash64("fold").alias("f"), "features")
-    return items.groupBy(block.alias(f"{side}_block")).agg(F.collect_list(row).alias(f"{side}_rows"))
+    row = F.struct("sample", F.xxhash64("grp").alias("g"), "features")  # an integer stand-in for the group keeps blocks small
+    return items.groupBy(F.col("fold").alias(f"{side}_fold"), block.alias(f"{side}_block")).agg(F.collect_list(row).alias(f"{side}_rows"))
+
+
+def best_columns(sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k largest finite entries of each row; of ties the first columns."""
+    if sim.shape[1] > k:
+        edge = -np.partition(-sim, k - 1, axis=1)[:, k - 1]
+        keep = sim >= edge[:, None]
+        crowded = np.flatnonzero(keep.sum(axis=1) > k)  # ties at the edge
+        if len(crowded):
+            top = np.argsort(-sim[crowded], axis=1, kind="stable")[:, :k]
+            keep[crowded] = False
+            keep[crowded[:, None], top] = True
+    else:
+        keep = np.ones(sim.shape, bool)
+    return np.nonzero(keep & np.isfinite(sim))
 
 
 def exact_topk(queries: DataFrame, gallery: DataFrame, k: int, rows_per_block: int = 2048) -> DataFrame:
     """``query, rank, gallery, similarity``: the k most similar gallery items, ties by id ascending.
 
-    Both sides are packed into blocks of about ``rows_per_block`` rows; each pair of blocks is one
-    matrix product in a task, from which only the k best of each query leave.  Memory is bounded
-    by two blocks; what is shuffled is k rows for each query and gallery block.
+    Items with a vector that is not valid fail the query.  Both sides are packed by fold into blocks
+    of about ``rows_per_block`` rows; blocks of different folds meet, each pair as one matrix product
+    in the task that holds the gallery block, from which only the k best of each query leave.  Memory
+    is bounded by two blocks; a gallery block is shuffled once, a query block once for each of them.
     """
-    q, g = normalised(queries), normalised(gallery)
-    nq, ng = (max(1, -(-x.count() // rows_per_block)) for x in (q, g))
-    left, right = packed(q, nq, "q"), packed(g, ng, "g")
-    # Every query block meets every gallery block: block rows are copied with the number of the other side's block.
-    pairs = left.withColumn("g_block", F.explode(F.sequence(F.lit(0), F.lit(ng - 1)))).join(right, "g_block").repartition(min(nq * ng, 4096), "q_block", "g_block")
+    bad = F.raise_error(F.lit("vectors must be finite and not zero")).cast("array<double>")
+    q, g = (x.withColumn("features", F.coalesce(unit(F.col("features")), bad)) for x in (queries, gallery))
+    nq, sizes = queries.count(), [(r["fold"], r["count"]) for r in gallery.groupBy("fold").count().collect()]
+    if not sizes:
+        return g.select(F.col("sample").alias("query"), F.lit(0).alias("rank"), F.col("sample").alias("gallery"), F.lit(0.0).alias("similarity"))
+    blocks = max(1, -(-max(n for _, n in sizes) // rows_per_block))
+    left, right = packed(q, max(1, -(-nq // (rows_per_block * max(len(sizes) - 1, 1)))), "q"), packed(g, blocks, "g")
+    # A query block is copied with the number of every gallery block of another fold.
+    fold = F.explode(F.array(*[F.lit(f).cast(gallery.schema["fold"].dataType) for f, _ in sizes]))
+    aimed = left.withColumn("g_fold", fold).where("g_fold <> q_fold").withColumn("g_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    pairs = aimed.join(right, ["g_fold", "g_block"])
 
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for a, b in zip(batch["q_rows"], batch["g_rows"]):
                 ids = np.array([r["sample"] for r in b], dtype=object)
-                order = np.argsort(ids, kind="stable")  # columns in id order, so a stable sort breaks ties by id
+                order = np.argsort(ids, kind="stable")  # columns in id order, so that ties go to the smaller id
                 ids = ids[order]
-                y = np.stack([r["features"] for r in b])[order]
-                yg, yf = np.array([r["g"] for r in b])[order], np.array([r["f"] for r in b])[order]
-                x = np.stack([r["features"] for r in a])
-                sim = x @ y.T
-                barred = (np.array([r["g"] for r in a])[:, None] == yg) | (np.array([r["f"] for r in a])[:, None] == yf)
-                sim[barred] = -np.inf
-                top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-                value = np.take_along_axis(sim, top, axis=1)
-                row, col = np.nonzero(np.isfinite(value))
-                yield pd.DataFrame({"query": np.array([r["sample"] for r in a], dtype=object)[row], "gallery": ids[top[row, col]], "similarity": value[row, col]})
+                y, yg = np.stack([r["features"] for r in b])[order], np.array([r["g"] for r in b])[order]
+                sim = np.stack([r["features"] for r in a]) @ y.T
+                sim[np.array([r["g"] for r in a])[:, None] == yg] = -np.inf
+                row, col = best_columns(sim, k)
+                yield pd.DataFrame({"query": np.array([r["sample"] for r in a], dtype=object)[row], "gallery": ids[col], "similarity": sim[row, col]})
 
     found = pairs.select("q_rows", "g_rows").mapInPandas(multiply, "query string, gallery string, similarity double")
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "gallery")
@@ -106,7 +128,7 @@ def query_metrics(neighbours: DataFrame, items: DataFrame, ks: tuple[int, ...] =
     Precision divides by the items returned, average precision by the smaller of the relevant
     count and k; a query without neighbours has zeros and a wrong vote.
     """
-    labelled = with_labels(neighbours, items)
+    labelled = materialise(with_labels(neighbours, items), "neighbours")  # read by two branches
     w = Window.partitionBy("query").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     running = labelled.withColumn("hits_so_far", F.sum("relevant").over(w))
     at_k = running.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).where(F.col("rank") <= F.col("k"))
@@ -152,7 +174,8 @@ def attach_stratum(per_query: DataFrame, strata: DataFrame) -> DataFrame:
 
 def held_out_retrieval(items: DataFrame, k: int = 20, ks: tuple[int, ...] = KS) -> dict[str, DataFrame]:
     """Neighbours, per-query metrics, fold and pooled means, and mean and SD over folds."""
-    neighbours = exact_topk(items, items, k)
-    per_query = query_metrics(neighbours, items, ks)
+    checks.require(input_checks(items))
+    neighbours = materialise(exact_topk(items, items, k), "neighbours")
+    per_query = materialise(query_metrics(neighbours, items, ks), "per-query")
     return {"neighbours": neighbours, "per_query": per_query, "means": fold_and_pooled(per_query),
             "over_folds": over_folds(mean_metrics(per_query, ["fold", "k"]), ["k"])}

@@ -1,6 +1,6 @@
 """How the driver's tables stand in for a cohort, and the same as SQL."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import GROUP_SEPARATOR, hash32
@@ -48,9 +48,8 @@ def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def predictions(spark: SparkSession, sf_dir: str, samples: DataFrame | None = None) -> DataFrame:
     """Every system's prediction of each sample, task and seed; a digest decides where it errs, by one class."""
-    index = classes(spark, sf_dir)
-    sizes = index.groupBy("task").agg(F.count("*").alias("n_classes"))
-    rows = long_labels(cohort(spark, sf_dir) if samples is None else samples).join(F.broadcast(index.join(sizes, "task")), ["task", "label"])
+    index = classes(spark, sf_dir).withColumn("n_classes", F.count("*").over(Window.partitionBy("task")))
+    rows = long_labels(cohort(spark, sf_dir) if samples is None else samples).join(F.broadcast(index), ["task", "label"])
     systems = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(s).alias("strategy"), F.lit(e).alias("err")) for m, s, e in SYSTEMS]))
     rows = rows.withColumn("sys", systems).withColumn("seed", F.explode(F.array(*[F.lit(s) for s in SEEDS])))
     wrong = hash32(F.col("seed"), F.col("sys.model"), F.col("sys.strategy"), F.col("sample")) % 10 < F.col("sys.err")

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.digest import canonical_json
 from ..functions.vectors import is_valid
 from ..operators import checks
 
@@ -67,10 +68,14 @@ def pending(samples: DataFrame, store: DataFrame) -> DataFrame:
 def append_features(rows: DataFrame, path: str, store: DataFrame | None) -> None:
     """Append rows the store lacks; refuse rows whose width or provenance differs from what is stored."""
     if store is not None:
-        shape = lambda d: d.select(F.size("center").alias("w"), F.to_json(F.map_from_entries(F.array_sort(F.map_entries("provenance")))).alias("p")).distinct()
-        if shape(rows).exceptAll(shape(store)).limit(1).count():
+        vectors = [f.name for f in rows.schema if isinstance(f.dataType, T.ArrayType)]
+        shape = lambda d: d.select("model_id", *[F.size(c).alias(c) for c in vectors], canonical_json(F.col("provenance")).alias("p")).distinct()
+        models = rows.select("model_id").distinct()
+        if shape(rows).exceptAll(shape(store.join(F.broadcast(models), "model_id", "left_semi"))).where(F.col("model_id").isin([r[0] for r in store.select("model_id").distinct().collect()])).limit(1).count():
             raise ValueError("width or provenance differs from the store")
-        rows = pending(rows, store)
+        if not shape(rows).groupBy("model_id").count().where("count > 1").isEmpty():
+            raise ValueError("rows of one model differ in width or provenance")
+        rows = rows.join(store.where("completed").select("sample", "model_id"), ["sample", "model_id"], "left_anti")
     rows.write.mode("append").partitionBy("model_id").parquet(path)
 
 
@@ -102,4 +107,8 @@ def import_vectors(old: DataFrame, key_map: DataFrame, contract: dict[str, str],
         bad = bad | ~F.col(c).eqNullSafe(F.lit(v))
     if old.where(bad | (F.size("features") != width)).limit(1).count():
         raise ValueError("vectors do not fulfil their contract")
+    pairs = old.select("old_key").withColumn("side", F.lit(1)).unionByName(key_map.select("old_key").withColumn("side", F.lit(2)))
+    odd = pairs.groupBy("old_key").agg(F.count("*").alias("n"), F.sum("side").alias("s")).where("n <> 2 or s <> 3")
+    if not odd.isEmpty() or not key_map.groupBy("sample").count().where("count > 1").isEmpty():
+        raise ValueError("vectors and samples do not match one to one")
     return old.join(key_map.select("old_key", "sample"), "old_key").select("sample", "features")

@@ -19,7 +19,8 @@ def metadata(spark):
                 slide += 1
                 for n in range(1, 2 + (d + p + w) % 3):
                     rows.append((f"Sarcoma_{slide:04d}.svs_roi_{n}.png", str(p), str(n), name, name, "Uncertain" if n % 2 else "Myogenic", "Spindle" if (p + n) % 2 else "Epithelioid"))
-    return spark.createDataFrame(rows, "slide_name string, patient_idx string, roi_idx string, diagnosis_raw string, diagnosis string, differentiation string, growth_pattern string")
+    df = spark.createDataFrame(rows, "slide_name string, patient_idx string, roi_idx string, diagnosis_raw string, diagnosis string, differentiation string, growth_pattern string")
+    return df.withColumns({c: F.lit("0") for c in manifest.REQUIRED if c not in df.columns})
 
 
 def files_of(rows):
