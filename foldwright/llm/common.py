@@ -1,37 +1,9 @@
-"""Shared folder, materialised tables and row digests used by the operators of this subpackage."""
-
-import re
-import tempfile
-import uuid
+"""What the operators of this subpackage share: the tables of the library, added columns and row digests."""
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where that setting is missing and Spark runs in this process alone (tests), a temporary folder is
-    made and set; on a cluster, where executors could not see it, that is an error.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not re.match(r"local($|\[)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        where = tempfile.mkdtemp(prefix="foldwright-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    Cuts the lineage at a table that survives the loss of any executor.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..sources.shared import materialise, shared_dir  # noqa: F401
 
 
 def free_name(docs: DataFrame, name: str) -> str:
