@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import hash32
+from .compare import holm
 from .evaluate import METRICS, class_counts
 from .folds import numbered
 
@@ -307,3 +308,27 @@ def paired_class_test(pairs: DataFrame, groups: DataFrame, classes: DataFrame, k
 
     sums = resampled_sums(wide, [*keys, "class_id"], names, groups, replicates, seed, ("draw", "flip"))
     return _finish(with_universe(sums, classes), keys, f"metric string, {TEST}", finish)
+
+
+def statistics_run(values: DataFrame, pairs: DataFrame, groups: DataFrame, keys: list[str], pair_keys: list[str], family: list[str], replicates: int,
+                   level: float = 0.95, seed=0, rows: DataFrame | None = None, classes: DataFrame | None = None) -> DataFrame:
+    """All statistics of a result set over the same draws: ``kind, <keys>, metric, value, ci_low, ci_high, p_value, p_holm``.
+
+    ``values`` (``keys..., grp, value``) give intervals of means, ``pairs`` (``pair_keys..., grp, a, b``) paired
+    tests, corrected within ``family`` (some of ``pair_keys``); with ``rows`` and ``classes``, predictions
+    give intervals of every classification metric too.  Draws are digests, so all parts share them
+    without a table of draws; columns a part lacks are null.
+    """
+    order = ["kind", *dict.fromkeys([*keys, *pair_keys]), "metric", "value", "ci_low", "ci_high", "p_value", "p_holm"]
+
+    def shaped(part: DataFrame, kind: str, value: str) -> DataFrame:
+        part = part.withColumns({"kind": F.lit(kind), "value": F.col(value)})
+        texts = {"metric", *keys, *pair_keys}
+        return part.select(*[(F.col(c) if c in part.columns else F.lit(None)).cast("string" if c in texts | {"kind"} else "double").alias(c) for c in order])
+
+    tests = paired_mean_test(pairs, groups, pair_keys, replicates, level, seed)
+    out = shaped(mean_intervals(values, groups, keys, replicates, level, seed), "mean", "estimate").unionByName(
+        shaped(holm(tests, "p_value", family), "difference", "difference"))
+    if rows is not None and classes is not None:
+        out = out.unionByName(shaped(classification_intervals(rows, groups, classes, keys, replicates, level, seed), "classification", "estimate"))
+    return out

@@ -308,7 +308,7 @@ _ENCODERS = f"""pos AS (SELECT *, {b.mix32(f"((base + pos * {resample.GOLDEN}) %
     p AS (SELECT nul.k, (sum(CASE WHEN abs(value) >= abs(difference) - {_SLACK} THEN 1 ELSE 0 END) + 1) / {b.REPLICATES + 1}.0 AS p_value FROM nul JOIN seen ON nul.k = seen.k GROUP BY ALL)"""
 
 
-@query(b.sql(["per_query", "half_per_query", "reps"], f"""WITH {_ENCODERS} SELECT {longs('k')}, {rounded('difference', 'ci_low', 'ci_high', 'probability_a_better', 'p_value')}, n_bootstrap FROM (
+@query(b.sql(["per_query", "half_per_query", "reps"], f"""SELECT {longs('k')}, {rounded('difference', 'ci_low', 'ci_high', 'probability_a_better', 'p_value')}, n_bootstrap FROM (WITH {_ENCODERS}
     SELECT seen.k, difference, ci_low, ci_high, probability_a_better, p_value, n_bootstrap FROM seen JOIN q ON seen.k = q.k JOIN p ON seen.k = p.k)"""))
 def paired_retrieval_test(spark, sf_dir):
     """Average precision of whole vectors against that of their first halves, query by query, with a group bootstrap and sign flips."""
@@ -317,3 +317,23 @@ def paired_retrieval_test(spark, sf_dir):
     metric = lambda items: retrieval.query_metrics(retrieval.exact_topk(items, items, 20), items).join(x.select(F.col("sample").alias("query"), "grp"), "query")
     pairs = compare.agreeing(compare.aligned(metric(x), metric(half), ["k", "query"], ["grp", "fold", "n_relevant"], "average_precision"))
     return resample.paired_mean_test(pairs, x.select("grp", F.lit("all").alias("stratum")).distinct(), ["k"], b.REPLICATES)
+
+
+_MEAN_ROWS = f"""SELECT 'mean' AS kind, model, strategy, CAST(seed AS VARCHAR) AS seed, CAST(NULL AS VARCHAR) AS metric, estimate AS value, ci_low, ci_high, CAST(NULL AS DOUBLE) AS p_value, CAST(NULL AS DOUBLE) AS p_holm, task FROM ({ORACLE_SQL['bootstrap_mean_ci']})"""
+
+
+@query(f"""{_MEAN_ROWS} UNION ALL SELECT 'difference', NULL, t.strategy, CAST(t.seed AS VARCHAR), NULL, difference, ci_low, ci_high, t.p_value, h.p_holm, t.task
+    FROM ({ORACLE_SQL['paired_mean_test']}) t JOIN ({ORACLE_SQL['holm']}) h ON t.task = h.task AND t.strategy = h.strategy AND t.seed = h.seed""")
+def statistics_run(spark, sf_dir):
+    """Intervals of every system's mean and paired tests of the two models, corrected within strategy, over shared draws, task by task."""
+    rows = materialise(b.predictions(spark, sf_dir), "predictions")
+    hit = lambda c: (F.col(c) == F.col("true_id")).cast("double")
+
+    def of(task: str) -> DataFrame:
+        p = rows.where(F.col("task") == task)
+        both = compare.agreeing(compare.aligned(p.where("model = 'beta'"), p.where("model = 'alpha'"), ["strategy", "seed", "sample"], ["grp", "true_id"], "pred_id"))
+        pairs = both.select("strategy", "seed", "grp", hit("a").alias("a"), hit("b").alias("b"))
+        values = p.select("model", "strategy", "seed", "grp", hit("pred_id").alias("value"))
+        return resample.statistics_run(values, pairs, b.signature_groups(b.cohort(spark, sf_dir), task), ["model", "strategy", "seed"], ["strategy", "seed"], ["strategy"], b.REPLICATES)
+
+    return each_task(of, named=True)

@@ -462,32 +462,38 @@ def paired_mean_test(spark, sf_dir):
 
 
 def _diff(source: str, keys: str) -> str:
+    """Differences of metrics between the sides 0 and 1 of the counts in ``source``."""
     wide = _of_counts(source, f"{keys}, side")
-    return f"""SELECT {keys}, metric, sum(CASE WHEN side = 'a' THEN value END) - sum(CASE WHEN side = 'b' THEN value END) AS value
-        FROM (WITH m AS ({wide}) {_unpivot('m', keys + ', side')}) GROUP BY {keys}, metric"""
+    return f"""SELECT {keys}, metric, sum(CASE WHEN side = 0 THEN value ELSE -value END) AS value FROM (WITH m AS ({wide}) {_unpivot('m', keys + ', side')}) GROUP BY {keys}, metric"""
 
 
-_ONE_SIDE = "SELECT strategy, seed, grp, '{0}' AS side, true_id, {0}_id AS pred_id FROM both_sides"
+def _sides(source: str, keys: str) -> str:
+    return " UNION ALL ".join(f"SELECT {keys}, {k} AS side, class_id, tp{k} AS tp, actual{k} AS actual, predicted{k} AS predicted FROM {source}" for k in (0, 1))
+
+
+_SIX = [f"{c}{k}" for c in ("tp", "actual", "predicted") for k in (0, 1)]
 
 
 @query(b.every_task(b.sql(["preds", "weights", "flips", "classes"], f"""SELECT strategy, {longs('seed')}, metric, {_TEST_COLUMNS} FROM (WITH {_PAIRS},
-    sides AS ({_ONE_SIDE.format('a')} UNION ALL {_ONE_SIDE.format('b')}),
+    sides AS (SELECT strategy, seed, grp, 0 AS side, true_id, a_id AS pred_id FROM both_sides UNION ALL SELECT strategy, seed, grp, 1, true_id, b_id FROM both_sides),
     c AS (SELECT strategy, seed, grp, side, class_id, sum(tp) AS tp, sum(actual) AS actual, sum(predicted) AS predicted FROM (
         SELECT strategy, seed, grp, side, true_id AS class_id, CASE WHEN true_id = pred_id THEN 1 ELSE 0 END AS tp, 1 AS actual, 0 AS predicted FROM sides
         UNION ALL SELECT strategy, seed, grp, side, pred_id, 0, 0, 1 FROM sides) GROUP BY ALL),
-    c0 AS (SELECT strategy, seed, side, class_id, sum(tp) AS tp, sum(actual) AS actual, sum(predicted) AS predicted FROM c GROUP BY ALL),
-    seen AS ({_diff('c0', 'strategy, seed')}),
-    c1 AS (SELECT strategy, seed, replicate, side, class_id, sum(tp * weight) AS tp, sum(actual * weight) AS actual, sum(predicted * weight) AS predicted FROM c JOIN weights w ON c.grp = w.grp GROUP BY ALL),
-    r AS ({_diff('c1', 'strategy, seed, replicate')}),
-    c2 AS (SELECT strategy, seed, replicate, CASE WHEN flip = 0 THEN side WHEN side = 'a' THEN 'b' ELSE 'a' END AS side, class_id, sum(tp) AS tp, sum(actual) AS actual, sum(predicted) AS predicted
-        FROM c JOIN flips f ON c.grp = f.grp GROUP BY ALL),
-    nul AS ({_diff('c2', 'strategy, seed, replicate')}),
-    q AS (SELECT strategy, seed, metric, quantile_cont(value, 0.025) AS ci_low, quantile_cont(value, 0.975) AS ci_high, count(*) AS n_bootstrap, avg(CASE WHEN value > 0 THEN 1.0 ELSE 0.0 END) AS probability_a_better
-        FROM r GROUP BY ALL),
-    p AS (SELECT nul.strategy, nul.seed, nul.metric, (sum(CASE WHEN abs(nul.value) >= abs(seen.value) - {_SLACK} THEN 1 ELSE 0 END) + 1) / {b.REPLICATES + 1}.0 AS p_value
-        FROM nul JOIN seen ON nul.strategy = seen.strategy AND nul.seed = seen.seed AND nul.metric = seen.metric GROUP BY ALL)
-    SELECT seen.strategy, seen.seed, seen.metric, seen.value AS difference, ci_low, ci_high, n_bootstrap, probability_a_better, p_value FROM seen
-    JOIN q ON seen.strategy = q.strategy AND seen.seed = q.seed AND seen.metric = q.metric JOIN p ON seen.strategy = p.strategy AND seen.seed = p.seed AND seen.metric = p.metric)"""), named=True))
+    w6 AS MATERIALIZED (SELECT CAST(dense_rank() OVER (ORDER BY strategy, seed) AS INTEGER) AS sys, * FROM (SELECT strategy, seed, grp, CAST(class_id AS TINYINT) AS class_id,
+        {", ".join(f"CAST(sum(CASE WHEN side = {x[-1]} THEN {x[:-1]} ELSE 0 END) AS DOUBLE) AS {x}" for x in _SIX)} FROM c GROUP BY ALL)),
+    names AS (SELECT DISTINCT sys, strategy, seed FROM w6),
+    c0 AS MATERIALIZED (SELECT sys, class_id, {", ".join(f"sum({x}) AS {x}" for x in _SIX)} FROM w6 GROUP BY 1, 2), seen AS ({_diff('(' + _sides('c0', 'sys') + ')', 'sys')}),
+    c1 AS MATERIALIZED (SELECT sys, CAST(replicate AS INTEGER) AS replicate, class_id, {", ".join(f"sum({x} * weight) AS {x}" for x in _SIX)} FROM w6 JOIN weights w ON w6.grp = w.grp GROUP BY 1, 2, 3),
+    r AS MATERIALIZED ({_diff('(' + _sides('c1', 'sys, replicate') + ')', 'sys, replicate')}),
+    moved AS MATERIALIZED (SELECT sys, CAST(replicate AS INTEGER) AS replicate, class_id, sum(tp1 - tp0) AS tp, sum(predicted1 - predicted0) AS predicted FROM (SELECT * FROM w6 WHERE tp1 <> tp0 OR predicted1 <> predicted0) w6
+        JOIN (SELECT replicate, grp FROM flips WHERE flip = 1) f ON w6.grp = f.grp GROUP BY 1, 2, 3),
+    c2 AS (SELECT g.sys, g.replicate, g.class_id, tp0 + coalesce(m.tp, 0) AS tp0, tp1 - coalesce(m.tp, 0) AS tp1, actual0, actual1, predicted0 + coalesce(m.predicted, 0) AS predicted0, predicted1 - coalesce(m.predicted, 0) AS predicted1
+        FROM (SELECT c0.*, CAST(replicate AS INTEGER) AS replicate FROM c0 CROSS JOIN reps) g LEFT JOIN moved m ON g.sys = m.sys AND g.replicate = m.replicate AND g.class_id = m.class_id),
+    nul AS MATERIALIZED ({_diff('(' + _sides('c2', 'sys, replicate') + ')', 'sys, replicate')}),
+    q AS (SELECT sys, metric, quantile_cont(value, 0.025) AS ci_low, quantile_cont(value, 0.975) AS ci_high, count(*) AS n_bootstrap, avg(CASE WHEN value > 0 THEN 1.0 ELSE 0.0 END) AS probability_a_better FROM r GROUP BY ALL),
+    p AS (SELECT nul.sys, nul.metric, (sum(CASE WHEN abs(nul.value) >= abs(seen.value) - {_SLACK} THEN 1 ELSE 0 END) + 1) / {b.REPLICATES + 1}.0 AS p_value FROM nul JOIN seen ON nul.sys = seen.sys AND nul.metric = seen.metric GROUP BY ALL)
+    SELECT n.strategy, n.seed, seen.metric, seen.value AS difference, ci_low, ci_high, n_bootstrap, probability_a_better, p_value FROM seen
+    JOIN q ON seen.sys = q.sys AND seen.metric = q.metric JOIN p ON seen.sys = p.sys AND seen.metric = p.metric JOIN names n ON n.sys = seen.sys)"""), named=True))
 def paired_class_test(spark, sf_dir):
     def of(task: str) -> DataFrame:
         pairs = _paired(spark, sf_dir, task).select("strategy", "seed", "sample", "grp", "true_id", F.col("a").alias("a_id"), F.col("b").alias("b_id"))
