@@ -19,7 +19,7 @@ from .evaluate import METRICS, class_counts
 from .folds import numbered
 
 #: Groups in a slice, replicates in a row of sums, and replicates drawn at once.
-SLICE, CHUNK, AT_ONCE = 2048, 500, 50
+SLICE, CHUNK, AT_ONCE = 2048, 2000, 50
 # The steps by which slots and replicates are counted on, and the multiplier of ``mix32``.
 GOLDEN, START, MULTIPLIER = 2654435769, 362437, 73244475
 COUNTS = ("tp", "actual", "predicted")
@@ -148,6 +148,8 @@ def resampled_sums(stats: DataFrame, keys: list[str], values: list[str], groups:
         return pd.concat(parts, ignore_index=True)
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) == 1:
+            return pdf
         out = pdf.iloc[:1].copy()
         for v in values:
             out[v] = [np.sum(np.stack(pdf[v].to_list()), axis=0)]
@@ -256,7 +258,7 @@ def ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(a, b, out=np.zeros(len(a)), where=b != 0)
 
 
-#: Eight times the distance from 1 to the next double: a null value this close below the observed one counts as extreme.
+#: Eight times the distance from 1 to the next double: a null value this close below the observed one counts as extreme, a difference this small as none.
 SLACK = 8 * 2.220446049250313e-16
 TEST = "difference double, ci_low double, ci_high double, n_bootstrap long, probability_a_better double, p_value double"
 
@@ -274,7 +276,7 @@ def paired_mean_test(pairs: DataFrame, groups: DataFrame, keys: list[str], repli
         drawn, turned = pdf[pdf["kind"] == "draw"], pdf[pdf["kind"] == "flip"]
         s, c = pdf["s_total"].iloc[0], pdf["c_total"].iloc[0]
         reps, null = ratio(along(drawn, "s"), along(drawn, "c")), (s - 2 * along(turned, "s")) / c
-        return [{"difference": s / c, **percentiles(reps, level), "probability_a_better": float((reps > 0).mean()), "p_value": p_value(null, s / c)}]
+        return [{"difference": s / c, **percentiles(reps, level), "probability_a_better": float((reps > SLACK).mean()), "p_value": p_value(null, s / c)}]
 
     return _finish(resampled_sums(sums, keys, ["s", "c"], groups, replicates, seed, ("draw", "flip")), keys, TEST, finish)
 
@@ -303,7 +305,7 @@ def paired_class_test(pairs: DataFrame, groups: DataFrame, classes: DataFrame, k
         rows = []
         for m in METRICS:
             d, r = float(seen[0][m] - seen[1][m]), reps[0][m] - reps[1][m]
-            rows.append({"metric": m, "difference": d, **percentiles(r, level), "probability_a_better": float((r > 0).mean()), "p_value": p_value(nulls[0][m] - nulls[1][m], d)})
+            rows.append({"metric": m, "difference": d, **percentiles(r, level), "probability_a_better": float((r > SLACK).mean()), "p_value": p_value(nulls[0][m] - nulls[1][m], d)})
         return rows
 
     sums = resampled_sums(wide, [*keys, "class_id"], names, groups, replicates, seed, ("draw", "flip"))

@@ -303,7 +303,7 @@ _ENCODERS = f"""pos AS (SELECT *, {b.mix32(f"((base + pos * {resample.GOLDEN}) %
     s AS (SELECT x.k, i.grp, sum(x.average_precision - y.average_precision) AS s, count(*) AS c FROM per_query x JOIN half_per_query y ON x.query = y.query AND x.k = y.k JOIN items i ON x.query = i.sample GROUP BY ALL),
     seen AS (SELECT k, sum(s) / sum(c) AS difference FROM s GROUP BY k),
     r AS (SELECT k, replicate, sum(s * weight) / sum(c * weight) AS value FROM s JOIN w ON s.grp = w.grp GROUP BY ALL),
-    q AS (SELECT k, quantile_cont(value, 0.025) AS ci_low, quantile_cont(value, 0.975) AS ci_high, count(*) AS n_bootstrap, avg(CASE WHEN value > 0 THEN 1.0 ELSE 0.0 END) AS probability_a_better FROM r GROUP BY k),
+    q AS (SELECT k, quantile_cont(value, 0.025) AS ci_low, quantile_cont(value, 0.975) AS ci_high, count(*) AS n_bootstrap, avg(CASE WHEN value > {_SLACK} THEN 1.0 ELSE 0.0 END) AS probability_a_better FROM r GROUP BY k),
     nul AS (SELECT k, replicate, sum(CASE WHEN flip = 1 THEN -s ELSE s END) / sum(c) AS value FROM s JOIN flips f ON s.grp = f.grp GROUP BY ALL),
     p AS (SELECT nul.k, (sum(CASE WHEN abs(value) >= abs(difference) - {_SLACK} THEN 1 ELSE 0 END) + 1) / {b.REPLICATES + 1}.0 AS p_value FROM nul JOIN seen ON nul.k = seen.k GROUP BY ALL)"""
 

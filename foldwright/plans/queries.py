@@ -439,7 +439,7 @@ _MEAN_TEST = f"""WITH {_PAIRS},
     seen AS (SELECT strategy, seed, sum(s) / sum(c) AS difference FROM s GROUP BY ALL),
     r AS (SELECT strategy, seed, replicate, sum(s * weight) / sum(c * weight) AS value FROM s JOIN weights w ON s.grp = w.grp GROUP BY ALL),
     q AS (SELECT strategy, seed, quantile_cont(value, 0.025) AS ci_low, quantile_cont(value, 0.975) AS ci_high, count(*) AS n_bootstrap,
-        avg(CASE WHEN value > 0 THEN 1.0 ELSE 0.0 END) AS probability_a_better FROM r GROUP BY ALL),
+        avg(CASE WHEN value > {_SLACK} THEN 1.0 ELSE 0.0 END) AS probability_a_better FROM r GROUP BY ALL),
     nul AS (SELECT strategy, seed, replicate, sum(CASE WHEN flip = 1 THEN -s ELSE s END) / sum(c) AS value FROM s JOIN flips f ON s.grp = f.grp GROUP BY ALL),
     p AS (SELECT nul.strategy, nul.seed, (sum(CASE WHEN abs(value) >= abs(difference) - {_SLACK} THEN 1 ELSE 0 END) + 1) / {b.REPLICATES + 1}.0 AS p_value
         FROM nul JOIN seen ON nul.strategy = seen.strategy AND nul.seed = seen.seed GROUP BY ALL)
@@ -490,7 +490,7 @@ _SIX = [f"{c}{k}" for c in ("tp", "actual", "predicted") for k in (0, 1)]
     c2 AS (SELECT g.sys, g.replicate, g.class_id, tp0 + coalesce(m.tp, 0) AS tp0, tp1 - coalesce(m.tp, 0) AS tp1, actual0, actual1, predicted0 + coalesce(m.predicted, 0) AS predicted0, predicted1 - coalesce(m.predicted, 0) AS predicted1
         FROM (SELECT c0.*, CAST(replicate AS INTEGER) AS replicate FROM c0 CROSS JOIN reps) g LEFT JOIN moved m ON g.sys = m.sys AND g.replicate = m.replicate AND g.class_id = m.class_id),
     nul AS MATERIALIZED ({_diff('(' + _sides('c2', 'sys, replicate') + ')', 'sys, replicate')}),
-    q AS (SELECT sys, metric, quantile_cont(value, 0.025) AS ci_low, quantile_cont(value, 0.975) AS ci_high, count(*) AS n_bootstrap, avg(CASE WHEN value > 0 THEN 1.0 ELSE 0.0 END) AS probability_a_better FROM r GROUP BY ALL),
+    q AS (SELECT sys, metric, quantile_cont(value, 0.025) AS ci_low, quantile_cont(value, 0.975) AS ci_high, count(*) AS n_bootstrap, avg(CASE WHEN value > {_SLACK} THEN 1.0 ELSE 0.0 END) AS probability_a_better FROM r GROUP BY ALL),
     p AS (SELECT nul.sys, nul.metric, (sum(CASE WHEN abs(nul.value) >= abs(seen.value) - {_SLACK} THEN 1 ELSE 0 END) + 1) / {b.REPLICATES + 1}.0 AS p_value FROM nul JOIN seen ON nul.sys = seen.sys AND nul.metric = seen.metric GROUP BY ALL)
     SELECT n.strategy, n.seed, seen.metric, seen.value AS difference, ci_low, ci_high, n_bootstrap, probability_a_better, p_value FROM seen
     JOIN q ON seen.sys = q.sys AND seen.metric = q.metric JOIN p ON seen.sys = p.sys AND seen.metric = p.metric JOIN names n ON n.sys = seen.sys)"""), named=True))
