@@ -123,3 +123,71 @@ def test_probe_separates_two_classes_and_repeats(spark):
     assert max(abs(a - b) for x, y in zip(one, again) for a, b in zip(x[2], y[2])) < 1e-9
     w = probe.class_weights(items.withColumn("k", F.lit(0)), ["k"]).collect()
     assert [r["weight"] for r in w] == [1.0, 1.0]
+
+
+def test_group_in_two_strata_and_values_that_are_not_finite_fail(spark):
+    df, groups = bootstrap_rows(spark)
+    torn = groups.union(groups.where("grp = 'A0'").withColumn("stratum", F.lit("other")))
+    with pytest.raises(Exception, match="one stratum"):
+        resample.draws(torn, 5, 0).collect()
+    values = df.select("task", "grp", F.when(F.col("sample") == "3", F.lit(float("nan"))).otherwise(F.lit(1.0)).alias("value"))
+    with pytest.raises(Exception, match="finite"):
+        resample.mean_intervals(values, groups, ["task"], 5).collect()
+    with pytest.raises(Exception, match="no stratum"):
+        resample.mean_intervals(df.select("task", "grp", F.lit(1.0).alias("value")), groups.where("grp <> 'A0'"), ["task"], 5).collect()
+
+
+def test_sums_of_replicates_equal_a_join_with_the_draws(spark):
+    rows = [(f"g{i}", f"s{i % 3}", float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "grp string, stratum string, v double")
+    sums = resample.resampled_sums(df.select("grp", "v").withColumn("k", F.lit("x")), ["k"], ["v"], df.select("grp", "stratum"), 30, 4).collect()
+    got = [x for r in sorted(sums, key=lambda r: r["first"]) for x in r["v"]]
+    value = {g: v for g, _, v in rows}
+    want = [0.0] * 30
+    for r in resample.draws(df.select("grp", "stratum"), 30, 4).collect():
+        want[r["replicate"]] += r["weight"] * value[r["grp"]]
+    assert got == pytest.approx(want) and sums[0]["v_total"] == sum(value.values())
+
+
+def test_statistics_run_is_its_parts(spark):
+    df, groups = bootstrap_rows(spark)
+    values = df.select("task", "grp", (F.col("a_id") == F.col("true_id")).cast("double").alias("value"))
+    pairs = df.select("task", "grp", (F.col("a_id") == F.col("true_id")).cast("double").alias("a"), (F.col("b_id") == F.col("true_id")).cast("double").alias("b"))
+    rows = df.select("task", "sample", "grp", "true_id", F.col("a_id").alias("pred_id"))
+    out = {(r["kind"], r["metric"]): r for r in resample.statistics_run(values, pairs, groups, ["task"], ["task"], ["task"], 40, rows=rows, classes=classes(spark, 3)).collect()}
+    mean, test = resample.mean_intervals(values, groups, ["task"], 40).first(), resample.paired_mean_test(pairs, groups, ["task"], 40).first()
+    assert out["mean", None]["ci_low"] == mean["ci_low"] and out["difference", None]["p_value"] == out["difference", None]["p_holm"] == test["p_value"]
+    assert {m for k, m in out if k == "classification"} == set(evaluate.METRICS)
+
+
+def test_pairs_that_do_not_match_fail(spark):
+    left = spark.createDataFrame([(1, "g", 0, 1), (2, "g", 0, 0)], "sample int, grp string, true_id int, pred_id int")
+    same = compare.agreeing(compare.aligned(left, left, ["sample"], ["grp", "true_id"], "pred_id"))
+    assert same.count() == 2
+    for bad in (left.where("sample = 1"), left.withColumn("true_id", F.lit(5))):
+        with pytest.raises(Exception, match="other rows"):
+            compare.agreeing(compare.aligned(left, bad, ["sample"], ["grp", "true_id"], "pred_id")).collect()
+
+
+def test_first_rows_and_positions(spark):
+    df = spark.createDataFrame([(5, "b"), (3, "a"), (4, None), (1, "z")], "k int, v string")
+    assert [r["k"] for r in report.first_n(df, ["k"], 2).collect()] == [1, 3]
+    assert [r["k"] for r in report.first_failures(df, F.col("v") != "z", ["k"], 1).collect()] == [1]
+    assert [r["k"] for r in report.first_failures(df, F.col("v") != "z", ["k"]).collect()] == [1, 4]
+    assert {r["v"]: r["position"] for r in report.with_position(df.where("v is not null"), {"v": ["z"]}).collect()} == {"z": 0, "a": 1, "b": 2}
+
+
+def test_missing_predictions_get_a_row_of_nulls(spark):
+    df = spark.createDataFrame([(1, 0, 10, [0.2, 0.8]), (1, 0, 99, [0.5, 0.5]), (2, 0, 10, [0.9, 0.1]), (2, 0, 11, [0.9, 0.1])], "seed int, fold int, sample int, probs array<double>")
+    samples = spark.createDataFrame([(10,), (11,)], "sample int")
+    got = {(r["seed"], r["sample"]): r["class_id"] for r in evaluate.assemble(df, samples, ["seed"]).collect()}
+    assert got == {(1, 10): 1, (1, 11): None, (2, 10): 0, (2, 11): 0}
+
+
+def test_probe_refuses_bad_items(spark):
+    rows = [(f"{f}{c}", f"p{f}{c}", f, c, [1.0, float(f)]) for f in range(3) for c in "AB"]
+    items = spark.createDataFrame(rows, "sample string, grp string, fold int, label string, features array<double>")
+    checks.require(probe.probe_checks(items, 3))
+    for bad in (items.where("fold < 2"), items.withColumn("fold", F.lit(0)), items.withColumn("features", F.when(F.col("sample") != "0A", F.col("features"))), items.union(items)):
+        with pytest.raises(ValueError):
+            checks.require(probe.probe_checks(bad, 3))

@@ -91,3 +91,20 @@ def test_sinks_and_import(spark, tmp_path):
         tables.import_vectors(df, keys, {"pooling": "max"}, 2)
     tables.write_results(keys, str(tmp_path / "o"), compress=True)
     assert spark.read.option("header", True).csv(str(tmp_path / "o")).count() == 1
+
+
+def test_import_is_one_to_one(spark):
+    df = spark.createDataFrame([("k1", [1.0]), ("k2", [2.0])], "old_key string, features array<double>")
+    for pairs in ([("k1", "s1")], [("k1", "s1"), ("k2", "s1")], [("k1", "s1"), ("k2", "s2"), ("k3", "s3")]):
+        with pytest.raises(ValueError, match="one to one"):
+            tables.import_vectors(df, spark.createDataFrame(pairs, "old_key string, sample string"), {}, 1)
+
+
+def test_store_refuses_another_width(spark, tmp_path):
+    path, schema = str(tmp_path / "store"), tables.feature_schema()
+    row = lambda i, m, n: (i, m, [1.0] * 3, [1.0] * n, [1.0] * 3, True, {"run": "1"})
+    tables.append_features(spark.createDataFrame([row("a", "m", 3)], schema), path, None)
+    with pytest.raises(ValueError, match="width"):
+        tables.append_features(spark.createDataFrame([row("b", "m", 4)], schema), path, spark.read.parquet(path))
+    tables.append_features(spark.createDataFrame([row("a", "other", 4)], schema), path, spark.read.parquet(path))
+    assert spark.read.parquet(path).count() == 2
