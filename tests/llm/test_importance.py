@@ -54,3 +54,17 @@ def test_edge_cases(spark):
     out = im.resample(docs, none).collect()
     assert len(out) == 4 and all(r["kept"] for r in out)
     assert im.resample(docs.limit(0), none).count() == 0
+    clash = docs.withColumns({"kept": im.F.lit(1), "score": im.F.lit(2)})
+    assert im.resample(clash, none).columns == im.resample(docs, none).columns
+
+
+def test_kept_rows_are_the_gumbel_top_k(spark):
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=12))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(150)], "doc_id long, quality int")
+    out = im.resample(docs, labels, share=0.2, seed=5).collect()
+    noise = {r["doc_id"]: r["g"] for r in docs.select("doc_id", im.gumbel(im.F.col("doc_id"), 5).alias("g")).collect()}
+    assert abs(sum(noise.values()) / 300 - 0.5772) < 0.25  # the mean of standard Gumbel noise
+    keys = {r["doc_id"]: r["log_ratio"] + noise[r["doc_id"]] for r in out}
+    assert {r["doc_id"] for r in out if r["kept"]} == set(sorted(keys, key=keys.get, reverse=True)[:60])

@@ -73,6 +73,11 @@ def test_predictions_and_edge_cases(spark):
     got = [(r["doc_id"], r["language"]["lang_pred"]) for r in li.predict(ask, model).orderBy("doc_id").collect()]
     assert got == [(1, "aa"), (2, "bb"), (3, "und"), (4, "und"), (5, "und"), (5, "und"), (6, "aa")]
     assert all(0 <= r["language"]["score"] <= 1 for r in li.predict(ask, model).collect())
+    clash = li.predict(ask.withColumnRenamed("language_old", "LANGUAGE"), model)
+    assert clash.columns == ["doc_id", "text", "LANGUAGE_given", "language"] and {r["LANGUAGE_given"] for r in clash.collect()} == {"x"}
+    # Languages that were learned from the same texts tie; the first name wins.
+    twins = spark.createDataFrame([(i, "lorem ipsum dolor", k) for i, k in enumerate(("zz", "yy", "xx"))], "doc_id long, text string, lang string")
+    assert li.predict(ask.limit(1), li.train(twins)).first()["language"]["lang_pred"] == "xx"
 
 
 def test_no_languages(spark):

@@ -91,6 +91,8 @@ def test_rows_of_epochs_and_edge_cases(spark):
     one = mixing.mix(df.drop("epochs"), plan)
     assert len({r["epochs"] for r in one.where("doc_id = 1").collect()}) <= 1
     assert mixing.mix(df.drop("epochs").limit(0), plan).count() == 0
+    clash = mixing.mix(df, plan)
+    assert clash.columns == ["doc_id", "text", "lang", "source", "epochs_given", "epochs", "epochs_leaf"] and {r["epochs_given"] for r in clash.collect()} == {5}
     again = lambda d: sorted(map(str, mixing.mix(d, mixing.Plan(target_share=50)).collect()))
     big = spark.createDataFrame(corpus(9), SCHEMA)
     assert again(big) == again(big.repartition(13))

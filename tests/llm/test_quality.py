@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from foldwright.llm import quality
 
@@ -68,6 +69,9 @@ def test_measures_equal_brute_force(spark):
     good = quality.keep_good(df)
     assert good.columns == df.columns and {r["doc_id"] for r in good.collect()} - {len(rows) - 1} == kept
     assert quality.measure(df.limit(0)).count() == 0
+    twice = quality.measure(df.limit(3).union(df.limit(3)).withColumn("quality", F.lit(7)))
+    assert twice.columns == ["doc_id", "text", "kept", "quality_given", "quality"]
+    assert all(len({str(r["quality"]) for r in twice.where(F.col("doc_id") == i).collect()}) == 1 and twice.where(F.col("doc_id") == i).count() == 2 for i in range(3))
 
 
 @pytest.mark.parametrize("limit", [0.05, 0.6])
