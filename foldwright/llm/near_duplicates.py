@@ -41,6 +41,8 @@ LEVELS = ((128, 32, 4), (4096, 80, 8))
 SURE = 5.2
 #: Nodes in a slice of a bucket of the second level, and pairs of nodes that a task compares at once.
 SLICE, AT_ONCE = 512, 1 << 15
+#: Tasks over which the links of one id are dealt.
+PARTS = 8
 
 
 def shingles(texts: list[str], size: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -216,7 +218,9 @@ def star(links: DataFrame, larger: bool) -> DataFrame:
     """
     both = links.union(links.select("b", "a")) if larger else links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    moved = both.join(least, "a")
+    # A hub's links are dealt to several tasks, each of which gets its minimum.
+    dealt = least.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    moved = both.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(PARTS)).cast("int")).join(dealt, ["a", "part"]).drop("part")
     if larger:
         moved = moved.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
