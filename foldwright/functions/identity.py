@@ -51,15 +51,34 @@ def safe_name(value: Column) -> Column:
     return F.regexp_replace(value, r"[^0-9A-Za-z_.-]+", "_")
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """A number with so many decimals, rounded by its exact binary value as C and Python do (0.5515 is a little less than that).
+
+    Between two neighbours it is compared with the double nearest to their middle; where it is that
+    double, the middle's own side of it follows from an exact product (split factors), and a true tie goes to the even one.
+    """
+    unit = 10**digits
+    y = F.abs(x.cast("double"))
+    below = F.floor(y * F.lit(float(unit)))
+    odd = (2 * below + 1).cast("double")
+    middle = odd / F.lit(2.0 * unit)
+    high = middle * F.lit(134217729.0) - (middle * F.lit(134217729.0) - middle)
+    off = (high * F.lit(2.0 * unit) - odd) + (middle - high) * F.lit(2.0 * unit)
+    up = (y > middle) | ((y == middle) & ((off > 0) | ((off == 0) & (below % 2 == 1))))
+    n = (below + up.cast("long")).cast("long")
+    whole = F.concat(F.when(x < 0, "-").otherwise(""), F.floor(n / F.lit(unit)).cast("string"))
+    return F.concat(whole, F.lit("."), F.lpad((n % unit).cast("string"), digits, "0")) if digits else whole
+
+
 def mean_sd_cell(mean: Column, sd: Column, digits: int = 3) -> Column:
     """``0.700 ± 0.079``; null where a part is null or not finite."""
     finite = mean.isNotNull() & sd.isNotNull() & ~F.isnan(mean) & ~F.isnan(sd) & (F.abs(mean) < F.lit(float("inf"))) & (F.abs(sd) < F.lit(float("inf")))
-    return F.when(finite, F.format_string(f"%.{digits}f ± %.{digits}f", mean.cast("double"), sd.cast("double")))
+    return F.when(finite, F.concat(fixed(mean, digits), F.lit(" ± "), fixed(sd, digits)))
 
 
 def interval_cell(low: Column, high: Column, digits: int = 3) -> Column:
     """``0.600–0.800``; null unless 0 <= low <= high <= 1."""
-    return F.when((low >= 0) & (low <= high) & (high <= 1), F.format_string(f"%.{digits}f–%.{digits}f", low.cast("double"), high.cast("double")))
+    return F.when((low >= 0) & (low <= high) & (high <= 1), F.concat(fixed(low, digits), F.lit("–"), fixed(high, digits)))
 
 
 def hash32(*parts) -> Column:

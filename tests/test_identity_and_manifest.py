@@ -42,6 +42,9 @@ def test_cells(spark):
     got = df.select(identity.mean_sd_cell(F.lit(0.7), F.lit(0.0790569)), identity.mean_sd_cell(F.lit(float("nan")), F.lit(0.1)),
                     identity.interval_cell(F.lit(0.6), F.lit(0.8)), identity.interval_cell(F.lit(0.9), F.lit(0.8)), identity.safe_divide(F.lit(1), F.lit(0))).first()
     assert tuple(got) == ("0.700 ± 0.079", None, "0.600–0.800", None, 0.0)
+    some = [0.0, 1.0, 0.5515, 0.0005, 0.0015, 0.9995, 0.99951, 1234.5675, -0.0625, 0.125, 0.0625, 0.1875, *[k / 2000 for k in range(1, 2000, 2)], *[k / 7919 for k in range(500)]]
+    rows = spark.createDataFrame([(x,) for x in some], "x double").select("x", identity.fixed(F.col("x"), 3).alias("s")).collect()
+    assert [r["s"] for r in rows] == [f"{r['x']:.3f}" for r in rows]
 
 
 def test_manifest(spark):
