@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identity, vectors
 from ..functions.digest import json_digest
-from ..operators import checks, compare, evaluate, manifest, report, resample, retrieval
+from ..operators import checks, compare, evaluate, lineage, manifest, report, resample, retrieval
 from ..sources import files as file_source
 from ..sources import tables as table_source
 from ..sources.shared import materialise, shared_dir
@@ -127,13 +127,44 @@ def release_summary(spark, sf_dir):
     return file_source.verification_summary(file_source.verify(*_release(spark, sf_dir), digest="md5"))
 
 
-@query(_ROW.format("""SELECT 'same inputs' AS name, 2 * count(DISTINCT CASE WHEN p_partkey % 23 = 0 THEN (p_brand, p_size, p_name) END) AS bad FROM part
-    UNION ALL SELECT 'inputs were produced', count(CASE WHEN p_partkey % 23 = 0 THEN 1 END) FROM part"""))
+# Parts as files of a first run, and of a second one in which files were lost, changed, moved and added and paths are spelt otherwise.
+_RUNS = """one AS (SELECT p_brand AS role, 'in/' || p_brand || '/' || p_partkey AS key, CAST(p_size AS BIGINT) AS size_bytes, upper(sha256(p_name)) AS sha256, p_partkey AS k FROM part),
+    two AS (SELECT role, CASE WHEN k % 31 = 0 THEN 'moved/' || k ELSE key END AS key, size_bytes, CASE WHEN k % 23 = 0 THEN 'CHANGED ' || sha256 ELSE sha256 END AS sha256 FROM one WHERE k % 29 <> 0
+            UNION ALL SELECT role, 'new/' || k, size_bytes, sha256 FROM one WHERE k % 37 = 0),
+    a AS (SELECT role, lower(key) AS key, size_bytes, sha256 FROM one), b AS (SELECT role, lower(key) AS key, size_bytes, sha256 FROM two),
+    gone AS (SELECT * FROM a EXCEPT SELECT * FROM b), come AS (SELECT * FROM b EXCEPT SELECT * FROM a)"""
+
+
+def _runs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    p = b.table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    one = p.select(F.col("p_brand").alias("role"), F.concat_ws("/", F.lit("in"), "p_brand", k.cast("string")).alias("path"), F.col("p_size").alias("size_bytes"), F.sha2(F.col("p_name").cast("binary"), 256).alias("sha256"), k.alias("k"))
+    k = F.col("k")
+    spelt = F.when(k % 5 == 0, F.upper("path")).when(k % 5 == 1, F.concat(F.lit("./in/x/..//"), F.substring("path", 4, 1000))).when(k % 5 == 2, F.translate("path", "/", "\\")).otherwise(F.col("path"))
+    path = F.when(k % 31 == 0, F.concat(F.lit("moved/"), k.cast("string"))).otherwise(spelt)
+    two = one.where(k % 29 != 0).withColumns({"path": path, "sha256": F.when(k % 23 == 0, F.concat(F.lit("changed "), "sha256")).otherwise(F.col("sha256"))})
+    return one.drop("k"), two.unionByName(one.where(k % 37 == 0).withColumn("path", F.concat(F.lit("new/"), k.cast("string")))).drop("k")
+
+
+@query(_ROW.format(f"""WITH {_RUNS} SELECT 'same inputs' AS name, (SELECT count(*) FROM gone) + (SELECT count(*) FROM come) AS bad
+    UNION ALL SELECT 'inputs are recorded', count(*) FROM (SELECT key FROM b EXCEPT SELECT key FROM a)
+    UNION ALL SELECT 'inputs were produced', count(*) FROM (SELECT key, size_bytes, sha256 FROM b EXCEPT SELECT key, size_bytes, sha256 FROM a)
+    UNION ALL SELECT 'inputs are the given files', (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) + (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a))"""))
 def lineage_check(spark, sf_dir):
-    """Two runs over the same files, of which the second read some that had changed."""
-    p = b.table(spark, sf_dir, "part").select(F.col("p_brand").alias("role"), F.concat_ws("/", "p_brand", F.col("p_partkey").cast("string")).alias("path"), F.col("p_size").alias("size_bytes"), F.sha2(F.col("p_name").cast("binary"), 256).alias("sha256"), "p_partkey")
-    later = p.withColumn("sha256", F.when(F.col("p_partkey") % 23 == 0, F.concat(F.lit("changed "), "sha256")).otherwise(F.col("sha256")))
-    return checks.union_checks(file_source.same_lineage(p, later), file_source.consumed_of_produced(later, p))
+    """The rules of lineage on two runs, the second of which read other files."""
+    one, two = _runs(spark, sf_dir)
+    return checks.union_checks(lineage.same_lineage(one, two), lineage.bound_paths(two, one), lineage.consumed_of_produced(two, one), lineage.exact_inputs(two, one))
+
+
+@query(f"""WITH {_RUNS}, changed AS (SELECT g.role, g.key, c.size_bytes AS new_size_bytes, c.sha256 AS new_sha256, g.size_bytes, g.sha256 FROM gone g JOIN come c ON g.role = c.role AND g.key = c.key),
+    l AS (SELECT *, row_number() OVER (PARTITION BY role, size_bytes, sha256 ORDER BY md5(key), key) AS place FROM gone WHERE (role, key) NOT IN (SELECT (role, key) FROM changed)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY role, size_bytes, sha256 ORDER BY md5(key), key) AS place FROM come WHERE (role, key) NOT IN (SELECT (role, key) FROM changed))
+    SELECT role, 'changed' AS status, key AS old_key, key AS new_key, size_bytes, sha256, new_size_bytes, new_sha256 FROM changed
+    UNION ALL SELECT coalesce(l.role, r.role), CASE WHEN l.key IS NULL THEN 'added' WHEN r.key IS NULL THEN 'lost' ELSE 'moved' END, l.key, r.key, l.size_bytes, l.sha256, r.size_bytes, r.sha256
+    FROM l FULL JOIN r ON l.role = r.role AND l.size_bytes = r.size_bytes AND l.sha256 = r.sha256 AND l.place = r.place""")
+def lineage_differences(spark, sf_dir):
+    """Every file of two runs that is not in both: changed, moved, lost or added."""
+    return lineage.differences(*_runs(spark, sf_dir)).withColumns({"old_key": lineage.path_key(F.col("path")), "new_key": lineage.path_key(F.col("new_path"))}).drop("path", "new_path")
 
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS sample, sha256('{\"key\":\"' || o_orderkey || '\",\"status\":\"' || o_orderstatus || '\"}') AS digest FROM orders")

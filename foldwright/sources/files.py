@@ -3,8 +3,6 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import checks
-
 
 def identities(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """``path, file_name, size_bytes, sha256, md5`` of each file; a file is one binary cell, so at most 2 GB."""
@@ -27,17 +25,6 @@ def verification_summary(rows: DataFrame) -> DataFrame:
         "status", F.when((F.col("n_files") > 0) & (F.col("n_files") == F.col("n_matched")), "PASS").otherwise("FAIL"))
 
 
-def same_lineage(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Check row: two runs consumed the same files (``role, size_bytes, sha256``)."""
-    return checks.same_sets(first, second, ["role", "size_bytes", "sha256"], "same inputs")
-
-
-def consumed_of_produced(consumed: DataFrame, produced: DataFrame) -> DataFrame:
-    """Check row: every consumed file is one that the stage before produced, unchanged."""
-    loose = consumed.select("path", "sha256").join(produced.select("path", "sha256"), ["path", "sha256"], "left_anti")
-    return checks.check_row(loose, "inputs were produced", F.count("*"))
-
-
 def image_headers(files: DataFrame, width: int, height: int) -> DataFrame:
     """``path, file_name, width, height, error`` from the first bytes of PNG files: kind, size, 8-bit RGB.
 

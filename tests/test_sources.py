@@ -5,7 +5,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from foldwright.operators import checks
+from foldwright.operators import checks, lineage
 from foldwright.sources import files, tables
 
 
@@ -40,12 +40,42 @@ def test_release_files(spark, tmp_path):
     assert rows == {"x.bin": "digest differs", "y.bin": "PASS"}
 
 
+IDENTITY = "role string, path string, size_bytes long, sha256 string"
+
+
 def test_lineage(spark):
-    one = spark.createDataFrame([("in", "p", 1, "AA")], "role string, path string, size_bytes long, sha256 string")
+    one = spark.createDataFrame([("in", "p", 1, "AA")], IDENTITY)
     other = one.withColumn("sha256", F.lit("BB"))
-    checks.require(files.same_lineage(one, one))
-    checks.require(files.consumed_of_produced(one, one))
-    assert files.same_lineage(one, other).first()["status"] == "FAIL" and files.consumed_of_produced(other, one).first()["status"] == "FAIL"
+    for rule in (lineage.same_lineage, lineage.consumed_of_produced, lineage.exact_inputs):
+        checks.require(rule(one, one))
+        assert rule(other, one).first()["status"] == "FAIL"
+    checks.require(lineage.bound_paths(other, one))
+    assert lineage.bound_paths(one.withColumn("path", F.lit("q")), one).first()["status"] == "FAIL"
+    for empty in (one.limit(0),):
+        assert {rule(*x).first()["status"] for rule in (lineage.same_lineage, lineage.exact_inputs) for x in ((one, empty), (empty, one), (empty, empty))} == {"FAIL"}
+        assert lineage.bound_paths(one, empty).first()["status"] == lineage.bound_paths(empty, empty).first()["status"] == "FAIL"
+
+
+def test_a_lost_copy_of_an_equal_file_is_lost(spark):
+    two = spark.createDataFrame([("in", "a/x", 5, "AA"), ("in", "a/y", 5, "AA")], IDENTITY)
+    one = two.where("path = 'a/x'")
+    assert lineage.same_lineage(two, one).first()["status"] == "FAIL"
+    assert [(r["status"], r["path"]) for r in lineage.differences(two, one).collect()] == [("lost", "a/y")]
+
+
+def test_paths_are_spelt_in_many_ways(spark):
+    one = spark.createDataFrame([("in", "/Data/a/x.bin", 5, "ab"), ("in", "/data/b", 5, "cd")], IDENTITY)
+    two = spark.createDataFrame([("in", "file:///data/./c/../A//X.BIN", 5, "AB"), ("in", "\\DATA\\b", 5, "CD")], IDENTITY)
+    checks.require(lineage.same_lineage(one, two))
+    keys = spark.createDataFrame([("../a",), ("/../a/..",), ("a/b/../../c",), ("",), (None,)], "p string").select(lineage.path_key(F.col("p")).alias("k"))
+    assert [r["k"] for r in keys.collect()] == ["a", "/", "c", "", None]
+
+
+def test_differences_are_rows(spark):
+    first = [("in", "same", 1, "A"), ("in", "edited", 1, "B"), ("in", "old/1", 2, "C"), ("in", "old/2", 2, "C"), ("in", "gone", 3, "D"), ("up", "same", 1, "A")]
+    second = [("in", "same", 1, "A"), ("in", "edited", 9, "E"), ("in", "new/1", 2, "C"), ("in", "fresh", 4, "F"), ("up", "same", 1, "A"), ("up", "same", 1, "A"), ("up", "gone", 3, "D")]
+    got = {(r["role"], r["status"], r["path"] and r["path"][:4], r["new_path"]) for r in lineage.differences(*[spark.createDataFrame(x, IDENTITY) for x in (first, second)]).collect()}
+    assert got == {("in", "changed", "edit", "edited"), ("in", "moved", "old/", "new/1"), ("in", "lost", "old/", None), ("in", "lost", "gone", None), ("in", "added", None, "fresh"), ("up", "added", None, "gone")}
 
 
 def test_images(spark, tmp_path):
