@@ -6,14 +6,20 @@ from pyspark.sql import functions as F
 from . import checks
 
 
-def comparison_pairs(systems: DataFrame, family: str, equal: list[str], varied: str, reference: str) -> DataFrame:
-    """Each system against the one that has ``reference`` in ``varied`` and agrees in ``equal``.
+def comparison_pairs(systems: DataFrame, family: str, equal: list[str], varied: str, reference: str, alternatives: list[str] | None = None) -> DataFrame:
+    """Each system (or each declared alternative) against the one that has ``reference`` in ``varied`` and agrees in ``equal``.
 
-    ``family, equal..., alternative, reference``; systems without such a partner are left out.
+    ``family, equal..., alternative, reference``; systems without such a partner are left out (see ``declared_checks``).
     """
     ref = systems.where(F.col(varied) == reference).select(*equal, F.col(varied).alias("reference")).distinct()
-    alt = systems.where(F.col(varied) != reference).select(*equal, F.col(varied).alias("alternative")).distinct()
-    return alt.join(ref, equal).select(F.lit(family).alias("family"), *equal, "alternative", "reference")
+    alt = systems.where(F.col(varied).isin(alternatives) if alternatives is not None else F.col(varied) != reference)
+    return alt.select(*equal, F.col(varied).alias("alternative")).distinct().join(ref, equal).select(F.lit(family).alias("family"), *equal, "alternative", "reference")
+
+
+def declared_checks(systems: DataFrame, family: str, equal: list[str], varied: str, reference: str, alternatives: list[str]) -> DataFrame:
+    """Check row: the reference and every declared alternative are there for all values of ``equal``."""
+    want = systems.select(*equal).distinct().withColumn(varied, F.explode(F.array(*[F.lit(x) for x in (reference, *alternatives)])))
+    return checks.check_row(want.join(systems.select(*equal, varied).distinct(), [*equal, varied], "left_anti"), f"declared systems of {family}", F.count("*"))
 
 
 def aligned(left: DataFrame, right: DataFrame, on: list[str], same: list[str], value: str) -> DataFrame:

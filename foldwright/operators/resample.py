@@ -1,7 +1,9 @@
 """Stratified group bootstrap, paired randomisation tests and intervals.
 
-Draws are digests of (seed, stratum, slot) and of the replicate, so they are the same in any engine,
-on any partitioning and after any recomputation; systems evaluated with one seed share their draws.
+Draws follow from (seed, stratum, slot) and the replicate alone, so they are the same on any partitioning
+and after any recomputation; systems evaluated with one seed share their draws.  A stratum of many slices
+splits the number of its draws along a tree, by binomial counts of a counter-based generator whose key names
+the node: a slice walks down to its own count and draws that many slots, so the cost is linear in the groups.
 Statistics of a group (counts per class, or a sum and a count) are aggregated once.  A task then
 takes a slice of the groups of one stratum, makes the weights of all replicates for them as a matrix
 and multiplies it by their statistics: what is shuffled is a sum per replicate, never a row per group
@@ -43,30 +45,50 @@ def counted(base: int, first: int, stop: int) -> np.ndarray:
 
 
 def stable_groups(groups: DataFrame) -> DataFrame:
-    """``grp, stratum``, each group once; a group in two strata, or in none, fails the query."""
-    one = groups.groupBy("grp").agg(F.min("stratum").alias("stratum"), F.max("stratum").alias("other"))
+    """``grp, stratum``, each group once (in each ``cohort``, if there is such a column); a group in two strata, or in none, fails the query."""
+    key = [c for c in ("cohort", "grp") if c in groups.columns]
+    one = groups.groupBy(*key).agg(F.min("stratum").alias("stratum"), F.max("stratum").alias("other"))
     fine = (F.col("stratum") == F.col("other")) & F.col("grp").isNotNull()
-    return one.select("grp", F.when(fine, F.col("stratum")).otherwise(F.raise_error(F.lit("every group must lie in one stratum"))).alias("stratum"))
+    return one.select(*key, F.when(fine, F.col("stratum")).otherwise(F.raise_error(F.lit("every group must lie in one stratum"))).alias("stratum"))
 
 
 def group_positions(groups: DataFrame) -> DataFrame:
-    """``grp, stratum, pos, n``: place of each group in its stratum (by digest of its id) and the stratum's size."""
+    """``grp, stratum, pos, n``: place of each group in its stratum (by digest of its id) and the stratum's size; ``cohort`` too, where ``groups`` has it."""
     one = stable_groups(groups)
-    sizes = one.groupBy("stratum").agg(F.count("*").alias("n"))
-    return numbered(one, ["stratum"], F.md5(F.col("grp").cast("binary")), "grp", "pos").join(sizes, "stratum")
+    stratum = [c for c in one.columns if c != "grp"]
+    sizes = one.groupBy(*stratum).agg(F.count("*").alias("n"))
+    return numbered(one, stratum, F.md5(F.col("grp").cast("binary")), "grp", "pos").join(sizes, stratum)
+
+
+def slice_counts(base: int, n: int, at: int, first: int, stop: int) -> np.ndarray:
+    """How many of the ``n`` draws of a stratum fall into its slice ``at``, in replicates ``first`` (a multiple of ``CHUNK``) to ``stop``.
+
+    A node of the tree is a range of slices; its left half takes a binomial part of its draws, by its part of the groups.
+    """
+    low, high, count = 0, -(-n // SLICE), np.full(stop - first, n, np.int64)
+    while high - low > 1:
+        middle = (low + high) // 2
+        share = (middle - low) * SLICE / (min(high * SLICE, n) - low * SLICE)
+        node = np.random.Generator(np.random.Philox(key=np.array([base << 32 | first, low << 32 | high], np.uint64)))
+        left = node.binomial(count, share)
+        low, high, count = (low, middle, left) if at < middle else (middle, high, count - left)
+    return count
 
 
 def weight_matrix(base: int, n: int, low: int, high: int, first: int, stop: int) -> np.ndarray:
-    """How often replicates ``first`` to ``stop`` draw the groups ``low`` to ``high`` of a stratum of ``n``: one draw for each of its slots."""
-    slots, reps = counted(base, 0, n), counted(START, first, stop)
-    width, out = high - low, np.zeros((stop - first) * (high - low))
-    for at in range(0, stop - first, AT_ONCE):
-        some = reps[at : at + AT_ONCE]
-        for begin in range(0, n, 1 << 16):
-            pick = (mix32(some[:, None] ^ slots[None, begin : begin + (1 << 16)]) % np.uint32(n)).astype(np.int64)
-            row, col = np.nonzero((pick >= low) & (pick < high))
-            out += np.bincount((at + row) * width + pick[row, col] - low, minlength=len(out)) if len(row) else 0
-    return out.reshape(stop - first, width)
+    """How often replicates ``first`` to ``stop`` draw the groups ``low`` to ``high``, a slice of a stratum of ``n`` groups."""
+    width, at = high - low, low // SLICE
+    count, reps = slice_counts(base, n, at, first, stop), counted(START, first, stop)
+    if n > SLICE:  # each slice has slots of its own
+        base = int(mix32(np.array([(base + (at + 1) * GOLDEN) & 0xFFFFFFFF], np.uint32))[0])
+    slots, out = counted(base, 0, int(count.max())), np.zeros((stop - first, width))
+    for i in range(0, stop - first, AT_ONCE):
+        some = count[i : i + AT_ONCE]
+        most = int(some.max())
+        pick = (mix32(reps[i : i + AT_ONCE, None] ^ slots[None, :most]) % np.uint32(width)).astype(np.int64) + (np.arange(len(some)) * width)[:, None]
+        drawn = pick[np.arange(most) < some[:, None]] if int(some.min()) < most else pick.ravel()
+        out[i : i + AT_ONCE] = np.bincount(drawn, minlength=len(some) * width).reshape(len(some), width)
+    return out
 
 
 def draws(groups: DataFrame, replicates: int, seed) -> DataFrame:
@@ -88,36 +110,44 @@ def draws(groups: DataFrame, replicates: int, seed) -> DataFrame:
 
 
 def _placed(groups: DataFrame, seed, by: DataFrame | None = None) -> DataFrame:
-    """Positions with ``slice``, ``cell``, ``base`` (of the draws) and ``token`` (of the signs); ``by``: values of ``seed`` that have draws of their own.
+    """Positions with ``slice``, ``_task``, ``base`` (of the draws) and ``token`` (of the signs).
 
-    A cell is what one task gets: a slice of a stratum, or some strata that are smaller than a slice.
+    Rows of one ``_task`` meet in one call: a slice of a stratum, or some strata that are smaller than a slice.  ``by``: values of
+    ``draw`` (and of ``cohort``, where groups have it) that have draws of their own; a null ``draw`` has the draws of ``seed`` alone.
     """
-    placed, sign = group_positions(groups).withColumn("slice", F.floor(F.col("pos") / SLICE)), seed
+    placed = group_positions(groups).withColumn("slice", F.floor(F.col("pos") / SLICE))
     cells = F.lit(max(1, -(-groups.select("grp").distinct().count() // SLICE)))
-    placed = placed.withColumn("cell", F.when(F.col("n") > SLICE, F.xxhash64("stratum", "slice")).otherwise(F.pmod(F.xxhash64("stratum"), cells)))
+    placed = placed.withColumn("_task", F.when(F.col("n") > SLICE, F.xxhash64("stratum", "slice")).otherwise(F.pmod(F.xxhash64("stratum"), cells)))
+    own = F.lit(str(seed))
     if by is not None:
-        placed = placed.join(F.broadcast(by))  # a row for each seed
-        seed = F.concat(F.lit(f"{seed}-"), F.col("seed").cast("string"))
-    return placed.withColumns({"base": hash32(seed, F.col("stratum")), "token": hash32(f"sign-{sign}", F.col("grp"))})
+        on = [c for c in by.columns if c != "draw"]
+        placed = placed.join(F.broadcast(by), on) if on else placed.crossJoin(F.broadcast(by))  # a row for each draw, of which there are few
+        own = F.coalesce(F.concat(F.lit(f"{seed}-"), F.col("draw").cast("string")), own)
+    return placed.withColumns({"base": hash32(own, F.col("stratum")), "token": hash32(f"sign-{seed}", F.col("grp"))})
 
 
-def resampled_sums(stats: DataFrame, keys: list[str], values: list[str], groups: DataFrame, replicates: int, seed, kinds: tuple[str, ...] = ("draw",),
-                   seeds: DataFrame | None = None) -> DataFrame:
+def resampled_sums(stats: DataFrame, keys: list[str], values: list[str], groups: DataFrame, replicates: int, seed, kinds: tuple[str, ...] = ("draw",)) -> DataFrame:
     """``keys..., kind, first``, and for each value an array: its sum over groups in replicates ``first``, ``first`` + 1 and on; and ``<value>_total``.
 
     ``stats``: ``keys..., grp`` and values, one row per key and group.  In kind ``draw`` a group counts as
-    often as the replicate drew it, in kind ``flip`` if the replicate turns its sign.  ``seeds``: a
-    column ``seed``, one of the keys; each value has draws of its own.
+    often as the replicate drew it, in kind ``flip`` if the replicate turns its sign (only keys whose column ``flips`` is true, if there is one).  If ``stats`` has a column ``draw``,
+    each value of it has draws of its own; if both tables have a column ``cohort``, groups are those of their cohort.
     """
-    on = ["grp", "seed"] if seeds is not None else ["grp"]
-    rows = stats.join(_placed(groups, seed, seeds), on, "left").withColumn(
+    apart = [c for c in ("cohort", "draw") if c in stats.columns]
+    by = stats.select(*apart).distinct() if "draw" in apart else None
+    placed = _placed(groups, seed, by)
+    same = F.col("x.grp") == F.col("y.grp")
+    for c in apart:
+        same = same & F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}"))
+    rows = stats.alias("x").join(placed.alias("y"), same, "left").select("x.*", *[f"y.{c}" for c in ("slice", "n", "pos", "base", "token", "_task")]).withColumn(
         "n", F.coalesce("n", F.raise_error(F.lit("a group has no stratum")).cast("long")))
-    cells = ["cell", *(["seed"] if seeds is not None else [])]
+    cells = ["_task", *apart]
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         by_key = pdf.groupby(keys, sort=False, dropna=False)
         pdf = pdf.assign(code=by_key.ngroup())
-        names = by_key.size().index.to_frame(index=False)
+        names = by_key.size().index.to_frame(index=False).astype(object)
+        names = names.where(names.notna(), None)
         strata = []
         for _, part in pdf.groupby(["base", "slice"]):
             n, low = int(part["n"].iloc[0]), int(part["slice"].iloc[0]) * SLICE
@@ -132,18 +162,22 @@ def resampled_sums(stats: DataFrame, keys: list[str], values: list[str], groups:
         for first in range(0, replicates, CHUNK):
             stop = min(replicates, first + CHUNK)
             for kind in kinds:
-                summed = np.zeros((stop - first, len(names) * len(values)))
-                for base, n, low, high, token, m in strata:
+                turns = np.flatnonzero(names["flips"].astype(bool)) if kind == "flip" and "flips" in names else np.arange(len(names))
+                if not len(turns):
+                    continue
+                summed = np.zeros((stop - first, len(turns) * len(values)))
+                for base, n, low, high, token, every in strata:
+                    m = every.reshape(high - low, len(names), len(values))[:, turns].reshape(high - low, -1)
                     if kind == "draw":
                         w = weight_matrix(base, n, low, high, first, stop)
                     else:
                         w = (mix32(counted(START, first, stop)[:, None] ^ token[None, :]) & np.uint32(1)).astype(float)
                     summed += w @ m
-                summed = summed.reshape(stop - first, len(names), len(values))
-                part = names.copy()
+                summed = summed.reshape(stop - first, len(turns), len(values))
+                part = names.iloc[turns].copy()
                 part["kind"], part["first"] = kind, first
                 for j, v in enumerate(values):
-                    part[v], part[f"{v}_total"] = list(summed[:, :, j].T), total[:, j]
+                    part[v], part[f"{v}_total"] = list(summed[:, :, j].T), total[turns, j]
                 parts.append(part)
         return pd.concat(parts, ignore_index=True)
 
@@ -172,15 +206,25 @@ def rates_of(tp: np.ndarray, actual: np.ndarray, predicted: np.ndarray, universe
                 "weighted_f1": np.where(n > 0, (f1 * actual).sum(axis=0) / n, 0.0)}
 
 
-def along(pdf: pd.DataFrame, value: str) -> np.ndarray:
-    """The replicates of ``value`` in order, from rows of one key."""
-    return np.concatenate(pdf.sort_values("first")[value].to_list())
+class Sums:
+    """Sums of one statistic: ``of(kind, value)`` gives replicates and total, with classes along the first axis where there are classes.
+
+    Made from rows of ``resampled_sums`` for one key: wide (a column for each value, a row for each class), or long (a
+    column ``value`` and a row for each ``cell``, the name of the value with its class after ``|``).
+    """
 
+    def __init__(self, pdf: pd.DataFrame):
+        self.pdf, self.long = pdf.sort_values("first"), "cell" in pdf.columns
 
-def stacked(pdf: pd.DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
-    """Replicates (classes × replicates) and totals (classes) of ``value``."""
-    parts = [part for _, part in pdf.groupby("class_id")]
-    return np.stack([along(p, value) for p in parts]), np.array([p[f"{value}_total"].iloc[0] for p in parts])
+    def of(self, kind: str, value: str) -> tuple[np.ndarray, np.ndarray]:
+        rows, column = self.pdf[self.pdf["kind"] == kind], value
+        if self.long:
+            name = rows["cell"].str.split("|")
+            rows, column = rows.assign(class_id=name.str[1])[name.str[0] == value], "value"
+        if "class_id" not in rows or rows["class_id"].isna().all():
+            return np.concatenate(rows[column].to_list()), rows[f"{column}_total"].iloc[0]
+        parts = sorted(((int(c), part) for c, part in rows.groupby("class_id")), key=lambda x: x[0])
+        return np.stack([np.concatenate(part[column].to_list()) for _, part in parts]), np.array([part[f"{column}_total"].iloc[0] for _, part in parts])
 
 
 def percentiles(values: np.ndarray, level: float) -> dict:
@@ -194,11 +238,11 @@ def p_value(null: np.ndarray, seen: float) -> float:
 
 
 def _finish(sums: DataFrame, keys: list[str], columns: str, finish) -> DataFrame:
-    """One call of ``finish`` (rows of a key to a list of dicts) for each value of ``keys``; ``columns``: what it adds to them."""
+    """One call of ``finish`` (``Sums``, a row) for each value of ``keys``; ``columns``: what its dicts add to them."""
     names = [c.split()[0] for c in columns.split(", ")]
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(finish(pdf), columns=names)
+        out = pd.DataFrame(finish(Sums(pdf), pdf.iloc[0]), columns=names)
         for i, k in enumerate(keys):
             out.insert(i, k, pdf[k].iloc[0])
         return out
@@ -216,53 +260,115 @@ def group_class_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
     return class_counts(rows, [*keys, "grp"])
 
 
-def classification_intervals(rows: DataFrame, groups: DataFrame, classes: DataFrame, keys: list[str], replicates: int, level: float = 0.95,
-                             seed=0, by_seed: bool = False) -> DataFrame:
-    """``keys..., metric, estimate, ci_low, ci_high, n_bootstrap``.
+def classification_distribution(rows: DataFrame, groups: DataFrame, classes: DataFrame, keys: list[str], replicates: int, seed=0, by_seed: bool = False) -> DataFrame:
+    """Every replicate of every metric: ``keys..., metric, first, estimate, replicates``, an array for each ``CHUNK`` replicates from ``first`` on.
 
-    ``by_seed``: each value of the key ``seed`` has draws of its own; else all systems share them.
+    ``by_seed``: each value of the key ``seed`` has draws of its own; else all systems share them.  No task sees
+    more of a system than its classes in one chunk of replicates.
     """
-    check_parameters(replicates, level)
-    seeds = rows.select("seed").distinct() if by_seed else None
-    sums = resampled_sums(group_class_counts(rows, keys), [*keys, "class_id"], list(COUNTS), groups, replicates, seed, seeds=seeds)
+    check_parameters(replicates, 0.5)
+    counts = group_class_counts(rows, keys)
+    if by_seed:
+        counts = counts.withColumn("draw", F.col("seed").cast("string"))
 
-    def finish(pdf: pd.DataFrame) -> list[dict]:
-        both = [stacked(pdf, c) for c in COUNTS]
-        universe = int(pdf["universe"].iloc[0])
-        reps, point = rates_of(*[x for x, _ in both], universe), rates_of(*[t for _, t in both], universe)
-        return [{"metric": m, "estimate": float(point[m]), **percentiles(reps[m], level)} for m in METRICS]
+    def finish(sums: Sums, row) -> list[dict]:
+        both = [sums.of("draw", c) for c in COUNTS]
+        reps, point = rates_of(*[x for x, _ in both], int(row["universe"])), rates_of(*[t for _, t in both], int(row["universe"]))
+        return [{"metric": m, "estimate": float(point[m]), "replicates": reps[m]} for m in METRICS]
 
-    return _finish(with_universe(sums, classes), keys, "metric string, estimate double, ci_low double, ci_high double, n_bootstrap long", finish)
+    sums = resampled_sums(counts, [*keys, "class_id"], list(COUNTS), groups, replicates, seed)
+    return _finish(with_universe(sums, classes), [*keys, "first"], "metric string, estimate double, replicates array<double>", finish)
 
 
-def finite(value: str):
-    """The value, or a failed query where it is null or not finite."""
-    x = F.col(value).cast("double")
-    good = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
-    return F.when(good, x).otherwise(F.raise_error(F.lit(f"{value} must be finite")).cast("double"))
+def distribution_intervals(distribution: DataFrame, keys: list[str], level: float = 0.95) -> DataFrame:
+    """``keys..., metric, estimate, ci_low, ci_high, n_bootstrap`` from a table of replicates, by exact percentiles with linear interpolation."""
+    check_parameters(1, level)
+    each = distribution.select(*keys, "metric", "estimate", F.explode("replicates").alias("value")).groupBy(*keys, "metric").agg(
+        F.max("estimate").alias("estimate"), F.percentile("value", F.array(F.lit((1 - level) / 2), F.lit(1 - (1 - level) / 2))).alias("ci"), F.count("*").alias("n_bootstrap"))
+    return each.select(*keys, "metric", "estimate", F.col("ci")[0].alias("ci_low"), F.col("ci")[1].alias("ci_high"), "n_bootstrap")
 
 
-def mean_intervals(values: DataFrame, groups: DataFrame, keys: list[str], replicates: int, level: float = 0.95, seed=0) -> DataFrame:
-    """Group bootstrap of the mean of ``value`` over all rows: ``keys..., estimate, ci_low, ci_high, n_bootstrap``."""
+def classification_intervals(rows: DataFrame, groups: DataFrame, classes: DataFrame, keys: list[str], replicates: int, level: float = 0.95,
+                             seed=0, by_seed: bool = False) -> DataFrame:
+    """``keys..., metric, estimate, ci_low, ci_high, n_bootstrap`` of ``classification_distribution``."""
     check_parameters(replicates, level)
-    sums = values.groupBy(*keys, "grp").agg(F.sum(finite("value")).alias("s"), F.count("*").alias("c"))
+    return distribution_intervals(classification_distribution(rows, groups, classes, keys, replicates, seed, by_seed), keys, level)
 
-    def finish(pdf: pd.DataFrame) -> list[dict]:
-        one = pdf.iloc[0]
-        return [{"estimate": one["s_total"] / one["c_total"], **percentiles(ratio(along(pdf, "s"), along(pdf, "c")), level)}]
 
-    return _finish(resampled_sums(sums, keys, ["s", "c"], groups, replicates, seed), keys, "estimate double, ci_low double, ci_high double, n_bootstrap long", finish)
+def finite(value: str):
+    """The value, or a failed query where it is null or not finite."""
+    x = F.col(value).cast("double")
+    good = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+    return F.when(good, x).otherwise(F.raise_error(F.lit(f"{value} must be finite")).cast("double"))
 
 
 def ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(a, b, out=np.zeros(len(a)), where=b != 0)
 
 
-#: Eight times the distance from 1 to the next double: a null value this close below the observed one counts as extreme, a difference this small as none.
+#: Fixed value: eight times the distance from 1 to the next double.  A null value this close below the observed one counts as extreme, a difference this small as none.
 SLACK = 8 * 2.220446049250313e-16
+MEAN = "estimate double, ci_low double, ci_high double, n_bootstrap long"
 TEST = "difference double, ci_low double, ci_high double, n_bootstrap long, probability_a_better double, p_value double"
 
 
+def mean_result(sums: Sums, level: float) -> list[dict]:
+    (s, s_total), (c, c_total) = sums.of("draw", "s"), sums.of("draw", "c")
+    return [{"estimate": s_total / c_total, **percentiles(ratio(s, c), level)}]
+
+
+def tested(reps: np.ndarray, null: np.ndarray, seen: float, level: float) -> dict:
+    return {"difference": seen, **percentiles(reps, level), "probability_a_better": float((reps > SLACK).mean()), "p_value": p_value(null, seen)}
+
+
+def mean_test_result(sums: Sums, level: float) -> list[dict]:
+    (s, s_total), (c, c_total) = sums.of("draw", "s"), sums.of("draw", "c")
+    return [tested(ratio(s, c), (s_total - 2 * sums.of("flip", "s")[0]) / c_total, s_total / c_total, level)]
+
+
+def class_result(sums: Sums, universe: int, level: float) -> list[dict]:
+    both = [sums.of("draw", c) for c in COUNTS]
+    reps, point = rates_of(*[x for x, _ in both], universe), rates_of(*[t for _, t in both], universe)
+    return [{"metric": m, "estimate": float(point[m]), **percentiles(reps[m], level)} for m in METRICS]
+
+
+def class_test_result(sums: Sums, universe: int, level: float) -> list[dict]:
+    drawn, turned = ({n: sums.of(kind, n) for n in SIDES} for kind in ("draw", "flip"))
+    of = lambda get, side: rates_of(*[get(f"{c}_{side}") for c in COUNTS], universe)
+    moved = {c: turned[f"{c}_b"][0] - turned[f"{c}_a"][0] for c in COUNTS}
+    total = lambda n: drawn[n][1]
+    null = lambda n: total(n)[:, None] + (moved[n[:-2]] if n[-1] == "a" else -moved[n[:-2]])
+    seen, reps, nulls = ([of(get, side) for side in "ab"] for get in (total, lambda n: drawn[n][0], null))
+    return [{"metric": m, **tested(reps[0][m] - reps[1][m], nulls[0][m] - nulls[1][m], float(seen[0][m] - seen[1][m]), level)} for m in METRICS]
+
+
+SIDES = [f"{c}_{side}" for side in "ab" for c in COUNTS]
+
+
+def group_values(values: DataFrame, keys: list[str]) -> DataFrame:
+    """Sum ``s`` and count ``c`` of ``value`` in each group."""
+    return values.groupBy(*keys, "grp").agg(F.sum(finite("value")).alias("s"), F.count("*").alias("c"))
+
+
+def group_pairs(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Sum ``s`` of ``a`` - ``b`` and count ``c`` in each group."""
+    return pairs.groupBy(*keys, "grp").agg(F.sum(finite("a") - finite("b")).alias("s"), F.count("*").alias("c"))
+
+
+def group_class_pairs(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts of both sides for each group and class: ``keys..., grp, class_id`` and ``SIDES``."""
+    both = pairs.select(*keys, "grp", "true_id", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a_id").alias("pred_id")),
+                                                                  F.struct(F.lit("b").alias("side"), F.col("b_id").alias("pred_id")))).alias("s"))
+    counts = group_class_counts(both.select(*keys, "grp", "true_id", "s.side", "s.pred_id"), [*keys, "side"])
+    return counts.groupBy(*keys, "grp", "class_id").agg(*[F.coalesce(F.sum(F.when(F.col("side") == n[-1], F.col(n[:-2]))), F.lit(0)).alias(n) for n in SIDES])
+
+
+def mean_intervals(values: DataFrame, groups: DataFrame, keys: list[str], replicates: int, level: float = 0.95, seed=0) -> DataFrame:
+    """Group bootstrap of the mean of ``value`` over all rows: ``keys..., estimate, ci_low, ci_high, n_bootstrap``."""
+    check_parameters(replicates, level)
+    return _finish(resampled_sums(group_values(values, keys), keys, ["s", "c"], groups, replicates, seed), keys, MEAN, lambda sums, row: mean_result(sums, level))
+
+
 def paired_mean_test(pairs: DataFrame, groups: DataFrame, keys: list[str], replicates: int, level: float = 0.95, seed=0) -> DataFrame:
     """Mean of a - b: ``difference, ci_low, ci_high, probability_a_better, p_value, n_bootstrap``.
 
@@ -270,15 +376,8 @@ def paired_mean_test(pairs: DataFrame, groups: DataFrame, keys: list[str], repli
     extreme as the observed difference, (extreme + 1) / (replicates + 1).
     """
     check_parameters(replicates, level)
-    sums = pairs.groupBy(*keys, "grp").agg(F.sum(finite("a") - finite("b")).alias("s"), F.count("*").alias("c"))
-
-    def finish(pdf: pd.DataFrame) -> list[dict]:
-        drawn, turned = pdf[pdf["kind"] == "draw"], pdf[pdf["kind"] == "flip"]
-        s, c = pdf["s_total"].iloc[0], pdf["c_total"].iloc[0]
-        reps, null = ratio(along(drawn, "s"), along(drawn, "c")), (s - 2 * along(turned, "s")) / c
-        return [{"difference": s / c, **percentiles(reps, level), "probability_a_better": float((reps > SLACK).mean()), "p_value": p_value(null, s / c)}]
-
-    return _finish(resampled_sums(sums, keys, ["s", "c"], groups, replicates, seed, ("draw", "flip")), keys, TEST, finish)
+    sums = resampled_sums(group_pairs(pairs, keys), keys, ["s", "c"], groups, replicates, seed, ("draw", "flip"))
+    return _finish(sums, keys, TEST, lambda sums, row: mean_test_result(sums, level))
 
 
 def paired_class_test(pairs: DataFrame, groups: DataFrame, classes: DataFrame, keys: list[str], replicates: int, level: float = 0.95, seed=0) -> DataFrame:
@@ -288,49 +387,54 @@ def paired_class_test(pairs: DataFrame, groups: DataFrame, classes: DataFrame, k
     group are exchanged between the systems.  One row per key and metric, as ``paired_mean_test``.
     """
     check_parameters(replicates, level)
-    both = pairs.select(*keys, "grp", "true_id", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a_id").alias("pred_id")),
-                                                                  F.struct(F.lit("b").alias("side"), F.col("b_id").alias("pred_id")))).alias("s"))
-    counts = group_class_counts(both.select(*keys, "grp", "true_id", "s.side", "s.pred_id"), [*keys, "side"])
-    names = [f"{c}_{side}" for side in "ab" for c in COUNTS]
-    wide = counts.groupBy(*keys, "grp", "class_id").agg(*[F.coalesce(F.sum(F.when(F.col("side") == n[-1], F.col(n[:-2]))), F.lit(0)).alias(n) for n in names])
-
-    def finish(pdf: pd.DataFrame) -> list[dict]:
-        universe = int(pdf["universe"].iloc[0])
-        drawn, turned = ({n: stacked(pdf[pdf["kind"] == kind], n) for n in names} for kind in ("draw", "flip"))
-        of = lambda get, side: rates_of(*[get(f"{c}_{side}") for c in COUNTS], universe)
-        moved = {c: turned[f"{c}_b"][0] - turned[f"{c}_a"][0] for c in COUNTS}
-        total = lambda n: drawn[n][1]
-        null = lambda n: total(n)[:, None] + (moved[n[:-2]] if n[-1] == "a" else -moved[n[:-2]])
-        seen, reps, nulls = ([of(get, side) for side in "ab"] for get in (total, lambda n: drawn[n][0], null))
-        rows = []
-        for m in METRICS:
-            d, r = float(seen[0][m] - seen[1][m]), reps[0][m] - reps[1][m]
-            rows.append({"metric": m, "difference": d, **percentiles(r, level), "probability_a_better": float((r > SLACK).mean()), "p_value": p_value(nulls[0][m] - nulls[1][m], d)})
-        return rows
-
-    sums = resampled_sums(wide, [*keys, "class_id"], names, groups, replicates, seed, ("draw", "flip"))
-    return _finish(with_universe(sums, classes), keys, f"metric string, {TEST}", finish)
-
-
-def statistics_run(values: DataFrame, pairs: DataFrame, groups: DataFrame, keys: list[str], pair_keys: list[str], family: list[str], replicates: int,
-                   level: float = 0.95, seed=0, rows: DataFrame | None = None, classes: DataFrame | None = None) -> DataFrame:
-    """All statistics of a result set over the same draws: ``kind, <keys>, metric, value, ci_low, ci_high, p_value, p_holm``.
-
-    ``values`` (``keys..., grp, value``) give intervals of means, ``pairs`` (``pair_keys..., grp, a, b``) paired
-    tests, corrected within ``family`` (some of ``pair_keys``); with ``rows`` and ``classes``, predictions
-    give intervals of every classification metric too.  Draws are digests, so all parts share them
-    without a table of draws; columns a part lacks are null.
+    sums = resampled_sums(group_class_pairs(pairs, keys), [*keys, "class_id"], SIDES, groups, replicates, seed, ("draw", "flip"))
+    return _finish(with_universe(sums, classes), keys, f"metric string, {TEST}", lambda sums, row: class_test_result(sums, int(row["universe"]), level))
+
+
+KINDS = ("mean", "mean difference", "classification", "classification difference")
+
+
+def statistic(kind: str, cohort: str, rows: DataFrame, keys: list[str], universe: int = 0, own_draws: str | None = None, family: list[str] | None = None) -> DataFrame:
+    """Group statistics of one kind as rows of the long table that ``statistics_run`` takes.
+
+    ``kind``: ``mean`` (``keys..., grp, value``), ``mean difference`` (``keys..., grp, a, b``), ``classification`` (``keys...,
+    grp, true_id, pred_id``) or ``classification difference`` (``keys..., grp, true_id, a_id, b_id``).  ``universe``: number of
+    classes.  ``own_draws``: a key of which each value has draws of its own.  ``family``: keys within which tests are corrected.
     """
-    order = ["kind", *dict.fromkeys([*keys, *pair_keys]), "metric", "value", "ci_low", "ci_high", "p_value", "p_holm"]
-
-    def shaped(part: DataFrame, kind: str, value: str) -> DataFrame:
-        part = part.withColumns({"kind": F.lit(kind), "value": F.col(value)})
-        texts = {"metric", *keys, *pair_keys}
-        return part.select(*[(F.col(c) if c in part.columns else F.lit(None)).cast("string" if c in texts | {"kind"} else "double").alias(c) for c in order])
-
-    tests = paired_mean_test(pairs, groups, pair_keys, replicates, level, seed)
-    out = shaped(mean_intervals(values, groups, keys, replicates, level, seed), "mean", "estimate").unionByName(
-        shaped(holm(tests, "p_value", family), "difference", "difference"))
-    if rows is not None and classes is not None:
-        out = out.unionByName(shaped(classification_intervals(rows, groups, classes, keys, replicates, level, seed), "classification", "estimate"))
-    return out
+    per = (group_values, group_pairs, group_class_counts, group_class_pairs)[KINDS.index(kind)](rows, keys)
+    names = {"mean": ["s", "c"], "mean difference": ["s", "c"], "classification": list(COUNTS), "classification difference": SIDES}[kind]
+    suffix = F.concat(F.lit("|"), F.col("class_id").cast("string")) if "classification" in kind else F.lit("")
+    cells = F.explode(F.array(*[F.struct(F.concat(F.lit(n), suffix).alias("cell"), F.col(n).cast("double").alias("value")) for n in names]))
+    return per.withColumn("v", cells).select(
+        F.lit(kind).alias("statistic"), F.lit(cohort).alias("cohort"), (F.col(own_draws).cast("string") if own_draws else F.lit(None).cast("string")).alias("draw"),
+        F.to_json(F.struct(*keys)).alias("series"), F.to_json(F.struct(*family)).alias("family") if family else F.lit(None).cast("string").alias("family"),
+        F.lit(universe).alias("universe"), F.lit("difference" in kind).alias("flips"), "v.cell", "grp", "v.value")
+
+
+def statistics_run(long: DataFrame, groups: DataFrame, replicates: int, level: float = 0.95, seed=0) -> DataFrame:
+    """All statistics of a result set with the weights of each slice of groups made once for everything that shares its draws.
+
+    ``long``: union of ``statistic`` tables, ``groups``: ``cohort, grp, stratum``.  Rows ``statistic, cohort, series, metric, value,
+    ci_low, ci_high, n_bootstrap, probability_a_better, p_value, p_holm``; what a statistic lacks is null; p-values are
+    corrected within statistic, cohort, metric and family.  The results equal those of the functions for one statistic.
+    """
+    check_parameters(replicates, level)
+    keys = ["statistic", "cohort", "series", "family", "universe"]
+    sums = resampled_sums(long, [*keys, "draw", "flips", "cell"], ["value"], groups, replicates, seed, ("draw", "flip"))
+
+    def finish(sums: Sums, row) -> list[dict]:
+        kind, universe = row["statistic"], int(row["universe"])
+        if kind == "mean":
+            out = mean_result(sums, level)
+        elif kind == "mean difference":
+            out = mean_test_result(sums, level)
+        else:
+            out = class_result(sums, universe, level) if kind == "classification" else class_test_result(sums, universe, level)
+        return [{"metric": None, **r, "value": r.get("estimate", r.get("difference"))} for r in out]
+
+    columns = "metric string, value double, ci_low double, ci_high double, n_bootstrap long, probability_a_better double, p_value double"
+    done = _finish(sums, keys, columns, finish)
+    tests, rest = done.where("p_value is not null"), done.where("p_value is null")
+    corrected = holm(tests, "p_value", ["statistic", "cohort", "metric", "family"])
+    order = ["statistic", "cohort", "series", "metric", "value", "ci_low", "ci_high", "n_bootstrap", "probability_a_better", "p_value", "p_holm"]
+    return corrected.select(*order).unionByName(rest.withColumn("p_holm", F.lit(None).cast("double")).select(*order))

@@ -2,6 +2,7 @@
 
 import re
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,8 @@ from ..sources import files as file_source
 from ..sources import tables as table_source
 from ..sources.shared import materialise, shared_dir
 from . import bindings as b
-from .queries import _AT, _MEANS, _OVER, _ROW, _SHOWN, _SLACK, ORACLE_SQL, SEEDED, _metrics, _per_query, _probabilities, each_task, longs, query, rounded
+from .queries import (_AT, _MEAN_TEST, _MEANS, _OVER, _ROW, _SHOWN, _SLACK, _TEST_COLUMNS, ORACLE_SQL, SEEDED, _metrics, _paired, _per_query, _probabilities, each_task,
+                      longs, other_family, query, rounded)
 
 # Manifest ------------------------------------------------------------------------------------------------------------
 
@@ -350,21 +352,66 @@ def paired_retrieval_test(spark, sf_dir):
     return resample.paired_mean_test(pairs, x.select("grp", F.lit("all").alias("stratum")).distinct(), ["k"], b.REPLICATES)
 
 
-_MEAN_ROWS = f"""SELECT 'mean' AS kind, model, strategy, CAST(seed AS VARCHAR) AS seed, CAST(NULL AS VARCHAR) AS metric, estimate AS value, ci_low, ci_high, CAST(NULL AS DOUBLE) AS p_value, CAST(NULL AS DOUBLE) AS p_holm, task FROM ({ORACLE_SQL['bootstrap_mean_ci']})"""
+def _part(statistic: str, cohort: str, series: list[str], source: str, value: str, metric: str = "CAST(NULL AS VARCHAR)", tested: bool = False, held: str = "") -> str:
+    """Rows of ``statistics_run`` from the SQL of a single statistic; tests corrected within ``held`` and the metric."""
+    names = ", ".join(f"'{c}': {c}" for c in series)
+    p = "probability_a_better, p_value" if tested else "CAST(NULL AS DOUBLE) AS probability_a_better, CAST(NULL AS DOUBLE) AS p_value"
+    rows = f"""SELECT '{statistic}' AS statistic, {cohort} AS cohort, CAST(to_json({{{names}}}) AS VARCHAR) AS series, {metric} AS metric, {value} AS value, ci_low, ci_high, n_bootstrap, {p}{f", {held} AS held" if tested else ""} FROM ({source})"""
+    if not tested:
+        return f"SELECT *, CAST(NULL AS DOUBLE) AS p_holm FROM ({rows})"
+    w = "PARTITION BY cohort, metric, held"
+    return f"""SELECT * EXCLUDE (rank, m, held), round(least(1.0, max(p_value * (m - rank + 1)) OVER ({w} ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) + 0.0 AS p_holm FROM (
+        SELECT *, row_number() OVER ({w} ORDER BY p_value, series) AS rank, count(*) OVER ({w}) AS m FROM ({rows}))"""
 
 
-@query(f"""{_MEAN_ROWS} UNION ALL SELECT 'difference', NULL, t.strategy, CAST(t.seed AS VARCHAR), NULL, difference, ci_low, ci_high, t.p_value, h.p_holm, t.task
-    FROM ({ORACLE_SQL['paired_mean_test']}) t JOIN ({ORACLE_SQL['holm']}) h ON t.task = h.task AND t.strategy = h.strategy AND t.seed = h.seed""")
-def statistics_run(spark, sf_dir):
-    """Intervals of every system's mean and paired tests of the two models, corrected within strategy, over shared draws, task by task."""
-    rows = materialise(b.predictions(spark, sf_dir), "predictions")
+_BOTH = ("average_precision", "vote_correct")
+_EACH = lambda name: " UNION ALL ".join(f"SELECT *, '{m}' AS measure FROM ({ORACLE_SQL[name].replace('s.average_precision', 's.' + m).replace('x.average_precision - y.average_precision', f'x.{m} - y.{m}').replace('sum(average_precision) AS s', f'sum({m}) AS s')})" for m in _BOTH)
+_OTHER_MEAN_TEST = b.every_task(b.sql(["preds", "weights", "flips"], other_family(f"SELECT strategy, {longs('seed')}, {_TEST_COLUMNS} FROM ({_MEAN_TEST})")), named=True)
+
+
+def _statistics(spark, sf_dir, whole: bool) -> DataFrame:
+    """Statistics of the two tasks and of retrieval, each cohort with groups and strata of its own, over draws made once; ``whole``: with the classification metrics."""
+    predictions = materialise(b.predictions(spark, sf_dir), "predictions")
+    cohort, n_classes = b.cohort(spark, sf_dir), {r["task"]: r["count"] for r in b.classes(spark, sf_dir).groupBy("task").count().collect()}
     hit = lambda c: (F.col(c) == F.col("true_id")).cast("double")
+    parts, groups = [], []
+    for t in b.TASKS:
+        groups.append(b.signature_groups(cohort, t).withColumn("cohort", F.lit(t)))
+        if whole:
+            parts.append(resample.statistic("classification", t, predictions.where(F.col("task") == t), ["model", "strategy", "seed"], n_classes[t], own_draws="seed"))
+        for i, (_, held, *_) in enumerate(b.FAMILIES):
+            pairs = _paired(spark, sf_dir, t, i, predictions)
+            parts.append(resample.statistic("mean difference", t, pairs.select(held, "seed", "grp", hit("a").alias("a"), hit("b").alias("b")), [held, "seed"], family=[held]))
+            if whole and i == 0:
+                sides = pairs.select(held, "seed", "grp", "true_id", F.col("a").alias("a_id"), F.col("b").alias("b_id"))
+                parts.append(resample.statistic("classification difference", t, sides, [held, "seed"], n_classes[t], family=[held]))
+    x = b.items(spark, sf_dir)
+    named = x.select(F.col("sample").alias("query"), "grp")
+    full, half = (materialise(retrieval.query_metrics(retrieval.exact_topk(i, i, 20), i).join(named, "query"), "per-query") for i in (x, x.withColumn("features", F.slice("features", 1, 32))))
+    for m in _BOTH:
+        key = F.lit(m).alias("measure")
+        parts.append(resample.statistic("mean", "retrieval", full.select(key, "k", "grp", F.col(m).alias("value")), ["measure", "k"]))
+        pairs = compare.agreeing(compare.aligned(full, half, ["k", "query"], ["grp", "fold", "n_relevant"], m))
+        parts.append(resample.statistic("mean difference", "retrieval", pairs.select(key, "k", "grp", "a", "b"), ["measure", "k"], family=["measure"]))
+    groups.append(x.select("grp", F.lit("all").alias("stratum")).distinct().withColumn("cohort", F.lit("retrieval")))
+    long = materialise(reduce(DataFrame.unionByName, parts), "group-statistics")
+    return resample.statistics_run(long, reduce(DataFrame.unionByName, groups), b.REPLICATES)
+
+
+@query()
+def statistics_run(spark, sf_dir):
+    """Every statistic of a result set at once: intervals of classification metrics by seed, paired tests of both declared families, and intervals and paired tests of two retrieval measures.
+
+    One statement for all of it needs too much memory; its parts have SQL (``statistics_tests``, ``bootstrap_ci_by_seed``, ``paired_class_test``), and a test compares.
+    """
+    return _statistics(spark, sf_dir, True)
 
-    def of(task: str) -> DataFrame:
-        p = rows.where(F.col("task") == task)
-        both = compare.agreeing(compare.aligned(p.where("model = 'beta'"), p.where("model = 'alpha'"), ["strategy", "seed", "sample"], ["grp", "true_id"], "pred_id"))
-        pairs = both.select("strategy", "seed", "grp", hit("a").alias("a"), hit("b").alias("b"))
-        values = p.select("model", "strategy", "seed", "grp", hit("pred_id").alias("value"))
-        return resample.statistics_run(values, pairs, b.signature_groups(b.cohort(spark, sf_dir), task), ["model", "strategy", "seed"], ["strategy", "seed"], ["strategy"], b.REPLICATES)
 
-    return each_task(of, named=True)
+@query(" UNION ALL ".join([
+    _part("mean difference", "task", ["strategy", "seed"], ORACLE_SQL["paired_mean_test"], "difference", tested=True, held="strategy"),
+    _part("mean difference", "task", ["model", "seed"], _OTHER_MEAN_TEST, "difference", tested=True, held="model"),
+    _part("mean", "'retrieval'", ["measure", "k"], _EACH("retrieval_bootstrap_ci"), "estimate"),
+    _part("mean difference", "'retrieval'", ["measure", "k"], _EACH("paired_retrieval_test"), "difference", tested=True, held="measure")]))
+def statistics_tests(spark, sf_dir):
+    """The statistics of means: paired tests of both declared families and retrieval intervals and tests, corrected within their families."""
+    return _statistics(spark, sf_dir, False)

@@ -13,6 +13,8 @@ TASK = "<task>"
 #: Model, strategy, and in how many of ten samples the system errs.
 SYSTEMS = (("alpha", "center", 3), ("alpha", "grid_mean", 4), ("beta", "center", 2), ("beta", "grid_mean", 3))
 SYSTEM = ["model", "strategy", "task"]
+#: Declared families: name, what the systems of a pair share, what differs, its reference and its alternatives.
+FAMILIES = (("model_within_sampling", "strategy", "model", "alpha", ["beta"]), ("sampling_within_model", "model", "strategy", "center", ["grid_mean"]))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -371,10 +371,15 @@ def _unpivot(source: str, keys: str) -> str:
     return " UNION ALL ".join(f"SELECT {keys}, '{m}' AS metric, {m} AS value FROM {source}" for m in evaluate.METRICS)
 
 
-def _interval_sql(weights: str, on_seed: bool) -> str:
+def _interval_sql(weights: str, on_seed: bool, digest: bool = False) -> str:
+    """Intervals, or with ``digest`` the replicates themselves, counted, summed and bounded in chunks."""
     k = "model, strategy, task, seed"
+    chunks = f"""SELECT model, strategy, task, CAST(seed AS BIGINT) AS seed, metric, first, n, {rounded('total', 'low', 'high')} FROM (SELECT sys, metric, CAST(replicate // {resample.CHUNK} * {resample.CHUNK} AS BIGINT) AS first,
+        count(*) AS n, sum(value) AS total, min(value) AS low, max(value) AS high FROM rep_rows GROUP BY ALL) r JOIN names USING (sys)"""
     seed = " AND c.seed = w.seed" if on_seed else ""
-    return b.every_task(b.sql(["counts", weights], f"""SELECT {k.replace('seed', 'CAST(seed AS BIGINT) AS seed')}, metric, {rounded('estimate', 'ci_low', 'ci_high')}, n_bootstrap FROM (
+    final = f"""SELECT {k.replace('seed', 'CAST(n.seed AS BIGINT) AS seed')}, metric, {rounded('estimate', 'ci_low', 'ci_high')}, n_bootstrap FROM (SELECT n.*, p.metric, p.value AS estimate, ci_low, ci_high, n_bootstrap
+        FROM point_rows p JOIN q ON p.sys = q.sys AND p.metric = q.metric JOIN names n ON p.sys = n.sys) n"""
+    return b.every_task(b.sql(["counts", weights], f"""SELECT * FROM (
     WITH own AS MATERIALIZED (SELECT *, CAST(dense_rank() OVER (ORDER BY {k}) AS INTEGER) AS sys FROM counts WHERE task = '{TASK}'), names AS (SELECT DISTINCT sys, {k} FROM own),
     total AS (SELECT sys, class_id, sum(tp) AS tp, sum(actual) AS actual, sum(predicted) AS predicted FROM own GROUP BY sys, class_id),
     point AS ({_of_counts('total', 'sys')}), point_rows AS ({_unpivot('point', 'sys')}),
@@ -382,7 +387,7 @@ def _interval_sql(weights: str, on_seed: bool) -> str:
         sum(CAST(predicted * weight AS DOUBLE)) AS predicted FROM own c JOIN {weights} w ON c.grp = w.grp{seed} GROUP BY 1, 2, 3),
     rep AS MATERIALIZED ({_of_counts('drawn', 'sys, replicate')}), rep_rows AS ({_unpivot('rep', 'sys, replicate')}),
     q AS (SELECT sys, metric, quantile_cont(value, 0.025) AS ci_low, quantile_cont(value, 0.975) AS ci_high, count(*) AS n_bootstrap FROM rep_rows GROUP BY sys, metric)
-    SELECT n.*, p.metric, p.value AS estimate, ci_low, ci_high, n_bootstrap FROM point_rows p JOIN q ON p.sys = q.sys AND p.metric = q.metric JOIN names n ON p.sys = n.sys)"""))
+    {chunks if digest else final})"""))
 
 
 def _intervals(spark, sf_dir, by_seed: bool) -> DataFrame:
@@ -403,6 +408,18 @@ def bootstrap_ci_shared(spark, sf_dir):
     return _intervals(spark, sf_dir, False)
 
 
+@query(_interval_sql("seed_weights", True, digest=True))
+def bootstrap_distribution(spark, sf_dir):
+    """The table of all replicates of every system and metric, told in chunks: how many, their sum, the least and the greatest."""
+    def of(task: str) -> DataFrame:
+        rows, classes = (x.where(F.col("task") == task) for x in (b.predictions(spark, sf_dir), b.classes(spark, sf_dir)))
+        return resample.classification_distribution(rows, b.signature_groups(b.cohort(spark, sf_dir), task), classes, SEEDED, b.REPLICATES, by_seed=True)
+
+    made = each_task(of)
+    return made.select(*SEEDED, "metric", "first", F.size("replicates").alias("n"), F.aggregate("replicates", F.lit(0.0), lambda x, y: x + y).alias("total"),
+                       F.array_min("replicates").alias("low"), F.array_max("replicates").alias("high"))
+
+
 @query(b.every_task(b.sql(["preds", "weights"], f"""SELECT model, strategy, task, {longs('seed')}, {rounded('estimate', 'ci_low', 'ci_high')}, n_bootstrap FROM (
     WITH s AS (SELECT model, strategy, task, seed, grp, sum(CASE WHEN true_id = pred_id THEN 1.0 ELSE 0.0 END) AS s, count(*) AS c FROM preds WHERE task = '{TASK}' GROUP BY ALL),
     p AS (SELECT model, strategy, task, seed, sum(s) / sum(c) AS estimate FROM s GROUP BY ALL),
@@ -414,19 +431,26 @@ def bootstrap_mean_ci(spark, sf_dir):
     return each_task(lambda t: resample.mean_intervals(rows.where(F.col("task") == t), b.signature_groups(b.cohort(spark, sf_dir), t), SEEDED, b.REPLICATES))
 
 
-@query(b.sql(["preds"], f"""SELECT family, strategy, task, {longs('seed')}, model AS alternative, 'alpha' AS reference, count(*) AS n_samples FROM (
-        SELECT 'model' AS family, strategy, task, seed, model FROM preds WHERE model <> 'alpha') GROUP BY ALL"""))
+@query(b.sql(["preds"], f"""SELECT family, held, task, {longs('seed')}, alternative, reference, count(*) AS n_samples FROM (
+        SELECT 'model_within_sampling' AS family, strategy AS held, task, seed, model AS alternative, 'alpha' AS reference FROM preds WHERE model = 'beta'
+        UNION ALL SELECT 'sampling_within_model', model, task, seed, strategy, 'center' FROM preds WHERE strategy = 'grid_mean') GROUP BY ALL"""))
 def comparison_pairs(spark, sf_dir):
+    """The pairs of both declared families, and how many samples the alternative has."""
     p = b.predictions(spark, sf_dir)
-    pairs = compare.comparison_pairs(p, "model", ["strategy", "task", "seed"], "model", "alpha")
-    n = p.groupBy(F.col("model").alias("alternative"), "strategy", "task", "seed").agg(F.count("*").alias("n_samples"))
-    return pairs.join(n, ["alternative", "strategy", "task", "seed"])
+    n = p.groupBy(*SEEDED).agg(F.count("*").alias("n_samples"))
 
+    def family(name: str, held: str, varied: str, reference: str, alternatives: list[str]) -> DataFrame:
+        pairs = compare.comparison_pairs(n, name, [held, "task", "seed"], varied, reference, alternatives)
+        return pairs.join(n.withColumnRenamed(varied, "alternative"), ["alternative", held, "task", "seed"]).withColumnRenamed(held, "held")
 
-def _paired(spark, sf_dir, task: str) -> DataFrame:
-    """Beta against alpha on a task: ``strategy, seed, sample, grp, true_id, a, b``."""
-    p = b.predictions(spark, sf_dir).where(F.col("task") == task)
-    rows = compare.aligned(p.where("model = 'beta'"), p.where("model = 'alpha'"), ["strategy", "seed", "sample"], ["grp", "true_id"], "pred_id")
+    return family(*b.FAMILIES[0]).unionByName(family(*b.FAMILIES[1]))
+
+
+def _paired(spark, sf_dir, task: str, family: int = 0, predictions: DataFrame | None = None) -> DataFrame:
+    """The systems of a declared family side by side on a task: the column they share (``strategy``, or ``model``), ``seed, sample, grp, true_id, a, b``."""
+    _, held, varied, reference, (alternative,) = b.FAMILIES[family]
+    p = (b.predictions(spark, sf_dir) if predictions is None else predictions).where(F.col("task") == task)
+    rows = compare.aligned(p.where(F.col(varied) == alternative), p.where(F.col(varied) == reference), [held, "seed", "sample"], ["grp", "true_id"], "pred_id")
     return compare.agreeing(rows)
 
 
@@ -448,6 +472,13 @@ _MEAN_TEST = f"""WITH {_PAIRS},
 _TEST_COLUMNS = f"{rounded('difference', 'ci_low', 'ci_high', 'probability_a_better', 'p_value')}, n_bootstrap"
 
 
+def other_family(sql: str) -> str:
+    """The SQL on pairs of the first family, for the second: sampling within a model."""
+    return sql.replace("x.model = 'beta' AND y.model = 'alpha'", "x.strategy = 'grid_mean' AND y.strategy = 'center'").replace("x.strategy = y.strategy", "x.model = y.model").replace(
+        "x.strategy, x.seed, x.sample", "x.model, x.seed, x.sample").replace("PARTITION BY strategy", "PARTITION BY model").replace("SELECT strategy", "SELECT model").replace("ORDER BY strategy", "ORDER BY model").replace(
+        ".strategy", ".model").replace(", strategy, seed", ", model, seed").replace("x.model = 'grid_mean' AND y.model = 'center'", "x.strategy = 'grid_mean' AND y.strategy = 'center'")
+
+
 def _mean_test(spark, sf_dir):
     def of(task: str) -> DataFrame:
         pairs = _paired(spark, sf_dir, task).select("strategy", "seed", "grp", (F.col("a") == F.col("true_id")).cast("double").alias("a"), (F.col("b") == F.col("true_id")).cast("double").alias("b"))

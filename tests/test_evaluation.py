@@ -1,5 +1,7 @@
 import math
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,11 +155,74 @@ def test_statistics_run_is_its_parts(spark):
     df, groups = bootstrap_rows(spark)
     values = df.select("task", "grp", (F.col("a_id") == F.col("true_id")).cast("double").alias("value"))
     pairs = df.select("task", "grp", (F.col("a_id") == F.col("true_id")).cast("double").alias("a"), (F.col("b_id") == F.col("true_id")).cast("double").alias("b"))
-    rows = df.select("task", "sample", "grp", "true_id", F.col("a_id").alias("pred_id"))
-    out = {(r["kind"], r["metric"]): r for r in resample.statistics_run(values, pairs, groups, ["task"], ["task"], ["task"], 40, rows=rows, classes=classes(spark, 3)).collect()}
+    rows = df.select("task", "sample", "grp", "true_id", F.col("a_id").alias("pred_id"), F.lit(7).alias("seed"))
+    part = lambda kind, d, **more: resample.statistic(kind, "one", d, ["task"], 3, **more)
+    long = (part("mean", values).unionByName(part("mean difference", pairs, family=["task"])).unionByName(part("classification", rows))
+            .unionByName(resample.statistic("classification", "two", rows, ["task", "seed"], 3, own_draws="seed")).unionByName(part("classification difference", df, family=["task"])))
+    both = groups.withColumn("cohort", F.lit("one")).unionByName(groups.withColumn("cohort", F.lit("two")))
+    out = {(r["statistic"], r["cohort"], r["metric"]): r for r in resample.statistics_run(long, both, 40).collect()}
     mean, test = resample.mean_intervals(values, groups, ["task"], 40).first(), resample.paired_mean_test(pairs, groups, ["task"], 40).first()
-    assert out["mean", None]["ci_low"] == mean["ci_low"] and out["difference", None]["p_value"] == out["difference", None]["p_holm"] == test["p_value"]
-    assert {m for k, m in out if k == "classification"} == set(evaluate.METRICS)
+    assert out["mean", "one", None]["ci_low"] == mean["ci_low"] and out["mean difference", "one", None]["p_value"] == out["mean difference", "one", None]["p_holm"] == test["p_value"]
+    for cohort, seeded in (("one", False), ("two", True)):
+        for r in resample.classification_intervals(rows, groups, classes(spark, 3), ["task", "seed"], 40, by_seed=seeded).collect():
+            got = out["classification", cohort, r["metric"]]
+            assert (got["value"], got["ci_low"], got["ci_high"], got["p_holm"]) == (r["estimate"], pytest.approx(r["ci_low"]), pytest.approx(r["ci_high"]), None)
+    for r in resample.paired_class_test(df, groups, classes(spark, 3), ["task"], 40).collect():
+        got = out["classification difference", "one", r["metric"]]
+        assert (got["value"], got["ci_low"], got["p_value"]) == (r["difference"], r["ci_low"], r["p_value"])
+
+
+def test_distribution_holds_every_replicate(spark, monkeypatch):
+    monkeypatch.setattr(resample, "CHUNK", 16)
+    df, groups = bootstrap_rows(spark)
+    rows = df.select("task", "sample", "grp", "true_id", F.col("a_id").alias("pred_id"))
+    made = resample.classification_distribution(rows, groups, classes(spark, 3), ["task"], 40)
+    assert sorted((r["metric"], r["first"], len(r["replicates"])) for r in made.collect()) == sorted((m, f, n) for m in evaluate.METRICS for f, n in ((0, 16), (16, 16), (32, 8)))
+    weights = {}
+    for r in resample.draws(groups, 40, 0).collect():
+        weights.setdefault(r["replicate"], {})[r["grp"]] = r["weight"]
+    every = [(r["grp"], r["true_id"] == r["pred_id"]) for r in rows.collect()]
+    want = [sum(w.get(g, 0) * ok for g, ok in every) / sum(w.get(g, 0) for g, _ in every) for _, w in sorted(weights.items())]
+    got = [x for r in sorted(made.where("metric = 'accuracy'").collect(), key=lambda r: r["first"]) for x in r["replicates"]]
+    assert got == pytest.approx(want)
+    interval = resample.distribution_intervals(made, ["task"]).where("metric = 'accuracy'").first()
+    assert (interval["ci_low"], interval["ci_high"], interval["n_bootstrap"]) == (pytest.approx(np.quantile(want, 0.025)), pytest.approx(np.quantile(want, 0.975)), 40)
+
+
+def test_draws_of_a_large_stratum_are_multinomial(monkeypatch):
+    """Weights of all slices sum to the stratum in every replicate; means, variances and pair covariances are those of equal draws."""
+    monkeypatch.setattr(resample, "SLICE", 16)
+    n, reps = 151, 2000
+    w = np.concatenate([resample.weight_matrix(77, n, low, min(low + 16, n), 0, reps) for low in range(0, n, 16)], axis=1)
+    assert (w.sum(axis=1) == n).all() and w.shape == (reps, n)
+    assert (resample.weight_matrix(77, n, 32, 48, 0, 100) == w[:100, 32:48]).all()  # fewer replicates: the same ones
+    assert (resample.weight_matrix(77, n, 32, 48, 2000, 2100) != w[:100, 32:48]).any() and (resample.weight_matrix(78, n, 32, 48, 0, 100) != w[:100, 32:48]).any()
+    mean, cov = w.mean(axis=0), np.cov(w.T)
+    assert abs(mean - 1).max() < 5 / np.sqrt(reps) and abs(np.diag(cov) - (1 - 1 / n)).max() < 0.25
+    off = cov[~np.eye(n, dtype=bool)]
+    assert abs(off.mean() + 1 / n) < 0.001 and off.std() < 1.3 / np.sqrt(reps)
+    halves = w[:, :80].sum(axis=1)  # a binomial count
+    assert abs(halves.mean() - 80) < 1 and abs(halves.var() - n * 80 / n * (1 - 80 / n)) < 4
+
+
+def test_draws_cost_what_their_slice_costs():
+    """The count of one slice is found by a walk down the tree, whatever the stratum's size."""
+    seconds = {}
+    for n in (10_000, 100_000, 1_000_000):
+        begin = time.perf_counter()
+        w = resample.weight_matrix(5, n, 2048, 4096, 0, 100)
+        seconds[n] = time.perf_counter() - begin
+        assert abs(w.mean() - 1) < 0.01
+    assert seconds[1_000_000] < 10 * seconds[10_000] + 0.2
+
+
+def test_sums_over_slices_equal_a_join_with_the_draws(spark, monkeypatch):
+    rows = [(f"g{i}", "one" if i % 5 else "two", float(i)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "grp string, stratum string, v double")
+    sums = resample.resampled_sums(df.select("grp", "v").withColumn("k", F.lit("x")), ["k"], ["v"], df.select("grp", "stratum"), 12, 4).collect()
+    drawn = resample.draws(df.select("grp", "stratum"), 12, 4).join(df, "grp")
+    per = {r["replicate"]: r for r in drawn.groupBy("replicate").agg(F.sum(F.col("weight") * F.col("v")).alias("s"), F.sum(F.when(F.col("stratum") == "one", F.col("weight"))).alias("n")).collect()}
+    assert [x for r in sums for x in r["v"]] == pytest.approx([per[i]["s"] for i in range(12)]) and {r["n"] for r in per.values()} == {4000}
 
 
 def test_pairs_that_do_not_match_fail(spark):
