@@ -52,12 +52,15 @@ def probability_checks(rows: DataFrame, samples: DataFrame, keys: list[str]) ->
 def assemble(rows: DataFrame, samples: DataFrame, keys: list[str]) -> DataFrame:
     """One row per key and sample with the predicted class of its held-out fold; samples without a prediction get a row of nulls.
 
-    Rows of unknown samples are left out (``probability_checks`` counts them).  Only keys that fall short meet all samples.
+    Rows of unknown samples are left out (``probability_checks`` counts them).  Each sample meets the keys it was seen with once; only what it lacks becomes rows.
     """
     known = samples.select("sample").distinct()
     got = rows.select(*keys, "sample", "fold", argmax(F.col("probs")).alias("class_id"), F.array_max("probs").alias("top_prob")).join(known, "sample", "left_semi")
-    short = coverage(rows, samples, keys).where("found < wanted").select(*keys)
-    lost = known.join(F.broadcast(short)).join(rows.select(*keys, "sample"), [*keys, "sample"], "left_anti")
+    key = F.struct(*keys)
+    short = coverage(rows, samples, keys).where("found < wanted").agg(F.collect_list(key).alias("_short"))  # one row: the systems and seeds that fall short
+    seen = rows.groupBy("sample").agg(F.collect_set(key).alias("_seen"))
+    none = F.array().cast(short.schema["_short"].dataType)
+    lost = known.join(seen, "sample", "left").join(F.broadcast(short)).select("sample", F.explode(F.array_except("_short", F.coalesce("_seen", none))).alias("_k")).select("sample", "_k.*")
     order = [*keys, "sample", "fold", "class_id", "top_prob"]
     nothing = [F.lit(None).cast(got.schema[c].dataType).alias(c) for c in order[-3:]]
     return got.select(*order).unionByName(lost.select(*keys, "sample", *nothing))

@@ -3,11 +3,13 @@
 Samples are rows with ``sample, subgroup, grp, stratum`` and any task columns.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import materialise
-from . import checks
+from . import checks, units
 
 
 def cohort_summary(samples: DataFrame, tasks: list[str]) -> DataFrame:
@@ -177,26 +179,28 @@ def fold_table_checks(folds: DataFrame, n_folds: int) -> DataFrame:
         checks.check_row(grid.join(folds, ["stratum", "fold"], "left_anti"), "every stratum in every fold", F.count("*")))
 
 
-def leakage_audit(samples: DataFrame, tasks: list[str], n_folds: int, expected: dict[int, dict[str, int]] | None = None) -> DataFrame:
-    """Check rows: no group or subgroup in two folds, unique samples, fold ids, class coverage, declared counts."""
-    parts = [
-        checks.unique_key(samples, ["sample"], "unique samples"),
-        checks.within_one(samples, "grp", "fold", "groups in one fold"),
-        checks.within_one(samples, "subgroup", "fold", "subgroups in one fold"),
-        checks.row_rule(samples, F.col("fold").between(0, n_folds - 1), "fold numbers")]
+def audit_totals(samples: DataFrame, tasks: list[str], n_folds: int) -> DataFrame:
+    """The sums that every rule of ``leakage_audit`` and the fold summary follow from, one row, by one pass over ``samples``."""
+    return units.unit_totals(units.unit_states(samples, ["sample", "grp", "subgroup", *tasks], n_folds), n_folds)
+
+
+def leakage_audit(samples: DataFrame, tasks: list[str], n_folds: int, expected: dict[int, dict[str, int]] | None = None, totals: DataFrame | None = None) -> DataFrame:
+    """Check rows: no group or subgroup in two folds, unique samples, fold ids, class coverage, declared counts.
+
+    ``expected``: numbers of each fold under ``n_samples``, ``n_groups`` or ``n_subgroups``.  ``totals``: those of ``audit_totals``, if they are there already.
+    """
+    of, failures = units.total_of, {}
+    failures["unique samples"] = of("sample", "repeats")
+    failures["groups in one fold"], failures["subgroups in one fold"] = of("grp", "spread"), of("subgroup", "spread")
+    failures["fold numbers"] = of("sample", "outside")
     for t in tasks:
-        grid = samples.select(t).distinct().withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))))
-        parts.append(checks.check_row(grid.join(samples.select(t, "fold").distinct(), [t, "fold"], "left_anti"), f"every {t} in every fold", F.count("*")))
+        failures[f"every {t} in every fold"] = of(t, "lacking")
     if expected:
-        have = fold_summary(samples, [])
-        want = samples.sparkSession.createDataFrame([(f, *[v[c] for c in sorted(v)]) for f, v in expected.items()], ["fold", *sorted(next(iter(expected.values())))])
-        cols = [c for c in want.columns if c != "fold"]
-        both = want.join(have.select("fold", *[F.col(c).alias(f"have_{c}") for c in cols]), "fold", "left")
-        same = F.lit(True)
-        for c in cols:
-            same = same & F.col(c).eqNullSafe(F.col(f"have_{c}"))
-        parts.append(checks.row_rule(both, same, "declared fold counts"))
-    return checks.union_checks(*parts)
+        where = {"n_samples": ("sample", "rows_in"), "n_groups": ("grp", "keys_in"), "n_subgroups": ("subgroup", "keys_in")}
+        have = lambda f, c: F.coalesce(F.try_element_at("totals", F.lit(where[c][0]))[where[c][1]][f], F.lit(0)) if 0 <= f < n_folds else F.lit(0)
+        wrong = [(~units.every([have(f, c) == F.lit(n) for c, n in counts.items()])).cast("int") for f, counts in expected.items()]
+        failures["declared fold counts"] = reduce(lambda x, y: x + y, wrong)
+    return units.check_rows(audit_totals(samples, tasks, n_folds) if totals is None else totals, failures)
 
 
 def training_coverage(samples: DataFrame, task: str, n_folds: int) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import GROUP_SEPARATOR, hash32
 from ..operators import evaluate, folds, resample
+from ..sources.shared import materialise
 
 N_FOLDS, FOLD_SEED, SEEDS, REPLICATES = 3, 7, (101, 202, 303, 404, 505), 10_000
 TASKS = ("status", "priority")
@@ -31,12 +32,14 @@ def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_mktsegment").alias("stratum"), F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"))
 
 
-def fold_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.stratified_folds(folds.group_table(cohort(spark, sf_dir)), N_FOLDS, FOLD_SEED)
+def fold_table(spark: SparkSession, sf_dir: str, samples: DataFrame | None = None) -> DataFrame:
+    groups = materialise(folds.group_table(cohort(spark, sf_dir) if samples is None else samples), "groups")
+    return folds.stratified_folds(groups, N_FOLDS, FOLD_SEED)
 
 
 def split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.apply_folds(cohort(spark, sf_dir), fold_table(spark, sf_dir))
+    samples = materialise(cohort(spark, sf_dir), "cohort")
+    return folds.apply_folds(samples, fold_table(spark, sf_dir, samples))
 
 
 def long_labels(samples: DataFrame) -> DataFrame:

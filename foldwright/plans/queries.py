@@ -10,6 +10,7 @@ from ..functions import identity, vectors
 from ..functions.digest import table_fingerprint
 from ..operators import align, audit, checks, compare, evaluate, folds, pooling, probe, report, resample, retrieval
 from ..sources import files as file_source
+from ..sources.shared import materialise
 from . import bindings as b
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,11 +119,32 @@ _CHECKS = """SELECT name, CASE WHEN bad = 0 THEN 'PASS' ELSE 'FAIL' END AS statu
     UNION ALL SELECT 'every priority in every fold', count(DISTINCT priority) * 3 - count(DISTINCT priority || fold) FROM split)"""
 
 
+#: Folds that labels lack, counting folds 0 to 2 alone.
+LACKING = "count(DISTINCT {0}) * 3 - count(DISTINCT CASE WHEN fold BETWEEN 0 AND 2 THEN {0} || fold END)"
+_TORN = """torn AS (WITH k AS (SELECT *, CAST(sample AS BIGINT) AS k FROM split),
+        moved AS (SELECT sample, subgroup, grp, priority, status, CASE WHEN k % 101 = 0 THEN NULL WHEN k % 103 = 0 THEN 7 WHEN k % 53 = 0 THEN (fold + 1) % 3 ELSE fold END AS fold, k FROM k)
+    SELECT * FROM moved WHERE NOT (status = 'P' AND fold = 1) UNION ALL SELECT * FROM moved WHERE k % 59 = 0 AND NOT (status = 'P' AND fold = 1))"""
+_TORN_CHECKS = f"SELECT * FROM (WITH {_TORN} {_CHECKS.replace('FROM split', 'FROM torn').replace('count(DISTINCT status) * 3 - count(DISTINCT status || fold)', LACKING.format('status')).replace('count(DISTINCT priority) * 3 - count(DISTINCT priority || fold)', LACKING.format('priority'))})"
+
+
+def _torn(split: DataFrame) -> DataFrame:
+    k = F.col("sample").cast("long")
+    moved = split.withColumn("fold", F.when(k % 101 == 0, None).when(k % 103 == 0, 7).when(k % 53 == 0, (F.col("fold") + 1) % 3).otherwise(F.col("fold")))
+    moved = moved.where("not (status = 'P' and coalesce(fold, 0) = 1)").where("fold is not null or status <> 'P'")
+    return moved.unionByName(moved.where(k % 59 == 0))
+
+
 @query(b.sql(["split"], _CHECKS))
 def leakage_audit(spark, sf_dir):
     return folds.leakage_audit(b.split(spark, sf_dir), list(b.TASKS), b.N_FOLDS)
 
 
+@query(b.sql(["split"], _TORN_CHECKS))
+def leakage_audit_torn(spark, sf_dir):
+    """The same rules on a split that breaks each of them: repeated rows, groups and subgroups torn over folds, folds out of range, labels that a fold lacks."""
+    return folds.leakage_audit(_torn(b.split(spark, sf_dir)), list(b.TASKS), b.N_FOLDS)
+
+
 @query(b.sql(["split"], """SELECT split, n_groups, n_subgroups, n_samples, round(100.0 * n_groups / sum(n_groups) OVER (), 6) AS group_percent FROM (
     SELECT CASE fold WHEN 0 THEN 'test' ELSE 'train' END AS split, count(DISTINCT grp) AS n_groups, count(DISTINCT subgroup) AS n_subgroups, count(*) AS n_samples FROM split GROUP BY 1)"""))
 def named_split_summary(spark, sf_dir):
@@ -646,9 +668,17 @@ _ROW = "SELECT name, CASE WHEN bad = 0 THEN 'PASS' ELSE 'FAIL' END AS status, CA
 
 @query(b.sql(["cohort"], _ROW.format("""SELECT 'required_columns' AS name, count(CASE WHEN sample IS NULL OR grp IS NULL OR stratum IS NULL THEN 1 END) AS bad FROM cohort
     UNION ALL SELECT 'declared counts', CASE WHEN count(DISTINCT status) = 3 AND count(DISTINCT priority) = 5 THEN 0 ELSE 1 END
-        + CASE WHEN count(DISTINCT status) <> 3 AND count(DISTINCT priority) <> 5 THEN 1 ELSE 0 END FROM cohort""")))
+        + CASE WHEN count(DISTINCT status) <> 3 AND count(DISTINCT priority) <> 5 THEN 1 ELSE 0 END FROM cohort
+    UNION ALL SELECT 'files as published', count(*) FROM (WITH p AS (SELECT p_partkey || '.bin' AS n, CAST(p_size AS BIGINT) AS s, p_partkey AS k FROM part),
+        f AS (SELECT CASE WHEN k % 19 = 0 THEN 'new_' || n ELSE n END AS n, s + CASE WHEN k % 13 = 0 THEN 1 ELSE 0 END AS s FROM p WHERE k % 11 <> 0)
+        (SELECT n, s FROM p EXCEPT SELECT n, s FROM f) UNION ALL (SELECT n, s FROM f EXCEPT SELECT n, s FROM p))""")))
 def cohort_contract(spark, sf_dir):
-    return audit.cohort_contract(b.cohort(spark, sf_dir), list(b.TASKS), {"n_status": 3, "n_priority": 5}, ["sample", "grp", "stratum"])
+    """A cohort, and its files of which some were lost, renamed or changed in size since they were published."""
+    k, name, size = F.col("p_partkey"), F.concat(F.col("p_partkey").cast("string"), F.lit(".bin")), F.col("p_size").cast("long")
+    p = b.table(spark, sf_dir, "part")
+    published = p.select(name.alias("file_name"), size.alias("size_bytes"))
+    files = p.where(k % 11 != 0).select(F.when(k % 19 == 0, F.concat(F.lit("new_"), name)).otherwise(name).alias("file_name"), (size + (k % 13 == 0).cast("int")).alias("size_bytes"))
+    return audit.cohort_contract(b.cohort(spark, sf_dir), list(b.TASKS), {"n_status": 3, "n_priority": 5}, ["sample", "grp", "stratum"], files, published)
 
 
 @query(b.sql(["split"], _ROW.format(_CHECKS[_CHECKS.index("FROM (") + 6 : -1] + """ UNION ALL SELECT 'stored summary is the recomputed one', count(*) FROM (WITH
@@ -672,8 +702,9 @@ def split_reaudit(spark, sf_dir):
     UNION ALL SELECT 'metrics follow from rows', count(*) FROM (SELECT model, strategy, task, seed FROM metrics EXCEPT SELECT model, strategy, task, seed FROM rows_of)""") + ")"))
 def result_contract(spark, sf_dir):
     """The contract of a result set from which the rows of one model and seed were lost, beside metrics made before that."""
-    p = b.predictions(spark, sf_dir, b.split(spark, sf_dir)).where("not (model = 'beta' and seed = 505)")
-    return audit.result_contract(p, b.cohort(spark, sf_dir), b.SYSTEM, list(b.SEEDS), b.N_FOLDS, _metrics(spark, sf_dir), b.classes(spark, sf_dir), ["task"])
+    split = b.split(spark, sf_dir)
+    p = materialise(b.predictions(spark, sf_dir, split).where("not (model = 'beta' and seed = 505)"), "predictions")
+    return audit.result_contract(p, split, b.SYSTEM, list(b.SEEDS), b.N_FOLDS, _metrics(spark, sf_dir), b.classes(spark, sf_dir), ["task"])
 
 
 @query(b.sql(["folds"], _ROW.format("""SELECT 'unique groups' AS name, count(*) - count(DISTINCT grp) AS bad FROM folds UNION ALL SELECT 'fold numbers', count(CASE WHEN fold NOT BETWEEN 0 AND 2 THEN 1 END) FROM folds

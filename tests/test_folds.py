@@ -77,3 +77,24 @@ def test_coverage_and_roles(spark):
     assert folds.roles(df, 3).where("role = 'test'").count() == 5
     assert folds.named_split_summary(df.withColumn("split", F.lit("all")), "split").first()["group_percent"] == 100.0
     checks.require(folds.fold_match_checks(df, df.select("grp", "fold")))
+
+
+def test_audit_counts_each_violation(spark):
+    rows = [("g1", "w1", "r1", 0, "A"), ("g1", "w1", "r1", 1, "A"), ("g2", "w2", "r2", 1, None), ("g2", "w3", "r3", None, "A"), ("g3", "w3", "r4", 9, "B"), ("g3", "w3", "r5", 2, "A"), ("g4", "w4", "r6", 7, "B"), ("g4", "w4", "r7", 8, "B")]
+    got = {r["name"]: int(r["detail"].split()[0]) for r in folds.leakage_audit(split_rows(spark, rows), ["diagnosis"], 3).collect()}
+    assert got == {"unique samples": 1, "groups in one fold": 3, "subgroups in one fold": 3, "fold numbers": 4, "every diagnosis in every fold": 3 + 3}
+    none = folds.leakage_audit(split_rows(spark, []), ["diagnosis"], 3).collect()
+    assert len(none) == 5 and {r["status"] for r in none} == {"PASS"}
+
+
+def scans(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[-1]
+    return plan.count("FileScan"), plan.count("Exchange ")
+
+
+def test_audit_reads_the_split_once(spark, tmp_path):
+    good = [(f"p{f}{d}", f"w{f}{d}", f"r{f}{d}", f, d) for f in range(3) for d in "AB"]
+    split_rows(spark, good).write.parquet(str(tmp_path / "split"))
+    read, moved = scans(folds.leakage_audit(spark.read.parquet(str(tmp_path / "split")), ["diagnosis"], 3, {0: {"n_groups": 2}}))
+    assert read == 1 and moved <= 3
