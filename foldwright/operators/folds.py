@@ -5,6 +5,8 @@ Samples are rows with ``sample, subgroup, grp, stratum`` and any task columns.
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,51 +104,95 @@ def fold_cost(features: DataFrame, folds: DataFrame, n_folds: int) -> DataFrame:
     return fold_deviations(features, folds, n_folds).agg(F.coalesce(F.sum(F.col("weight") * off * off), F.lit(0.0)).alias("cost"))
 
 
-def balanced_folds(samples: DataFrame, folds: DataFrame, tasks: list[str], n_folds: int, passes: int = 30, seed: int = 0,
-                   patience: int = 3) -> DataFrame:
+def swap_classes(features: DataFrame, placed: DataFrame, names: list[str]) -> DataFrame:
+    """``grp, stratum, fold, values, class``: groups of one stratum, fold and feature vector are interchangeable and make a class."""
+    wide = features.groupBy("grp").pivot("feature", names).agg(F.sum("value"))
+    vector = F.array(*[F.coalesce(F.col(f"`{n}`"), F.lit(0.0)) for n in names])
+    rows = placed.join(wide, "grp").select("grp", "stratum", "fold", vector.alias("values"))
+    return rows.withColumn("class", F.md5(F.to_json(F.struct("stratum", "fold", "values")).cast("binary")))
+
+
+PROPOSAL = "a string, b string, fa int, fb int, times long, change double"
+
+
+def best_swaps(classes: DataFrame, deviations: DataFrame, names: list[str], rows_per_block: int = 2048) -> DataFrame:
+    """``PROPOSAL``: for each class its best partner in each block of another fold of its stratum, where a swap lowers the cost.
+
+    ``classes``: ``stratum, fold, values, class, n``.  The change of a swap is a scalar product of the two classes and terms
+    of each alone, so a couple of blocks is one matrix product of which only the best partner of each row and column leaves.
+    ``times``: how many groups of the couple to swap at once.  No rows: no swap of two groups of a stratum lowers the cost.
+    """
+    rows = deviations.groupBy("feature").agg(F.max("weight").alias("weight"), F.max("scale").alias("scale"), F.map_from_entries(F.collect_list(F.struct("fold", "off"))).alias("off")).collect()
+    known = {r["feature"]: r for r in rows}  # a row for each feature
+    unit = np.array([known[n]["weight"] / known[n]["scale"] ** 2 for n in names])
+    off = {f: np.array([known[n]["off"].get(f, 0.0) for n in names]) for f in sorted({f for r in rows for f in r["off"]})}
+    sizes = classes.groupBy("stratum", "fold").agg(F.ceil(F.count("*") / rows_per_block).cast("int").alias("blocks"))
+    dealt = classes.join(F.broadcast(sizes), ["stratum", "fold"]).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))  # a row for each stratum and fold
+    blocks = dealt.groupBy("stratum", "fold", "block").agg(F.array_sort(F.collect_list(F.struct("class", "n", "values"))).alias("rows")).select(
+        "stratum", "fold", "block", F.col("rows.class").alias("names"), F.col("rows.n").alias("sizes"), F.flatten("rows.values").alias("values"))
+    side = lambda x: blocks.select("stratum", *[F.col(c).alias(f"{c}_{x}") for c in ("fold", "names", "sizes", "values")])
+
+    def work(batches):
+        for batch in batches:
+            for fa, na, ma, va, fb, nb, mb, vb in batch.itertuples(index=False):
+                x, y, pull = va.reshape(len(na), -1), vb.reshape(len(nb), -1), unit * (off[fb] - off[fa])
+                once = 2 * ((x * x) @ unit + x @ pull)[:, None] + 2 * ((y * y) @ unit - y @ pull)[None, :] - 4 * (x * unit) @ y.T
+                square = 2 * ((x * x) @ unit)[:, None] + 2 * ((y * y) @ unit)[None, :] - 4 * (x * unit) @ y.T
+                most = np.minimum(ma[:, None], mb[None, :])
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    times = np.where(square > 1e-12, np.round(-(once - square) / (2 * square)), most)
+                times = np.clip(np.nan_to_num(times, nan=1.0), 1, most)
+                change = np.where(once < -1e-12, times * (once - square) + times * times * square, 0.0)
+                pick = sorted({(i, int(change[i].argmin())) for i in range(len(na))} | {(int(change[:, j].argmin()), j) for j in range(len(nb))})
+                out = [(na[i], nb[j], fa, fb, int(times[i, j]), float(change[i, j])) for i, j in pick if once[i, j] < -1e-12]
+                yield pd.DataFrame(out, columns=["a", "b", "fa", "fb", "times", "change"])
+
+    pairs = side("a").join(side("b"), "stratum").where("fold_a < fold_b")
+    return pairs.select(*[f"{c}_{x}" for x in "ab" for c in ("fold", "names", "sizes", "values")]).mapInPandas(work, PROPOSAL)
+
+
+def agreed_swaps(proposals: DataFrame) -> DataFrame:
+    """Proposals that are the best of both their classes, so that each class has one partner at most; the best of all is among them."""
+    ends = proposals.select(F.explode(F.array("a", "b")).alias("class"), F.struct("change", "a", "b").alias("bid")).groupBy("class").agg(F.min("bid").alias("bid"))
+    won = ends.groupBy("bid").agg(F.count("*").alias("n")).where("n = 2").select("bid.a", "bid.b")
+    return proposals.join(won, ["a", "b"]).dropDuplicates(["a", "b"])
+
+
+def balanced_folds(samples: DataFrame, folds: DataFrame, tasks: list[str], n_folds: int, passes: int = 30) -> DataFrame:
     """Improve folds by swapping groups of one stratum; sizes of folds, overall and per stratum, stay as they are.
 
-    Each pass deals the groups of a stratum into random couples of different folds, computes the
-    change of the cost of each couple's swap with joins, and applies all swaps that lower it,
-    provided the recomputed total falls by more than 1e-12; otherwise the best half, down to the
-    best one.  It ends after ``patience`` passes in a row without a gain, at the latest after
-    ``passes``.  Swaps stay in Spark, each pass is a written table; only costs and counts come to the driver.
+    Each pass finds the best partner of every class of interchangeable groups and takes the couples that are best for both
+    sides.  Where all of them together do not lower the cost by more than 1e-12, each is made fewer times, by halves,
+    and at last the one best swap alone, which does.  It ends when no swap of two groups lowers the cost, at the latest
+    after ``passes``.  Classes and swaps stay in Spark, each pass is a written table; only costs and sums of features come to the driver.
     """
     features = materialise(balance_features(samples, tasks), "fold-features")
-    per_group = materialise(samples.select("grp", "stratum").distinct(), "fold-groups")
-    now, cost, idle = materialise(folds.select("grp", "fold"), "fold-now"), None, 0
-    for k in range(passes):
-        cost = fold_cost(features, now, n_folds).first()[0] if cost is None else cost
-        totals = materialise(fold_deviations(features, now, n_folds), "fold-totals")
-        token = F.md5(F.concat_ws("|", F.lit(f"{seed}|{k}"), F.col("grp")).cast("binary"))
-        line = numbered(per_group.join(now, "grp"), ["stratum"], token, "grp", "pos").withColumn("couple", F.floor(F.col("pos") / 2))
-        pair = (line.groupBy("stratum", "couple").agg(F.min(F.struct("grp", "fold")).alias("a"), F.max(F.struct("grp", "fold")).alias("b"), F.count("*").alias("n"))
-                .where("n = 2 and a.fold <> b.fold").select(F.col("a.grp").alias("ga"), F.col("a.fold").alias("fa"), F.col("b.grp").alias("gb"), F.col("b.fold").alias("fb")))
-        move = (pair.join(features.select(F.col("grp").alias("ga"), "feature", "weight", "value"), "ga").select("ga", "gb", "fa", "fb", "feature", "weight", F.col("value").alias("d"))
-                .unionByName(pair.join(features.select(F.col("grp").alias("gb"), "feature", "weight", "value"), "gb").select("ga", "gb", "fa", "fb", "feature", "weight", (-F.col("value")).alias("d")))
-                .groupBy("ga", "gb", "fa", "fb", "feature", "weight").agg(F.sum("d").alias("d")).where("d <> 0"))
-        ta, tb = totals.select(F.col("fold").alias("fa"), "feature", "scale", F.col("off").alias("ta")), totals.select(F.col("fold").alias("fb"), "feature", F.col("off").alias("tb"))
-        gain = (move.join(ta, ["fa", "feature"]).join(tb, ["fb", "feature"])
-                .groupBy("ga", "gb", "fa", "fb").agg(F.sum(F.col("weight") * 2 * F.col("d") * (F.col("d") + F.col("tb") - F.col("ta")) / (F.col("scale") * F.col("scale"))).alias("change"))
-                .where("change < -1e-12"))
-        gain = materialise(gain, "fold-swaps")
-        n = take = gain.count()
-        idle += 1
-        while take:
-            chosen = gain
-            if take == 1:
-                chosen = gain.orderBy("change", "ga").limit(1)
-            elif take < n:
-                chosen = gain.where(F.col("change") <= gain.agg(F.percentile("change", take / n)).first()[0])
-            moved = chosen.select(F.explode(F.array(F.struct(F.col("ga").alias("grp"), F.col("fb").alias("to")), F.struct(F.col("gb").alias("grp"), F.col("fa").alias("to")))).alias("m")).select("m.*")
-            trial = materialise(now.join(moved, "grp", "left").select("grp", F.coalesce("to", "fold").alias("fold")), "fold-now")
+    names = sorted(r[0] for r in features.select("feature").distinct().collect())  # two for each class, and two
+    strata = materialise(samples.select("grp", "stratum").distinct(), "fold-groups")
+    now = materialise(folds.select("grp", "fold"), "fold-now")
+    cost = fold_cost(features, now, n_folds).first()[0]
+    for _ in range(passes):
+        classes = materialise(swap_classes(features, strata.join(now, "grp"), names), "fold-classes")
+        sizes = classes.groupBy("stratum", "fold", "class").agg(F.first("values").alias("values"), F.count("*").alias("n"))
+        swaps = materialise(agreed_swaps(best_swaps(sizes, fold_deviations(features, now, n_folds), names)), "fold-swaps")
+        most = swaps.agg(F.max("times")).first()[0]
+        if most is None:  # no swap of two groups lowers the cost
+            break
+        numbers = materialise(numbered(classes.select("grp", "class", "fold"), ["class"], F.md5(F.col("grp").cast("binary")), "grp", "place"), "fold-places")
+        while True:
+            chosen = swaps.withColumn("times", F.least("times", F.lit(most)))
+            if most == 0:
+                chosen = swaps.orderBy("change", "a", "b").limit(1).withColumn("times", F.lit(1))
+            ends = chosen.select("times", F.explode(F.array(F.struct(F.col("a").alias("class"), F.col("fb").alias("to")), F.struct(F.col("b").alias("class"), F.col("fa").alias("to")))).alias("e")).select("times", "e.*")
+            trial = numbers.join(ends, "class", "left").select("grp", F.when(F.col("place") < F.col("times"), F.col("to")).otherwise(F.col("fold")).cast("int").alias("fold"))
+            trial = materialise(trial, "fold-now")
             after = fold_cost(features, trial, n_folds).first()[0]
-            if after < cost - 1e-12:
-                now, cost, idle = trial, after, 0
+            if after < cost - 1e-12 or most == 0:
                 break
-            take //= 2
-        if idle == patience:
+            most //= 2
+        if after >= cost - 1e-12:  # within rounding
             break
+        now, cost = trial, after
     return folds.drop("fold").join(now, "grp")
 
 

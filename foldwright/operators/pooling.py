@@ -28,6 +28,36 @@ def as_vectors(pooled: DataFrame) -> DataFrame:
     return rows.select("sample", F.transform("v", lambda x: x["mean"].cast("float")).alias("grid_mean"), F.transform("v", lambda x: x["max"].cast("float")).alias("grid_max"))
 
 
+def partial_pool(patches: DataFrame, patches_in_range: int = 64) -> DataFrame:
+    """States of runs of patches: ``sample, range, dim, n, total, top, digest``, that ``finish_pool`` adds up.
+
+    A range is ``patches_in_range`` neighbouring patch numbers, so a sample of very many patches is many rows and what
+    one run pooled can be kept as a table beside that of another.  ``digest`` tells which patches are in the state.
+    Patches that come twice, or without a number, fail the query.
+    """
+    one = patches.groupBy("sample", "patch_index").agg(F.count("*").alias("n"), F.first("features").alias("features"))
+    number = F.when((F.col("n") == 1) & F.col("patch_index").isNotNull(), F.col("patch_index")).otherwise(F.raise_error(F.lit("patches must be numbered and come once")).cast("int"))
+    long = one.withColumn("patch_index", number).select("sample", F.floor(F.col("patch_index") / patches_in_range).alias("range"), (F.col("patch_index") % patches_in_range).alias("at"),
+                                                        F.posexplode(as_double(F.col("features"))).alias("dim", "value"))
+    return long.groupBy("sample", "range", "dim").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.max("value").alias("top"), F.array_sort(F.collect_list("at")).alias("_at")).select(
+        "sample", "range", "dim", "n", "total", "top", F.md5(F.to_json("_at").cast("binary")).alias("digest"))
+
+
+def finish_pool(states: DataFrame, declared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pooled samples (as ``pool_mean_max`` gives them) and what is still open: ``sample, have, want``.
+
+    ``states``: tables of ``partial_pool`` together; a state that two runs made of the same patches counts once.  ``declared``:
+    ``sample, want``, the patches each sample must have.  A sample whose range two runs made of different patches, or that has
+    more than it should, is open with a ``have`` of -1; a sample that nothing declares is left out.
+    """
+    same = states.groupBy("sample", "range", "dim").agg(F.max("n").alias("n"), F.max("total").alias("total"), F.max("top").alias("top"), F.countDistinct("digest").alias("kinds"))
+    per = same.groupBy("sample", "dim").agg(F.sum("n").alias("n_patches"), (F.sum("total") / F.sum("n")).alias("mean"), F.max("top").alias("max"), F.max("kinds").alias("kinds"))
+    sizes = per.groupBy("sample").agg(F.min("n_patches").alias("low"), F.max("n_patches").alias("have"), F.max("kinds").alias("kinds"))
+    known = declared.join(sizes, "sample", "left").withColumn("have", F.when((F.col("kinds") > 1) | (F.col("low") != F.col("have")) | (F.col("have") > F.col("want")), -1).otherwise(F.coalesce("have", F.lit(0))))
+    whole = per.join(known.where("have = want").select("sample"), "sample", "left_semi").select("sample", "n_patches", "dim", "mean", "max")
+    return whole, known.where("have <> want").select("sample", "have", "want")
+
+
 def token_pool(tokens: DataFrame, registers: int = 4) -> DataFrame:
     """``sample, part, dim, value``: the class token (index 0) and the mean of the tokens after the registers.
 

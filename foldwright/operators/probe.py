@@ -1,6 +1,7 @@
 """Linear probe on held-out folds: class weights, train-only scaling, one weighted softmax head per fold and seed."""
 
 import copy
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -54,8 +55,9 @@ class ProbeConfig:
     rate: float = 1e-3
     decay: float = 1e-2
     n_folds: int = 3
-    #: Steps that a shard makes on its own before the heads are averaged, at least.
+    #: Steps that a shard makes on its own before the heads are averaged, at least; most shards.
     least_steps: int = 16
+    most_shards: int = 4096
 
 
 def probe_checks(items: DataFrame, n_folds: int) -> DataFrame:
@@ -92,13 +94,36 @@ class Heads:
         self.w[f] = self.w[f] * (1 - c.rate * c.decay) - c.rate * (self.m[f] / (1 - 0.9**self.t)) / (np.sqrt(self.v[f] / (1 - 0.999**self.t)) + 1e-8)
 
 
+STATE = "fold int, block int, shard int, t int, seen double, sums binary"
+#: Bytes of a block of a state.
+BLOCK = 1 << 20
+
+
+def column_blocks(shape: tuple[int, int, int]) -> list[tuple[int, int]]:
+    """Ranges of columns of a fold's heads, of about ``BLOCK`` bytes with their moments."""
+    _, rows, columns = shape
+    step = max(1, BLOCK // (3 * 8 * rows))
+    return [(low, min(low + step, columns)) for low in range(0, columns, step)]
+
+
+def add_states(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The sum of some states of one block, in the order of their shards."""
+    pdf = pdf.sort_values("shard")
+    total = np.frombuffer(pdf["sums"].iloc[0]).copy()
+    for more in pdf["sums"].iloc[1:]:
+        total += np.frombuffer(more)
+    first = pdf.iloc[0]
+    return pd.DataFrame({"fold": [first["fold"]], "block": [first["block"]], "shard": [first["shard"]], "t": [pdf["t"].max()], "seen": [pdf["seen"].sum()], "sums": [total.tobytes()]})
+
+
 def train_heads(items: DataFrame, config: ProbeConfig = ProbeConfig()) -> tuple[dict, list[str]]:
     """Heads for every (held fold, seed), trained together; each epoch reads every row once.
 
     Rows are dealt to shards by a hash of their id and ordered anew in each epoch.  A shard walks its
     rows in batches from the heads it was given; after the epoch heads and moments are averaged by
-    rows.  There are as many shards as leave each ``least_steps`` steps an epoch, so a small table
-    is one shard and its training is plain AdamW.  The driver holds labels, scalers and heads alone.
+    rows: states are cut into blocks of columns, summed block by block in two rounds of shuffles, and
+    only the one averaged state is read.  There are as many shards as leave each ``least_steps`` steps an
+    epoch, so a small table is one shard and its training is plain AdamW.  The driver holds labels, scalers and heads alone.
     """
     spark = items.sparkSession
     labels = sorted(r[0] for r in items.select("label").distinct().collect())
@@ -112,8 +137,10 @@ def train_heads(items: DataFrame, config: ProbeConfig = ProbeConfig()) -> tuple[
     cw = np.zeros((config.n_folds, len(labels)))
     cw[weights["held_fold"], weights["label"].map(place)] = weights["weight"]
     n_rows = int(weights["n"].sum()) // max(config.n_folds - 1, 1)
-    shards = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n_rows // (config.batch * config.least_steps)))
+    shards = max(1, min(config.most_shards, n_rows // (config.batch * config.least_steps)))
+    group = math.isqrt(shards - 1) + 1  # states that meet in a round
     heads = Heads(config, width, len(labels))
+    blocks = column_blocks(heads.w.shape)
     # Cached blocks that are lost are made again from the items.
     rows = items.select("sample", "fold", "label", "features").repartition(shards, "sample").withColumn("shard", F.spark_partition_id()).cache()
     for epoch in range(config.epochs):
@@ -133,21 +160,19 @@ def train_heads(items: DataFrame, config: ProbeConfig = ProbeConfig()) -> tuple[
                             h.step(f, np.c_[(x[mine] - mu[f]) / sc[f], np.ones(mine.sum())], y[mine], wt[f, y[mine]])
                             seen[f] += mine.sum()
             if shard is not None:
-                sums = np.stack((h.w, h.m, h.v)) * seen[None, :, None, None]
-                yield pd.DataFrame({"shard": [shard], "t": [h.t], "seen": [seen], "sums": [sums.tobytes()]})
-
-        def add(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("shard")
-            sums = np.sum([np.frombuffer(b) for b in pdf["sums"]], axis=0)
-            return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "t": [pdf["t"].max()], "seen": [np.sum(np.stack(pdf["seen"].to_list()), axis=0)], "sums": [sums.tobytes()]})
+                for f in np.flatnonzero(seen):
+                    state = np.stack((h.w[f], h.m[f], h.v[f])) * seen[f]
+                    for k, (low, high) in enumerate(blocks):
+                        yield pd.DataFrame({"fold": [f], "block": [k], "shard": [shard], "t": [h.t], "seen": [seen[f]], "sums": [state[:, :, low:high].tobytes()]})
 
-        kind = "shard int, t int, seen array<double>, sums binary"
         ordered = rows.withColumn("turn", hash32(config.seeds[0], epoch, F.col("sample"))).sortWithinPartitions("turn", "sample")
-        done = add(ordered.mapInPandas(walk, kind).groupBy(F.pmod("shard", F.lit(64))).applyInPandas(add, kind).toPandas())
-        sums, seen = np.frombuffer(done["sums"].iloc[0]).reshape(3, *heads.w.shape), done["seen"].iloc[0]
-        for f in np.flatnonzero(seen):
-            heads.w[f], heads.m[f], heads.v[f] = sums[:, f] / seen[f]
-        heads.t = int(done["t"].iloc[0])
+        states = ordered.mapInPandas(walk, STATE).withColumn("part", F.floor(F.col("shard") / group))
+        once = states.groupBy("fold", "block", "part").applyInPandas(add_states, STATE)
+        for r in once.groupBy("fold", "block").applyInPandas(add_states, STATE).toLocalIterator():  # one state, block by block
+            low, high = blocks[r["block"]]
+            sums = np.frombuffer(r["sums"]).reshape(3, width + 1, high - low) / r["seen"]
+            heads.w[r["fold"], :, low:high], heads.m[r["fold"], :, low:high], heads.v[r["fold"], :, low:high] = sums
+            heads.t = max(heads.t, r["t"])
         shared.unpersist()
     rows.unpersist()
     return {"heads": heads, "mean": mean, "scale": scale}, labels

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import interval_cell, mean_sd_cell
 from . import checks
-from .evaluate import seed_summary
+from . import lineage
+from .evaluate import METRICS, confusion_over_seeds, per_class_summary, seed_summary
+from .retrieval import over_folds
 
 # Accepted spellings of strategies and their canonical names.
 STRATEGY_ALIASES = {
@@ -32,7 +34,7 @@ def experiment_grid(spark, models: list[str], strategies: list[str], tasks: list
 
 
 def input_checks(rows: DataFrame, system: list[str], seeds: list[int], constant: list[str]) -> DataFrame:
-    """One protocol, unique (system, seed), exactly the seeds expected, counts constant across seeds, no fold rows."""
+    """One protocol, unique (system, seed), exactly the seeds expected, counts positive and constant across seeds, metrics finite and within 0..1, no fold rows."""
     parts = [checks.unique_key(rows, [*system, "seed"], "unique system and seed")]
     if "protocol_id" in rows.columns:
         parts.append(checks.check_row(rows.agg(F.countDistinct("protocol_id").alias("n")), "one protocol", F.sum((F.col("n") != 1).cast("long"))))
@@ -42,6 +44,10 @@ def input_checks(rows: DataFrame, system: list[str], seeds: list[int], constant:
     parts.append(checks.check_row(checks.complete_grid(rows, want, [*system, "seed"]), "every seed of every system", F.count("*")))
     for c in constant:
         parts.append(checks.functional_dependency(rows, system, c, f"constant {c}"))
+        parts.append(checks.row_rule(rows, F.col(c) > 0, f"positive {c}"))
+    for m in METRICS:
+        if m in rows.columns:
+            parts.append(checks.row_rule(rows, ~F.isnan(F.col(m)) & F.col(m).between(0, 1), f"{m} within 0 and 1"))
     return checks.union_checks(*parts)
 
 
@@ -125,10 +131,23 @@ def delta_summary(deltas: DataFrame) -> DataFrame:
                                         F.avg("delta").alias("mean_delta"), F.max(F.abs("delta")).alias("max_abs_delta"))
 
 
-def report_bundle(metrics: DataFrame, per_fold: DataFrame, intervals: DataFrame, tasks: list[str], seeds: list[int]) -> dict[str, DataFrame]:
-    """All report tables, and the check rows that gate them (``checks.require`` raises on a failure)."""
-    gate = input_checks(metrics, ["model", "strategy", "task"], seeds, ["n_samples"])
-    from .retrieval import over_folds
+def report_bundle(metrics: DataFrame, per_fold: DataFrame, intervals: DataFrame, tasks: list[str], seeds: list[int], per_class: DataFrame | None = None,
+                  confusion: DataFrame | None = None, inputs: tuple[DataFrame, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """All report tables, and the check rows that gate them (``checks.require`` raises on a failure).
 
-    return {"checks": gate, "summary": summary_table(metrics, tasks, ["balanced_accuracy", "macro_f1"]), "intervals": interval_table(intervals),
+    ``per_class`` and ``confusion`` are summarised over seeds.  ``inputs``: file identities that the evaluation and the retrieval consumed; they
+    must be the same, and become the provenance table.  An interval without a cell (a bound missing or out of range) fails.
+    """
+    system = ["model", "strategy", "task"]
+    cells = interval_table(intervals)
+    parts = [input_checks(metrics, system, seeds, ["n_samples"]), checks.row_rule(cells, F.col("cell").isNotNull(), "intervals have bounds")]
+    made = {"summary": summary_table(metrics, tasks, ["balanced_accuracy", "macro_f1"]), "intervals": cells,
             "retrieval": retrieval_table(over_folds(per_fold, ["k"]).withColumn("system", F.lit("all")), [5, 10, 15, 20], {"average_precision": "map"}, ["system"])}
+    if per_class is not None:
+        made["per_class"] = per_class_summary(per_class, system)
+    if confusion is not None:
+        made["confusion"] = confusion_over_seeds(confusion, system)
+    if inputs is not None:
+        parts.append(lineage.same_lineage(*inputs))
+        made["provenance"] = lineage.identity_index(inputs[0].unionByName(inputs[1])).select("role", "path", "size_bytes", "sha256")
+    return {"checks": checks.union_checks(*parts), **made}

@@ -36,30 +36,40 @@ def normalised(items: DataFrame) -> DataFrame:
     return items.withColumn("features", unit(F.col("features"))).where(F.col("features").isNotNull())
 
 
-def packed(items: DataFrame, blocks: int, side: str) -> DataFrame:
-    """Rows of each fold packed into ``blocks`` blocks by a hash of the id: one row of arrays per block."""
-    block = F.pmod(F.xxhash64("sample"), F.lit(blocks)).cast("int")
-    row = F.struct("sample", F.xxhash64("grp").alias("g"), "features")  # an integer stand-in for the group keeps blocks small
-    return items.groupBy(F.col("fold").alias(f"{side}_fold"), block.alias(f"{side}_block")).agg(F.collect_list(row).alias(f"{side}_rows"))
+def packed(items: DataFrame, by: list[Column], side: str) -> DataFrame:
+    """Rows packed into blocks, one row each: ids, an integer stand-in for the groups and all vectors in one flat array."""
+    row = F.struct("sample", F.xxhash64("grp").alias("g"), "features")
+    blocks = items.groupBy(*by).agg(F.collect_list(row).alias("rows"))
+    names = [c for c in blocks.columns if c != "rows"]
+    return blocks.select(*names, F.col("rows.sample").alias(f"{side}_ids"), F.col("rows.g").alias(f"{side}_groups"), F.flatten("rows.features").alias(f"{side}_x"))
 
 
-def best_columns(sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of the k largest finite entries of each row; of ties the first columns."""
+def best_columns(x: np.ndarray, y: np.ndarray, barred: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and similarity of the ``k`` best columns of each row that are not ``barred``; of ties the first columns.
+
+    The matrix product finds what may be among them.  These are computed again one by one in an order of sums that does
+    not depend on the block, so equal vectors are equally similar wherever they lie.
+    """
+    sim = x @ y.T
+    sim[barred] = -np.inf
+    keep = np.isfinite(sim)
     if sim.shape[1] > k:
-        edge = -np.partition(-sim, k - 1, axis=1)[:, k - 1]
-        keep = sim >= edge[:, None]
-        crowded = np.flatnonzero(keep.sum(axis=1) > k)  # ties at the edge
-        if len(crowded):
-            top = np.argsort(-sim[crowded], axis=1, kind="stable")[:, :k]
-            keep[crowded] = False
-            keep[crowded[:, None], top] = True
-    else:
-        keep = np.ones(sim.shape, bool)
-    return np.nonzero(keep & np.isfinite(sim))
+        keep &= sim >= -np.partition(-sim, k - 1, axis=1)[:, k - 1, None] - TIE
+    row, col = np.nonzero(keep)
+    value = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", x[row[i : i + 4096]], y[col[i : i + 4096]]) for i in range(0, len(row), 4096))])
+    order = np.lexsort((col, -value, row))
+    row, col, value = row[order], col[order], value[order]
+    first = np.searchsorted(row, row)
+    best = np.arange(len(row)) - first < k
+    return row[best], col[best], value[best]
+
+
+#: By how much two sums of the same products may differ.
+TIE = 1e-12
 
 
 def exact_topk(queries: DataFrame, gallery: DataFrame, k: int, rows_per_block: int = 2048) -> DataFrame:
-    """``query, rank, gallery, similarity``: the k most similar gallery items, ties by id ascending.
+    """``query, rank, gallery, similarity``: the k most similar gallery items, ties by id ascending (``pruned_topk`` spares blocks of clustered vectors).
 
     Items with a vector that is not valid fail the query.  Both sides are packed by fold into blocks
     of about ``rows_per_block`` rows; blocks of different folds meet, each pair as one matrix product
@@ -72,29 +82,106 @@ def exact_topk(queries: DataFrame, gallery: DataFrame, k: int, rows_per_block: i
     if not sizes:
         return g.select(F.col("sample").alias("query"), F.lit(0).alias("rank"), F.col("sample").alias("gallery"), F.lit(0.0).alias("similarity"))
     blocks = max(1, -(-max(n for _, n in sizes) // rows_per_block))
-    left, right = packed(q, max(1, -(-nq // (rows_per_block * max(len(sizes) - 1, 1)))), "q"), packed(g, blocks, "g")
+    block = lambda n: F.pmod(F.xxhash64("sample"), F.lit(n)).cast("int")
+    left = packed(q, [F.col("fold").alias("q_fold"), block(max(1, -(-nq // (rows_per_block * max(len(sizes) - 1, 1))))).alias("q_block")], "q")
+    right = packed(g, [F.col("fold").alias("g_fold"), block(blocks).alias("g_block")], "g")
     # A query block is copied with the number of every gallery block of another fold.
     fold = F.explode(F.array(*[F.lit(f).cast(gallery.schema["fold"].dataType) for f, _ in sizes]))
     aimed = left.withColumn("g_fold", fold).where("g_fold <> q_fold").withColumn("g_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pairs = aimed.join(right, ["g_fold", "g_block"])
+    return best_of(multiplied(aimed.join(right, ["g_fold", "g_block"]), k), k)
+
+
+def multiplied(pairs: DataFrame, k: int) -> DataFrame:
+    """``query, gallery, similarity``: of each pair of blocks the ``k`` best of every query, by one matrix product."""
 
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for a, b in zip(batch["q_rows"], batch["g_rows"]):
-                ids = np.array([r["sample"] for r in b], dtype=object)
-                order = np.argsort(ids, kind="stable")  # columns in id order, so that ties go to the smaller id
-                ids = ids[order]
-                y, yg = np.stack([r["features"] for r in b])[order], np.array([r["g"] for r in b])[order]
-                sim = np.stack([r["features"] for r in a]) @ y.T
-                sim[np.array([r["g"] for r in a])[:, None] == yg] = -np.inf
-                row, col = best_columns(sim, k)
-                yield pd.DataFrame({"query": np.array([r["sample"] for r in a], dtype=object)[row], "gallery": ids[col], "similarity": sim[row, col]})
-
-    found = pairs.select("q_rows", "g_rows").mapInPandas(multiply, "query string, gallery string, similarity double")
+            for qi, qg, qx, gi, gg, gx in batch.itertuples(index=False):
+                order = np.argsort(gi, kind="stable")  # columns in id order, so that ties go to the smaller id
+                ids = gi[order]
+                row, col, similarity = best_columns(qx.reshape(len(qi), -1), gx.reshape(len(gi), -1)[order], qg[:, None] == gg[order], k)
+                yield pd.DataFrame({"query": qi[row], "gallery": ids[col], "similarity": similarity})
+
+    return pairs.select("q_ids", "q_groups", "q_x", "g_ids", "g_groups", "g_x").mapInPandas(multiply, "query string, gallery string, similarity double")
+
+
+def best_of(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "gallery")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "gallery", "similarity")
 
 
+#: Room for rounding in the angular bounds of ``pruned_topk``.
+ROUNDING = 1e-7
+
+
+def spread_out(vectors: np.ndarray, m: int) -> np.ndarray:
+    """``m`` of some unit vectors, each the farthest from those before it, so that every cluster of them has one."""
+    near, at = np.full(len(vectors), -np.inf), [0]
+    while len(at) < min(m, len(vectors)):
+        near = np.maximum(near, vectors @ vectors[at[-1]])
+        at.append(int(near.argmin()))
+    return vectors[at]
+
+
+def balls(items: DataFrame, pivots: np.ndarray, rows_per_block: int) -> DataFrame:
+    """Items with ``ball`` (their nearest pivot), ``angle`` to it and ``part`` (a ball of many rows is cut by a hash into parts)."""
+    shared = items.sparkSession.sparkContext.broadcast(pivots)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                sim = np.stack(batch["features"].to_list()) @ shared.value.T
+                near = sim.argmax(axis=1)
+                yield batch.assign(ball=near.astype(np.int32), angle=np.arccos(np.clip(sim[np.arange(len(near)), near], -1, 1)))
+
+    cols = ["sample", "grp", "fold", "features"]
+    schema = ", ".join(f"{c} {items.schema[c].dataType.simpleString()}" for c in cols) + ", ball int, angle double"
+    placed = materialise(items.select(*cols).mapInPandas(place, schema), "balls")
+    sizes = placed.groupBy("fold", "ball").agg(F.ceil(F.count("*") / rows_per_block).cast("int").alias("parts"))  # folds times pivots rows
+    return placed.join(F.broadcast(sizes), ["fold", "ball"]).withColumn("part", F.pmod(F.xxhash64("sample"), F.col("parts")).cast("int")).drop("parts")
+
+
+def pruned_topk(queries: DataFrame, gallery: DataFrame, k: int, rows_per_block: int = 2048, most_pivots: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """The result of ``exact_topk``, and ``q_fold, q_ball, g_fold, g_ball, met``: which couples of balls met.
+
+    Items lie in balls around the nearest of some square root of n pivots (``most_pivots`` at most, spread out among
+    four times as many items that a hash of the id chooses).  First each ball of queries meets the gallery balls of the same pivot; the least k-th similarity found there
+    bounds the whole ball.  Then it meets those other balls alone that could hold something nearer: two balls whose
+    pivots are far apart by more than both radii and the angle of that bound cannot.  Queries that found fewer than k
+    bar nothing.  The result is exact, whatever the pivots; on vectors without clusters few couples are spared.
+    """
+    bad = F.raise_error(F.lit("vectors must be finite and not zero")).cast("array<double>")
+    n = gallery.count()
+    if not n:
+        none = exact_topk(queries, gallery, k)
+        return none, gallery.sparkSession.createDataFrame([], "q_fold int, q_ball int, g_fold int, g_ball int, met boolean")
+    q, g = (x.withColumn("features", F.coalesce(unit(F.col("features")), bad)) for x in (queries, gallery))
+    m = min(most_pivots, max(1, round(n**0.5)))
+    pivots = spread_out(np.array([r["features"] for r in g.select("sample", "features").orderBy(F.xxhash64("sample"), "sample").limit(4 * m).collect()]), m)
+    q, g = balls(q, pivots, rows_per_block), balls(g, pivots, rows_per_block)
+    place = lambda side: [F.col(c).alias(f"{side}_{c}") for c in ("fold", "ball", "part")]
+    left, right = materialise(packed(q, place("q"), "q"), "query-blocks"), materialise(packed(g, place("g"), "g"), "gallery-blocks")
+    near = materialise(multiplied(left.join(right, F.expr("q_ball = g_ball and q_fold <> g_fold")), k), "near")
+    kth = near.groupBy("query").agg(F.array_sort(F.collect_list(-F.col("similarity"))).alias("s")).select(F.col("query").alias("sample"), F.when(F.size("s") >= k, -F.col("s")[k - 1]).alias("kth"))
+    least = q.join(kth, "sample", "left").groupBy(F.col("fold").alias("q_fold"), F.col("ball").alias("q_ball")).agg(
+        F.max("angle").alias("q_radius"), F.min(F.coalesce("kth", F.lit(-1.0))).alias("kth"))
+    reach = g.groupBy(F.col("fold").alias("g_fold"), F.col("ball").alias("g_ball")).agg(F.max("angle").alias("g_radius"))
+    between = np.arccos(np.clip(pivots @ pivots.T, -1, 1))
+    apart = q.sparkSession.sparkContext.broadcast(between)
+
+    @F.pandas_udf("double")
+    def angle(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(apart.value[a.to_numpy(), b.to_numpy()])
+
+    # Couples of balls, some n of them: square root of n on either side.
+    couples = least.join(F.broadcast(reach), F.expr("q_fold <> g_fold")).withColumn("met", (F.col("q_ball") == F.col("g_ball")) | (
+        angle("q_ball", "g_ball") - F.col("q_radius") - F.col("g_radius") <= F.acos(F.col("kth")) + F.lit(ROUNDING)))
+    couples = materialise(couples.select("q_fold", "q_ball", "g_fold", "g_ball", "met"), "couples")
+    rest = couples.where("met and q_ball <> g_ball")
+    far = multiplied(left.join(rest, ["q_fold", "q_ball"]).join(right, ["g_fold", "g_ball"]), k)
+    return best_of(near.unionByName(far), k), couples
+
+
 def with_labels(neighbours: DataFrame, items: DataFrame) -> DataFrame:
     """Add fold and label of the query, label of the neighbour and ``relevant``."""
     q = items.select(F.col("sample").alias("query"), "fold", F.col("label").alias("query_label"))

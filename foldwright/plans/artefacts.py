@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import identity, vectors
-from ..functions.digest import json_digest
-from ..operators import checks, compare, evaluate, lineage, manifest, report, resample, retrieval
+from ..functions.digest import json_digest, table_fingerprint
+from ..operators import checks, compare, evaluate, folds, lineage, manifest, pooling, report, resample, retrieval
 from ..sources import files as file_source
+from ..sources import store, streams
 from ..sources import tables as table_source
 from ..sources.shared import materialise, shared_dir
 from . import bindings as b
-from .queries import (_AT, _MEAN_TEST, _MEANS, _OVER, _ROW, _SHOWN, _SLACK, _TEST_COLUMNS, ORACLE_SQL, SEEDED, _metrics, _paired, _per_query, _probabilities, each_task,
+from .queries import (_AT, _MEAN_TEST, _MEANS, _OVER, _ROW, _SHOWN, _SLACK, _TEST_COLUMNS, ORACLE_SQL, SEEDED, _metrics, _paired, _per_query, _fingerprint_sql, _probabilities, each_task,
                       longs, other_family, query, rounded)
 
 # Manifest ------------------------------------------------------------------------------------------------------------
@@ -176,6 +177,77 @@ def record_digests(spark, sf_dir):
     return b.table(spark, sf_dir, "orders").select(key.alias("sample"), json_digest(F.create_map(F.lit("status"), F.col("o_orderstatus"), F.lit("key"), key)).alias("digest"))
 
 
+# Files ---------------------------------------------------------------------------------------------------------------
+
+#: Bytes of a PNG's beginning: signature, length and name of the first chunk; width, height, bits and colour follow.
+_PNG = "89504E470D0A1A0A0000000D49484452"
+
+
+def _images(spark, sf_dir) -> str:
+    """Write a file for each supplier, most of them beginnings of good images, some of another size or kind, some no image; the folder."""
+    k = F.col("s_suppkey")
+    number = lambda n: F.lpad(F.hex(n), 8, "0")
+    head = F.concat(F.lit(_PNG), number(F.when(k % 7 == 0, 100).otherwise(4096)), number(F.lit(4096)), F.when(k % 11 == 0, "10").otherwise("08"), F.when(k % 13 == 0, "06").otherwise("02"))
+    content = F.when(k % 17 == 0, F.col("s_name").cast("binary")).otherwise(F.concat(F.unhex(head), F.repeat("s_name", (k % 50).cast("int")).cast("binary")))
+    name = F.concat(F.lit("part_"), (k % 5).cast("string"), F.lit("/"), k.cast("string"), F.when(k % 3 == 0, ".PNG").when(k % 19 == 0, ".txt").otherwise(".png"))
+    folder = f"{shared_dir(spark)}/images-{uuid.uuid4().hex}"
+    streams.write_files(b.table(spark, sf_dir, "supplier").select(name.alias("name"), content.alias("content")), folder).write.format("noop").mode("overwrite").save()
+    return folder
+
+
+_IMAGES = """i AS (SELECT s_suppkey AS k, s_suppkey || CASE WHEN s_suppkey % 3 = 0 THEN '.PNG' ELSE '.png' END AS file_name, CASE WHEN s_suppkey % 17 = 0 THEN 'not a PNG' WHEN s_suppkey % 7 = 0 THEN 'wrong size'
+    WHEN s_suppkey % 11 = 0 OR s_suppkey % 13 = 0 THEN 'not 8-bit RGB' END AS error FROM supplier WHERE s_suppkey % 3 = 0 OR s_suppkey % 19 <> 0)"""
+
+
+@query(f"WITH {_IMAGES} SELECT file_name, error FROM i")
+def image_headers(spark, sf_dir):
+    """The header of every image file below a folder, of which the first bytes alone are read."""
+    return file_source.read_headers(table_source.list_files(spark, _images(spark, sf_dir), directories="part_*"), 4096, 4096).select("file_name", "error")
+
+
+@query(f"""WITH {_IMAGES} SELECT count(*) AS n_images, count(*) - count(error) AS n_good, count(CASE WHEN error = 'not a PNG' THEN 1 END) AS n_not_png, count(CASE WHEN error = 'wrong size' THEN 1 END) AS n_wrong_size,
+    count(CASE WHEN error = 'not 8-bit RGB' THEN 1 END) AS n_wrong_kind, (SELECT string_agg(file_name, ',' ORDER BY file_name) FROM (SELECT file_name FROM i WHERE error IS NOT NULL ORDER BY file_name LIMIT 20)) AS failures,
+    CASE WHEN count(error) = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM i""")
+def image_gate(spark, sf_dir):
+    """Counts and verdict over the headers of a folder of images."""
+    headers = file_source.read_headers(table_source.list_files(spark, _images(spark, sf_dir)), 4096, 4096)
+    return file_source.image_summary(materialise(headers, "headers")).withColumn("first_failures", F.concat_ws(",", "first_failures")).withColumnRenamed("first_failures", "failures")
+
+
+@query("""WITH f AS (SELECT s_suppkey AS k, s_suppkey || '.bin' AS file_name, repeat(s_name || s_address, CAST(s_suppkey % 90 AS INTEGER)) AS content FROM supplier)
+    SELECT file_name, CAST(strlen(content) AS BIGINT) AS size_bytes, upper(sha256(content)) AS sha256, md5(content) AS md5,
+        CASE WHEN k % 23 = 0 THEN 'not recorded' WHEN k % 29 = 0 AND k % 90 > 0 THEN 'digest differs' WHEN k % 31 = 0 THEN 'size differs' ELSE 'PASS' END AS status FROM f""")
+def written_identities(spark, sf_dir):
+    """Identities of files that were written, read in chunks of a thousand bytes, against a recorded list that lacks some and has others wrong."""
+    k, folder = F.col("s_suppkey"), f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    content = F.repeat(F.concat("s_name", "s_address"), (k % 90).cast("int"))
+    s = b.table(spark, sf_dir, "supplier").select(k.alias("k"), F.concat(k.cast("string"), F.lit(".bin")).alias("name"), content.alias("content"))
+    streams.write_files(s, folder).write.format("noop").mode("overwrite").save()
+    k = F.col("k")
+    digest = F.sha2(F.when((k % 29 == 0) & (k % 90 > 0), F.concat("content", F.lit("x"))).otherwise(F.col("content")), 256)
+    size = F.octet_length("content") + F.when((k % 31 == 0) & ~((k % 29 == 0) & (k % 90 > 0)), 1).otherwise(0)
+    recorded = s.where(k % 23 != 0).select(F.col("name").alias("file_name"), size.alias("size_bytes"), digest.alias("sha256"))
+    found = materialise(file_source.identities(spark, folder, "*.bin", chunk=1000), "identities")
+    status = file_source.verify(found, recorded).select("file_name", "status")
+    return found.drop("path").join(status, "file_name")
+
+
+_SUMMARY_SQL = "(SELECT fold, count(DISTINCT grp) AS n_groups, count(DISTINCT subgroup) AS n_subgroups, count(*) AS n_samples, count(DISTINCT status) AS n_status, count(DISTINCT priority) AS n_priority FROM split GROUP BY fold)"
+
+
+@query(b.sql(["split"], " UNION ALL ".join(_fingerprint_sql(*x) for x in (
+    ("split", "split", {**dict.fromkeys(("sample", "subgroup", "grp", "stratum", "priority", "status"), "string"), "fold": "int"}),
+    ("folds", "folds", {"grp": "string", "stratum": "string", "n_samples": "bigint", "n_subgroups": "bigint", "fold": "int"}),
+    ("summary", _SUMMARY_SQL, {"fold": "int", **dict.fromkeys(("n_groups", "n_subgroups", "n_samples", "n_status", "n_priority"), "bigint")})))))
+def fold_artefacts(spark, sf_dir):
+    """Split, folds and summary published as one set, read back, and the fingerprint of each."""
+    path, samples = f"{shared_dir(spark)}/fold-artefacts-{uuid.uuid4().hex}", materialise(b.cohort(spark, sf_dir), "cohort")
+    groups = materialise(b.fold_table(spark, sf_dir, samples), "folds")
+    made = folds.apply_folds(samples, groups)
+    store.publish({"split": made, "folds": groups, "summary": folds.fold_summary(made, list(b.TASKS))}, path)
+    return reduce(DataFrame.unionByName, [table_fingerprint(df).withColumn("name", F.lit(name)) for name, df in store.published(spark, path).items()])
+
+
 # Feature stores ------------------------------------------------------------------------------------------------------
 
 
@@ -190,10 +262,36 @@ def _store(spark, sf_dir) -> DataFrame:
 def feature_store_scan(spark, sf_dir):
     """A store filled in two runs, the second of which appends what the first left out; one model and one representation are read."""
     rows, path = _store(spark, sf_dir), f"{shared_dir(spark)}/features-{uuid.uuid4().hex}"
-    table_source.append_features(rows.where("vec_id % 5 <> 0").drop("vec_id"), path, None)
-    table_source.append_features(rows.drop("vec_id"), path, spark.read.parquet(path))
-    checks.require(table_source.read_exact(spark.read.parquet(path), rows.count()))
-    return table_source.read_features(spark, path, "m1", "grid_mean").select("sample", F.posexplode(vectors.as_double(F.col("features"))).alias("dim", "value"))
+    store.append(rows.where("vec_id % 5 <> 0").drop("vec_id"), path, "first")
+    store.append(rows.drop("vec_id"), path, "second")
+    whole = store.snapshot(spark, path)
+    checks.require(table_source.read_exact(whole, rows.count()))
+    return table_source.features_of(whole, "m1", "grid_mean").select("sample", F.posexplode(vectors.as_double(F.col("features"))).alias("dim", "value"))
+
+
+@query("""SELECT sample, dim, round(mean, 6) + 0.0 AS mean, round(max, 6) + 0.0 AS max, version FROM (
+    SELECT CAST(vec_id // 5 AS VARCHAR) AS sample, dim, CAST(CAST(avg(x) AS FLOAT) AS DOUBLE) AS mean, CAST(CAST(max(x) AS FLOAT) AS DOUBLE) AS max,
+        CAST(CASE WHEN (vec_id // 5) % 3 = 0 THEN 1 ELSE 2 END AS BIGINT) AS version
+    FROM (SELECT vec_id, CAST(unnest(range(64)) AS BIGINT) AS dim, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings) WHERE (vec_id // 5) % 7 <> 2 GROUP BY vec_id // 5, dim)""")
+def pooled_in_two_runs(spark, sf_dir):
+    """Patches that come in two runs, pooled into a feature store: after the first run some samples are whole, after the second all but those that lack a patch.
+
+    The second run is tried twice, as after a failure; the store has each sample once, and tells with which commit it came.
+    """
+    path, k = f"{shared_dir(spark)}/pooled-{uuid.uuid4().hex}", F.col("sample").cast("long")
+    patches = b.patches(spark, sf_dir).where((k % 7 != 2) | (F.col("patch_index") != 3))
+    early = (k % 3 == 0) | (F.col("patch_index") < 2)
+    states = [materialise(pooling.partial_pool(p, 2), "pool-states") for p in (patches.where(early), patches.where(~early))]
+    declared = b.patches(spark, sf_dir).groupBy("sample").agg(F.count("*").alias("want"))
+    # The smallest samples of the tables may have fewer than five patches.
+    for run, have in (("first", states[:1]), ("second", states), ("second", states)):
+        whole, _ = pooling.finish_pool(reduce(DataFrame.unionByName, have), declared)
+        rows = pooling.as_vectors(whole).withColumns({"model_id": F.lit("m"), "completed": F.lit(True), "provenance": F.create_map(F.lit("encoder"), F.lit("e1"))})
+        store.append(rows, path, run, {"patches": "5"})
+    both = store.snapshot(spark, path)
+    first = store.snapshot(spark, path, 1).select("sample").withColumn("version", F.lit(1))
+    return both.join(first, "sample", "left").select("sample", F.coalesce("version", F.lit(2)).alias("version"), F.posexplode(F.arrays_zip("grid_mean", "grid_max")).alias("dim", "v")).select(
+        "sample", "dim", F.col("v.grid_mean").alias("mean"), F.col("v.grid_max").alias("max"), "version")
 
 
 @query(_ROW.format("""SELECT 'unique ids' AS name, count(CASE WHEN vec_id % 83 = 0 THEN 1 END) AS bad FROM embeddings
@@ -271,26 +369,69 @@ def probability_checks(spark, sf_dir):
     SELECT 'unique system and seed' AS name, count(*) - count(DISTINCT (model, strategy, task, seed)) AS bad FROM m
     UNION ALL SELECT 'one protocol', CASE WHEN count(DISTINCT seed = 101) > 1 THEN 1 ELSE 0 END FROM m UNION ALL SELECT 'no fold rows', count(CASE WHEN strategy = 'center' THEN 1 END) FROM m
     UNION ALL SELECT 'every seed of every system', (SELECT count(*) FROM metrics) - count(*) FROM m
-    UNION ALL SELECT 'constant n_samples', count(*) FROM (SELECT model FROM m GROUP BY model, strategy, task HAVING count(DISTINCT n) > 1)""")))
+    UNION ALL SELECT 'constant n_samples', count(*) FROM (SELECT model FROM m GROUP BY model, strategy, task HAVING count(DISTINCT n) > 1)
+    UNION ALL SELECT 'positive n_samples', count(CASE WHEN n <= 0 THEN 1 END) FROM m
+    UNION ALL SELECT 'accuracy within 0 and 1', count(CASE WHEN seed = 202 OR accuracy > 1 OR accuracy < 0 THEN 1 END) FROM m
+    UNION ALL SELECT 'balanced_accuracy within 0 and 1', count(CASE WHEN seed = 404 OR balanced_accuracy > 1 OR balanced_accuracy < 0 THEN 1 END) FROM m
+    UNION ALL SELECT 'macro_f1 within 0 and 1', count(CASE WHEN (strategy = 'center' AND task = 'status') OR macro_f1 > 1 OR macro_f1 < 0 THEN 1 END) FROM m
+    UNION ALL SELECT 'weighted_f1 within 0 and 1', count(CASE WHEN weighted_f1 > 1 OR weighted_f1 < 0 THEN 1 END) FROM m""")))
 def report_inputs(spark, sf_dir):
-    """The gate of report tables on rows of two protocols, with fold rows, a lost seed and counts that change."""
+    """The gate of report tables on rows of two protocols, with fold rows, a lost seed, counts that change and metrics that are no number, infinite or negative."""
     m = _metrics(spark, sf_dir).where("not (model = 'beta' and seed = 505)")
+    m = m.withColumns({"accuracy": F.when(F.col("seed") == 202, float("nan")).otherwise(F.col("accuracy")), "balanced_accuracy": F.when(F.col("seed") == 404, float("inf")).otherwise(F.col("balanced_accuracy")),
+                       "macro_f1": F.when((F.col("strategy") == "center") & (F.col("task") == "status"), -0.25).otherwise(F.col("macro_f1"))})
     bad = m.withColumns({"protocol_id": (F.col("seed") == 101).cast("string"), "fold": F.when(F.col("strategy") == "center", 0),
                          "n_samples": F.col("n_samples") + ((F.col("model") == "alpha") & (F.col("seed") == 303)).cast("int")})
     return report.input_checks(bad, b.SYSTEM, list(b.SEEDS), ["n_samples"])
 
 
-@query(b.sql(["per_query"], f"""SELECT s.*, 'READY' AS verdict, r.map_at_5, r.map_at_20 FROM ({ORACLE_SQL['summary_table']}) s CROSS JOIN (
-    SELECT {", ".join(f"max(CASE WHEN k = {k} AND metric = 'average_precision' THEN printf('%.3f ± %.3f', mean, sd) END) AS map_at_{k}" for k in (5, 20))} FROM (
+def _bundle(spark, sf_dir, broken: bool) -> dict[str, DataFrame]:
+    """Parts of a report with intervals of means for intervals; ``broken``: a seed was lost, retrieval consumed other files and some intervals lack a bound."""
+    predictions = materialise(b.predictions(spark, sf_dir), "predictions")
+    classes = materialise(b.classes(spark, sf_dir), "classes")
+    metrics = materialise(evaluate.system_metrics(predictions, classes, SEEDED, ["task"]), "metrics")
+    hits = predictions.withColumn("value", (F.col("true_id") == F.col("pred_id")).cast("double"))
+    intervals = materialise(each_task(lambda t: resample.mean_intervals(hits.where(F.col("task") == t), b.signature_groups(b.cohort(spark, sf_dir), t), SEEDED, b.REPLICATES)), "intervals")
+    one, two = _runs(spark, sf_dir)
+    if broken:
+        metrics = metrics.where("not (model = 'beta' and seed = 505)")
+        intervals = intervals.withColumn("ci_high", F.when(F.col("seed") == 101, F.col("ci_low") - 1).otherwise(F.col("ci_high")))
+    per_fold = retrieval.mean_metrics(_per_query(spark, sf_dir), ["fold", "k"])
+    return report.report_bundle(metrics, per_fold, intervals, list(b.TASKS), list(b.SEEDS), evaluate.per_class(predictions, classes, SEEDED, ["task"]),
+                                evaluate.confusion(predictions, classes, SEEDED, ["task"]), (one, two if broken else one))
+
+
+_KS = (5, 10, 15, 20)
+
+
+@query(b.sql(["per_query"], f"""SELECT s.*, 'READY' AS verdict, {", ".join(f"r.map_at_{k}" for k in _KS)}, (SELECT count(*) FROM ({ORACLE_SQL['per_class_summary']})) AS n_per_class, (SELECT count(*) FROM ({ORACLE_SQL['confusion_seed_sd']})) AS n_confusion,
+    (SELECT count(*) FROM part) AS n_files, CAST(40 AS BIGINT) AS n_intervals FROM ({ORACLE_SQL['summary_table']}) s CROSS JOIN (
+    SELECT {", ".join(f"max(CASE WHEN k = {k} AND metric = 'average_precision' THEN printf('%.3f ± %.3f', mean, sd) END) AS map_at_{k}" for k in _KS)} FROM (
     WITH f AS (SELECT fold, k, {_MEANS} FROM per_query GROUP BY fold, k) {_OVER})) r"""))
 def report_bundle(spark, sf_dir):
-    """The summary table of a report with the verdict on its inputs and the retrieval cells beside it."""
-    metrics = materialise(_metrics(spark, sf_dir), "metrics")
-    per_fold = retrieval.mean_metrics(_per_query(spark, sf_dir), ["fold", "k"])
-    none = metrics.select(F.lit(None).cast("double").alias("ci_low"), F.lit(None).cast("double").alias("ci_high"))
-    made = report.report_bundle(metrics, per_fold, none, list(b.TASKS), list(b.SEEDS))
+    """The summary table of a report, whose gate must pass, with the retrieval cells and the sizes of the other tables beside it."""
+    made = _bundle(spark, sf_dir, False)
     checks.require(made["checks"])
-    return made["summary"].join(F.broadcast(checks.roll_up(made["checks"]).select("verdict"))).join(F.broadcast(made["retrieval"].select("map_at_5", "map_at_20")))
+    size = lambda t, c: F.broadcast(made[t].agg(F.count("*").alias(c)))
+    out = made["summary"].join(F.broadcast(checks.roll_up(made["checks"]).select("verdict"))).join(F.broadcast(made["retrieval"].select(*[f"map_at_{k}" for k in _KS])))
+    return out.join(size("per_class", "n_per_class")).join(size("confusion", "n_confusion")).join(size("provenance", "n_files")).join(size("intervals", "n_intervals"))
+
+
+@query(b.sql(["metrics"], _ROW.format(f"""WITH {_RUNS}, m AS (SELECT * FROM metrics WHERE NOT (model = 'beta' AND seed = 505))
+    SELECT 'unique system and seed' AS name, 0 AS bad UNION ALL SELECT 'every seed of every system', (SELECT count(*) FROM metrics) - count(*) FROM m
+    UNION ALL SELECT 'constant n_samples', count(*) FROM (SELECT model FROM m GROUP BY model, strategy, task HAVING count(DISTINCT n_samples) > 1)
+    UNION ALL SELECT 'positive n_samples', count(CASE WHEN n_samples <= 0 THEN 1 END) FROM m
+    {" ".join(f"UNION ALL SELECT '{m} within 0 and 1', count(CASE WHEN {m} NOT BETWEEN 0 AND 1 THEN 1 END) FROM m" for m in evaluate.METRICS)}
+    UNION ALL SELECT 'intervals have bounds', count(CASE WHEN seed = 101 THEN 1 END) FROM metrics
+    UNION ALL SELECT 'same inputs', (SELECT count(*) FROM gone) + (SELECT count(*) FROM come)""")))
+def report_bundle_blocked(spark, sf_dir):
+    """The gate of a report that must not be made."""
+    gate = _bundle(spark, sf_dir, True)["checks"]
+    try:
+        checks.require(gate)
+    except ValueError:
+        return gate
+    raise AssertionError("a report of other inputs and a lost seed was let through")
 
 
 _ORDERS = {"task": ["priority", "status"], "metric": ["macro_f1", "accuracy"], "model": ["beta"], "strategy": []}

@@ -71,6 +71,12 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("label").cast("string").alias("label"), F.col("embedding").alias("features"))
 
 
+def learnable_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same items with labels that follow from the vectors: the largest of the first ten dimensions."""
+    head = F.slice("features", 1, 10)
+    return items(spark, sf_dir).withColumn("label", F.format_string("d%d", F.array_position(head, F.array_max(head)) - 1))
+
+
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five vectors of a group as its patches."""
     e = table(spark, sf_dir, "embeddings")

@@ -196,6 +196,13 @@ def cosine_topk(spark, sf_dir):
     return retrieval.exact_topk(x, x, 20)
 
 
+@query(b.sql(["nn"], f"SELECT query, {longs('rank')}, gallery, {rounded('similarity')} FROM nn"))
+def cosine_topk_pruned(spark, sf_dir):
+    """The same neighbours by balls around pivots, of which only those meet that could hold a nearer item."""
+    x = b.items(spark, sf_dir)
+    return retrieval.pruned_topk(x, x, 20)[0]
+
+
 _PER_QUERY = f"SELECT query, {longs('fold', 'k', 'n_returned', 'n_relevant')}, {rounded(*retrieval.METRICS)} FROM per_query"
 
 
@@ -333,11 +340,11 @@ def confusion_seed_sd(spark, sf_dir):
     return evaluate.confusion_over_seeds(_confusion(spark, sf_dir), b.SYSTEM)
 
 
-@query(b.sql(["split"], """SELECT CAST(held AS BIGINT) AS held_fold, label, n, round((1.0 / n) / avg(1.0 / n) OVER (PARTITION BY held), 6) + 0.0 AS weight FROM (
-    SELECT held, priority AS label, count(*) AS n FROM split CROSS JOIN (SELECT unnest([0, 1, 2]) AS held) WHERE fold <> held GROUP BY held, priority)"""))
+@query(b.sql(["split"], " UNION ALL ".join(f"""SELECT CAST(held AS BIGINT) AS held_fold, label, n, round((1.0 / n) / avg(1.0 / n) OVER (PARTITION BY held), 6) + 0.0 AS weight, '{t}' AS task FROM (
+    SELECT held, {t} AS label, count(*) AS n FROM split CROSS JOIN (SELECT unnest([0, 1, 2]) AS held) WHERE fold <> held GROUP BY held, {t})""" for t in b.TASKS)))
 def class_weights(spark, sf_dir):
-    train = folds.roles(b.split(spark, sf_dir), b.N_FOLDS).where("role = 'train'").withColumnRenamed("priority", "label")
-    return probe.class_weights(train, ["held_fold"])
+    train = folds.roles(b.split(spark, sf_dir), b.N_FOLDS).where("role = 'train'")
+    return each_task(lambda t: probe.class_weights(train.withColumnRenamed(t, "label"), ["held_fold"]), named=True)
 
 
 @query(f"""WITH x AS {_UNNESTED.format('CAST(vec_id AS VARCHAR)')}, f AS (SELECT *, (vec_id // 5) % 3 AS fold FROM x),
@@ -363,6 +370,23 @@ def linear_probe_coverage(spark, sf_dir):
                                          F.sum((F.abs(total - 1) > 1e-9).cast("long")).alias("n_bad"))
 
 
+_PROBE = probe.ProbeConfig(epochs=25, batch=32, rate=0.02)
+
+
+@query(b.sql(["items", "seeds"], """SELECT CAST(seed AS BIGINT) AS seed, CAST(fold AS BIGINT) AS fold, count(*) AS n_rows, TRUE AS learned, TRUE AS control_at_chance
+    FROM items CROSS JOIN seeds GROUP BY seed, fold"""))
+def linear_probe_learns(spark, sf_dir):
+    """Held-out accuracy of labels that follow from the vectors (seven in ten or more), beside that of labels that do not (fewer than three in ten of ten classes)."""
+    def accuracy(items: DataFrame, out: str) -> DataFrame:
+        probs, labels = probe.run_probe(items, _PROBE)
+        names = F.array(*[F.lit(x) for x in labels])
+        hit = (names[vectors.argmax(F.col("probs"))] == F.col("label")).cast("double")
+        return probs.join(items.select("sample", "label"), "sample").groupBy("seed", "fold").agg(F.count("*").alias("n_rows"), F.avg(hit).alias(out))
+
+    both = accuracy(b.learnable_items(spark, sf_dir), "good").join(accuracy(b.items(spark, sf_dir), "chance").drop("n_rows"), ["seed", "fold"])
+    return both.select("seed", "fold", "n_rows", (F.col("good") >= 0.7).alias("learned"), (F.col("chance") < 0.3).alias("control_at_chance"))
+
+
 # Resampling ----------------------------------------------------------------------------------------------------------
 
 @query(b.every_task(b.sql(["sig_groups"], "SELECT grp, stratum FROM sig_groups"), named=True))
@@ -713,11 +737,14 @@ def fold_table_checks(spark, sf_dir):
     return folds.fold_table_checks(b.fold_table(spark, sf_dir), b.N_FOLDS)
 
 
-@query(b.sql(["split"], """SELECT CAST(held AS BIGINT) AS held_fold, l.label FROM (SELECT unnest([0, 1, 2]) AS held) CROSS JOIN (SELECT DISTINCT subgroup AS label FROM split) l
-    LEFT JOIN (SELECT subgroup, count(DISTINCT fold) AS n, min(fold) AS f FROM split GROUP BY subgroup) s ON l.label = s.subgroup WHERE n = 1 AND f = held"""))
+@query(b.sql(["split"], " UNION ALL ".join(f"""SELECT CAST(held AS BIGINT) AS held_fold, l.label, '{t}' AS task FROM (SELECT unnest([0, 1, 2]) AS held) CROSS JOIN (SELECT DISTINCT {t} AS label FROM split WHERE {w}) l
+    LEFT JOIN (SELECT {t} AS label, count(DISTINCT fold) AS n, min(fold) AS f FROM split WHERE {w} GROUP BY {t}) s ON l.label = s.label WHERE n = 1 AND f = held"""
+    for t, w in (("subgroup", "TRUE"), ("priority", "NOT (priority = '1-URGENT' AND fold <> 2)"), ("status", "NOT (status = 'P' AND fold > 0)")))))
 def training_coverage(spark, sf_dir):
-    """Subgroups that a training set lacks because they lie in the held-out fold."""
-    return folds.training_coverage(b.split(spark, sf_dir), "subgroup", b.N_FOLDS)
+    """Subgroups that a training set lacks because they lie in the held-out fold, and task labels on splits that keep one label to one fold."""
+    s = b.split(spark, sf_dir)
+    parts = (("subgroup", s), ("priority", s.where("not (priority = '1-URGENT' and fold <> 2)")), ("status", s.where("not (status = 'P' and fold > 0)")))
+    return reduce(DataFrame.unionByName, [folds.training_coverage(x, t, b.N_FOLDS).withColumn("task", F.lit(t)) for t, x in parts])
 
 
 @query(b.sql(["split"], f"""SELECT CAST(held AS BIGINT) AS held_fold, CASE WHEN fold = held THEN 'test' ELSE 'train' END AS role, stratum, count(*) AS n

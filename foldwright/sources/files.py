@@ -1,14 +1,15 @@
-"""File identities, release verification and image header checks, all over the binary file source."""
+"""File identities, release verification and image header checks."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import streams, tables
 
-def identities(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """``path, file_name, size_bytes, sha256, md5`` of each file; a file is one binary cell, so at most 2 GB."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    return df.select("path", F.regexp_extract("path", r"([^/\\]*)$", 1).alias("file_name"), F.col("length").alias("size_bytes"),
-                     F.upper(F.sha2("content", 256)).alias("sha256"), F.md5("content").alias("md5"))
+
+def identities(spark: SparkSession, path: str, pattern: str = "*", chunk: int = streams.CHUNK) -> DataFrame:
+    """``path, file_name, size_bytes, sha256, md5`` of each file below ``path``; files are read in chunks, so they may have any size."""
+    done = streams.digests(tables.list_files(spark, path, pattern), chunk)
+    return done.select("path", F.regexp_extract("path", r"([^/\\]*)$", 1).alias("file_name"), "size_bytes", "sha256", "md5")
 
 
 def verify(found: DataFrame, recorded: DataFrame, key: str = "file_name", digest: str = "sha256") -> DataFrame:
@@ -37,3 +38,21 @@ def image_headers(files: DataFrame, width: int, height: int) -> DataFrame:
     error = (F.when(~F.col("png"), "not a PNG").when((F.col("width") != width) | (F.col("height") != height), "wrong size")
              .when((F.col("bits") != 8) | (F.col("colour") != 2), "not 8-bit RGB"))
     return rows.withColumn("error", error).select("path", "file_name", "width", "height", "error")
+
+
+def read_headers(files: DataFrame, width: int, height: int) -> DataFrame:
+    """``image_headers`` of listed files (``path``), of which the first 26 bytes are read."""
+    return image_headers(streams.first_bytes(files, HEADER), width, height)
+
+
+#: Fixed value: bytes of a PNG up to the colour type.
+HEADER = 26
+
+
+def image_summary(headers: DataFrame) -> DataFrame:
+    """One row: ``n_images, n_good, n_not_png, n_wrong_size, n_wrong_kind, first_failures`` (names of at most twenty, in order) and ``status``, PASS if there are images and all are good."""
+    of = lambda error: F.coalesce(F.sum((F.col("error") == error).cast("long")), F.lit(0))
+    failed = headers.where("error is not null").orderBy("file_name", "path").limit(20).agg(F.array_sort(F.collect_list("file_name")).alias("first_failures"))
+    one = headers.agg(F.count("*").alias("n_images"), F.coalesce(F.sum(F.col("error").isNull().cast("long")), F.lit(0)).alias("n_good"),
+                      of("not a PNG").alias("n_not_png"), of("wrong size").alias("n_wrong_size"), of("not 8-bit RGB").alias("n_wrong_kind"))
+    return one.join(F.broadcast(failed)).withColumn("status", F.when((F.col("n_images") > 0) & (F.col("n_images") == F.col("n_good")), "PASS").otherwise("FAIL"))

@@ -1,5 +1,8 @@
 """Readers and writers of metadata, feature and result tables."""
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,12 +33,15 @@ def read_release_list(spark: SparkSession, path: str) -> DataFrame:
 def list_files(spark: SparkSession, root: str, pattern: str = "*.png", recursive: bool = True, directories: str = "") -> DataFrame:
     """``path, file_name, length`` of matching files; contents are not read.  Suffixes match in any case.
 
-    ``directories``: a glob below ``root``, such as ``part_*``.
+    ``directories``: a glob below ``root``, such as ``part_*``.  The source gives no row for an empty file; these are added from its file index.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
     anyway = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in pattern)
     df = reader.option("pathGlobFilter", anyway).load(f"{root}/{directories}" if directories else root)
-    return df.select("path", F.regexp_extract("path", r"([^/\\]*)$", 1).alias("file_name"), "length")
+    every = spark.createDataFrame([(re.sub("^file:/+", "file:/", unquote(f)),) for f in df.inputFiles()], "path string")
+    filled = df.select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"), "length")
+    found = filled.unionByName(every.join(filled, "path", "left_anti").withColumn("length", F.lit(0).cast("long")))
+    return found.select("path", F.regexp_extract("path", r"([^/\\]*)$", 1).alias("file_name"), "length")
 
 
 def listing_checks(files: DataFrame) -> DataFrame:
@@ -57,7 +63,11 @@ def feature_schema(width_columns: tuple[str, ...] = ("center", "grid_mean", "gri
 
 def read_features(spark: SparkSession, path: str, model_id: str, strategy: str) -> DataFrame:
     """One representation of one model: partition pruning on ``model_id``, column pruning on the rest."""
-    return spark.read.parquet(path).where(F.col("model_id") == model_id).select("sample", F.col(strategy).alias("features"))
+    return features_of(spark.read.parquet(path), model_id, strategy)
+
+
+def features_of(stored: DataFrame, model_id: str, strategy: str) -> DataFrame:
+    return stored.where(F.col("model_id") == model_id).select("sample", F.col(strategy).alias("features"))
 
 
 def pending(samples: DataFrame, store: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 from hypothesis import given, settings
@@ -68,6 +69,52 @@ def test_one_pass_makes_as_many_swaps_as_help(spark):
     assert b < 0.1 * a
 
 
+def test_no_improving_swap_is_left(spark):
+    """Against every couple of groups of one stratum; and the change that a swap was said to bring is the change of the recomputed cost."""
+    for seed in (1, 5):
+        rng = random.Random(seed)
+        rows = [(f"s{i}_{j}", f"w{i}_{j % 2}", f"g{i:02d}", f"st{i % 3}", rng.choice("xyz"), rng.choice("pq")) for i in range(30) for j in range(rng.randint(1, 6))]
+        samples = spark.createDataFrame(rows, "sample string, subgroup string, grp string, stratum string, label string, other string")
+        before = folds.stratified_folds(folds.group_table(samples), 3, seed)
+        after = folds.balanced_folds(samples, before, ["label", "other"], 3)
+        features = folds.balance_features(samples, ["label", "other"])
+        value, weight = {}, {}
+        for r in features.collect():
+            value[r["grp"], r["feature"]] = r["value"]
+            weight[r["feature"]] = r["weight"]
+
+        def cost(at):
+            total = 0.0
+            for f, w in weight.items():
+                whole = sum(value.get((g, f), 0.0) for g in at)
+                for k in range(3):
+                    part = sum(x == k for x in at.values()) / len(at)
+                    off = sum(value.get((g, f), 0.0) for g, x in at.items() if x == k) - whole * part
+                    total += w * (off / max(whole / 3, 1.0)) ** 2
+            return total
+
+        stratum = {r["grp"]: r["stratum"] for r in after.collect()}
+        at, was = ({r["grp"]: r["fold"] for r in x.collect()} for x in (after, before))
+        now = cost(at)
+        assert now < cost(was) and abs(now - folds.fold_cost(features, after, 3).first()[0]) < 1e-9
+        for g in at:
+            for h in at:
+                if g < h and stratum[g] == stratum[h] and at[g] != at[h]:
+                    assert cost({**at, g: at[h], h: at[g]}) > now - 1e-9
+        # One swap of the first table: what was promised is what happens.
+        names = sorted(weight)
+        classes = folds.swap_classes(features, before.select("grp", "stratum", "fold"), names)
+        sizes = classes.groupBy("stratum", "fold", "class").agg(F.first("values").alias("values"), F.count("*").alias("n"))
+        bids = folds.agreed_swaps(folds.best_swaps(sizes, folds.fold_deviations(features, before, 3), names, 4)).collect()
+        members = {}
+        for r in classes.collect():
+            members.setdefault(r["class"], []).append(r["grp"])
+        assert bids and len({c for r in bids for c in (r["a"], r["b"])}) == 2 * len(bids)
+        for r in bids:
+            moved = {**was, **{g: r["fb"] for g in members[r["a"]][: r["times"]]}, **{g: r["fa"] for g in members[r["b"]][: r["times"]]}}
+            assert abs(cost(moved) - cost(was) - r["change"]) < 1e-9
+
+
 def test_coverage_and_roles(spark):
     rows = [(f"p{f}{d}", f"w{f}{d}", f"r{f}{d}", f, d) for f in range(3) for d in "AB" if (f, d) != (2, "B")]
     df = split_rows(spark, rows)

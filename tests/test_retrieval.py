@@ -73,3 +73,29 @@ def test_tiles(spark):
     assert len(t) == 257 and (t[1]["row"], t[1]["col"]) == (0, 1) and (t[16]["row"], t[16]["col"]) == (1, 0)
     assert tuple(t[255][c] for c in ("left", "top", "right", "bottom")) == (3840, 3840, 4096, 4096)
     assert tuple(t[-1][c] for c in ("left", "top", "right", "bottom")) == (1936, 1936, 2160, 2160)
+
+
+@pytest.mark.parametrize("pivots,block", [(1, 1000), (9, 20), (64, 5)])
+def test_pruned_neighbours_equal_all_pairs(spark, pivots, block):
+    rng = np.random.default_rng(pivots)
+    centres = rng.normal(size=(12, 8)) * 4
+    rows = [(f"{i:03d}", f"g{i // 3}", (i // 3) % 3, "a", (centres[i % 12] + rng.normal(size=8) * (0.1 if i % 5 else 3.0)).tolist()) for i in range(400)]
+    rows += [(f"copy{i}", f"c{i}", i % 3, "a", rows[7][4]) for i in range(9)]  # equal vectors: ties at the k-th place
+    items = spark.createDataFrame(rows, ITEM)
+    want = sorted((r["query"], r["rank"], r["gallery"], round(r["similarity"], 12)) for r in retrieval.exact_topk(items, items, 6).collect())
+    found, _ = retrieval.pruned_topk(items, items, 6, block, pivots)
+    assert sorted((r["query"], r["rank"], r["gallery"], round(r["similarity"], 12)) for r in found.collect()) == want
+    few, _ = retrieval.pruned_topk(items.where("sample < '005'"), items, 500, block, pivots)  # k larger than the gallery
+    assert few.count() == retrieval.exact_topk(items.where("sample < '005'"), items, 500).count()
+    assert retrieval.pruned_topk(items, items.limit(0), 3)[0].count() == 0
+
+
+def test_most_couples_of_clustered_balls_are_spared(spark):
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(40, 16))
+    rows = [(f"{i:04d}", f"g{i}", i % 3, "a", (centres[i % 40] + rng.normal(size=16) * 0.02).tolist()) for i in range(2000)]
+    items = spark.createDataFrame(rows, ITEM)
+    found, couples = retrieval.pruned_topk(items, items, 10)
+    met = couples.agg(F.avg(F.col("met").cast("double"))).first()[0]
+    print("couples of balls that met:", met)
+    assert met < 0.3 and found.count() == 20_000

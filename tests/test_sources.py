@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foldwright.operators import checks, lineage
-from foldwright.sources import files, tables
+from foldwright.sources import files, streams, tables
 
 
 def png(width, height, bits=8, colour=2):
@@ -94,6 +94,33 @@ def test_images(spark, tmp_path):
     assert got == {"a.png": None, "b.PNG": "wrong size", "c.png": "not 8-bit RGB", "d.png": "not a PNG"}
 
 
+def test_files_are_read_in_chunks(spark, tmp_path):
+    contents = {"a b%20.bin": b"0123456789" * 1000, "empty.bin": b"", "é.bin": b"x" * 99}
+    for name, data in contents.items():
+        (tmp_path / name).write_bytes(data)
+    got = streams.digests(tables.list_files(spark, str(tmp_path), "*.bin"), chunk=64).collect()
+    assert {r["path"].rsplit("/", 1)[1]: (r["size_bytes"], r["sha256"], r["md5"]) for r in got} == {
+        n: (len(d), hashlib.sha256(d).hexdigest().upper(), hashlib.md5(d).hexdigest()) for n, d in contents.items()}
+    assert max(r["largest_read"] for r in got) == 64
+    heads = {r["path"].rsplit("/", 1)[1]: bytes(r["content"]) for r in streams.first_bytes(tables.list_files(spark, str(tmp_path), "*.bin"), 26).collect()}
+    assert heads == {n: d[:26] for n, d in contents.items()}
+
+
+def test_a_file_longer_than_a_cell_is_digested_in_bounded_chunks(spark, tmp_path):
+    with open(tmp_path / "long.bin", "wb") as f:
+        f.seek(2**31 + 5)  # a hole: no disk is used
+        f.write(b"end")
+    row = streams.digests(tables.list_files(spark, str(tmp_path), "*.bin")).first()
+    assert row["size_bytes"] == 2**31 + 8 and row["largest_read"] == streams.CHUNK
+
+
+def test_image_summary(spark):
+    headers = spark.createDataFrame([("p", "a", None), ("p", "b", "wrong size"), ("p", "c", "not a PNG")], "path string, file_name string, error string")
+    row = files.image_summary(headers).first()
+    assert (row["n_images"], row["n_good"], row["n_wrong_size"], row["n_not_png"], row["n_wrong_kind"], row["first_failures"], row["status"]) == (3, 1, 1, 1, 0, ["b", "c"], "FAIL")
+    assert files.image_summary(headers.where("error is null")).first()["status"] == "PASS" and files.image_summary(headers.limit(0)).first()["status"] == "FAIL"
+
+
 def test_feature_store(spark, tmp_path):
     path, schema = str(tmp_path / "store"), tables.feature_schema()
     row = lambda i, prov: (i, "m", [1.0, 2.0, 3.0], [1.0, 2.0, 3.0], [1.0, 2.0, 3.0], True, {"run": prov})
