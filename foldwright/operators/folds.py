@@ -104,28 +104,36 @@ def fold_cost(features: DataFrame, folds: DataFrame, n_folds: int) -> DataFrame:
     return fold_deviations(features, folds, n_folds).agg(F.coalesce(F.sum(F.col("weight") * off * off), F.lit(0.0)).alias("cost"))
 
 
-def swap_classes(features: DataFrame, placed: DataFrame, names: list[str]) -> DataFrame:
-    """``grp, stratum, fold, values, class``: groups of one stratum, fold and feature vector are interchangeable and make a class."""
-    wide = features.groupBy("grp").pivot("feature", names).agg(F.sum("value"))
-    vector = F.array(*[F.coalesce(F.col(f"`{n}`"), F.lit(0.0)) for n in names])
-    rows = placed.join(wide, "grp").select("grp", "stratum", "fold", vector.alias("values"))
-    return rows.withColumn("class", F.md5(F.to_json(F.struct("stratum", "fold", "values")).cast("binary")))
+PROPOSAL = "a string, b string, fa int, fb int, times long, change double, step int, moved array<double>"
+
+
+class Balance:
+    """Sums of every feature in every fold, what they should be, and the cost of the difference (as ``fold_cost``)."""
 
+    def __init__(self, features: DataFrame, folds: DataFrame, n_folds: int):
+        rows = fold_deviations(features, folds, n_folds).collect()  # a row for each feature and fold
+        self.names = sorted({r["feature"] for r in rows})
+        place = {n: i for i, n in enumerate(self.names)}
+        self.off = {f: np.zeros(len(self.names)) for f in sorted({r["fold"] for r in rows})}
+        self.unit = np.zeros(len(self.names))
+        for r in rows:
+            self.off[r["fold"]][place[r["feature"]]] = r["off"]
+            self.unit[place[r["feature"]]] = r["weight"] / r["scale"] ** 2
 
-PROPOSAL = "a string, b string, fa int, fb int, times long, change double"
+    def cost(self, moved: dict[int, np.ndarray] | None = None) -> float:
+        return float(sum(((x + (moved or {}).get(f, 0.0)) ** 2) @ self.unit for f, x in self.off.items()))
 
 
-def best_swaps(classes: DataFrame, deviations: DataFrame, names: list[str], rows_per_block: int = 2048) -> DataFrame:
-    """``PROPOSAL``: for each class its best partner in each block of another fold of its stratum, where a swap lowers the cost.
+def best_swaps(classes: DataFrame, balance: Balance, rows_per_block: int = 2048, steps: int = 64) -> DataFrame:
+    """``PROPOSAL``: for each couple of blocks of two folds of a stratum the swaps that lower the cost most, one after another.
 
     ``classes``: ``stratum, fold, values, class, n``.  The change of a swap is a scalar product of the two classes and terms
-    of each alone, so a couple of blocks is one matrix product of which only the best partner of each row and column leaves.
-    ``times``: how many groups of the couple to swap at once.  No rows: no swap of two groups of a stratum lowers the cost.
+    of each alone, so a couple of blocks is one matrix, from which the best swap is taken; the sums of the two folds move by
+    it and only the terms of each class alone are made anew for the next, ``steps`` times at most, each class once.
+    ``times``: how many groups of the couple to swap at once; ``moved``: what leaves fold ``fa`` for ``fb`` by it.
+    No rows: no swap of two groups of a stratum lowers the cost.
     """
-    rows = deviations.groupBy("feature").agg(F.max("weight").alias("weight"), F.max("scale").alias("scale"), F.map_from_entries(F.collect_list(F.struct("fold", "off"))).alias("off")).collect()
-    known = {r["feature"]: r for r in rows}  # a row for each feature
-    unit = np.array([known[n]["weight"] / known[n]["scale"] ** 2 for n in names])
-    off = {f: np.array([known[n]["off"].get(f, 0.0) for n in names]) for f in sorted({f for r in rows for f in r["off"]})}
+    unit, off = balance.unit, balance.off
     sizes = classes.groupBy("stratum", "fold").agg(F.ceil(F.count("*") / rows_per_block).cast("int").alias("blocks"))
     dealt = classes.join(F.broadcast(sizes), ["stratum", "fold"]).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))  # a row for each stratum and fold
     blocks = dealt.groupBy("stratum", "fold", "block").agg(F.array_sort(F.collect_list(F.struct("class", "n", "values"))).alias("rows")).select(
@@ -135,65 +143,93 @@ def best_swaps(classes: DataFrame, deviations: DataFrame, names: list[str], rows
     def work(batches):
         for batch in batches:
             for fa, na, ma, va, fb, nb, mb, vb in batch.itertuples(index=False):
-                x, y, pull = va.reshape(len(na), -1), vb.reshape(len(nb), -1), unit * (off[fb] - off[fa])
-                once = 2 * ((x * x) @ unit + x @ pull)[:, None] + 2 * ((y * y) @ unit - y @ pull)[None, :] - 4 * (x * unit) @ y.T
+                x, y, gap = va.reshape(len(na), -1), vb.reshape(len(nb), -1), off[fb] - off[fa]
                 square = 2 * ((x * x) @ unit)[:, None] + 2 * ((y * y) @ unit)[None, :] - 4 * (x * unit) @ y.T
-                most = np.minimum(ma[:, None], mb[None, :])
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    times = np.where(square > 1e-12, np.round(-(once - square) / (2 * square)), most)
-                times = np.clip(np.nan_to_num(times, nan=1.0), 1, most)
-                change = np.where(once < -1e-12, times * (once - square) + times * times * square, 0.0)
-                pick = sorted({(i, int(change[i].argmin())) for i in range(len(na))} | {(int(change[:, j].argmin()), j) for j in range(len(nb))})
-                out = [(na[i], nb[j], fa, fb, int(times[i, j]), float(change[i, j])) for i, j in pick if once[i, j] < -1e-12]
-                yield pd.DataFrame(out, columns=["a", "b", "fa", "fb", "times", "change"])
+                most, out = np.minimum(ma[:, None], mb[None, :]), []
+                for step in range(steps):
+                    linear = 2 * (x @ (unit * gap))[:, None] - 2 * (y @ (unit * gap))[None, :]
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        times = np.where(square > 1e-12, np.round(-linear / (2 * square)), most)
+                    times = np.clip(np.nan_to_num(times, nan=1.0), 1, most)
+                    change = np.where(linear + square < -1e-12, times * linear + times * times * square, 0.0)
+                    i, j = np.unravel_index(int(change.argmin()), change.shape)
+                    if change[i, j] >= 0:
+                        break
+                    t = int(times[i, j])
+                    out.append((na[i], nb[j], fa, fb, t, float(change[i, j]), step, t * (x[i] - y[j])))
+                    gap = gap + 2 * t * (x[i] - y[j])
+                    square[i], square[:, j] = np.inf, np.inf
+                yield pd.DataFrame(out, columns=["a", "b", "fa", "fb", "times", "change", "step", "moved"])
 
     pairs = side("a").join(side("b"), "stratum").where("fold_a < fold_b")
     return pairs.select(*[f"{c}_{x}" for x in "ab" for c in ("fold", "names", "sizes", "values")]).mapInPandas(work, PROPOSAL)
 
 
 def agreed_swaps(proposals: DataFrame) -> DataFrame:
-    """Proposals that are the best of both their classes, so that each class has one partner at most; the best of all is among them."""
-    ends = proposals.select(F.explode(F.array("a", "b")).alias("class"), F.struct("change", "a", "b").alias("bid")).groupBy("class").agg(F.min("bid").alias("bid"))
+    """Proposals that are the first (by step, then change) of both their classes, so that each class has one partner at most; the best of all is among them."""
+    bid = F.struct("step", "change", "a", "b").alias("bid")
+    ends = proposals.select(F.explode(F.array("a", "b")).alias("class"), bid).groupBy("class").agg(F.min("bid").alias("bid"))
     won = ends.groupBy("bid").agg(F.count("*").alias("n")).where("n = 2").select("bid.a", "bid.b")
-    return proposals.join(won, ["a", "b"]).dropDuplicates(["a", "b"])
+    return proposals.join(won, ["a", "b"])
+
+
+def vectors_of(features: DataFrame, groups: DataFrame, names: list[str]) -> DataFrame:
+    """``groups`` with ``values``, their features in the order of ``names``."""
+    wide = features.groupBy("grp").pivot("feature", names).agg(F.sum("value"))
+    return groups.join(wide, "grp").select(*groups.columns, F.array(*[F.coalesce(F.col(f"`{n}`"), F.lit(0.0)) for n in names]).alias("values"))
+
+
+def with_class(placed: DataFrame) -> DataFrame:
+    """Groups of one stratum, fold and vector are interchangeable: they make a ``class``."""
+    return placed.withColumn("class", F.md5(F.to_json(F.struct("stratum", "fold", "values")).cast("binary")))
+
+
+def class_sizes(placed: DataFrame) -> DataFrame:
+    return placed.groupBy("stratum", "fold", "class").agg(F.first("values").alias("values"), F.count("*").alias("n"))
 
 
-def balanced_folds(samples: DataFrame, folds: DataFrame, tasks: list[str], n_folds: int, passes: int = 30) -> DataFrame:
+def balanced_folds(samples: DataFrame, folds: DataFrame, tasks: list[str], n_folds: int, passes: int = 30, least_gain: float = 1e-12) -> DataFrame:
     """Improve folds by swapping groups of one stratum; sizes of folds, overall and per stratum, stay as they are.
 
-    Each pass finds the best partner of every class of interchangeable groups and takes the couples that are best for both
-    sides.  Where all of them together do not lower the cost by more than 1e-12, each is made fewer times, by halves,
-    and at last the one best swap alone, which does.  It ends when no swap of two groups lowers the cost, at the latest
-    after ``passes``.  Classes and swaps stay in Spark, each pass is a written table; only costs and sums of features come to the driver.
+    Each pass finds the swaps of classes of interchangeable groups that lower the cost most in each stratum and couple of
+    folds.  These do not know of one another, so of all lists together as many first steps are taken as give the lowest
+    cost; where no number of them lowers it, the one best swap is made alone, which does.  It ends when no swap of
+    two groups lowers the cost by more than 1e-12, after a pass that gained less than ``least_gain``, at the latest after ``passes``.  Classes and swaps stay in Spark, each pass
+    is a written table; only sums of features by fold and step come to the driver.
     """
     features = materialise(balance_features(samples, tasks), "fold-features")
-    names = sorted(r[0] for r in features.select("feature").distinct().collect())  # two for each class, and two
-    strata = materialise(samples.select("grp", "stratum").distinct(), "fold-groups")
-    now = materialise(folds.select("grp", "fold"), "fold-now")
-    cost = fold_cost(features, now, n_folds).first()[0]
+    balance = Balance(features, folds, n_folds)
+    groups = samples.select("grp", "stratum").distinct().join(folds.select("grp", "fold"), "grp")
+    placed = materialise(vectors_of(features, groups, balance.names), "fold-now")
     for _ in range(passes):
-        classes = materialise(swap_classes(features, strata.join(now, "grp"), names), "fold-classes")
-        sizes = classes.groupBy("stratum", "fold", "class").agg(F.first("values").alias("values"), F.count("*").alias("n"))
-        swaps = materialise(agreed_swaps(best_swaps(sizes, fold_deviations(features, now, n_folds), names)), "fold-swaps")
-        most = swaps.agg(F.max("times")).first()[0]
-        if most is None:  # no swap of two groups lowers the cost
+        classes = with_class(placed)
+        swaps = materialise(agreed_swaps(best_swaps(class_sizes(classes), balance)), "fold-swaps")
+        ends = F.explode(F.array(F.struct(F.col("fa").alias("fold"), F.lit(-1).alias("sign")), F.struct(F.col("fb").alias("fold"), F.lit(1).alias("sign")))).alias("e")
+        sums = swaps.select("step", "moved", ends).select("step", "e.fold", "e.sign", F.posexplode("moved").alias("place", "v"))
+        steps: dict[int, dict[int, np.ndarray]] = {}
+        for r in sums.groupBy("step", "fold", "place").agg(F.sum(F.col("v") * F.col("sign")).alias("v")).collect():  # steps times folds times features
+            steps.setdefault(r["step"], {}).setdefault(r["fold"], np.zeros(len(balance.names)))[r["place"]] = r["v"]
+        if not steps:  # no swap of two groups lowers the cost
             break
-        numbers = materialise(numbered(classes.select("grp", "class", "fold"), ["class"], F.md5(F.col("grp").cast("binary")), "grp", "place"), "fold-places")
-        while True:
-            chosen = swaps.withColumn("times", F.least("times", F.lit(most)))
-            if most == 0:
-                chosen = swaps.orderBy("change", "a", "b").limit(1).withColumn("times", F.lit(1))
-            ends = chosen.select("times", F.explode(F.array(F.struct(F.col("a").alias("class"), F.col("fb").alias("to")), F.struct(F.col("b").alias("class"), F.col("fa").alias("to")))).alias("e")).select("times", "e.*")
-            trial = numbers.join(ends, "class", "left").select("grp", F.when(F.col("place") < F.col("times"), F.col("to")).otherwise(F.col("fold")).cast("int").alias("fold"))
-            trial = materialise(trial, "fold-now")
-            after = fold_cost(features, trial, n_folds).first()[0]
-            if after < cost - 1e-12 or most == 0:
-                break
-            most //= 2
-        if after >= cost - 1e-12:  # within rounding
+        now, total, best = balance.cost(), {f: np.zeros(len(balance.names)) for f in balance.off}, (np.inf, 0, {})
+        for k in sorted(steps):
+            for f, v in steps[k].items():
+                total[f] = total[f] + v
+            best = min(best, (balance.cost(total), k, dict(total)), key=lambda x: x[0])
+        after, last, moved = best
+        chosen = swaps.where(F.col("step") <= last)
+        if after >= now - 1e-12:
+            one = swaps.where("step = 0").orderBy("change", "a", "b").first()
+            chosen = swaps.where((F.col("a") == one["a"]) & (F.col("b") == one["b"]))
+            moved = {one["fa"]: -np.array(one["moved"]), one["fb"]: np.array(one["moved"])}
+        sides = chosen.select("times", F.explode(F.array(F.struct(F.col("a").alias("class"), F.col("fb").alias("to")), F.struct(F.col("b").alias("class"), F.col("fa").alias("to")))).alias("e")).select("times", "e.*")
+        going = numbered(classes.join(sides, "class").select("grp", "class", "to", "times"), ["class"], F.md5(F.col("grp").cast("binary")), "grp", "place").where("place < times").select("grp", "to")
+        placed = materialise(placed.join(going, "grp", "left").select("grp", "stratum", F.coalesce("to", "fold").cast("int").alias("fold"), "values"), "fold-now")
+        for f, v in moved.items():
+            balance.off[f] = balance.off[f] + v
+        if now - balance.cost() < least_gain:
             break
-        now, cost = trial, after
-    return folds.drop("fold").join(now, "grp")
+    return folds.drop("fold").join(placed.select("grp", "fold"), "grp")
 
 
 def class_coverage(samples: DataFrame, task: str, unit: str, n_folds: int) -> DataFrame:
