@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 
 def unit_states(samples: DataFrame, units: list[str], n_folds: int) -> DataFrame:
-    """``unit, key, in_fold`` (rows in each fold)``, outside`` (rows in no fold)``, alien_folds`` (other fold numbers: 0, 1, or 2 for more)."""
+    """``unit, key``, ``in_fold`` (rows in each fold), ``outside`` (rows in no fold), ``alien_folds`` (other fold numbers: 0, 1, or 2 for more)."""
     dealt = F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).cast("string").alias("key")) for u in units]))
     inside = F.coalesce(F.col("fold").between(0, n_folds - 1), F.lit(False))
     alien = F.when(~inside, F.col("fold"))

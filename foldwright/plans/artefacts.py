@@ -15,7 +15,7 @@ from ..sources import store, streams
 from ..sources import tables as table_source
 from ..sources.shared import materialise, shared_dir
 from . import bindings as b
-from .queries import (_AT, _MEAN_TEST, _MEANS, _OVER, _ROW, _SHOWN, _SLACK, _TEST_COLUMNS, ORACLE_SQL, SEEDED, _metrics, _paired, _per_query, _fingerprint_sql, _probabilities, each_task,
+from .queries import (_MEAN_TEST, _MEANS, _OVER, _ROW, _SLACK, _TEST_COLUMNS, ORACLE_SQL, SEEDED, _metrics, _paired, _per_query, _fingerprint_sql, _probabilities, each_task,
                       longs, other_family, query, rounded)
 
 # Manifest ------------------------------------------------------------------------------------------------------------

@@ -1,7 +1,6 @@
 import threading
 
 import pytest
-from pyspark.sql import functions as F
 
 from foldwright.operators import pooling
 from foldwright.sources import store, tables
