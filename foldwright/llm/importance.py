@@ -70,8 +70,8 @@ def weigh(docs: DataFrame, ratios: np.ndarray, text: str = "text", out: str = "i
 
 
 def gumbel(key: Column, seed: int) -> Column:
-    """Standard Gumbel noise from a hash of the key: equal keys have equal noise."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.coalesce(key.cast("string"), F.lit("(none)"))), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    """Standard Gumbel noise from a hash of the key: equal keys have equal noise, null keys that of the seed alone."""
+    u = (F.pmod(F.xxhash64(F.lit(seed), key.cast("string")), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     return -F.log(-F.log(u))
 
 

@@ -95,11 +95,12 @@ def byte_windows(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_order: int = 4,
-          max_chars_per_language: int = 4_000_000, max_languages: int = 500) -> dict:
+          max_chars_per_language: int = 4_000_000, max_languages: int = 500, max_chars: int = 64_000_000) -> dict:
     """Context trees of every language in ``docs`` (rows with null text or language are left out).
 
     The trees are fitted on a sample of the labelled rows of about ``max_chars_per_language``
-    characters per language, chosen by a hash of the key: the documented bound of the fit.  Whole
+    characters per language, and of ``max_chars`` in all languages together (more than 16 of them get
+    equal parts of it), chosen by a hash of the key: the documented bounds of the fit.  Whole
     texts are used.  Windows are counted in the tasks and summed by a shuffle; what comes to the
     driver is bounded by that sample.
     """
@@ -113,8 +114,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     names = sorted(r["lang"] for r in sizes)
     if not names:
         return {"languages": [], "order": max_order, "trees": []}
+    most = min(max_chars_per_language, max_chars // len(names))
     share = spark.createDataFrame(
-        [(r["lang"], names.index(r["lang"]), int(1_000_000 * min(1.0, max_chars_per_language / max(r["chars"], 1))) + 1) for r in sizes],
+        [(r["lang"], names.index(r["lang"]), int(1_000_000 * min(1.0, most / max(r["chars"], 1))) + 1) for r in sizes],
         "lang string, code int, below long")
     sample = rows.join(F.broadcast(share), "lang").where(F.col("draw") < F.col("below")).select("code", "text")
 

@@ -23,7 +23,7 @@ from .common import documents, free_name, materialise, put
 
 @dataclass(frozen=True)
 class Plan:
-    """``target_share``: tokens wanted, as hundredths of all tokens; weights not named are ``1``."""
+    """``target_share``: tokens wanted, as hundredths of all tokens; weights not named are ``1``, a key ``None`` names null."""
 
     domains: dict = field(default_factory=lambda: {"d0": 4, "d1": 3, "d2": 2, "d3": 1})
     languages: dict = field(default_factory=lambda: {"en": 5, "de": 2, "fr": 2, "es": 2})
@@ -44,10 +44,19 @@ def domain_of(source: Column) -> Column:
     return F.concat(F.lit("d"), F.coalesce(F.when(number != "", number.cast("long")) % 4, F.lit(0)).cast("string"))
 
 
+def named(column: Column) -> Column:
+    """A value's name in the tree: ``(none)`` for null; values that begin with a bracket get one more, so none of them is that."""
+    return F.when(column.isNull(), F.lit("(none)")).when(column.startswith("("), F.concat(F.lit("("), column)).otherwise(column)
+
+
+def named_value(value: str | None) -> str:
+    return "(none)" if value is None else f"({value}" if value.startswith("(") else value
+
+
 def weight_of(column: Column, weights: dict) -> Column:
     out = F.lit(1)
     for name, w in weights.items():
-        out = F.when(column == name, F.lit(int(w))).otherwise(out)
+        out = F.when(column == named_value(name), F.lit(int(w))).otherwise(out)
     return out.cast("long")
 
 
@@ -89,12 +98,12 @@ def budgets(leaves: DataFrame, plan: Plan) -> DataFrame:
 def _keyed(docs: DataFrame, plan: Plan, key: str, text: str, lang: str, source: str) -> DataFrame:
     """The slim columns that decide: leaf, tokens and place in the seeded order."""
     return docs.select(
-        F.col(key).alias("id"), domain_of(F.col(source)).alias("domain"), F.coalesce(lang, F.lit("(none)")).alias("language"),
-        F.coalesce(source, F.lit("(none)")).alias("origin"), word_tokens(F.col(text)).alias("n_tokens"))
+        F.col(key).alias("id"), domain_of(F.col(source)).alias("domain"), named(F.col(lang)).alias("language"),
+        named(F.col(source)).alias("origin"), word_tokens(F.col(text)).alias("n_tokens"))
 
 
 def _place(plan: Plan, epoch: Column, id_: Column) -> Column:
-    return F.md5(F.concat_ws("|", F.lit(plan.seed).cast("string"), epoch.cast("string"), F.coalesce(id_.cast("string"), F.lit("(none)"))).cast("binary"))
+    return F.md5(F.concat_ws("|", F.lit(plan.seed).cast("string"), epoch.cast("string"), named(id_.cast("string"))).cast("binary"))
 
 
 def cuts(slim: DataFrame, plan: Plan) -> DataFrame:
@@ -129,7 +138,7 @@ def mix(docs: DataFrame, plan: Plan = Plan(), key: str = "doc_id", text: str = "
         source: str = "source", out: str = "epochs") -> DataFrame:
     """The documents drawn, with ``out``: how many epochs take each (1 or more), and ``out``_leaf.
 
-    Null ids, languages and sources form values of their own; texts without words weigh nothing
+    Null ids, languages and sources form values of their own, named ``(none)`` (see ``named``); texts without words weigh nothing
     and ride along with their place.  Repeated rows share a place and are taken or left together.
     Equal seeds give equal draws on any partitioning.  Columns of ``docs`` that have an output's
     name are kept as ``<name>_given``.
@@ -137,7 +146,7 @@ def mix(docs: DataFrame, plan: Plan = Plan(), key: str = "doc_id", text: str = "
     slim = materialise(_keyed(docs, plan, key, text, lang, source), "mix-slim")
     cut = materialise(cuts(slim, plan), "mix-cuts")
     tags = [free_name(docs, f"leaf_{x}") for x in ("domain", "language", "origin", "whole", "upto")]
-    rows = docs.withColumns({tags[0]: domain_of(F.col(source)), tags[1]: F.coalesce(lang, F.lit("(none)")), tags[2]: F.coalesce(source, F.lit("(none)"))})
+    rows = docs.withColumns({tags[0]: domain_of(F.col(source)), tags[1]: named(F.col(lang)), tags[2]: named(F.col(source))})
     drawn = rows.join(cut.select("domain", "language", "origin", "whole", "upto").toDF(*tags), tags[:3])
     times = F.col(tags[3]) + (_place(plan, F.col(tags[3]), F.col(key)) <= F.col(tags[4])).cast("long")
     return put(drawn.where(times > 0), **{out: times, f"{out}_leaf": F.concat_ws("/", *tags[:3])}).drop(*tags)
@@ -160,7 +169,10 @@ def oracle(plan: Plan = Plan(), table: str = "documents") -> str:
     """The same draw as one SQL statement over plain running sums."""
 
     def weight(column: str, weights: dict) -> str:
-        return f"CASE {column} {' '.join(f'WHEN {name!r} THEN {int(w)}' for name, w in weights.items())} ELSE 1 END"
+        return f"CASE {column} {' '.join(f'WHEN {named_value(name)!r} THEN {int(w)}' for name, w in weights.items())} ELSE 1 END"
+
+    def own(value: str) -> str:
+        return f"CASE WHEN {value} IS NULL THEN '(none)' WHEN {value} LIKE '(%' THEN '(' || {value} ELSE {value} END"
 
     def dealt(name: str, source: str, parent: str, child: str, budget: str) -> str:
         by = f"PARTITION BY {parent}" if parent else ""
@@ -177,7 +189,7 @@ def oracle(plan: Plan = Plan(), table: str = "documents") -> str:
     return f"""
 WITH slim AS (SELECT doc_id, 'd' || coalesce(CASE WHEN regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) <> ''
         THEN CAST(regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) AS BIGINT) % 4 END, 0) AS domain,
-    coalesce(lang, '(none)') AS language, coalesce(source, '(none)') AS origin,
+    {own('lang')} AS language, {own('source')} AS origin,
     CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS n_tokens FROM {table}),
 leaf AS (SELECT domain, language, origin, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(sum(n_tokens) * {plan.max_epochs} AS BIGINT) AS cap,
     CAST({weight("origin", plan.sources)} AS BIGINT) AS w FROM slim GROUP BY ALL),
@@ -190,7 +202,7 @@ lea AS (SELECT leaf.*, share AS budget FROM leaf JOIN lan_s USING (domain, langu
 plan AS (SELECT leaf.domain, leaf.language, leaf.origin, CASE WHEN tokens > 0 THEN share // tokens ELSE 0 END AS whole,
     share - CASE WHEN tokens > 0 THEN share // tokens ELSE 0 END * tokens AS rest FROM leaf JOIN lea_s USING (domain, language, origin)),
 placed AS (SELECT slim.*, whole, rest, sum(n_tokens) OVER (PARTITION BY domain, language, origin
-    ORDER BY md5('{plan.seed}|' || whole || '|' || coalesce(CAST(doc_id AS VARCHAR), '(none)'))) AS upto FROM slim JOIN plan USING (domain, language, origin)),
+    ORDER BY md5('{plan.seed}|' || whole || '|' || {own('CAST(doc_id AS VARCHAR)')})) AS upto FROM slim JOIN plan USING (domain, language, origin)),
 drawn AS (SELECT doc_id, domain || '/' || language || '/' || origin AS leaf, n_tokens,
     CAST(whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS BIGINT) AS n_epochs FROM placed)
 SELECT doc_id, leaf, n_tokens, n_epochs FROM drawn WHERE n_epochs > 0"""

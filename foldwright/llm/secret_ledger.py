@@ -68,8 +68,19 @@ RULES = BASE + MORE
 LEDGER = "blob string, kind string, version int, spans array<struct<start:int,end:int>>"
 
 
+def unseen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``batches`` without rows whose blob came before in this task; it keeps a digest for each blob of the task."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        new = []
+        for blob in map(bytes.fromhex, batch["blob"]):
+            new.append(blob not in seen)
+            seen.add(blob)
+        yield batch[new]
+
+
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """``blob, text, todo`` (array of rule kinds) to rows of ``LEDGER``, one per blob and rule run.
+    """``blob, text, todo`` (array of rule kinds) to rows of ``LEDGER``, one per blob and rule run of a task.
 
     Spans are in code points, end exclusive, leftmost and not overlapping within a rule.
     """
@@ -77,7 +88,7 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         compiled = [r.compiled() for r in rules]
-        for batch in batches:
+        for batch in unseen(batches):
             rows = []
             for blob, text, todo in zip(batch["blob"], clean(batch["text"]), batch["todo"]):
                 low = text.lower()
@@ -116,9 +127,10 @@ def update_ledger(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, t
     known = read_ledger(spark, path)
     wanted = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
     have = known.groupBy("blob").agg(F.collect_set(F.struct("kind", "version")).alias("have"))
-    # Copies are folded inside the tasks that read them, before anything is shuffled or joined.
-    blobs = with_blob(docs.select(F.col(text).alias("text"))).groupBy("blob").agg(F.first("text").alias("text"))
-    fresh = (blobs.join(have, "blob", "left")
+    # Copies are dropped inside the tasks that read them, the rest in the task that a blob is dealt to.  A text is
+    # shuffled once and never sorted: an aggregate or a merge join with texts in its rows would sort them all.
+    blobs = with_blob(docs.select(F.col(text).alias("text"))).mapInPandas(unseen, "text string, blob string").repartition("blob")
+    fresh = (blobs.join(have.hint("shuffle_hash"), "blob", "left")
              .withColumn("todo", F.array_except(wanted, F.coalesce("have", F.array().cast("array<struct<kind:string,version:int>>")))["kind"])
              .where(F.size("todo") > 0).select("blob", "text", "todo"))
     scan_blobs(fresh, rules).write.mode("append").parquet(path)

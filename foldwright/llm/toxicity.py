@@ -120,11 +120,16 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     Features are kept if their rates among toxic and other texts differ by ``least_z`` standard
     errors, the strongest ``most_features`` of them, and all identity terms.  Contradictory labels
-    of one key count as toxic; keys, labels and texts that are null are left out.
+    of one key count as toxic; keys, labels and texts that are null are left out.  A key brings one
+    text however many rows hold it, of several texts the one with the smallest hash, so ``most_rows``
+    bounds what is fitted and what comes to the driver.
     """
     known = (labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("y"))
              .orderBy(F.xxhash64(key), key).limit(most_rows))
-    rows = docs.where(F.col(text).isNotNull()).select(key, F.col(text).alias("text")).join(F.broadcast(known), key).select("y", "text")
+    rows = docs.where(F.col(text).isNotNull()).select(key, F.col(text).alias("text")).join(F.broadcast(known), key)
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, as few bytes of text are much work
+    rows = rows.groupBy(key, "y").agg(one.alias("one")).repartition(tasks, key).select("y", "one.text")
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -1,3 +1,5 @@
+import hashlib
+
 import duckdb
 from hypothesis import given
 from hypothesis import strategies as st
@@ -45,6 +47,23 @@ def test_rows_equal_sql(spark, tmp_path):
     assert got[-7][0] == 2
 
 
+def test_many_turns_and_a_very_long_one(spark, tmp_path):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"turn {i} </s>") for i in range(2000)] + [(2, 0, "user", "q"), (2, 1, "assistant", "<a&]" * 250_000)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["conv_id"]: r for r in chat.op10_chat_format(spark, str(tmp_path)).collect()}
+    said = {c: [(r, t) for k, _, r, t in rows if k == c] for c in (1, 2)}
+    for c, turns in said.items():
+        loss = "".join(t for r, t in turns if r == "assistant")
+        assert got[c]["n_turns"] == len(turns) and got[c]["loss_chars"] == len(loss)
+        assert got[c]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+        assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+
+
+def test_query_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert [r["conv_id"] for r in chat.op10_chat_format(spark, str(tmp_path)).collect()] == [-7]
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.digests(chat.render(empty)).count() == 0

@@ -80,6 +80,17 @@ def test_predictions_and_edge_cases(spark):
     assert li.predict(ask.limit(1), li.train(twins)).first()["language"]["lang_pred"] == "xx"
 
 
+def test_the_sample_is_bounded_over_all_languages(spark, monkeypatch):
+    rows = [(i, f"{k} text number {i} of many", k) for i in range(400) for k in ("aa", "bb", "cc", "dd")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(li, "ContextTree", lambda grams, counts, order: seen.append(int(counts.sum())))
+    li.train(docs)
+    whole, seen[:] = list(seen), []
+    li.train(docs, max_chars=8_000)
+    assert len(seen) == 4 and all(0 < x < 1.5 * 2_000 < y for x, y in zip(seen, whole))
+
+
 def test_no_languages(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     model = li.train(empty)

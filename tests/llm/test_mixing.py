@@ -23,6 +23,10 @@ def water(budget, kids):
     return out
 
 
+def own(value):
+    return "(none)" if value is None else f"({value}" if str(value)[:1] == "(" else str(value)
+
+
 def brute(docs, plan):
     tokens = [len((t or "").split()) for _, t, _, _ in docs]
     leaf = []
@@ -32,22 +36,22 @@ def brute(docs, plan):
             if not ch.isdigit():
                 break
             digits = ch + digits
-        leaf.append((f"d{int(digits) % 4 if digits else 0}", lang or "(none)", source or "(none)"))
+        leaf.append((f"d{int(digits) % 4 if digits else 0}", own(lang), own(source)))
     supply = defaultdict(int)
     for x, n in zip(leaf, tokens):
         supply[x] += n
     cap = lambda pre: sum(n for x, n in supply.items() if x[: len(pre)] == pre) * plan.max_epochs
     top = sum(tokens) * plan.target_share // 100
-    budget = {}
+    budget, languages = {}, {own(k): w for k, w in plan.languages.items()}
     for d, bd in water(top, {d: (cap((d,)), plan.domains.get(d, 1)) for d in {x[0] for x in supply}}).items():
-        for lang, bl in water(bd, {x[1]: (cap(x[:2]), plan.languages.get(x[1], 1)) for x in supply if x[0] == d}).items():
+        for lang, bl in water(bd, {x[1]: (cap(x[:2]), languages.get(x[1], 1)) for x in supply if x[0] == d}).items():
             for s, bs in water(bl, {x[2]: (cap(x), plan.sources.get(x[2], 1)) for x in supply if x[:2] == (d, lang)}).items():
                 budget[d, lang, s] = bs
     out = {}
     for x in supply:
         whole = budget[x] // supply[x] if supply[x] else 0
         rest = budget[x] - whole * supply[x]
-        mine = sorted((hashlib.md5(f"{plan.seed}|{whole}|{docs[i][0]}".encode()).hexdigest(), i) for i in range(len(docs)) if leaf[i] == x)
+        mine = sorted((hashlib.md5(f"{plan.seed}|{whole}|{own(docs[i][0])}".encode()).hexdigest(), i) for i in range(len(docs)) if leaf[i] == x)
         used = 0
         for _, i in mine:
             used += tokens[i]
@@ -96,3 +100,25 @@ def test_rows_of_epochs_and_edge_cases(spark):
     again = lambda d: sorted(map(str, mixing.mix(d, mixing.Plan(target_share=50)).collect()))
     big = spark.createDataFrame(corpus(9), SCHEMA)
     assert again(big) == again(big.repartition(13))
+
+
+def test_null_and_the_text_that_names_it_are_leaves_of_their_own(spark):
+    plan = mixing.Plan(languages={"(none)": 3, None: 2, "en": 4}, target_share=55, max_epochs=1)
+    values = [None, "(none)", "((none)", "en", "("]
+    docs = [(f"{v}{i}" if i else v, "w " * (i % 7), v, values[i % 5]) for i in range(40) for v in values]
+    df = spark.createDataFrame(docs, SCHEMA.replace("long", "string"))
+    rows = mixing.mix(df, plan).select("doc_id", "epochs_leaf", "text", "epochs").collect()
+    assert {(r["doc_id"]): (r["epochs_leaf"], len(r["text"].split()), r["epochs"]) for r in rows} == brute(docs, plan)
+    assert len({r["epochs_leaf"] for r in mixing.mix(df, mixing.Plan(target_share=100)).collect()}) == 25
+    documents = df.toPandas()  # noqa: F841
+    con = duckdb.connect()
+    con.register("documents", documents)
+    assert sorted(map(repr, ((r["doc_id"], *brute(docs, plan)[r["doc_id"]]) for r in rows))) == sorted(map(repr, con.execute(mixing.oracle(plan)).fetchall()))
+
+
+def test_one_very_long_text(spark):
+    docs = [(i, "w " * (400_000 if i == 3 else 5), "en", "src1") for i in range(30)]
+    plan = mixing.Plan(target_share=100, max_epochs=1)
+    rows = mixing.mix(spark.createDataFrame(docs, SCHEMA), plan).collect()
+    assert {r["doc_id"]: (r["epochs_leaf"], len(r["text"].split()), r["epochs"]) for r in rows} == brute(docs, plan)
+    assert 3 in {r["doc_id"] for r in rows}

@@ -108,3 +108,22 @@ def test_digest_form(spark, tmp_path):
         text = TEXTS[3] if r["doc_id"] == 1 else TEXTS[8]
         want = ",".join(f"{k}:{s}:{e}" for s, _, e, k in brute(text))
         assert r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest() and r["spans"] == want
+
+
+def test_no_text_is_sorted_and_copies_are_scanned_once(spark, monkeypatch):
+    plans, scan = [], sl.scan_blobs
+    monkeypatch.setattr(sl, "scan_blobs", lambda blobs, rules: plans.append(blobs) or scan(blobs, rules))
+    path = sl.new_ledger(spark)
+    docs = documents(spark, TEXTS[3:6] * 300).repartition(7)
+    assert sl.update_ledger(docs, path).count() == 3 * len(sl.RULES)
+    assert sl.update_ledger(docs.union(documents(spark, TEXTS)), path).count() == len({t or "" for t in TEXTS}) * len(sl.RULES)
+    for blobs in plans:
+        plan = blobs._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" not in plan and "SortAggregate" not in plan and "ShuffledHashJoin" in plan
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "token=abcdef123", 7), (1, "token=abcdef123", 7), (None, None, 8)], "doc_id long, text string, Found int")
+    out = sl.attach(docs, sl.findings(sl.update_ledger(docs, sl.new_ledger(spark))))
+    assert out.columns == ["doc_id", "text", "Found_given", "found"]
+    assert sorted((r["Found_given"], len(r["found"])) for r in out.collect()) == [(7, 1), (7, 1), (8, 0)]

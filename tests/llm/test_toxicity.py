@@ -163,3 +163,15 @@ def test_repeated_rows_and_clashing_columns(spark):
     assert out.columns == ["doc_id", "text", "Toxicity_given", "toxicity"]
     rows = out.collect()
     assert rows[0]["toxicity"] == rows[1]["toxicity"] and {r["Toxicity_given"] for r in rows} == {5, 6}
+
+
+def test_a_repeated_key_brings_one_text(spark, monkeypatch):
+    docs, labels = corpus(spark, 60)
+    fitted = []
+    monkeypatch.setattr(tx, "fit_weights", lambda y, *rest, **more: fitted.append(len(y)) or (np.zeros(rest[4]), 0.0))
+    many = docs.union(docs.where("doc_id = 5").crossJoin(spark.range(2000)).select(*docs.columns))
+    other = spark.createDataFrame([(5, f"another text {i}", "x") for i in range(500)], docs.schema)
+    tx.train(many.union(other), labels.union(labels))
+    tx.train(docs, labels)
+    tx.train(many, labels, most_rows=40)
+    assert fitted == [120, 120, 80]  # a text and its mentioning copy for each labelled key
