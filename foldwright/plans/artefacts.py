@@ -387,8 +387,8 @@ def report_inputs(spark, sf_dir):
 
 def _bundle(spark, sf_dir, broken: bool) -> dict[str, DataFrame]:
     """Parts of a report with intervals of means for intervals; ``broken``: a seed was lost, retrieval consumed other files and some intervals lack a bound."""
-    predictions = materialise(b.predictions(spark, sf_dir), "predictions")
-    classes = materialise(b.classes(spark, sf_dir), "classes")
+    predictions, classes = b.evaluation(spark, sf_dir)
+    predictions = materialise(predictions, "predictions")
     metrics = materialise(evaluate.system_metrics(predictions, classes, SEEDED, ["task"]), "metrics")
     hits = predictions.withColumn("value", (F.col("true_id") == F.col("pred_id")).cast("double"))
     intervals = materialise(each_task(lambda t: resample.mean_intervals(hits.where(F.col("task") == t), b.signature_groups(b.cohort(spark, sf_dir), t), SEEDED, b.REPLICATES)), "intervals")

@@ -52,15 +52,25 @@ def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str, samples: DataFrame | None = None) -> DataFrame:
-    """Every system's prediction of each sample, task and seed; a digest decides where it errs, by one class."""
-    index = classes(spark, sf_dir).withColumn("n_classes", F.count("*").over(Window.partitionBy("task")))
-    rows = long_labels(cohort(spark, sf_dir) if samples is None else samples).join(F.broadcast(index), ["task", "label"])
+    return evaluation(spark, sf_dir, samples)[0]
+
+
+def evaluation(spark: SparkSession, sf_dir: str, samples: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Predictions and class index (``classes``), both over long labels that are joined and written once.
+
+    Every system's prediction of each sample, task and seed; a digest decides where it errs, by one class.
+    """
+    labels = materialise(long_labels((cohort(spark, sf_dir) if samples is None else samples).drop("subgroup")), "labels")
+    known = materialise(evaluate.class_index(labels, ["task"]), "classes")
+    index = known.withColumn("n_classes", F.count("*").over(Window.partitionBy("task")))
+    rows = labels.join(F.broadcast(index), ["task", "label"])
     systems = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(s).alias("strategy"), F.lit(e).alias("err")) for m, s, e in SYSTEMS]))
     rows = rows.withColumn("sys", systems).withColumn("seed", F.explode(F.array(*[F.lit(s) for s in SEEDS])))
     wrong = hash32(F.col("seed"), F.col("sys.model"), F.col("sys.strategy"), F.col("sample")) % 10 < F.col("sys.err")
     pred = F.when(wrong, (F.col("class_id") + 1) % F.col("n_classes")).otherwise(F.col("class_id")).cast("int")
     keep = [c for c in ("fold",) if samples is not None and "fold" in samples.columns]
-    return rows.select("sys.model", "sys.strategy", "task", "seed", "sample", "grp", "stratum", *keep, F.col("class_id").alias("true_id"), pred.alias("pred_id"))
+    done = rows.select("sys.model", "sys.strategy", "task", "seed", "sample", "grp", "stratum", *keep, F.col("class_id").alias("true_id"), pred.alias("pred_id"))
+    return done, known
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -291,8 +291,8 @@ def tile_grid(spark, sf_dir):
 
 def _probabilities(spark, sf_dir) -> DataFrame:
     """Fold probabilities over the classes of each task: 0.6 for the predicted class, the rest shared."""
-    p = b.predictions(spark, sf_dir, b.split(spark, sf_dir))
-    n = b.classes(spark, sf_dir).groupBy("task").agg(F.count("*").alias("n_classes"))
+    p, classes = b.evaluation(spark, sf_dir, b.split(spark, sf_dir))
+    n = classes.groupBy("task").agg(F.count("*").alias("n_classes"))
     probs = F.transform(F.sequence(F.lit(0), F.col("n_classes") - 1), lambda i: F.when(i == F.col("pred_id"), F.lit(0.6)).otherwise(F.lit(0.4) / (F.col("n_classes") - 1)))
     return p.join(F.broadcast(n), "task").select(*SEEDED, "fold", "sample", probs.alias("probs"))
 
@@ -304,15 +304,15 @@ def oof_assemble(spark, sf_dir):
 
 
 def _confusion(spark, sf_dir):
-    return evaluate.confusion(b.predictions(spark, sf_dir), b.classes(spark, sf_dir), SEEDED, ["task"])
+    return evaluate.confusion(*b.evaluation(spark, sf_dir), SEEDED, ["task"])
 
 
 def _per_class(spark, sf_dir):
-    return evaluate.per_class(b.predictions(spark, sf_dir), b.classes(spark, sf_dir), SEEDED, ["task"])
+    return evaluate.per_class(*b.evaluation(spark, sf_dir), SEEDED, ["task"])
 
 
 def _metrics(spark, sf_dir):
-    return evaluate.system_metrics(b.predictions(spark, sf_dir), b.classes(spark, sf_dir), SEEDED, ["task"])
+    return evaluate.system_metrics(*b.evaluation(spark, sf_dir), SEEDED, ["task"])
 
 
 @query(b.sql(["confusion"], f"SELECT model, strategy, task, {longs('seed', 'true_id', 'pred_id', 'n')}, {rounded('share')} FROM confusion"))
@@ -444,8 +444,10 @@ def _interval_sql(weights: str, on_seed: bool, digest: bool = False) -> str:
 
 
 def _intervals(spark, sf_dir, by_seed: bool) -> DataFrame:
+    both = b.evaluation(spark, sf_dir)
+
     def of(task: str) -> DataFrame:
-        rows, classes = (x.where(F.col("task") == task) for x in (b.predictions(spark, sf_dir), b.classes(spark, sf_dir)))
+        rows, classes = (x.where(F.col("task") == task) for x in both)
         return resample.classification_intervals(rows, b.signature_groups(b.cohort(spark, sf_dir), task), classes, SEEDED, b.REPLICATES, by_seed=by_seed)
 
     return each_task(of)
@@ -464,8 +466,10 @@ def bootstrap_ci_shared(spark, sf_dir):
 @query(_interval_sql("seed_weights", True, digest=True))
 def bootstrap_distribution(spark, sf_dir):
     """The table of all replicates of every system and metric, told in chunks: how many, their sum, the least and the greatest."""
+    both = b.evaluation(spark, sf_dir)
+
     def of(task: str) -> DataFrame:
-        rows, classes = (x.where(F.col("task") == task) for x in (b.predictions(spark, sf_dir), b.classes(spark, sf_dir)))
+        rows, classes = (x.where(F.col("task") == task) for x in both)
         return resample.classification_distribution(rows, b.signature_groups(b.cohort(spark, sf_dir), task), classes, SEEDED, b.REPLICATES, by_seed=True)
 
     made = each_task(of)
@@ -640,8 +644,8 @@ def retrieval_table(spark, sf_dir):
 
 def _fold_means(spark, sf_dir) -> DataFrame:
     """The older estimator: metrics of each held-out fold, averaged over folds and seeds."""
-    p = b.predictions(spark, sf_dir, b.split(spark, sf_dir))
-    per = evaluate.system_metrics(p, b.classes(spark, sf_dir), [*SEEDED, "fold"], ["task"])
+    p, classes = b.evaluation(spark, sf_dir, b.split(spark, sf_dir))
+    per = evaluate.system_metrics(p, classes, [*SEEDED, "fold"], ["task"])
     return evaluate.unpivot(per, [*SEEDED, "fold"]).groupBy(*b.SYSTEM, "metric").agg(F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("sd"))
 
 
