@@ -256,3 +256,30 @@ def test_probe_refuses_bad_items(spark):
     for bad in (items.where("fold < 2"), items.withColumn("fold", F.lit(0)), items.withColumn("features", F.when(F.col("sample") != "0A", F.col("features"))), items.union(items)):
         with pytest.raises(ValueError):
             checks.require(probe.probe_checks(bad, 3))
+
+
+def test_sums_leave_a_task_once_whatever_the_number_of_slices(spark, monkeypatch):
+    """Forty slices in four tasks: four rows of sums for a key and chunk, not forty, and the sums of the draws."""
+    monkeypatch.setattr(resample, "DEALT", 4)
+    groups = spark.range(40 * resample.SLICE).select(F.format_string("g%06d", "id").alias("grp"), F.lit("one").alias("stratum"))
+    placed, parts = resample._placed(groups, 3)
+    assert parts == 4 and placed.select("unit").distinct().count() == 40
+    sizes = [r["count"] for r in placed.groupBy("part").count().collect()]
+    assert len(sizes) == 4 and max(sizes) == min(sizes)
+    stats = groups.select("grp", F.lit("x").alias("k"), F.lit(1.0).alias("v"), F.lit(0.5).alias("half"))
+    rows = resample.resampled_sums(stats, ["k"], ["v", "half"], groups, 7, 3).collect()
+    assert [r["v_total"] for r in rows] == [40 * resample.SLICE]
+    assert list(rows[0]["v"]) == [40 * resample.SLICE] * 7 and list(rows[0]["half"]) == [20 * resample.SLICE] * 7
+
+
+def test_draw_counts_are_those_of_the_draws(spark):
+    groups = spark.createDataFrame([(f"g{i}", f"s{i % 3}") for i in range(40)], "grp string, stratum string")
+    w = resample.draws(groups, 30, 5)
+    want = w.groupBy("grp").agg(F.count("*"), F.sum("weight"), F.max("weight"), F.sum(F.col("weight") * (F.col("replicate") + 1)))
+    assert sorted(map(tuple, resample.draw_counts(groups, 30, 5).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_counts_by_row_are_the_class_counts(spark):
+    rows = spark.createDataFrame([("a", "g", 0, 0), ("a", "g", 0, 1), ("a", "h", 1, None), ("b", "g", None, 2), ("a", "g", 0, 1)], "k string, grp string, true_id int, pred_id int")
+    one, two = (sorted(map(tuple, f(rows, ["k", "grp"]).collect()), key=repr) for f in (evaluate.counts_by_row, evaluate.class_counts))
+    assert one == two
