@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,27 +69,106 @@ def best_columns(x: np.ndarray, y: np.ndarray, barred: np.ndarray, k: int) -> tu
 TIE = 1e-12
 
 
+#: Gallery rows that a task holds at most, and gallery parts there are at least, where there are rows for them.
+SHELF, SHELVES = 65_536, 24
+
+
+def best_on_shelf(x: np.ndarray, x_groups: np.ndarray, y: np.ndarray, y_groups: np.ndarray, rank: np.ndarray, k: int, step: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``best_columns``, over columns read ``step`` at a time, of which those of the row's group are barred; of ties the first by ``rank``.
+
+    The product is made in single precision and finds what lies no lower than the k-th best so far, less twice the error
+    of such a product of unit vectors; that little is computed again, so the result does not depend on it.
+    """
+    off = 2 * (x.shape[1] + 8) * 2.0**-23
+    narrow, meet = x.astype(np.float32), bool(np.isin(x_groups, y_groups).any())
+    floor, best = np.full(len(x), -2.0), (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    for j in range(0, len(y), step):
+        part = y[j : j + step]
+        sim = narrow @ part.T.astype(np.float32)
+        if meet:
+            sim[x_groups[:, None] == y_groups[j : j + step]] = -np.inf
+        low = floor - off
+        if (floor <= -2).any() and sim.shape[1] > k:
+            low = np.maximum(low, np.maximum(np.partition(sim, sim.shape[1] - k, axis=1)[:, -k].astype(float), -2.0) - off)
+        row, col = np.nonzero(sim >= low.astype(np.float32)[:, None])
+        value = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", x[row[i : i + 4096]], part[col[i : i + 4096]]) for i in range(0, len(row), 4096))])
+        row, col, value = (np.concatenate([old, new]) for old, new in zip(best, (row, col + j, value)))
+        order = np.lexsort((rank[col], -value, row))
+        row, col, value = row[order], col[order], value[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = place < k
+        best = row[keep], col[keep], value[keep]
+        last = place == k - 1
+        floor[row[last]] = value[last]
+    return best
+
+
+def on_shelves(rows: DataFrame, shelves: int, k: int) -> DataFrame:
+    """``query, gallery, similarity``: of each shelf the ``k`` best of every query.
+
+    ``rows``: ``shelf, query`` (false: a row of the gallery), ``sample, g, features``.  A task holds the gallery rows of a shelf and reads its queries past them.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, shelf = [], None
+        for batch in batches:
+            if not len(batch):
+                continue
+            asks = batch.column("query").to_numpy(zero_copy_only=False)
+            first = int(asks.argmax()) if asks.any() else len(batch)
+            if first:
+                held.append(batch.slice(0, first))
+            if first == len(batch):
+                continue
+            if shelf is None:
+                t = pa.Table.from_batches(held) if held else None
+                ids = np.zeros(0, object) if t is None else t["sample"].to_numpy()
+                order = np.argsort(ids, kind="stable")
+                shelf = (ids[order], t["g"].to_numpy()[order], vectors_in(t["features"])[order]) if len(ids) else (ids, None, None)
+                held = []
+            if not len(shelf[0]):
+                continue
+            for low in range(first, len(batch), 1024):
+                some = batch.slice(low, 1024)
+                names = some.column("sample").to_numpy(zero_copy_only=False)
+                row, col, value = best_on_shelf(vectors_in(some.column("features")), some.column("g").to_numpy(), shelf[2], shelf[1], np.arange(len(shelf[0])), k)
+                yield pa.RecordBatch.from_arrays([pa.array(names[row], pa.string()), pa.array(shelf[0][col], pa.string()), pa.array(value)], names=["query", "gallery", "similarity"])
+
+    dealt = rows.repartitionById(shelves, "shelf").sortWithinPartitions("query")
+    return dealt.select("query", "sample", "g", "features").mapInArrow(work, "query string, gallery string, similarity double")
+
+
+def vectors_in(column) -> np.ndarray:
+    """Lists of one length as the rows of a matrix."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
 def exact_topk(queries: DataFrame, gallery: DataFrame, k: int, rows_per_block: int = 2048) -> DataFrame:
     """``query, rank, gallery, similarity``: the k most similar gallery items, ties by id ascending (``pruned_topk`` spares blocks of clustered vectors).
 
-    Items with a vector that is not valid fail the query.  Both sides are packed by fold into blocks
-    of about ``rows_per_block`` rows; blocks of different folds meet, each pair as one matrix product
-    in the task that holds the gallery block, from which only the k best of each query leave.  Memory
-    is bounded by two blocks; a gallery block is shuffled once, a query block once for each of them.
+    Items with a vector that is not valid fail the query.  The gallery is dealt by fold onto ``SHELVES`` shelves, more if one
+    would hold over ``SHELF`` rows, fewer if they would hold under ``rows_per_block``.  A task holds one and reads all queries
+    of other folds past it in blocks, each a matrix product, and the k best of each query leave.  Memory is bounded by a
+    shelf; a query is shuffled once for each shelf, of which there are a fixed number up to ``SHELVES`` times ``SHELF`` rows.
     """
     bad = F.raise_error(F.lit("vectors must be finite and not zero")).cast("array<double>")
-    q, g = (x.withColumn("features", F.coalesce(unit(F.col("features")), bad)) for x in (queries, gallery))
-    nq, sizes = queries.count(), [(r["fold"], r["count"]) for r in gallery.groupBy("fold").count().collect()]
+    q, g = (x.select("sample", F.xxhash64("grp").alias("g"), "fold", F.coalesce(unit(F.col("features")), bad).alias("features")) for x in (queries, gallery))
+    sizes = [(r["fold"], r["count"]) for r in gallery.where("fold is not null").groupBy("fold").count().collect()]
     if not sizes:
-        return g.select(F.col("sample").alias("query"), F.lit(0).alias("rank"), F.col("sample").alias("gallery"), F.lit(0.0).alias("similarity"))
-    blocks = max(1, -(-max(n for _, n in sizes) // rows_per_block))
-    block = lambda n: F.pmod(F.xxhash64("sample"), F.lit(n)).cast("int")
-    left = packed(q, [F.col("fold").alias("q_fold"), block(max(1, -(-nq // (rows_per_block * max(len(sizes) - 1, 1))))).alias("q_block")], "q")
-    right = packed(g, [F.col("fold").alias("g_fold"), block(blocks).alias("g_block")], "g")
-    # A query block is copied with the number of every gallery block of another fold.
-    fold = F.explode(F.array(*[F.lit(f).cast(gallery.schema["fold"].dataType) for f, _ in sizes]))
-    aimed = left.withColumn("g_fold", fold).where("g_fold <> q_fold").withColumn("g_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return best_of(multiplied(aimed.join(right, ["g_fold", "g_block"]), k), k)
+        return g.select(F.col("sample").alias("query"), F.lit(0).alias("rank"), F.col("sample").alias("gallery"), F.lit(0.0).alias("similarity")).limit(0)
+    largest = max(n for _, n in sizes)
+    each = max(-(-largest // SHELF), min(-(-largest // rows_per_block), -(-SHELVES // len(sizes))))
+    # Shelves are numbered fold by fold; a query is copied with the number of every one of another fold.
+    kind = gallery.schema["fold"].dataType
+    number = F.lit(None).cast("int")
+    for i, (f, _) in enumerate(sizes):
+        number = F.when(F.col("fold") == F.lit(f).cast(kind), F.lit(i)).otherwise(number)
+    held = g.where("fold is not null").withColumn("shelf", (number * each + F.pmod(F.xxhash64("sample"), F.lit(each))).cast("int"))
+    others = F.array(*[F.struct(F.lit(f).cast(kind).alias("f"), F.lit(i * each + j).alias("shelf")) for i, (f, _) in enumerate(sizes) for j in range(each)])
+    aimed = q.withColumn("o", F.explode(others)).where("o.f <> fold").withColumn("shelf", F.col("o.shelf"))
+    order = lambda x, asks: x.select("shelf", F.lit(asks).alias("query"), "sample", "g", "features")
+    return best_of(on_shelves(order(held, False).unionByName(order(aimed, True)), len(sizes) * each, k), k)
 
 
 def multiplied(pairs: DataFrame, k: int) -> DataFrame:

@@ -99,3 +99,26 @@ def test_most_couples_of_clustered_balls_are_spared(spark):
     met = couples.agg(F.avg(F.col("met").cast("double"))).first()[0]
     print("couples of balls that met:", met)
     assert met < 0.3 and found.count() == 20_000
+
+
+def test_queries_are_dealt_once_for_each_shelf_not_for_each_block(spark, monkeypatch):
+    seen, plain = [], retrieval.on_shelves
+    monkeypatch.setattr(retrieval, "on_shelves", lambda rows, shelves, k: seen.append((shelves, rows.count())) or plain(rows, shelves, k))
+    items = spark.range(600).selectExpr("cast(id as string) sample", "cast(id as string) grp", "cast(id % 3 as int) fold", "array(cast(id as double), 1.0, id % 7 - 3.5) features")
+    few = retrieval.exact_topk(items, items, 3, rows_per_block=2).collect()
+    assert seen == [(24, 600 + 600 * 16)]
+    assert sorted(map(tuple, few)) == sorted(map(tuple, retrieval.exact_topk(items, items, 3).collect()))
+
+
+def test_best_on_shelf_is_the_sorted_whole(spark):
+    rng = np.random.default_rng(1)
+    y = rng.normal(size=(90, 8))
+    y[40:80] = y[:40]  # equal vectors: the first by rank wins
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    x, groups = np.concatenate([y[:30], -y[:3]]), np.arange(90) % 13
+    row, col, value = retrieval.best_on_shelf(x, np.arange(33) % 13, y, groups, np.arange(90), 6, step=7)
+    for i in range(33):
+        sim = np.einsum("ij,ij->i", np.repeat(x[i : i + 1], 90, axis=0), y)
+        sim[groups == i % 13] = -np.inf
+        want = np.lexsort((np.arange(90), -sim))[:6]
+        assert col[row == i].tolist() == want.tolist() and value[row == i].tolist() == sim[want].tolist()
