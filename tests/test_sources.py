@@ -165,3 +165,19 @@ def test_store_refuses_another_width(spark, tmp_path):
         tables.append_features(spark.createDataFrame([row("b", "m", 4)], schema), path, spark.read.parquet(path))
     tables.append_features(spark.createDataFrame([row("a", "other", 4)], schema), path, spark.read.parquet(path))
     assert spark.read.parquet(path).count() == 2
+
+
+@pytest.mark.parametrize("rows", [46, 57])
+def test_last_sample_of_fewer_patches_is_pooled_as_its_sql_says(spark, tmp_path, rows):
+    """Of 46 vectors the tenth sample has one patch and none that is left out; of 57 the twelfth has two, all of the first run."""
+    import duckdb
+
+    from foldwright.plans import artefacts  # noqa: F401
+    from foldwright.plans.queries import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT CAST(i AS BIGINT) AS vec_id, CAST(list_transform(range(64), lambda d: sin(i * 64 + d)) AS FLOAT[]) AS embedding, 1 AS label FROM range({rows}) t(i)) TO '{tmp_path}/embeddings.parquet'")
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    got = QUERIES["pooled_in_two_runs"](spark, str(tmp_path)).select("sample", "dim", "version").collect()
+    want = con.execute(ORACLE_SQL["pooled_in_two_runs"]).df()
+    assert sorted(map(tuple, got)) == sorted(zip(want["sample"], want["dim"], want["version"]))
