@@ -496,13 +496,17 @@ def paired_retrieval_test(spark, sf_dir):
 
 def _part(statistic: str, cohort: str, series: list[str], source: str, value: str, metric: str = "CAST(NULL AS VARCHAR)", tested: bool = False, held: str = "") -> str:
     """Rows of ``statistics_run`` from the SQL of a single statistic; tests corrected within ``held`` and the metric."""
+    # Tests are corrected by unrounded p-values, as the query does, and rounded in the end.
+    shown = ("value", "ci_low", "ci_high", "probability_a_better", "p_value")
+    source = source.replace(rounded("difference", *shown[1:]), ", ".join(("difference", *shown[1:]))) if tested else source
     names = ", ".join(f"'{c}': {c}" for c in series)
     p = "probability_a_better, p_value" if tested else "CAST(NULL AS DOUBLE) AS probability_a_better, CAST(NULL AS DOUBLE) AS p_value"
     rows = f"""SELECT '{statistic}' AS statistic, {cohort} AS cohort, CAST(to_json({{{names}}}) AS VARCHAR) AS series, {metric} AS metric, {value} AS value, ci_low, ci_high, n_bootstrap, {p}{f", {held} AS held" if tested else ""} FROM ({source})"""
     if not tested:
         return f"SELECT *, CAST(NULL AS DOUBLE) AS p_holm FROM ({rows})"
     w = "PARTITION BY cohort, metric, held"
-    return f"""SELECT * EXCLUDE (rank, m, held), round(least(1.0, max(p_value * (m - rank + 1)) OVER ({w} ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) + 0.0 AS p_holm FROM (
+    ends = ", ".join(f"round(CAST({c} AS DOUBLE), 6) + 0.0 AS {c}" for c in shown)
+    return f"""SELECT * EXCLUDE (rank, m, held) REPLACE ({ends}), round(least(1.0, max(p_value * (m - rank + 1)) OVER ({w} ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) + 0.0 AS p_holm FROM (
         SELECT *, row_number() OVER ({w} ORDER BY p_value, series) AS rank, count(*) OVER ({w}) AS m FROM ({rows}))"""
 
 
