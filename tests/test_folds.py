@@ -116,6 +116,27 @@ def test_no_improving_swap_is_left(spark):
             assert abs(cost(moved) - cost(was) - r["change"]) < 1e-9
 
 
+def test_passes_are_linear(spark, monkeypatch):
+    """Blocks meet one partner each; with a coarser ``least_gain`` all couples never meet."""
+    rng = random.Random(3)
+    rows = [(f"s{i}_{j}", f"w{i}_{j % 2}", f"g{i:03d}", f"st{i % 2}", rng.choice("xyzuv")) for i in range(120) for j in range(rng.randint(1, 9))]
+    samples = spark.createDataFrame(rows, "sample string, subgroup string, grp string, stratum string, label string")
+    before = folds.stratified_folds(folds.group_table(samples), 3, 2)
+    features = folds.balance_features(samples, ["label"])
+    a = folds.fold_cost(features, before, 3).first()[0]
+    monkeypatch.setattr(folds, "DEALT_BLOCK", 8)
+    met, best = [], folds.best_swaps
+    monkeypatch.setattr(folds, "best_swaps", lambda *x, **named: met.append(named.get("deal")) or best(*x, **named))
+    rough = folds.balanced_folds(samples, before, ["label"], 3, least_gain=0.01 * a)
+    assert met and None not in met and folds.fold_cost(features, rough, 3).first()[0] < 0.1 * a
+    count = lambda x: sorted((r["stratum"], r["fold"], r["count"]) for r in x.groupBy("stratum", "fold").count().collect())
+    assert count(before) == count(rough)
+    balance = folds.Balance(features, before, 3)
+    classes = folds.class_sizes(folds.with_class(folds.vectors_of(features, before.select("grp", "stratum", "fold"), balance.names)))
+    # Five blocks of four to a stratum and fold: five couples for each pair of folds, not twenty-five.
+    assert best(classes, balance, 4, steps=1, deal=1).count() <= 2 * 3 * 5
+
+
 def test_coverage_and_roles(spark):
     rows = [(f"p{f}{d}", f"w{f}{d}", f"r{f}{d}", f, d) for f in range(3) for d in "AB" if (f, d) != (2, "B")]
     df = split_rows(spark, rows)
