@@ -47,18 +47,22 @@ def result_contract(rows: DataFrame, samples: DataFrame, system: list[str], seed
     """Every system has every seed, every seed every fold, every sample is predicted once, and stored metrics follow from the rows.
 
     ``rows``: predictions with ``fold``; ``stored_metrics``: as ``evaluate.system_metrics`` gives them, compared to 9 places.
-    The rows are read three times: by system, seed and sample, by sample alone, and for the metrics.
+    The rows are read four times: by system, seed and sample, by sample alone, for folds out of range, and for the metrics; dealt by
+    sample, they are not shuffled.
     """
     keys = [*system, "seed"]
     alien = ~F.coalesce(F.col("fold").between(0, n_folds - 1), F.lit(False))
     known = samples.select("sample").distinct().withColumn("_known", F.lit(1))
     seen = rows.groupBy("sample").agg(F.count("*").alias("_n")).join(known, "sample", "full_outer").agg(
         F.count("_known").alias("size"), F.coalesce(F.sum(F.when(F.col("_known").isNull(), F.col("_n"))), F.lit(0)).alias("unknown"))
-    once = rows.groupBy(*keys, "sample").agg(F.count("*").alias("n"), *[F.max((F.col("fold") == f).cast("int")).alias(f"f{f}") for f in range(n_folds)],
-                                             F.collect_set(F.when(alien, F.coalesce(F.col("fold"), F.lit(-1)))).alias("others"))
+    once = rows.groupBy(*keys, "sample").agg(F.count("*").alias("n"), *[F.max((F.col("fold") == f).cast("int")).alias(f"f{f}") for f in range(n_folds)])
+    others = rows.where(alien).groupBy(*keys).agg(F.countDistinct(F.coalesce(F.col("fold"), F.lit(-1))).alias("_others"))
     runs = once.groupBy(*keys).agg(F.count("*").alias("n_samples"), F.max("n").alias("most"),
-                                   reduce(lambda a, b: a + b, [F.coalesce(F.max(f"f{f}"), F.lit(0)) for f in range(n_folds)]).alias("have"),
-                                   F.size(F.array_distinct(F.flatten(F.collect_set("others")))).alias("others"))
+                                   reduce(lambda a, b: a + b, [F.coalesce(F.max(f"f{f}"), F.lit(0)) for f in range(n_folds)]).alias("have"))
+    pair = F.lit(True)
+    for k in keys:
+        pair = pair & F.col(f"r.{k}").eqNullSafe(F.col(f"o.{k}"))
+    runs = runs.alias("r").join(F.broadcast(others.alias("o")), pair, "left").select("r.*", F.coalesce("_others", F.lit(0)).alias("others"))
     declared = F.col("seed").isin(list(seeds))
     per = runs.join(F.broadcast(seen)).groupBy(*system).agg(  # one row of sums beside a row for each run
         F.max("size").alias("size"), F.max("unknown").alias("unknown"), (F.lit(len(seeds)) - F.sum(declared.cast("int"))).alias("lost"), F.sum((~declared).cast("int")).alias("extra"),

@@ -388,8 +388,7 @@ def report_inputs(spark, sf_dir):
 
 def _bundle(spark, sf_dir, broken: bool) -> dict[str, DataFrame]:
     """Parts of a report with intervals of means for intervals; ``broken``: a seed was lost, retrieval consumed other files and some intervals lack a bound."""
-    predictions, classes = b.evaluation(spark, sf_dir)
-    predictions = materialise(predictions, "predictions")
+    predictions, classes = b.evaluation(spark, sf_dir, deal="grp")
     metrics = materialise(evaluate.system_metrics(predictions, classes, SEEDED, ["task"]), "metrics")
     hits = predictions.withColumn("value", (F.col("true_id") == F.col("pred_id")).cast("double"))
     intervals = materialise(each_task(lambda t: resample.mean_intervals(hits.where(F.col("task") == t), b.signature_groups(b.cohort(spark, sf_dir), t), SEEDED, b.REPLICATES)), "intervals")
@@ -517,7 +516,7 @@ _OTHER_MEAN_TEST = b.every_task(b.sql(["preds", "weights", "flips"], other_famil
 
 def _statistics(spark, sf_dir, whole: bool) -> DataFrame:
     """Statistics of the two tasks and of retrieval, each cohort with groups and strata of its own, over draws made once; ``whole``: with the classification metrics."""
-    predictions = materialise(b.predictions(spark, sf_dir), "predictions")
+    predictions = b.evaluation(spark, sf_dir, deal="grp")[0]
     cohort, n_classes = b.cohort(spark, sf_dir), {r["task"]: r["count"] for r in b.classes(spark, sf_dir).groupBy("task").count().collect()}
     hit = lambda c: (F.col(c) == F.col("true_id")).cast("double")
     parts, groups = [], []

@@ -234,6 +234,31 @@ def test_pairs_that_do_not_match_fail(spark):
             compare.agreeing(compare.aligned(left, bad, ["sample"], ["grp", "true_id"], "pred_id")).collect()
 
 
+def test_pairs_within_dealt_groups_are_those_of_the_join_and_are_not_shuffled(spark):
+    rows = spark.createDataFrame([(m, s, f"g{i % 7}", i % 3, (i + len(m)) % 3, i) for i in range(60) for m in ("x", "yy", "other") for s in (1, 2)],
+                                 "model string, seed int, grp string, true_id int, pred_id int, sample int")
+    side = lambda m: rows.where(F.col("model") == m)
+    want = compare.agreeing(compare.aligned(side("yy"), side("x"), ["seed", "sample"], ["grp", "true_id"], "pred_id"))
+    cut = rows.repartition(5, "grp")
+    got = compare.agreeing(compare.side_by_side(cut, "model", "yy", "x", ["seed", "sample"], ["grp", "true_id"], "pred_id"))
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect()) and got.count() == 120
+    plan = got.groupBy("seed", "grp").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    for bad in (rows.where("not (model = 'x' and sample = 4)"), rows.unionByName(rows.where("sample = 4")), rows.withColumn("true_id", F.when(F.expr("model = 'x' and sample = 4"), 9).otherwise(F.col("true_id")))):
+        with pytest.raises(Exception, match="other rows"):
+            compare.agreeing(compare.side_by_side(bad, "model", "yy", "x", ["seed", "sample"], ["grp", "true_id"], "pred_id")).collect()
+
+
+def test_series_that_is_not_declared_fails(spark):
+    pairs = spark.createDataFrame([(k, f"g{i}", 1.0, 0.0) for i in range(4) for k in (1, 2)], "seed int, grp string, a double, b double")
+    groups = pairs.select("grp", F.lit("s").alias("stratum")).distinct()
+    declared = spark.createDataFrame([(1,), (2,), (3,)], "seed int")
+    want, got = (sorted(resample.paired_mean_test(pairs, groups, ["seed"], 20, series=x).collect()) for x in (None, declared))
+    assert got == want and len(got) == 2
+    with pytest.raises(Exception, match="not among the series"):
+        resample.paired_mean_test(pairs, groups, ["seed"], 20, series=declared.where("seed = 1")).collect()
+
+
 def test_first_rows_and_positions(spark):
     df = spark.createDataFrame([(5, "b"), (3, "a"), (4, None), (1, "z")], "k int, v string")
     assert [r["k"] for r in report.first_n(df, ["k"], 2).collect()] == [1, 3]
