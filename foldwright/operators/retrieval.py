@@ -37,51 +37,22 @@ def normalised(items: DataFrame) -> DataFrame:
     return items.withColumn("features", unit(F.col("features"))).where(F.col("features").isNotNull())
 
 
-def packed(items: DataFrame, by: list[Column], side: str) -> DataFrame:
-    """Rows packed into blocks, one row each: ids, an integer stand-in for the groups and all vectors in one flat array."""
-    row = F.struct("sample", F.xxhash64("grp").alias("g"), "features")
-    blocks = items.groupBy(*by).agg(F.collect_list(row).alias("rows"))
-    names = [c for c in blocks.columns if c != "rows"]
-    return blocks.select(*names, F.col("rows.sample").alias(f"{side}_ids"), F.col("rows.g").alias(f"{side}_groups"), F.flatten("rows.features").alias(f"{side}_x"))
-
-
-def best_columns(x: np.ndarray, y: np.ndarray, barred: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, column and similarity of the ``k`` best columns of each row that are not ``barred``; of ties the first columns.
-
-    The matrix product finds what may be among them.  These are computed again one by one in an order of sums that does
-    not depend on the block, so equal vectors are equally similar wherever they lie.
-    """
-    sim = x @ y.T
-    sim[barred] = -np.inf
-    keep = np.isfinite(sim)
-    if sim.shape[1] > k:
-        keep &= sim >= -np.partition(-sim, k - 1, axis=1)[:, k - 1, None] - TIE
-    row, col = np.nonzero(keep)
-    value = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", x[row[i : i + 4096]], y[col[i : i + 4096]]) for i in range(0, len(row), 4096))])
-    order = np.lexsort((col, -value, row))
-    row, col, value = row[order], col[order], value[order]
-    first = np.searchsorted(row, row)
-    best = np.arange(len(row)) - first < k
-    return row[best], col[best], value[best]
-
-
-#: By how much two sums of the same products may differ.
-TIE = 1e-12
-
-
 #: Gallery rows that a task holds at most, and gallery parts there are at least, where there are rows for them.
 SHELF, SHELVES = 65_536, 24
 
 
-def best_on_shelf(x: np.ndarray, x_groups: np.ndarray, y: np.ndarray, y_groups: np.ndarray, rank: np.ndarray, k: int, step: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As ``best_columns``, over columns read ``step`` at a time, of which those of the row's group are barred; of ties the first by ``rank``.
+def best_on_shelf(x: np.ndarray, x_groups: np.ndarray, y: np.ndarray, y_groups: np.ndarray, rank: np.ndarray, k: int, step: int = 2048, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and similarity of the ``k`` best columns of each row, read ``step`` at a time, of which those of the row's group are barred; of ties the first by ``rank``.
 
     The product is made in single precision and finds what lies no lower than the k-th best so far, less twice the error
-    of such a product of unit vectors; that little is computed again, so the result does not depend on it.
+    of such a product of unit vectors; that little is computed again one by one in an order of sums that does not depend on
+    the block, so the result does not depend on it and equal vectors are equally similar wherever they lie.  ``floor``: a similarity for each row, of which
+    nothing lower is asked for.
     """
     off = 2 * (x.shape[1] + 8) * 2.0**-23
     narrow, meet = x.astype(np.float32), bool(np.isin(x_groups, y_groups).any())
-    floor, best = np.full(len(x), -2.0), (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    least = np.full(len(x), -2.0) if floor is None else floor
+    floor, best = least.copy(), (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
     for j in range(0, len(y), step):
         part = y[j : j + step]
         sim = narrow @ part.T.astype(np.float32)
@@ -99,8 +70,9 @@ def best_on_shelf(x: np.ndarray, x_groups: np.ndarray, y: np.ndarray, y_groups:
         keep = place < k
         best = row[keep], col[keep], value[keep]
         last = place == k - 1
-        floor[row[last]] = value[last]
-    return best
+        floor[row[last]] = np.maximum(value[last], least[row[last]])
+    keep = best[2] >= least[best[0]]
+    return best[0][keep], best[1][keep], best[2][keep]
 
 
 def on_shelves(rows: DataFrame, shelves: int, k: int) -> DataFrame:
@@ -171,20 +143,6 @@ def exact_topk(queries: DataFrame, gallery: DataFrame, k: int, rows_per_block: i
     return best_of(on_shelves(order(held, False).unionByName(order(aimed, True)), len(sizes) * each, k), k)
 
 
-def multiplied(pairs: DataFrame, k: int) -> DataFrame:
-    """``query, gallery, similarity``: of each pair of blocks the ``k`` best of every query, by one matrix product."""
-
-    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for qi, qg, qx, gi, gg, gx in batch.itertuples(index=False):
-                order = np.argsort(gi, kind="stable")  # columns in id order, so that ties go to the smaller id
-                ids = gi[order]
-                row, col, similarity = best_columns(qx.reshape(len(qi), -1), gx.reshape(len(gi), -1)[order], qg[:, None] == gg[order], k)
-                yield pd.DataFrame({"query": qi[row], "gallery": ids[col], "similarity": similarity})
-
-    return pairs.select("q_ids", "q_groups", "q_x", "g_ids", "g_groups", "g_x").mapInPandas(multiply, "query string, gallery string, similarity double")
-
-
 def best_of(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "gallery")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "gallery", "similarity")
@@ -203,22 +161,104 @@ def spread_out(vectors: np.ndarray, m: int) -> np.ndarray:
     return vectors[at]
 
 
-def balls(items: DataFrame, pivots: np.ndarray, rows_per_block: int) -> DataFrame:
-    """Items with ``ball`` (their nearest pivot), ``angle`` to it and ``part`` (a ball of many rows is cut by a hash into parts)."""
+def balls(items: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Items with ``ball`` (their nearest pivot) and ``angle`` to it, written; the group as a number ``g``."""
     shared = items.sparkSession.sparkContext.broadcast(pivots)
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                sim = np.stack(batch["features"].to_list()) @ shared.value.T
+                sim = vectors_in(batch.column("features")) @ shared.value.T
                 near = sim.argmax(axis=1)
-                yield batch.assign(ball=near.astype(np.int32), angle=np.arccos(np.clip(sim[np.arange(len(near)), near], -1, 1)))
+                angle = np.arccos(np.clip(sim[np.arange(len(near)), near], -1, 1))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32)), pa.array(angle)], names=[*batch.schema.names, "ball", "angle"])
+
+    rows = items.select("sample", F.xxhash64("grp").alias("g"), "fold", "features")
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in rows.columns) + ", ball int, angle double"
+    return materialise(rows.mapInArrow(place, schema), "balls")
+
+
+def chained(pivots: np.ndarray) -> np.ndarray:
+    """A place for each pivot in a chain from each to the nearest that is not in it yet."""
+    place, left, at = np.zeros(len(pivots), np.int64), np.ones(len(pivots), bool), 0
+    for i in range(len(pivots)):
+        place[at], left[at] = i, False
+        at = int(np.where(left, pivots @ pivots[at], -np.inf).argmax())
+    return place
+
+
+def shelved(gallery: DataFrame, pivots: np.ndarray, rows_per_block: int) -> tuple[DataFrame, DataFrame, int]:
+    """The gallery's balls on shelves: ``g_fold, g_ball, shelf`` (every shelf that holds a part of a ball), the gallery with ``shelf``, and the number of shelves.
+
+    Balls lie fold by fold along a chain of near pivots, so few shelves hold what a ball of queries may meet.  There are
+    ``SHELVES`` shelves, more if one would hold over ``SHELF`` rows, fewer if they would hold under ``rows_per_block``.
+    """
+    spark = gallery.sparkSession
+    sizes = gallery.groupBy("fold", "ball").agg(F.count("*").alias("n"))
+    order = F.broadcast(spark.createDataFrame([(i, int(c)) for i, c in enumerate(chained(pivots))], "ball int, place int"))  # a row for each pivot
+    at = sizes.join(order, "ball").withColumn("stop", F.sum("n").over(Window.orderBy("fold", "place")))  # folds times pivots rows
+    n = gallery.count()
+    each = max(1, min(SHELF, max(rows_per_block, -(-n // SHELVES))))
+    # A ball lies on every shelf that its range of places touches; a hash gives each of its rows one of the places.
+    ranges = materialise(at.select("fold", "ball", "n", (F.col("stop") - F.col("n")).alias("start")), "shelves")
+    number = lambda place: F.floor(place / each).cast("int")
+    held = gallery.join(F.broadcast(ranges), ["fold", "ball"]).withColumn("shelf", number(F.col("start") + F.pmod(F.xxhash64("sample"), "n")))
+    lies = ranges.select(F.col("fold").alias("g_fold"), F.col("ball").alias("g_ball"), F.explode(F.sequence(number(F.col("start")), number(F.col("start") + F.col("n") - 1))).alias("shelf"))
+    return lies, held.drop("n", "start"), -(-n // each)
+
+
+def past_shelves(queries: DataFrame, held: DataFrame, lies: DataFrame, couples: DataFrame, shelves: int, k: int) -> DataFrame:
+    """``query, gallery, similarity``: of each shelf the ``k`` best of every query among the balls that its own ball meets there.
+
+    ``queries`` have a ``floor``; what is less similar is left out.  ``couples``: ``q_fold, q_ball, g_fold, g_ball`` that meet.  A task holds a
+    shelf, a query goes once to each shelf with a ball to meet, behind a row that names those of its ball.
+    """
+    gallery_ball = F.xxhash64("g_fold", "g_ball")
+    aims = materialise(couples.join(F.broadcast(lies), ["g_fold", "g_ball"]).groupBy(F.col("q_fold").alias("fold"), F.col("q_ball").alias("ball"), "shelf").agg(F.collect_set(gallery_ball).alias("meets")), "aims")
 
-    cols = ["sample", "grp", "fold", "features"]
-    schema = ", ".join(f"{c} {items.schema[c].dataType.simpleString()}" for c in cols) + ", ball int, angle double"
-    placed = materialise(items.select(*cols).mapInPandas(place, schema), "balls")
-    sizes = placed.groupBy("fold", "ball").agg(F.ceil(F.count("*") / rows_per_block).cast("int").alias("parts"))  # folds times pivots rows
-    return placed.join(F.broadcast(sizes), ["fold", "ball"]).withColumn("part", F.pmod(F.xxhash64("sample"), F.col("parts")).cast("int")).drop("parts")
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, shelf, meets, seen = [], None, None, None
+        for batch in batches:
+            kinds = batch.column("kind").to_numpy()
+            first = int((kinds > 0).argmax()) if (kinds > 0).any() else len(batch)
+            if first:
+                held.append(batch.slice(0, first))
+            if first == len(batch):
+                continue
+            if shelf is None:
+                t = pa.Table.from_batches(held) if held else None
+                ids = np.zeros(0, object) if t is None else t["sample"].to_numpy()
+                order = np.argsort(ids, kind="stable")
+                shelf = (ids[order], t["g"].to_numpy()[order], vectors_in(t["features"])[order], t["ball"].to_numpy()[order]) if len(ids) else None
+                held = []
+            if shelf is None:
+                continue
+            balls = batch.column("ball").to_numpy()
+            edges = [first, *(first + 1 + np.flatnonzero(balls[first + 1 :] != balls[first:-1])), len(batch)]
+            for low, high in zip(edges[:-1], edges[1:]):
+                if kinds[low] == 1:
+                    meets, seen = np.flatnonzero(np.isin(shelf[3], np.array(batch.column("meets")[low].as_py(), np.int64))), balls[low]
+                    low += 1
+                if low < high and balls[low] != seen:
+                    raise ValueError("queries without the balls they meet")
+                y_groups, y = (shelf[1], shelf[2]) if len(meets) == len(shelf[0]) else (shelf[1][meets], shelf[2][meets])
+                for i in range(low, high, 1024):
+                    some = batch.slice(i, min(1024, high - i))
+                    names, least = some.column("sample").to_numpy(zero_copy_only=False), some.column("floor").to_numpy()
+                    row, col, value = best_on_shelf(vectors_in(some.column("features")), some.column("g").to_numpy(), y, y_groups, np.arange(len(y)), k, floor=least)
+                    yield pa.RecordBatch.from_arrays([pa.array(names[row], pa.string()), pa.array(shelf[0][meets[col]], pa.string()), pa.array(value)], names=["query", "gallery", "similarity"])
+
+    def row(x: DataFrame, kind: int, **has) -> DataFrame:
+        """The columns of every kind of row: 0 of the gallery, 1 the balls that a ball of queries meets, 2 a query."""
+        types = {"sample": "string", "g": "long", "floor": "double", "features": "array<double>", "meets": "array<long>"}
+        return x.select("shelf", F.lit(kind).alias("kind"), F.xxhash64("fold", "ball").alias("ball"), *[has[c].alias(c) if c in has else F.lit(None).cast(t).alias(c) for c, t in types.items()])
+
+    vector = {c: F.col(c) for c in ("sample", "g", "features")}
+    asks = queries.join(F.broadcast(aims.groupBy("fold", "ball").agg(F.collect_list("shelf").alias("to"))), ["fold", "ball"]).withColumn("shelf", F.explode("to"))
+    rows = row(held, 0, **vector).unionByName(row(aims, 1, meets=F.col("meets"))).unionByName(row(asks, 2, floor=F.col("floor"), **vector))
+    # The gallery first, then ball after ball of queries, each behind the row that names what it meets.
+    dealt = rows.repartitionById(shelves, "shelf").sortWithinPartitions(F.when(F.col("kind") > 0, 1).otherwise(0), "ball", "kind")
+    return dealt.select("kind", "ball", "sample", "g", "floor", "features", "meets").mapInArrow(work, "query string, gallery string, similarity double")
 
 
 def pruned_topk(queries: DataFrame, gallery: DataFrame, k: int, rows_per_block: int = 2048, most_pivots: int = 1024) -> tuple[DataFrame, DataFrame]:
@@ -229,6 +269,8 @@ def pruned_topk(queries: DataFrame, gallery: DataFrame, k: int, rows_per_block:
     bounds the whole ball.  Then it meets those other balls alone that could hold something nearer: two balls whose
     pivots are far apart by more than both radii and the angle of that bound cannot.  Queries that found fewer than k
     bar nothing.  The result is exact, whatever the pivots; on vectors without clusters few couples are spared.
+    Both times the gallery's balls lie on shelves past which queries are read, as in ``exact_topk``, so however many
+    couples meet, a query is shuffled at most once for each shelf.
     """
     bad = F.raise_error(F.lit("vectors must be finite and not zero")).cast("array<double>")
     n = gallery.count()
@@ -238,14 +280,14 @@ def pruned_topk(queries: DataFrame, gallery: DataFrame, k: int, rows_per_block:
     q, g = (x.withColumn("features", F.coalesce(unit(F.col("features")), bad)) for x in (queries, gallery))
     m = min(most_pivots, max(1, round(n**0.5)))
     pivots = spread_out(np.array([r["features"] for r in g.select("sample", "features").orderBy(F.xxhash64("sample"), "sample").limit(4 * m).collect()]), m)
-    q, g = balls(q, pivots, rows_per_block), balls(g, pivots, rows_per_block)
-    place = lambda side: [F.col(c).alias(f"{side}_{c}") for c in ("fold", "ball", "part")]
-    left, right = materialise(packed(q, place("q"), "q"), "query-blocks"), materialise(packed(g, place("g"), "g"), "gallery-blocks")
-    near = materialise(multiplied(left.join(right, F.expr("q_ball = g_ball and q_fold <> g_fold")), k), "near")
-    kth = near.groupBy("query").agg(F.array_sort(F.collect_list(-F.col("similarity"))).alias("s")).select(F.col("query").alias("sample"), F.when(F.size("s") >= k, -F.col("s")[k - 1]).alias("kth"))
-    least = q.join(kth, "sample", "left").groupBy(F.col("fold").alias("q_fold"), F.col("ball").alias("q_ball")).agg(
-        F.max("angle").alias("q_radius"), F.min(F.coalesce("kth", F.lit(-1.0))).alias("kth"))
+    q, g = balls(q, pivots), balls(g, pivots)
+    lies, held, shelves = shelved(g, pivots, rows_per_block)
     reach = g.groupBy(F.col("fold").alias("g_fold"), F.col("ball").alias("g_ball")).agg(F.max("angle").alias("g_radius"))
+    own = q.select(F.col("fold").alias("q_fold"), F.col("ball").alias("q_ball")).distinct().join(F.broadcast(reach), F.expr("q_fold <> g_fold and q_ball = g_ball"))
+    near = materialise(past_shelves(q.withColumn("floor", F.lit(-2.0)), held, lies, own.drop("g_radius"), shelves, k), "near")
+    kth = near.groupBy("query").agg(F.array_sort(F.collect_list(-F.col("similarity"))).alias("s")).select(F.col("query").alias("sample"), F.when(F.size("s") >= k, -F.col("s")[k - 1]).alias("kth"))
+    q = materialise(q.join(kth, "sample", "left").withColumn("floor", F.coalesce("kth", F.lit(-2.0))).drop("kth"), "bounded-queries")
+    least = q.groupBy(F.col("fold").alias("q_fold"), F.col("ball").alias("q_ball")).agg(F.max("angle").alias("q_radius"), F.greatest(F.min("floor"), F.lit(-1.0)).alias("kth"))
     between = np.arccos(np.clip(pivots @ pivots.T, -1, 1))
     apart = q.sparkSession.sparkContext.broadcast(between)
 
@@ -257,8 +299,7 @@ def pruned_topk(queries: DataFrame, gallery: DataFrame, k: int, rows_per_block:
     couples = least.join(F.broadcast(reach), F.expr("q_fold <> g_fold")).withColumn("met", (F.col("q_ball") == F.col("g_ball")) | (
         angle("q_ball", "g_ball") - F.col("q_radius") - F.col("g_radius") <= F.acos(F.col("kth")) + F.lit(ROUNDING)))
     couples = materialise(couples.select("q_fold", "q_ball", "g_fold", "g_ball", "met"), "couples")
-    rest = couples.where("met and q_ball <> g_ball")
-    far = multiplied(left.join(rest, ["q_fold", "q_ball"]).join(right, ["g_fold", "g_ball"]), k)
+    far = past_shelves(q, held, lies, couples.where("met and q_ball <> g_ball"), shelves, k)
     return best_of(near.unionByName(far), k), couples
 
 

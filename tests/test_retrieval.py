@@ -110,6 +110,18 @@ def test_queries_are_dealt_once_for_each_shelf_not_for_each_block(spark, monkeyp
     assert sorted(map(tuple, few)) == sorted(map(tuple, retrieval.exact_topk(items, items, 3).collect()))
 
 
+def test_pruned_queries_are_dealt_once_for_each_shelf_not_for_each_couple(spark, monkeypatch):
+    rng, seen = np.random.default_rng(5), []
+    items = spark.createDataFrame([(f"{i:04d}", f"g{i}", i % 3, "a", rng.normal(size=16).tolist()) for i in range(600)], ITEM)
+    plain = type(items).repartitionById
+    monkeypatch.setattr(type(items), "repartitionById", lambda rows, n, by: seen.append((n, rows.where("kind = 0").count(), rows.where("kind = 2").count())) or plain(rows, n, by))
+    found, couples = retrieval.pruned_topk(items, items, 3, rows_per_block=10)
+    assert couples.where("met").count() > 2500  # without clusters most couples meet
+    assert len(seen) == 2 and all(shelves == 24 and gallery == 600 and asks <= 600 * 18 for shelves, gallery, asks in seen)
+    monkeypatch.undo()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, retrieval.exact_topk(items, items, 3).collect()))
+
+
 def test_best_on_shelf_is_the_sorted_whole(spark):
     rng = np.random.default_rng(1)
     y = rng.normal(size=(90, 8))
