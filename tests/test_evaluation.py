@@ -189,6 +189,25 @@ def test_distribution_holds_every_replicate(spark, monkeypatch):
     assert (interval["ci_low"], interval["ci_high"], interval["n_bootstrap"]) == (pytest.approx(np.quantile(want, 0.025)), pytest.approx(np.quantile(want, 0.975)), 40)
 
 
+@pytest.mark.parametrize("by_seed", [False, True])
+def test_intervals_of_samples_with_all_runs_are_those_of_predictions(spark, monkeypatch, by_seed):
+    monkeypatch.setattr(resample, "SLICE", 7)
+    df, groups = bootstrap_rows(spark)
+    runs = [{"task": "t", "seed": s} for s in (3, 5, 9)]
+    preds = F.array("a_id", "b_id", F.lit(2))
+    wide = df.select("sample", "grp", "true_id", preds.alias("preds"))
+    run = F.explode(F.array(*[F.struct(F.lit(r["task"]).alias("task"), F.lit(r["seed"]).alias("seed"), F.lit(i).alias("i")) for i, r in enumerate(runs)]))
+    long = wide.withColumn("run", run).select("run.task", "run.seed", "sample", "grp", "true_id", F.col("preds")[F.col("run.i")].alias("pred_id"))
+    plain = lambda x: sorted((r["task"], r["seed"], r["metric"], r["n_bootstrap"], *[round(r[c], 12) for c in ("estimate", "ci_low", "ci_high")]) for r in x.collect())
+    universe = classes(spark, 4)  # one class has no row
+    got = resample.run_intervals(wide, runs, groups, universe, 60, by_seed=by_seed)
+    assert plain(got) == plain(resample.classification_intervals(long, groups, universe, ["task", "seed"], 60, by_seed=by_seed))
+    assert "Generate explode(array" not in resample.run_distribution(wide, runs, groups, universe, 60)._jdf.queryExecution().executedPlan().toString()
+    for bad in (F.slice("preds", 1, 2), F.array(F.lit(0), F.lit(1), F.lit(None).cast("int")), F.array(F.lit(0), F.lit(1), F.lit(7))):
+        with pytest.raises(Exception, match="every run must have a class|not among the classes"):
+            resample.run_intervals(wide.withColumn("preds", bad), runs, groups, universe, 10).collect()
+
+
 def test_draws_of_a_large_stratum_are_multinomial(monkeypatch):
     """Weights of all slices sum to the stratum in every replicate; means, variances and pair covariances are those of equal draws."""
     monkeypatch.setattr(resample, "SLICE", 16)
