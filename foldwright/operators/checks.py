@@ -11,8 +11,13 @@ CHECK = "name string, status string, detail string, blocking boolean"
 def check_row(df: DataFrame, name: str, failures: Column, blocking: bool = True) -> DataFrame:
     """One row from an aggregate that counts failures: PASS at 0 (or on no rows), else FAIL."""
     bad = F.coalesce(failures.cast("long"), F.lit(0))
-    return df.agg(bad.alias("bad")).select(
-        F.lit(name).alias("name"), F.when(F.col("bad") == 0, "PASS").otherwise("FAIL").alias("status"),
+    return told(df.agg(bad.alias("bad")).withColumn("name", F.lit(name)), blocking)
+
+
+def told(failures: DataFrame, blocking: bool = True) -> DataFrame:
+    """Check rows from ``name`` and ``bad``, a number of failures."""
+    return failures.select(
+        "name", F.when(F.col("bad") == 0, "PASS").otherwise("FAIL").alias("status"),
         F.concat(F.col("bad").cast("string"), F.lit(" violations")).alias("detail"), F.lit(blocking).alias("blocking"))
 
 

@@ -342,8 +342,8 @@ def retrieval_input_checks(spark, sf_dir):
 @query(b.sql(["seed_rows"], f"SELECT model, strategy, task, metric, {rounded('mean', 'sd')}, n_seeds FROM seed_rows"))
 def probability_reeval(spark, sf_dir):
     """Stored fold probabilities evaluated anew, task by task, behind their checks."""
-    rows = materialise(_probabilities(spark, sf_dir), "probabilities")
-    labelled = b.long_labels(b.cohort(spark, sf_dir)).join(F.broadcast(b.classes(spark, sf_dir)), ["task", "label"])
+    rows = _probabilities(spark, sf_dir)
+    labelled = materialise(b.long_labels(b.cohort(spark, sf_dir)).join(F.broadcast(b.classes(spark, sf_dir)), ["task", "label"]).select("task", "sample", "grp", "class_id"), "labelled")
 
     def of(task: str) -> DataFrame:
         samples = labelled.where(F.col("task") == task).select("sample", "grp", F.col("class_id").alias("true_id"))

@@ -1,4 +1,5 @@
 import math
+import re
 import time
 
 import numpy as np
@@ -327,3 +328,26 @@ def test_counts_by_row_are_the_class_counts(spark):
     rows = spark.createDataFrame([("a", "g", 0, 0), ("a", "g", 0, 1), ("a", "h", 1, None), ("b", "g", None, 2), ("a", "g", 0, 1)], "k string, grp string, true_id int, pred_id int")
     one, two = (sorted(map(tuple, f(rows, ["k", "grp"]).collect()), key=repr) for f in (evaluate.counts_by_row, evaluate.class_counts))
     assert one == two
+
+
+def test_checks_of_probabilities_are_one_pass_without_a_shuffle_of_rows(spark):
+    given = [[0.5, 0.5], [0.2, 0.8], [None, 1.0], [float("nan"), 0.5], [], None, [1.5, -0.5], [0.4, 0.4], [0.2, 0.3, 0.5], [1.0, 1e-7]]
+    df = spark.createDataFrame([(s, f"s{i}", p, 0) for s in (1, 2) for i, p in enumerate(given) if (s, i) != (2, 1)] + [(1, "s0", [0.0, 1.0], 0), (1, "x", [0.0, 1.0], 0)], "seed int, sample string, probs array<double>, fold int")
+    samples = spark.createDataFrame([(f"s{i}",) for i in range(len(given))], "sample string")
+    made = evaluate.probability_checks(df.repartition(8, "sample"), samples, ["seed"])
+    told = {r["name"]: int(r["detail"].split()[0]) for r in made.collect()}
+    # In both seeds a null entry, NaN, no array and 1.5 are out of range; a null entry, NaN, no array, no entry and 0.8 do not sum to one.
+    assert told == {"each sample once per system and seed": 3, "probabilities in range": 8, "probabilities sum to one": 10, "one class count": 2}
+    plan = made._jdf.queryExecution()
+    assert sum("LogicalRDD" in line and "probs" in line for line in plan.optimizedPlan().toString().split("\n")) == 1
+    assert not re.search(r"Exchange hashpartitioning\(seed#\d+, sample", plan.executedPlan().toString())
+
+
+def test_assembled_without_a_search_is_the_same(spark):
+    df = spark.createDataFrame([(s, f"s{i}", [0.3, 0.7], 0) for s in (1, 2) for i in range(4) if (s, i) != (2, 1)], "seed int, sample string, probs array<double>, fold int")
+    samples = df.select("sample")
+    for rows in (df, df.where("sample <> 's1'")):
+        known = samples if rows is df else samples.where("sample <> 's1'")
+        cells = evaluate.coverage(rows, known, ["seed"])
+        want = evaluate.assemble(rows, known, ["seed"])
+        assert sorted(map(str, evaluate.assemble(rows, known, ["seed"], cells).collect())) == sorted(map(str, want.collect()))
