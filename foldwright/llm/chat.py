@@ -10,9 +10,10 @@ more turns does not begin with its output for fewer rewrites history, and is rep
 from collections.abc import Callable, Iterator
 from hashlib import sha256
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 Turn = tuple[str, str]
 #: Stands, doubled as often as needed to be unique, for the text of a turn in a probe.
@@ -65,6 +66,21 @@ FORMATTED = ("formatted string, spans array<struct<start:int,text_start:int,text
              "roles array<string>, texts array<string>, loss array<struct<start:int,end:int>>")
 
 
+#: The same for Arrow, and how many characters of output, or rows, leave a task at once.
+_SPAN = pa.struct([(n, pa.int32()) for n in ("start", "text_start", "text_end", "end")])
+_FORMATTED = {"formatted": pa.string(), "spans": pa.list_(_SPAN), "rewrites_at": pa.int32(), "roles": pa.list_(pa.string()), "texts": pa.list_(pa.string()),
+              "loss": pa.list_(pa.struct([(n, pa.int32()) for n in ("start", "end")]))}
+AT_ONCE, ROWS_AT_ONCE = 2_000_000, 1000
+
+
+def _in_order(conversations: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
+    """``conv, role, text``: the turns of a conversation in one task, one after another."""
+    kind = conversations.schema[conv].dataType
+    key = F.when(F.col(conv) == 0, F.lit(0).cast(kind)).otherwise(F.col(conv)) if isinstance(kind, (DoubleType, FloatType)) else F.col(conv)  # 0.0 and -0.0 are one id
+    rows = conversations.select(key.alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return rows.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text").select("conv", "role", "text")
+
+
 def render(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
            template: Callable[[list[Turn]], str] = tagged, role_of: Callable[[str], str] = tagged_role,
            back: Callable[[str], str] = unescape, trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -73,42 +89,71 @@ def render(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn",
     ``roles`` and ``texts`` are read back from the output; ``loss`` are the text spans of
     trained roles.  Turns are ordered by ``turn``, then role and text, so ties and repeated rows have one order and
     all count; null roles and texts count as empty, a null turn comes first, a null id is a
-    conversation of its own.  A conversation is the unit of formatting: its turns meet in one task.
+    conversation of its own.  A conversation is the unit of formatting: its turns meet in one task, which
+    reads its conversations one after another and holds a batch of turns, one conversation and ``AT_ONCE`` characters of output.
     """
-    rows = conversations.select(F.col(conv).alias("conv"), F.struct(
-        F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("row"))
-    grouped = rows.groupBy("conv").agg(F.sort_array(F.collect_list("row")).alias("rows"))
 
-    @F.pandas_udf(FORMATTED)
-    def form(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for some in batch:
-                turns = [(r["role"], r["text"]) for r in some]
-                whole, spans, rewrites = locate(template, turns)
-                roles = [role_of(whole[a:d]) for a, _, _, d in spans]
-                texts = [back(whole[b:c]) for _, b, c, _ in spans]
-                loss = [{"start": s[1], "end": s[2]} for s, r in zip(spans, roles) if r in trained]
-                out.append((whole, [dict(zip(("start", "text_start", "text_end", "end"), s)) for s in spans], rewrites, roles, texts, loss))
-            yield pd.DataFrame(out, columns=["formatted", "spans", "rewrites_at", "roles", "texts", "loss"])
-
-    return grouped.select(F.col("conv").alias(conv), form("rows").alias("f")).select(conv, "f.*")
+    def row(turns: list[Turn]) -> tuple:
+        whole, spans, rewrites = locate(template, turns)
+        roles = [role_of(whole[a:d]) for a, _, _, d in spans]
+        loss = [{"start": s[1], "end": s[2]} for s, r in zip(spans, roles) if r in trained]
+        return whole, [dict(zip(("start", "text_start", "text_end", "end"), s)) for s in spans], rewrites, roles, [back(whole[b:c]) for _, b, c, _ in spans], loss
+
+    def form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, done, held = [], [], 0
+        for kind, key, turns in _each(batches):
+            names.append(key)
+            done.append(row(turns))
+            held += len(done[-1][0])
+            if held >= AT_ONCE or len(done) >= ROWS_AT_ONCE:
+                yield _batch(kind, names, done)
+                names, done, held = [], [], 0
+        if done:
+            yield _batch(kind, names, done)
+
+    dealt = _in_order(conversations, conv, turn, role, text)
+    out = dealt.mapInArrow(form, f"conv {dealt.schema['conv'].dataType.simpleString()}, {FORMATTED}")
+    return out.withColumnRenamed("conv", conv)
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.DataType, object, list[Turn]]]:
+    """Type of the id, id and turns of each conversation of a task, whose rows are sorted by it."""
+    kind, now, turns = None, None, []
+    for batch in batches:
+        kind = batch.column(0).type
+        for key, *turn in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if turns and not (key == now or (key != key and now != now)):  # not a number is equal to itself, as in Spark
+                yield kind, now, turns
+                turns = []
+            now = key
+            turns.append(tuple(turn))
+    if turns:
+        yield kind, now, turns
+
+
+def _batch(kind: pa.DataType, names: list, done: list[tuple]) -> pa.RecordBatch:
+    columns = [pa.array(c, t) for c, t in zip(zip(*done), _FORMATTED.values())]
+    return pa.RecordBatch.from_arrays([pa.array(names, kind), *columns], names=["conv", *_FORMATTED])
 
 
 def digests(formatted: DataFrame, conv: str = "conv_id", back: Callable[[str], str] = unescape) -> DataFrame:
     """Turn and loss digests, read from the rendered output, its spans and its loss mask."""
+    made = {"n_turns": pa.int64(), "turns_sha256": pa.string(), "loss_chars": pa.int64(), "loss_sha256": pa.string(), "formatted_chars": pa.int64()}
 
-    @F.pandas_udf("n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
-    def digest(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for whole, roles, texts, loss in batches:
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for w, rs, ts, mask in zip(whole, roles, texts, loss):
-                learned = "".join(back(w[m["start"] : m["end"]]) for m in mask)
-                told = "".join(f"{r}\n{t}\n" for r, t in zip(rs, ts))
-                out.append((len(rs), sha256(told.encode()).hexdigest(), len(learned), sha256(learned.encode()).hexdigest(), len(w)))
-            yield pd.DataFrame(out, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-
-    return formatted.select(conv, digest("formatted", "roles", "texts", "loss").alias("d")).select(conv, "d.*")
+            for first in range(0, batch.num_rows, 100):
+                for w, rs, ts, mask in zip(*(batch.slice(first, 100).column(i).to_pylist() for i in range(1, 5))):
+                    learned = "".join(back(w[m["start"] : m["end"]]) for m in mask)
+                    told = "".join(f"{r}\n{t}\n" for r, t in zip(rs, ts))
+                    out.append((len(rs), sha256(told.encode()).hexdigest(), len(learned), sha256(learned.encode()).hexdigest(), len(w)))
+            if out:
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(zip(*out), made.values())]], names=["conv", *made])
+
+    rows = formatted.select(F.col(conv).alias("conv"), "formatted", "roles", "texts", "loss")
+    schema = f"conv {rows.schema['conv'].dataType.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    return rows.mapInArrow(digest, schema).withColumnRenamed("conv", conv)
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,3 +67,17 @@ def test_query_on_an_empty_table(spark, tmp_path):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.digests(chat.render(empty)).count() == 0
+
+
+def test_a_conversation_is_rendered_once(spark, tmp_path):
+    spark.createDataFrame([(1, 0, "user", "q")], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    plan = chat.op10_chat_format(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert sum(plan.count(f"{x} ") for x in ("ArrowEvalPython", "MapInArrow", "PythonMapInArrow", "MapInPandas")) <= 2 and plan.count("form(") == 1 and "collect_list" not in plan
+
+
+def test_ids_of_other_types_and_conversations_longer_than_a_batch(spark):
+    rows = [(float(c), i, "user", f"{c} {i}") for c in range(3) for i in range(12_000 // (c + 1))] + [(float("nan"), 0, "user", "a"), (float("nan"), 1, "user", "b"), (-0.0, -1, "user", "z"), (None, 0, "user", "n")]
+    short = lambda turns: f"{len(turns)}"  # noqa: E731, whole prefixes would be quadratic here
+    table = spark.createDataFrame(rows, "conv_id double, turn long, role string, text string")
+    got = chat.render(table, template=short, role_of=lambda span: "user", back=lambda t: t).selectExpr("string(conv_id) AS c", "size(texts) AS n").collect()
+    assert {r["c"]: r["n"] for r in got} == {"0.0": 12_001, "1.0": 6000, "2.0": 4000, "NaN": 2, None: 1} and len(got) == 5
