@@ -137,6 +137,40 @@ def test_passes_are_linear(spark, monkeypatch):
     assert best(classes, balance, 4, steps=1, deal=1).count() <= 2 * 3 * 5
 
 
+def test_passes_read_classes_not_groups(spark, monkeypatch):
+    """Groups are written as vectors and as moves; what passes write is as long for five copies of the groups as for one, and copies make no more blocks."""
+    written, write = {}, folds.materialise
+
+    def counted(df, name):
+        out = write(df, name)
+        written.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(folds, "materialise", counted)
+    monkeypatch.setattr(folds, "DEALT_BLOCK", 16)
+    for copies in (1, 5):
+        rows = [(f"s{c}_{i}_{j}", f"w{i}_{j % 2}", f"g{c}_{i:03d}", f"st{i % 2}", "xyz"[(i * 7 + j) % 3]) for c in range(copies) for i in range(60) for j in range(1 + i % 5)]
+        samples = spark.createDataFrame(rows, "sample string, subgroup string, grp string, stratum string, label string")
+        before = folds.group_table(samples).withColumn("fold", F.substring("grp", 4, 3).cast("int") % 3)
+        written.clear()
+        after = folds.balanced_folds(samples, before, ["label"], 3)
+        classes = samples.groupBy("grp").agg(F.count("*").alias("n"), F.min("stratum").alias("s")).count() // copies
+        assert written["group-vectors"] == [60 * copies] and max(written["fold-classes"]) <= 3 * classes and len(written["fold-classes"]) > 1
+        features = folds.balance_features(samples, ["label"])
+        a, b = (folds.fold_cost(features, x, 3).first()[0] for x in (before, after))
+        assert b < a
+        vectors, weights = folds.group_vectors(samples, ["label"])
+        assert abs(folds.Balance.of_vectors(vectors, weights, after, 3).cost() - b) < 1e-9
+        count = lambda x: sorted((r["stratum"], r["fold"], r["count"]) for r in x.groupBy("stratum", "fold").count().collect())
+        assert count(before) == count(after) and after.count() == 60 * copies
+        was, now = ({r["grp"]: r["fold"] for r in x.collect()} for x in (before, after))
+        # As few groups move as the sizes of classes ask for.
+        of = {r["grp"]: (r["stratum"], tuple(r["values"])) for r in vectors.collect()}
+        left = Counter((of[g], was[g]) for g in was)
+        left.subtract(Counter((of[g], now[g]) for g in now))
+        assert sum(v for v in left.values() if v > 0) == sum(was[g] != now[g] for g in was) > 0
+
+
 def test_coverage_and_roles(spark):
     rows = [(f"p{f}{d}", f"w{f}{d}", f"r{f}{d}", f, d) for f in range(3) for d in "AB" if (f, d) != (2, "B")]
     df = split_rows(spark, rows)
