@@ -516,20 +516,12 @@ _OTHER_MEAN_TEST = b.every_task(b.sql(["preds", "weights", "flips"], other_famil
 
 def _statistics(spark, sf_dir, whole: bool) -> DataFrame:
     """Statistics of the two tasks and of retrieval, each cohort with groups and strata of its own, over draws made once; ``whole``: with the classification metrics."""
-    predictions = b.evaluation(spark, sf_dir, deal="grp")[0]
-    cohort, n_classes = b.cohort(spark, sf_dir), {r["task"]: r["count"] for r in b.classes(spark, sf_dir).groupBy("task").count().collect()}
-    hit = lambda c: (F.col(c) == F.col("true_id")).cast("double")
-    parts, groups = [], []
-    for t in b.TASKS:
-        groups.append(b.signature_groups(cohort, t).withColumn("cohort", F.lit(t)))
-        if whole:
-            parts.append(resample.statistic("classification", t, predictions.where(F.col("task") == t), ["model", "strategy", "seed"], n_classes[t], own_draws="seed"))
-        for i, (_, held, *_) in enumerate(b.FAMILIES):
-            pairs = _paired(spark, sf_dir, t, i, predictions)
-            parts.append(resample.statistic("mean difference", t, pairs.select(held, "seed", "grp", hit("a").alias("a"), hit("b").alias("b")), [held, "seed"], family=[held]))
-            if whole and i == 0:
-                sides = pairs.select(held, "seed", "grp", "true_id", F.col("a").alias("a_id"), F.col("b").alias("b_id"))
-                parts.append(resample.statistic("classification difference", t, sides, [held, "seed"], n_classes[t], family=[held]))
+    cohort = materialise(b.cohort(spark, sf_dir).drop("subgroup"), "cohort")
+    rows, classes = b.evaluation_by_sample(spark, sf_dir, deal="grp", samples=cohort)
+    families = [(held, varied, reference, alternative) for _, held, varied, reference, (alternative,) in b.FAMILIES]
+    of = lambda x, t: x.where(F.col("task") == t)
+    made = [resample.run_statistics(of(rows, t), b.runs_of(t), b.signature_groups(cohort, t), of(classes, t), t, families, b.REPLICATES, metrics=whole) for t in b.TASKS]
+    parts = []
     x = b.items(spark, sf_dir)
     named = x.select(F.col("sample").alias("query"), "grp")
     full, half = (materialise(retrieval.query_metrics(retrieval.exact_topk(i, i, 20), i).join(named, "query"), "per-query") for i in (x, x.withColumn("features", F.slice("features", 1, 32))))
@@ -538,9 +530,9 @@ def _statistics(spark, sf_dir, whole: bool) -> DataFrame:
         parts.append(resample.statistic("mean", "retrieval", full.select(key, "k", "grp", F.col(m).alias("value")), ["measure", "k"]))
         pairs = compare.agreeing(compare.aligned(full, half, ["k", "query"], ["grp", "fold", "n_relevant"], m))
         parts.append(resample.statistic("mean difference", "retrieval", pairs.select(key, "k", "grp", "a", "b"), ["measure", "k"], family=["measure"]))
-    groups.append(x.select("grp", F.lit("all").alias("stratum")).distinct().withColumn("cohort", F.lit("retrieval")))
+    groups = x.select("grp", F.lit("all").alias("stratum")).distinct().withColumn("cohort", F.lit("retrieval"))
     long = materialise(reduce(DataFrame.unionByName, parts), "group-statistics")
-    return resample.statistics_run(long, reduce(DataFrame.unionByName, groups), b.REPLICATES)
+    return resample.statistics_run(long, groups, b.REPLICATES, more=reduce(DataFrame.unionByName, made))
 
 
 @query()

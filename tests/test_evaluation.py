@@ -173,6 +173,33 @@ def test_statistics_run_is_its_parts(spark):
         assert (got["value"], got["ci_low"], got["p_value"]) == (r["difference"], r["ci_low"], r["p_value"])
 
 
+def test_statistics_of_samples_with_all_runs_are_those_of_predictions(spark, monkeypatch):
+    monkeypatch.setattr(resample, "SLICE", 7)
+    df, groups = bootstrap_rows(spark)
+    runs = [{"model": m, "strategy": s, "task": "t", "seed": k} for m in ("a", "b") for s in ("x", "y") for k in (3, 5)]
+    preds = F.array(*[F.col("a_id") if i % 3 else (F.col("b_id") + i) % 3 for i in range(len(runs))])
+    wide = df.select("sample", "grp", "true_id", preds.cast("array<int>").alias("preds"))
+    families = [("strategy", "model", "a", "b"), ("model", "strategy", "x", "y")]
+    run = F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in r.items()], F.lit(i).alias("i")) for i, r in enumerate(runs)]))
+    flat = wide.withColumn("r", run).select("sample", "grp", "true_id", "r.*", F.col("preds")[F.col("r.i")].alias("pred_id"))
+    long = resample.statistic("classification", "t", flat, ["model", "strategy", "seed"], 3, own_draws="seed")
+    for i, (held, varied, reference, alternative) in enumerate(families):
+        side = lambda x, n: flat.where(F.col(varied) == x).select("sample", "grp", "true_id", held, "seed", F.col("pred_id").alias(n))
+        both = side(alternative, "a_id").join(side(reference, "b_id"), ["sample", "grp", "true_id", held, "seed"])
+        hit = both.withColumns({c: (F.col(f"{c}_id") == F.col("true_id")).cast("double") for c in "ab"})
+        long = long.unionByName(resample.statistic("mean difference", "t", hit, [held, "seed"], family=[held]))
+        if not i:
+            long = long.unionByName(resample.statistic("classification difference", "t", both, [held, "seed"], 3, family=[held]))
+    of = lambda rows: {tuple(r[c] for c in ("statistic", "cohort", "series", "metric")): r for r in rows}
+    want = of(resample.statistics_run(long, groups.withColumn("cohort", F.lit("t")), 60).collect())
+    for metrics in (True, False):
+        got = of(resample.run_statistics(wide, runs, groups, classes(spark, 3), "t", families, 60, metrics=metrics).collect())
+        assert set(got) == {k for k in want if metrics or k[0] == "mean difference"} and len(got) == (8 * 4 + 8 + 4 * 4 if metrics else 8)
+        for k, r in got.items():
+            for c in ("value", "ci_low", "ci_high", "n_bootstrap", "probability_a_better", "p_value"):
+                assert r[c] == (None if want[k][c] is None else pytest.approx(want[k][c], abs=1e-12)), (k, c)
+
+
 def test_distribution_holds_every_replicate(spark, monkeypatch):
     monkeypatch.setattr(resample, "CHUNK", 16)
     df, groups = bootstrap_rows(spark)
