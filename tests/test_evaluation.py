@@ -252,6 +252,21 @@ def test_draws_of_a_large_stratum_are_multinomial(monkeypatch):
     assert abs(halves.mean() - 80) < 1 and abs(halves.var() - n * 80 / n * (1 - 80 / n)) < 4
 
 
+def test_draws_of_a_whole_slice_are_multinomial(monkeypatch):
+    """Exact shares of every count, covariances of two groups, and sums that are those asked for, where many parts are cut and where none is."""
+    monkeypatch.setattr(resample, "SLICE", 16)
+    for n in (3, 14, 60):
+        w = resample.spread(np.full(60_000, n), (1, 2, 3))
+        assert (w.sum(axis=1) == n).all() and w.min() >= 0
+        for k in range(4):
+            p = math.comb(n, k) * (1 / 16) ** k * (15 / 16) ** (n - k)
+            assert abs((w == k).mean() - p) < 6 * math.sqrt(p / w.size) + 1e-9
+        assert np.abs(w.mean(axis=0) - n / 16).max() < 5 * math.sqrt(n / 16 / len(w))
+        cov = np.cov(w.T)
+        assert np.abs(cov - n / 16 * (np.eye(16) - 1 / 16)).max() < 0.05 * n / 16 + 0.01
+    assert (resample.spread(np.full(330, 14), (1, 2, 3)) == resample.spread(np.full(900, 14), (1, 2, 3))[:330]).all()
+
+
 def test_draws_cost_what_their_slice_costs():
     """The count of one slice is found by a walk down the tree, whatever the stratum's size."""
     seconds = {}
